@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of
@@ -77,8 +77,6 @@ def number_batches(dealt: DataFrame) -> DataFrame:
 
     Batches per (shard, rank) are counted first, so the running window sees one row per shard.
     """
-    from pyspark.sql import Window
-
     per_shard = dealt.groupBy("source", "split", "rank", "shard_id").agg(
         (F.max("shard_k") + 1).alias("n_batches")
     )
@@ -149,9 +147,13 @@ def mix_schedule(mixes: DataFrame) -> DataFrame:
     )
 
 
-def scheduled_batches(schedule: DataFrame, batches: DataFrame) -> DataFrame:
-    """The i-th pick of a source takes its i-th batch; the join strategy is left to AQE's sizes."""
-    return schedule.join(batches, ["source", "ordinal"])
+def scheduled_batches(schedule: DataFrame, batches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The i-th pick of a source takes its i-th batch.
+
+    The key holds the ordinal, so a source with most of the weight is no hot key; whether the
+    schedule is small enough to broadcast is left to AQE's measured sizes.
+    """
+    return schedule.join(batches, ["source", *by, "ordinal"])
 
 
 def repeat_epochs(rows: DataFrame, epochs: int, index: str, n_rows: str) -> DataFrame:

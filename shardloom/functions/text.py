@@ -43,11 +43,12 @@ def fixed1(x: Column) -> Column:
 
 def hours_minutes(seconds: Column) -> Column:
     whole = F.floor(seconds)
-    return F.format_string(
+    text = F.format_string(
         "%dh%02dm",
         F.floor(whole / F.lit(3600)).cast("bigint"),
         F.floor((whole % 3600) / F.lit(60)).cast("bigint"),
     )
+    return F.when(seconds.isNotNull(), text)  # format_string prints nulls
 
 
 def shard_name(prefix: Column, split: Column, shard_id: Column) -> Column:

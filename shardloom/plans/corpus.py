@@ -282,15 +282,12 @@ def already_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A2", f"WITH {fx.DOCS_SQL} SELECT source, ord, length(text) AS n_chars, md5(text) AS digest FROM docs")
 def scan_corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    path = f"{sf_dir}/documents.parquet"
     by_lang = F.when(F.col("lang") == "en", "base").otherwise("extra")
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 8)
-        .parquet(sf_dir)
-        .select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text")
-    )
+    # The folder is watched; the pattern picks one table's files.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).option(
+        "pathGlobFilter", "documents.parquet"
+    ).parquet(sf_dir).select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text")
     rows = stream.select(
         "source", "ord", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest")
     )

@@ -56,18 +56,27 @@ def shard_name(prefix: Column, split: Column, shard_id: Column) -> Column:
 
 
 def python_number(x: Column) -> Column:
-    """A double as the text Python prints, whole numbers without ``.0``."""
+    """A double as the text Python prints, whole numbers in full and without ``.0``.
+
+    Whole numbers from 2**59 to 2**116 are split at 2**53 and put together as exact decimals; a
+    cast would go through the shortest text and end in zeros.
+    """
     text = x.cast("string")
     size = F.abs(x)
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     exponent = F.substring_index(text, "E", -1).try_cast("int")
-    plain = F.regexp_replace(x.cast("string").try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    step = float(2**53)
+    high = F.floor(size / step)
+    low = (size - high.cast("double") * step).cast("bigint")
+    wide = high.cast("decimal(20,0)") * F.lit(2**53).cast("decimal(16,0)") + low.cast("decimal(16,0)")
+    big = F.concat(F.when(x < 0, "-").otherwise(""), wide.cast("string"))
     return (
         F.when(F.isnan(x), "nan")
         .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
-        .when((x == F.floor(x)) & (size < 1e18), x.cast("bigint").cast("string"))
-        .when(x == F.floor(x), F.concat(x.cast("decimal(38,0)").cast("string")))
+        .when((size >= 2.0**59) & (size < 2.0**116), big)
+        .when((size < 2.0**59) & (x == F.floor(x)), x.cast("bigint").cast("string"))
         .when(size < 1e-4, F.concat(mantissa, F.format_string("e-%02d", -exponent)))
-        .when(F.contains(text, F.lit("E")), plain)
+        .when(F.contains(text, F.lit("E")) & (size < 1e16), plain)
         .otherwise(text)
     )

@@ -27,43 +27,57 @@ _INT = r"(-?(?:0|[1-9][0-9]{0,14}))"
 SIMPLE_CALL = rf"^[ \t]*{_INT}[ \t]*(//|[-+*/%])[ \t]*{_INT}[ \t]*$"
 
 
-def call_expressions(text: Column) -> Column:
-    """One expression per closing tag, in order; null where no call was open."""
-    parts = F.split(text, CLOSE_CALL)
+def _call_heads(parts: Column) -> Column:
+    """From the pieces between closing tags: the expression each tag closes, null if none was open."""
     heads = F.slice(parts, F.lit(1), F.size(parts) - 1)
     return F.transform(
         heads, lambda p: F.when(F.contains(p, F.lit(OPEN_CALL)), F.substring_index(p, OPEN_CALL, -1))
     )
 
 
+def call_expressions(text: Column) -> Column:
+    """One expression per closing tag, in order; null where no call was open."""
+    return _call_heads(F.split(text, CLOSE_CALL))
+
+
 def extract_tool_call(text: Column) -> Column:
     """Expression of the text's last call, null if that call was never opened."""
     return F.try_element_at(call_expressions(text), F.lit(-1))
 
 
-def evaluate_simple(expr: Column) -> Column:
-    """Two integers and one of + - * / // %, wholly in the JVM; null for anything else.
+def parse_simple(expr: Column) -> Column:
+    """(a, op, b) of a call with two integers and one of + - * / // %; nulls for anything else."""
+    part = lambda group: F.regexp_extract(expr, SIMPLE_CALL, group)
+    return F.when(
+        expr.rlike(SIMPLE_CALL),
+        F.struct(part(1).cast("bigint").alias("a"), part(2).alias("op"), part(3).cast("bigint").alias("b")),
+    )
+
+
+def simple_value(call: Column) -> Column:
+    """Result text of a parsed call, wholly in the JVM; null where Python must decide.
 
     Operands have at most 15 digits, so sums fit and quotients are exact; products are guarded.
     Floor division and modulo go toward minus infinity; true division only when it is exact.
     """
-    a = F.regexp_extract(expr, SIMPLE_CALL, 1).try_cast("bigint")
-    op = F.regexp_extract(expr, SIMPLE_CALL, 2)
-    b = F.regexp_extract(expr, SIMPLE_CALL, 3).try_cast("bigint")
-    divisor = F.nullif(b, F.lit(0).cast("bigint"))
-    remainder = F.try_mod(a, divisor)
-    floored = F.when((remainder != 0) & ((remainder < 0) != (divisor < 0)), remainder + divisor).otherwise(remainder)
-    quotient = F.try_divide(a - floored, divisor).cast("bigint")
+    a, op, b = call["a"], call["op"], call["b"]
+    remainder = F.try_mod(a, b)
+    floored = F.when((remainder != 0) & ((remainder < 0) != (b < 0)), remainder + b).otherwise(remainder)
+    quotient = F.try_divide(a - floored, b).cast("bigint").cast("string")
     return (
         F.when(op == "+", (a + b).cast("string"))
         .when(op == "-", (a - b).cast("string"))
         .when(op == "*", F.try_multiply(a, b).cast("string"))
-        .when((op == "/") & (remainder == 0), quotient.cast("string"))
-        .when(op == "//", quotient.cast("string"))
+        .when(op == "//", quotient)
         .when(op == "%", floored.cast("string"))
+        .when((op == "/") & (remainder == 0), quotient)
     )
 
 
+def evaluate_simple(expr: Column) -> Column:
+    return simple_value(parse_simple(expr))
+
+
 def _power(a, b):
     if isinstance(a, int) and isinstance(b, int) and b > 0 and a.bit_length() * b > MAX_POWER_BITS:
         raise OverflowError("number too large")
@@ -144,38 +158,43 @@ def evaluate_tool_calls(rows: DataFrame, expr: str = "expr") -> DataFrame:
     expression is no hot key; repeats are evaluated once per Arrow batch.
     """
     ship_package(rows.sparkSession)
-    staged = rows.withColumn("__simple", evaluate_simple(F.col(expr)))
+    # Parsed in a projection of its own, so the pattern runs once per row.
+    staged = rows.withColumn("__call", parse_simple(F.col(expr))).withColumn("__simple", simple_value(F.col("__call")))
     hard = F.when(F.col("__simple").isNull(), F.col(expr))
     return (
         staged.withColumn("__hard", calculate_column(hard))
         .withColumn("result", F.coalesce("__simple", F.col("__hard.result")))
         .withColumn("error", F.col("__hard.error"))
-        .drop("__simple", "__hard")
+        .drop("__call", "__simple", "__hard")
     )
 
 
 def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected") -> DataFrame:
     """After every call insert its result line; the text stays one row, so nothing is regrouped."""
     ship_package(rows.sparkSession)
-    exprs = call_expressions(F.col(text))
-    staged = rows.withColumn("__exprs", exprs).withColumn("__simple", F.transform("__exprs", evaluate_simple))
-    hard = F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e))
-    anything = F.exists(hard, lambda e: e.isNotNull())
-    staged = staged.withColumn("__hard", calculate_lists(F.when(anything, hard)))
-    none_open = F.lit("ERROR: no open call")
-    outcome = F.zip_with(
-        "__simple",
-        F.coalesce("__hard", F.array_repeat(F.lit(None).cast("string"), F.size("__exprs"))),
-        lambda s, h: F.coalesce(s, h, none_open),
+    # One projection per stage: each is used more than once below.
+    staged = (
+        rows.withColumn("__parts", F.split(text, CLOSE_CALL))
+        .withColumn("__exprs", _call_heads(F.col("__parts")))
+        .withColumn("__calls", F.transform("__exprs", parse_simple))
+        .withColumn("__simple", F.transform("__calls", simple_value))
+        .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
-    parts = F.split(F.col(text), CLOSE_CALL)
-    closed = F.zip_with(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        outcome,
-        lambda p, r: F.concat(p, F.lit(f"{CLOSE_CALL}\n{OPEN_RESULT}"), r, F.lit(f"{CLOSE_RESULT}\n")),
+    hard = F.when(F.exists("__todo", lambda e: e.isNotNull()), F.col("__todo"))
+    staged = staged.withColumn("__hard", calculate_lists(hard))
+
+    def line(index: Column) -> Column:
+        outcome = F.coalesce(
+            F.get("__simple", index), F.get("__hard", index), F.lit("ERROR: no open call")
+        )
+        return F.concat(F.lit(f"{CLOSE_CALL}\n{OPEN_RESULT}"), outcome, F.lit(f"{CLOSE_RESULT}\n"))
+
+    last = F.size("__exprs")
+    injected = F.transform(
+        "__parts", lambda p, i: F.when(i < last, F.concat(p, line(i))).otherwise(p)
     )
-    injected = F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
-    return staged.withColumn(out, injected).drop("__exprs", "__simple", "__hard")
+    helpers = ["__parts", "__exprs", "__calls", "__simple", "__todo", "__hard"]
+    return staged.withColumn(out, F.array_join(injected, "")).drop(*helpers)
 
 
 def synth_tool_examples(keys: DataFrame, key: Column, seed: int = SEED) -> DataFrame:

@@ -208,13 +208,13 @@ def device_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     "E8",
     f"""WITH {SAMPLES_SQL}, recent AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn FROM samples)
         SELECT run, round(avg(util), 6) AS util_avg, min(util) AS util_min, max(util) AS util_max,
-          round(avg(power), 6) AS power_avg, count(*) AS n_samples,
+          round(avg(power), 9) AS power_avg, count(*) AS n_samples,
           sum(CASE WHEN util < 80 THEN 1 ELSE 0 END)::BIGINT AS n_low
         FROM recent WHERE rn <= 60 GROUP BY run""",
 )
 def device_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = ops.device_summary(samples(spark, sf_dir))
-    return summary.withColumn("util_avg", F.round("util_avg", 6)).withColumn("power_avg", F.round("power_avg", 6))
+    return summary.withColumn("util_avg", F.round("util_avg", 6)).withColumn("power_avg", F.round("power_avg", 9))
 
 
 def islands_sql(flag: str, n: int) -> str:
@@ -501,13 +501,13 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "E14",
     f"""WITH {USERS_SQL} SELECT run, max(step) + 1 AS n_steps, arg_min(value, step) AS first_loss,
-        arg_max(value, step) AS last_loss, CASE WHEN run % 4 <> 0 THEN round(sum(value), 1) END AS seconds
+        arg_max(value, step) AS last_loss, CASE WHEN run % 4 <> 0 THEN round(sum(value), 6) END AS seconds
         FROM runs GROUP BY run""",
 )
 def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the runs has no ledger row yet."""
     rows = user_runs(spark, sf_dir)
-    ledger = rows.groupBy("run").agg(F.round(F.sum("value"), 1).alias("seconds")).where(F.col("run") % 4 != 0)
+    ledger = rows.groupBy("run").agg(F.round(F.sum("value"), 6).alias("seconds")).where(F.col("run") % 4 != 0)
     return ops.stage_summary(rows, ledger)
 
 
@@ -525,14 +525,14 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMA_SQL = (
     TYPES_SQL
     + """,
-ema(run, step, e) AS (SELECT run, step, value FROM runs WHERE step = 1
-   UNION ALL SELECT r.run, r.step, 0.9::DOUBLE * e + 0.1::DOUBLE * r.value FROM ema JOIN runs r ON r.run = ema.run AND r.step = ema.step + 1),
+ema(run, step, e) AS (SELECT run, step, value / 7 FROM runs WHERE step = 1
+   UNION ALL SELECT r.run, r.step, 0.9::DOUBLE * e + 0.1::DOUBLE * r.value / 7 FROM ema JOIN runs r ON r.run = ema.run AND r.step = ema.step + 1),
 smoothed AS (SELECT r.run, r.step, r.n, e FROM runs r LEFT JOIN ema USING (run, step))"""
 )
 
 
 def type_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.ema_step_time(type_runs(spark, sf_dir).withColumn("dt", F.col("value")))
+    return ops.ema_step_time(type_runs(spark, sf_dir).withColumn("dt", F.col("value") / 7))
 
 
 @query("F6", f"WITH RECURSIVE {EMA_SQL} SELECT run, step, round(e, 6) AS ema FROM smoothed")

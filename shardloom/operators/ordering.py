@@ -25,13 +25,6 @@ HASH_LEVELS = (40,)
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
-def _combine(op: str, carry: Column, value: Column) -> Column:
-    if op == "max":
-        return F.greatest(carry, value)  # greatest() skips nulls
-    zero = F.lit(0)
-    return F.coalesce(carry, zero) + F.coalesce(value, zero)
-
-
 def prefix_scan(
     rows: DataFrame,
     keys: Sequence[str],
@@ -41,57 +34,70 @@ def prefix_scan(
     tie: Sequence[str] = (),
     levels: Sequence[int] = DENSE_LEVELS,
     inclusive: bool = True,
+    together: int | None = None,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns per ``keys`` in the order of a bigint column.
 
+    Each block starts with a row that carries the fold of everything before it, so the rows are
+    shuffled once and never joined. ``together`` names the level whose blocks share a task (its
+    output is then contiguous in key order); by default every finest block may go anywhere.
+
     ``rows`` is evaluated twice (totals, then rows): pass something cheap or materialised.
     Keys must not be null. Keys above 2**50 need a third level, ``levels=(10, 30, 50)``.
     """
     keys = list(keys)
     blocks = [f"__block{i}" for i in range(len(levels))]
     values = {name: f"__value_{name}" for name in outputs}
-    carries = {name: f"__carry_{name}" for name in outputs}
-    op = {name: spec[0] for name, spec in outputs.items()}
-    work = rows.select(
+    fold = {name: _FOLD[spec[0]] for name, spec in outputs.items()}
+    numbered = rows.select(
         "*",
+        F.col(order).cast("bigint").alias("__order"),
+        F.lit(1).alias("__is_row"),
         *[F.shiftright(F.col(order).cast("bigint"), bits).alias(b) for bits, b in zip(levels, blocks)],
         *[spec[1].alias(values[name]) for name, spec in outputs.items()],
     )
+    group = lambda names: names or [F.lit(0)]
 
-    totals, current = [], work
+    # Totals per block, finest level first; then what lies before each block, coarsest first.
+    totals, current = [], numbered
     for i in range(len(blocks)):
-        current = current.groupBy(*keys, *blocks[i:]).agg(
-            *[_FOLD[op[n]](values[n]).alias(values[n]) for n in outputs]
-        )
+        current = current.groupBy(*keys, *blocks[i:]).agg(*[fold[n](values[n]).alias(values[n]) for n in outputs])
         totals.append(current)
-
-    carry = None
+    start = None
     for i in reversed(range(len(blocks))):
-        outer = [*keys, *blocks[i + 1 :]]
+        step = totals[i].select("*", F.col(blocks[i]).alias("__order"), F.lit(1).alias("__is_row"))
+        if start is not None:
+            step = step.unionByName(start, allowMissingColumns=True)
         before = (
-            Window.partitionBy(*(outer or [F.lit(0)]))
-            .orderBy(blocks[i])
+            Window.partitionBy(*group([*keys, *blocks[i + 1 :]]))
+            .orderBy(*(["__order"] if start is None else ["__is_row", "__order"]))
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        step = totals[i].select(
-            *keys, *blocks[i:], *[_FOLD[op[n]](values[n]).over(before).alias(f"__own_{n}") for n in outputs]
+        start = (
+            step.select("*", *[fold[n](values[n]).over(before).alias(f"__before_{n}") for n in outputs])
+            .where("__is_row = 1")
+            .select(
+                *keys,
+                *blocks[i:],
+                F.lit(0).alias("__is_row"),
+                *[F.col(f"__before_{n}").alias(values[n]) for n in outputs],
+            )
         )
-        if carry is not None:
-            step = step.join(carry, outer)
-            own = {n: _combine(op[n], F.col(carries[n]), F.col(f"__own_{n}")) for n in outputs}
-        else:
-            own = {n: F.col(f"__own_{n}") for n in outputs}
-        carry = step.select(*keys, *blocks[i:], *[own[n].alias(carries[n]) for n in outputs])
 
+    everything = numbered.unionByName(start, allowMissingColumns=True)
+    if together is not None:
+        everything = everything.repartition(*[F.col(c) for c in (*keys, *blocks[together:])])
     frame = (
         Window.partitionBy(*keys, *blocks)
-        .orderBy(order, *tie)
+        .orderBy("__is_row", "__order", *tie)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    scanned = work.select("*", *[_FOLD[op[n]](values[n]).over(frame).alias(f"__own_{n}") for n in outputs])
-    return scanned.join(carry, [*keys, *blocks]).select(
-        *rows.columns,
-        *[_combine(op[n], F.col(carries[n]), F.col(f"__own_{n}")).alias(n) for n in outputs],
+    found = {n: fold[n](values[n]).over(frame) for n in outputs}
+    found = {n: F.coalesce(c, F.lit(0)) if outputs[n][0] == "sum" else c for n, c in found.items()}
+    return (
+        everything.select("*", *[c.alias(f"__out_{n}") for n, c in found.items()])
+        .where("__is_row = 1")
+        .select(*rows.columns, *[F.col(f"__out_{n}").alias(n) for n in outputs])
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from shardloom.constants import EOT, MAX_ID, SHARD_SIZE
 from shardloom.functions.arrays import char_ids, ids_in_range
 from shardloom.functions.text import is_filled
 from shardloom.functions.vocab import DEFAULT_VOCAB, encode_column
-from shardloom.operators.ordering import prefix_scan
+from shardloom.operators.ordering import DENSE_LEVELS, prefix_scan
 from shardloom.session import new_scratch_path
 
 
@@ -43,12 +45,24 @@ def split_by_id_range(tokens: DataFrame, ids: str = "tokens") -> tuple[DataFrame
     return tokens.where(good), tokens.where(~good)
 
 
-def token_offsets(tokens: DataFrame) -> DataFrame:
-    """Add ``start``: tokens of the same source before this document."""
-    scanned = prefix_scan(tokens, ["source"], "ord", {"start": ("sum", F.col("n_tok"))}, inclusive=False)
+def token_offsets(tokens: DataFrame, together_bits: int | None = None) -> DataFrame:
+    """Add ``start``: tokens of the same source before this document.
+
+    With ``together_bits`` documents of the same ``ord >> together_bits`` share a task, so packed
+    segments leave in shard order and can be written without another shuffle.
+    """
+    scan = {"levels": DENSE_LEVELS}
+    if together_bits is not None:
+        scan = {"levels": (DENSE_LEVELS[0], max(together_bits, DENSE_LEVELS[0] + 1), 36), "together": 1}
+    scanned = prefix_scan(tokens, ["source"], "ord", {"start": ("sum", F.col("n_tok"))}, inclusive=False, **scan)
     return scanned.withColumn("start", F.col("start").cast("bigint"))
 
 
+def task_bits(n_docs: int, parallelism: int) -> int:
+    """Documents per task as a power of two: a few tasks per core, at most 65,536 documents each."""
+    return max(DENSE_LEVELS[0] + 1, min(16, int(math.log2(max(n_docs / (2 * parallelism), 1)))))
+
+
 def budget_limit(total: int, shard_size: int) -> int:
     """The cap counts whole shards, so it rounds up to a multiple of the shard size."""
     return -(-total // shard_size) * shard_size

@@ -31,8 +31,9 @@ def build_corpus(
         tokens = spark.read.parquet(tokens_path)
     else:
         tokens = packing.tokenize_to_budget(docs, total_tokens, shard_size, vocab)
-    placed = packing.token_offsets(tokens)
-    write_shards(packing.pack_shards(placed, shard_size, total_tokens, val_shards), path)
+    bits = packing.task_bits(tokens.count(), spark.sparkContext.defaultParallelism)  # from file footers
+    placed = packing.token_offsets(tokens, bits)
+    write_shards(packing.pack_shards(placed, shard_size, total_tokens, val_shards), path, in_order=True)
     return scan_shards(spark, path)
 
 

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 SCHEMA = "seg_start bigint, ord bigint, tokens array<int>, source string, split string, shard_id bigint"
 
 
-def write_shards(segments: DataFrame, path: str, spread: int = 16) -> None:
+def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> None:
     """Write segments under source/split/shard_id, sorted by position inside each file.
 
-    A shard goes to ``spread`` tasks by position range hash, so one 100M-token shard neither sits
-    in one task nor leaves a small file per input task. Only written partitions are replaced, so
-    running a stage again is idempotent.
+    ``in_order`` segments (from offsets whose documents share tasks) are written where they are: a
+    shard then lies in the few tasks its documents came from. Others go to ``spread`` tasks per
+    shard by position, so a 100M-token shard neither sits in one task nor leaves a small file per
+    input task. Only written partitions are replaced, so running a stage again is idempotent.
     """
-    slot = F.pmod(F.floor(F.col("seg_start") / F.lit(1 << 20)), F.lit(spread))
+    if not in_order:
+        slot = F.pmod(F.floor(F.col("seg_start") / F.lit(1 << 20)), F.lit(spread))
+        segments = segments.repartition("source", "split", "shard_id", slot)
     (
-        segments.repartition("source", "split", "shard_id", slot)
-        .sortWithinPartitions("source", "split", "shard_id", "seg_start")
+        segments.sortWithinPartitions("source", "split", "shard_id", "seg_start")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "split", "shard_id")

@@ -29,11 +29,30 @@ def test_offsets_window_only_over_blocks(spark, sf_dir):
     windows = re.findall(r"windowspecdefinition\((.*?) ASC", text)
     assert len(windows) >= 3
     # Over rows: source and both blocks. Over block totals: what is left after each level.
-    assert [re.sub(r"#\d+L?", "", w) for w in windows if ", ord" in w] == ["source, __block0, __block1, ord"]
+    assert {re.sub(r"#\d+L?", "", w) for w in windows} == {
+        "source, __block0, __block1, __is_row",
+        "source, __block1, __is_row",
+        "source, __order",
+    }
+    # The last one goes over the totals of 2**30 keys each, not over rows.
+    assert "__block1#" in text.split("windowspecdefinition(source#")[-1]
+    assert "Join" not in text
+
+
+def test_a_corpus_build_shuffles_tokens_once(spark, sf_dir):
+    tokens = fx.char_tokens(spark, sf_dir)
+    placed = packing.token_offsets(tokens, together_bits=12)
+    text = plan_of(packing.pack_shards(placed, fx.SHARD).sortWithinPartitions("source", "split", "shard_id"))
+    # Down from the root, the rows (with their tokens) pass one exchange: source and coarse blocks.
+    rows_side = text.split("Union")[0]
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", rows_side)
+    assert [(re.sub(r"#\d+L?", "", keys), why) for keys, why in exchanges] == [
+        ("source, __block1, __block2", "REPARTITION_BY_COL")
+    ]
 
 
 def test_step_numbers_do_not_need_a_whole_run_in_a_task(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("order"))
     windows = re.findall(r"windowspecdefinition\((.*?) ASC", plan_of(telemetry.with_steps(events)))
-    over_rows = [re.sub(r"#\d+L?", "", w) for w in windows if ", order" in w]
-    assert over_rows and all("__block0" in w for w in over_rows)
+    assert windows and all("__block" in w or w == "run, __order" for w in (re.sub(r"#\d+L?", "", w) for w in windows))
+    assert [w for w in windows if "__block0" in w]

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of
-from shardloom.session import ship_package
+from shardloom.session import ship_package, sized_side
 
 
 def shard_lengths(segments: DataFrame) -> DataFrame:
     return segments.groupBy("source", "split", "shard_id").agg(
-        F.max(F.col("seg_start") + F.size("tokens")).alias("shard_len")
+        F.max(F.col("seg_start") + F.col("n_tok")).alias("shard_len")
     )
 
 
@@ -54,7 +54,7 @@ def deal_batches(segments: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
     round earlier than rank 0. Windows cut off by the shard end are not batches and stay out.
     """
     step = B * T
-    lengths = shard_lengths(segments)
+    lengths = sized_side(shard_lengths(segments), "shard-lengths")
     seqs = assemble_sequences(segments, T).where(F.size("tokens") == T + 1)
     slot = F.floor(F.col("seq") / F.lit(B))
     dealt = seqs.select(
@@ -88,6 +88,7 @@ def number_batches(dealt: DataFrame) -> DataFrame:
     offsets = per_shard.select(
         "source", "split", "rank", "shard_id", F.coalesce(F.sum("n_batches").over(before), F.lit(0)).alias("k0")
     )
+    offsets = sized_side(offsets, "batch-offsets")
     return dealt.join(offsets, ["source", "split", "rank", "shard_id"]).withColumn(
         "k", (F.col("k0") + F.col("shard_k")).cast("bigint")
     ).drop("k0")
@@ -187,10 +188,13 @@ def loader_cursor(dealt: DataFrame, B: int, T: int, ranks: int, reads: int) -> D
 
 
 def resume_after(dealt: DataFrame, cursor: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
-    """Batches at or behind the saved position, the rest of the running epoch."""
+    """Batches at or behind the saved position, the rest of the running epoch.
+
+    A cursor has one row per source, split and rank, so it is broadcast.
+    """
     keys = ["source", "split", "rank"]
     at = (F.col("rank") + F.col("shard_k") * ranks) * (B * T)
     later = (F.col("shard_id") > F.col("next_shard")) | (
         (F.col("shard_id") == F.col("next_shard")) & (at >= F.col("next_pos"))
     )
-    return dealt.join(cursor, keys).where(later).drop("next_shard", "next_pos")
+    return dealt.join(F.broadcast(cursor), keys).where(later).drop("next_shard", "next_pos")

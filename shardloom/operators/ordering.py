@@ -132,26 +132,30 @@ def seeded_permutation(
 def first_by_hash(
     rows: DataFrame, seed: int, key: Sequence[str], quota: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """The first ``quota`` rows per ``keys`` in seeded order.
+    """The first ``quota`` rows per class in seeded order; ``quota`` has columns ``keys`` + ``quota``.
 
-    Block totals tell which hash blocks lie wholly beyond the quota; those rows are dropped before
-    the row shuffle, so only about ``quota`` rows move. ``quota`` has columns ``keys`` + ``quota``.
+    ``keys`` name classes, a handful of values. Counts per hash block give the last block each
+    class needs; rows beyond it are dropped before any row is shuffled, so about ``quota`` rows
+    move, spread over their hash blocks.
     """
     keys = list(keys)
     hashed = rows.withColumn("__hash", order_hash(seed, *[F.col(k) for k in key])).withColumn(
         "__block", F.shiftright("__hash", HASH_LEVELS[0])
     )
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    open_blocks = (
+    blocks = (
         hashed.groupBy(*keys, "__block")
         .agg(F.count("*").alias("__n"))
         .select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        .join(quota, keys)
+        .join(F.broadcast(quota), keys)  # one row per class
         .where("__before < quota")
     )
+    last = blocks.groupBy(*keys).agg(F.max("__block").alias("__last"))  # one row per class
     within = Window.partitionBy(*keys, "__block").orderBy("__hash", *key)
     return (
-        hashed.join(open_blocks, [*keys, "__block"])
+        hashed.join(F.broadcast(last), keys)
+        .where("__block <= __last")
+        .join(blocks, [*keys, "__block"])
         .withColumn("__rank", F.row_number().over(within))
         .where("__before + __rank <= quota")
         .select(*rows.columns)

@@ -80,9 +80,10 @@ def assign_split(shard_id: Column, val_shards: int = 1) -> Column:
 def pack_shards(
     placed: DataFrame, shard_size: int = SHARD_SIZE, total: int | None = None, val_shards: int = 1
 ) -> DataFrame:
-    """Cut documents at multiples of the shard size into (source, split, shard_id, seg_start, ord, tokens).
+    """Cut documents at multiples of the shard size.
 
-    A document may cover any number of shards; one row never holds a whole shard. The slices are
+    Rows are (source, split, shard_id, seg_start, ord, n_tok, tokens); ``n_tok`` lets counting jobs
+    skip the ids. A document may cover any number of shards; one row never holds a whole shard. The slices are
     built inside the row, so a long document is not copied once per shard.
     """
     size = F.lit(shard_size).cast("bigint")
@@ -105,46 +106,46 @@ def pack_shards(
         "shard_id",
         "seg_start",
         "ord",
+        F.size("tokens").alias("n_tok"),
         "tokens",
     )
 
 
 def tokenize_to_budget(
-    docs: DataFrame, total: int, shard_size: int, vocab: str = DEFAULT_VOCAB, bytes_per_token: float = 5.0
+    docs: DataFrame, total: int, shard_size: int, vocab: str = DEFAULT_VOCAB, tokens_per_doc: float = 500.0
 ) -> DataFrame:
-    """Tokenise documents in source order only until every source passes its budget.
+    """Tokenise documents in order only until every source passes its budget.
 
-    Byte offsets (native, narrow) order the corpus; each round tokenises the next byte range and
-    appends it to a table. Ranges double, so a corpus far above the budget costs a few rounds and
-    is never encoded whole. The exact cut is ``token_budget`` on the result.
+    Works on ranges of the order key: a first range sized by ``tokens_per_doc``, later ones by the
+    rate seen so far (at most eight times the last). Each range is a pushed-down filter, so text
+    far beyond the budget is neither read nor encoded, and the rounds are few. The exact cut is
+    ``token_budget`` on the result. Only a few numbers per source reach the driver.
     """
     spark = docs.sparkSession
     limit = budget_limit(total, shard_size)
-    sized = drop_empty(docs).select("source", "ord", F.octet_length("text").alias("n_bytes"))
-    ranges = prefix_scan(sized, ["source"], "ord", {"byte_start": ("sum", F.col("n_bytes"))}, inclusive=False)
-    path = new_scratch_path(spark, "budget-ranges")
-    ranges.select("source", "ord", "byte_start").write.parquet(path)
-    ranges = spark.read.parquet(path)
-    end = ranges.agg(F.max("byte_start")).first()[0]
     out = new_scratch_path(spark, "budget-tokens")
     schema = "source string, ord bigint, n_tok int, tokens array<int>"
-    low, high = 0, int(limit * bytes_per_token)
-    open_sources = None
-    while end is not None and low <= end:
-        todo = ranges.where((F.col("byte_start") >= low) & (F.col("byte_start") < high))
-        if open_sources is not None:
-            todo = todo.where(F.col("source").isin(open_sources))
-        tokenize_corpus(docs.join(todo.select("source", "ord"), ["source", "ord"], "left_semi"), vocab).write.mode(
-            "append"
-        ).parquet(out)
-        totals = spark.read.schema(schema).parquet(out).groupBy("source").agg(F.sum("n_tok").alias("n"))
-        # One row per source (a handful of named corpora), not per document.
-        full = [r["source"] for r in totals.where(F.col("n") >= limit).collect()]
-        remaining = ranges.where((F.col("byte_start") >= high) & ~F.col("source").isin(full))
-        open_sources = [r["source"] for r in remaining.select("source").distinct().collect()]
-        if not open_sources:
-            break
-        low, high = high, high * 2
-    if end is None:
+    extent = docs.groupBy("source").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n"))
+    open_ranges = {}
+    for r in extent.collect():
+        share = min(1.0, limit / (r["n"] * tokens_per_doc))
+        open_ranges[r["source"]] = (r["low"], max(1, int((r["high"] - r["low"] + 1) * share)), r["low"], r["high"])
+    if not open_ranges:
         return spark.createDataFrame([], schema)
+    while open_ranges:
+        wanted = F.lit(False)
+        for source, (at, width, _, _) in open_ranges.items():
+            wanted = wanted | ((F.col("source") == source) & (F.col("ord") >= at) & (F.col("ord") < at + width))
+        tokenize_corpus(docs.where(wanted), vocab).write.mode("append").parquet(out)
+        sums = spark.read.schema(schema).parquet(out).groupBy("source").agg(F.sum("n_tok").alias("n"))
+        found = {r["source"]: r["n"] for r in sums.collect()}
+        following = {}
+        for source, (at, width, first, last) in open_ranges.items():
+            after, have = at + width, found.get(source, 0)
+            if after > last or have >= limit:
+                continue
+            rate = max(have / (after - first), 1e-9)
+            need = min(int((limit - have) / rate * 1.1) + 1, 8 * width)
+            following[source] = (after, max(need, width), first, last)
+        open_ranges = following
     return spark.read.schema(schema).parquet(out)

@@ -12,7 +12,7 @@ SHARD = ["source", "split", "shard_id"]
 
 def shard_stats(segments: DataFrame) -> DataFrame:
     """Shards and tokens written per source and split; two-phase, distinct over shard ids only."""
-    per_shard = segments.groupBy(*SHARD).agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count("*").alias("n_segments"))
+    per_shard = segments.groupBy(*SHARD).agg(F.sum("n_tok").alias("n_tokens"), F.count("*").alias("n_segments"))
     return per_shard.groupBy("source", "split").agg(
         F.count("*").alias("n_shards"),
         F.sum("n_tokens").alias("n_tokens"),

@@ -40,7 +40,7 @@ def build_corpus(
 def shard_census(segments: DataFrame) -> DataFrame:
     """Tokens and documents in each shard of each split: the flagship report."""
     return segments.groupBy("source", "split", "shard_id").agg(
-        F.sum(F.size("tokens")).alias("n_tokens"),
+        F.sum("n_tok").alias("n_tokens"),
         F.count("*").alias("n_segments"),
         F.sum(F.size(F.filter("tokens", lambda t: t == EOT))).alias("n_docs_started"),
     )
@@ -135,7 +135,7 @@ def widen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def assign_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_shard = fx.char_shards(spark, sf_dir).groupBy("source", "shard_id").agg(
-        F.sum(F.size("tokens")).alias("n_tokens")
+        F.sum("n_tok").alias("n_tokens")
     )
     return per_shard.withColumn("split", packing.assign_split(F.col("shard_id"), 2))
 
@@ -173,10 +173,10 @@ _CAP_SHARDS = -(-CAP // fx.SHARD)
         FROM segs WHERE shard_id < {_CAP_SHARDS} GROUP BY ALL""",
 )
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = packing.tokenize_to_budget(fx.corpus(spark, sf_dir), CAP, fx.SHARD, "char", bytes_per_token=1.0)
+    tokens = packing.tokenize_to_budget(fx.corpus(spark, sf_dir), CAP, fx.SHARD, "char", tokens_per_doc=4000.0)
     kept = packing.pack_shards(packing.token_offsets(tokens), fx.SHARD, CAP)
     return kept.groupBy("source", "split", "shard_id").agg(
-        F.count("*").alias("n_segments"), F.sum(F.size("tokens")).alias("n_tokens"), F.max("ord").alias("last_ord")
+        F.count("*").alias("n_segments"), F.sum("n_tok").alias("n_tokens"), F.max("ord").alias("last_ord")
     )
 
 

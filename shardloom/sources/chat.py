@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role:string,content:string>>"
 MAX_TURNS = 100_000
+MAX_CHARS = 1 << 28
 
 
 def scan_chat(spark: SparkSession, path: str, messages_col: str = "messages", fmt: str = "json") -> DataFrame:
@@ -16,9 +17,12 @@ def scan_chat(spark: SparkSession, path: str, messages_col: str = "messages", fm
     )
 
 
-def oversize_conversations(turns: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
+def oversize_conversations(turns: DataFrame, max_turns: int = MAX_TURNS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Conversations too long for one row (counted with map-side partial sums)."""
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")).where(F.col("n_turns") > max_turns)
+    sizes = turns.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), F.sum(F.length("content").cast("bigint")).alias("n_chars")
+    )
+    return sizes.where((F.col("n_turns") > max_turns) | (F.col("n_chars") > max_chars))
 
 
 def turns_to_chat(turns: DataFrame, max_turns: int = MAX_TURNS) -> tuple[DataFrame, DataFrame]:

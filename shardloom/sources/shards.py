@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "seg_start bigint, ord bigint, tokens array<int>, source string, split string, shard_id bigint"
+SCHEMA = "seg_start bigint, ord bigint, n_tok int, tokens array<int>, source string, split string, shard_id bigint"
 
 
 def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> None:
@@ -37,7 +37,7 @@ def scan_shards(spark: SparkSession, path: str, split: str | None = None, source
         shards = shards.where(F.col("source") == source)
     if shards.select("shard_id").limit(1).isEmpty():
         raise FileNotFoundError(f"no shards for split {split} of {source or 'any source'} in {path}")
-    return shards.select("source", "split", "shard_id", "seg_start", "ord", "tokens")
+    return shards.select("source", "split", "shard_id", "seg_start", "ord", "n_tok", "tokens")
 
 
 def list_shards(shards: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -10,9 +10,9 @@ from shardloom.constants import SHARD_SIZE
 from shardloom.functions.vocab import DEFAULT_VOCAB
 from shardloom.operators.packing import pack_shards, token_offsets, tokenize_corpus
 
-TOTALS = "source string, n_tok bigint, batch bigint"
+TOTALS = "source string, n_tok bigint"
 SEGMENTS = (
-    "source string, split string, shard_id bigint, seg_start bigint, ord bigint, tokens array<int>, batch bigint"
+    "source string, split string, shard_id bigint, seg_start bigint, ord bigint, n_tok int, tokens array<int>, batch bigint"
 )
 
 
@@ -37,26 +37,27 @@ def pack_stream(
 ) -> StreamingQuery:
     """Pack arriving documents behind everything already packed.
 
-    Each micro-batch writes its tokens, totals and segments under its batch number, and starts at
-    the totals of earlier numbers, so a replayed batch overwrites itself with the same rows.
+    Each micro-batch writes its tokens, running totals and segments under its batch number, and
+    starts at the totals of the number before, so a replayed batch overwrites itself with the
+    same rows and no trigger reads more than one earlier total.
     """
 
+    def before(spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], TOTALS)
+        return spark.read.schema(TOTALS).parquet(f"{path}/totals/batch={batch_id - 1}")
+
     def pack(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tokens_path = f"{path}/tokens/batch={batch_id}"
         tokenize_corpus(batch, vocab).write.mode("overwrite").parquet(tokens_path)
         tokens = spark.read.parquet(tokens_path)
-        totals = tokens.groupBy("source").agg(F.sum("n_tok").cast("bigint").alias("n_tok"))
+        base = before(spark, batch_id)
+        counted = tokens.select("source", F.col("n_tok").cast("bigint").alias("n_tok"))
+        totals = base.unionByName(counted).groupBy("source").agg(F.sum("n_tok").alias("n_tok"))
         totals.write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
-        base = (
-            spark.read.schema(TOTALS)
-            .option("basePath", f"{path}/totals")
-            .parquet(f"{path}/totals")
-            .where(F.col("batch") < batch_id)
-            .groupBy("source")
-            .agg(F.sum("n_tok").alias("base"))
-        )
-        placed = token_offsets(tokens).join(base, "source", "left")
+        # One row per source: a handful of named corpora.
+        placed = token_offsets(tokens).join(F.broadcast(base.withColumnRenamed("n_tok", "base")), "source", "left")
         shifted = placed.withColumn("start", F.col("start") + F.coalesce("base", F.lit(0))).drop("base")
         pack_shards(shifted, shard_size, None, val_shards).write.mode("overwrite").parquet(
             f"{path}/segments/batch={batch_id}"
@@ -68,6 +69,6 @@ def pack_stream(
     return writer.start()
 
 
-def read_packed(spark, path: str) -> DataFrame:
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).option("basePath", f"{path}/segments").parquet(f"{path}/segments")
     return segments.drop("batch")

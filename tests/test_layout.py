@@ -16,10 +16,10 @@ def segments_of(spark, shards):
         at = 0
         while at < len(ids):
             n = rng.randrange(1, 9)
-            rows.append((source, split, shard, at, at, ids[at : at + n]))
+            rows.append((source, split, shard, at, at, len(ids[at : at + n]), ids[at : at + n]))
             at += n
     return spark.createDataFrame(
-        rows, "source string, split string, shard_id bigint, seg_start bigint, ord bigint, tokens array<int>"
+        rows, "source string, split string, shard_id bigint, seg_start bigint, ord bigint, n_tok int, tokens array<int>"
     )
 
 

@@ -107,13 +107,13 @@ def test_id_range(spark, docs):
 
 @pytest.mark.parametrize("total", [20, 100, 10_000])
 def test_budgeted_tokenisation_equals_the_full_one(docs, total):
-    tokens = p.tokenize_to_budget(docs, total, 30, "char", bytes_per_token=0.2)
+    tokens = p.tokenize_to_budget(docs, total, 30, "char", tokens_per_doc=300.0)
     assert by_shard(p.pack_shards(p.token_offsets(tokens), 30, total)) == brute("char", 30, total)
 
 
 def test_budget_leaves_documents_beyond_it_unencoded(spark):
     many = spark.range(2000).select(F.lit("a").alias("source"), F.col("id").alias("ord"), F.lit("word " * 20).alias("text"))
-    assert p.tokenize_to_budget(many, 500, 100, "char", bytes_per_token=1.0).count() < 50
+    assert p.tokenize_to_budget(many, 500, 100, "char", tokens_per_doc=90.0).count() < 50
 
 
 def test_written_shards(spark, docs):

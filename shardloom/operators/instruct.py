@@ -87,8 +87,9 @@ def union_qa(
 
 def sample_n(rows: DataFrame, n: int, key: list[str], seed: int = SEED) -> DataFrame:
     """The first n rows of a seeded shuffle, without one task ever holding all n."""
-    quota = rows.sparkSession.createDataFrame([(0, n)], "__all int, quota bigint")
-    return first_by_hash(rows.withColumn("__all", F.lit(0)), seed, key, quota, ["__all"]).drop("__all")
+    everything = rows.withColumn("__all", F.lit(0))
+    quota = lambda counts: counts.withColumn("quota", F.lit(n).cast("bigint"))
+    return first_by_hash(everything, seed, key, quota, ["__all"]).drop("__all")
 
 
 def answerable_or_abstain(rows: DataFrame, answers: str = "answers") -> DataFrame:
@@ -112,21 +113,21 @@ def grounded_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def class_quotas(rows: DataFrame, n: int, fraction: float) -> DataFrame:
-    """(answerable, quota): unanswerable rows capped at a fraction of n, the rest answerable."""
-    counts = rows.groupBy("answerable").agg(F.count("*").alias("__n"))
+def class_quotas(counts: DataFrame, n: int, fraction: float) -> DataFrame:
+    """(answerable, n_rows) -> (answerable, quota): unanswerable rows are capped at a fraction of n,
+    answerable ones fill the rest."""
     both = Window.partitionBy(F.lit(0))  # two rows
-    unanswerable = F.least(
-        F.coalesce(F.sum(F.when(~F.col("answerable"), F.col("__n"))).over(both), F.lit(0)), F.lit(int(n * fraction))
-    )
-    quota = F.when(F.col("answerable"), F.least(F.col("__n"), F.lit(n) - unanswerable)).otherwise(unanswerable)
+    missing = F.sum(F.when(~F.col("answerable"), F.col("n_rows"))).over(both)
+    unanswerable = F.least(F.coalesce(missing, F.lit(0)), F.lit(int(n * fraction)))
+    answerable = F.least(F.col("n_rows"), F.lit(n) - unanswerable)
+    quota = F.when(F.col("answerable"), answerable).otherwise(unanswerable)
     return counts.select("answerable", quota.cast("bigint").alias("quota"))
 
 
 def stratified_cap(
     rows: DataFrame, n: int, key: list[str], fraction: float = UNANSWERABLE_FRACTION, seed: int = SEED
 ) -> DataFrame:
-    return first_by_hash(rows, seed, key, class_quotas(rows, n, fraction), ["answerable"])
+    return first_by_hash(rows, seed, key, lambda counts: class_quotas(counts, n, fraction), ["answerable"])
 
 
 def union_grounded(

@@ -11,11 +11,13 @@ on partitioning or on task retries.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardloom.session import materialize, sized_side
+
 # Bits of the order key below which rows (first) and block totals (then) share a window: at most
 # 1,024 rows, then 2**20 totals, then 2**20 more for keys below 2**50.
 DENSE_LEVELS = (10, 30)
@@ -130,32 +132,33 @@ def seeded_permutation(
 
 
 def first_by_hash(
-    rows: DataFrame, seed: int, key: Sequence[str], quota: DataFrame, keys: Sequence[str]
+    rows: DataFrame,
+    seed: int,
+    key: Sequence[str],
+    quota: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
 ) -> DataFrame:
-    """The first ``quota`` rows per class in seeded order; ``quota`` has columns ``keys`` + ``quota``.
+    """The first rows per class in seeded order, as many as ``quota`` grants.
 
-    ``keys`` name classes, a handful of values. Counts per hash block give the last block each
-    class needs; rows beyond it are dropped before any row is shuffled, so about ``quota`` rows
-    move, spread over their hash blocks.
+    ``keys`` name classes, a handful of values; ``quota`` turns (keys, n_rows) into (keys, quota).
+    Rows are counted per hash block once. Only blocks a class still needs (at most its quota of
+    them) are joined back, so about ``quota`` rows are shuffled, spread over their blocks.
     """
     keys = list(keys)
     hashed = rows.withColumn("__hash", order_hash(seed, *[F.col(k) for k in key])).withColumn(
         "__block", F.shiftright("__hash", HASH_LEVELS[0])
     )
+    counts = materialize(hashed.groupBy(*keys, "__block").agg(F.count("*").alias("n_rows")), "hash-blocks")
+    granted = quota(counts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))).select(*keys, "quota")
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        hashed.groupBy(*keys, "__block")
-        .agg(F.count("*").alias("__n"))
-        .select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        .join(F.broadcast(quota), keys)  # one row per class
+    needed = (
+        counts.select(*keys, "__block", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("__before"))
+        .join(F.broadcast(granted), keys)  # one row per class
         .where("__before < quota")
     )
-    last = blocks.groupBy(*keys).agg(F.max("__block").alias("__last"))  # one row per class
     within = Window.partitionBy(*keys, "__block").orderBy("__hash", *key)
     return (
-        hashed.join(F.broadcast(last), keys)
-        .where("__block <= __last")
-        .join(blocks, [*keys, "__block"])
+        hashed.join(sized_side(needed, "needed-blocks"), [*keys, "__block"])
         .withColumn("__rank", F.row_number().over(within))
         .where("__before + __rank <= quota")
         .select(*rows.columns)

@@ -53,14 +53,14 @@ def token_offsets(tokens: DataFrame, together_bits: int | None = None) -> DataFr
     """
     scan = {"levels": DENSE_LEVELS}
     if together_bits is not None:
-        scan = {"levels": (DENSE_LEVELS[0], max(together_bits, DENSE_LEVELS[0] + 1), 36), "together": 1}
+        scan = {"levels": (min(DENSE_LEVELS[0], together_bits - 1), together_bits, 36), "together": 1}
     scanned = prefix_scan(tokens, ["source"], "ord", {"start": ("sum", F.col("n_tok"))}, inclusive=False, **scan)
     return scanned.withColumn("start", F.col("start").cast("bigint"))
 
 
 def task_bits(n_docs: int, parallelism: int) -> int:
     """Documents per task as a power of two: a few tasks per core, at most 65,536 documents each."""
-    return max(DENSE_LEVELS[0] + 1, min(16, int(math.log2(max(n_docs / (2 * parallelism), 1)))))
+    return max(6, min(16, int(math.log2(max(n_docs / (2 * parallelism), 1)))))
 
 
 def budget_limit(total: int, shard_size: int) -> int:

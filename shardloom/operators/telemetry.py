@@ -150,9 +150,15 @@ def idle_runs(samples: DataFrame, n: int = IDLE_SAMPLES) -> DataFrame:
     return consecutive(samples, ~F.col("active"), "in_row").where(F.col("in_row") == n)
 
 
+def _recent(samples: DataFrame, last: int) -> DataFrame:
+    """The newest samples; a missing reading counts as 0, as an idle device would."""
+    recent = newest(samples, ["run"], "step", last)
+    return recent.fillna(0.0, ["util", "power"])
+
+
 def device_summary(samples: DataFrame, last: int = RECENT_SAMPLES, dip: float = DIP_UTIL) -> DataFrame:
     return (
-        newest(samples, ["run"], "step", last)
+        _recent(samples, last)
         .groupBy("run")
         .agg(
             F.avg("util").alias("util_avg"),
@@ -167,7 +173,7 @@ def device_summary(samples: DataFrame, last: int = RECENT_SAMPLES, dip: float =
 
 def device_dips(samples: DataFrame, last: int = RECENT_SAMPLES, dip: float = DIP_UTIL, show: int = 8) -> DataFrame:
     """The last few samples under the dip threshold among the recent ones."""
-    recent = newest(samples, ["run"], "step", last)
+    recent = _recent(samples, last)
     return newest(recent.where(F.col("util") < dip), ["run"], "step", show)
 
 

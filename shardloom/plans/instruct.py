@@ -25,8 +25,12 @@ WANTED = 200  # rows asked of the sampling operators
 KEY = ["origin", "doc_id"]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.spread_few_files(fx.table(spark, sf_dir, "documents"), "doc_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return docs.join(fx.table(spark, sf_dir, "labels"), "doc_id")
 
 
@@ -43,7 +47,7 @@ def explanatory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def terse_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return fx.table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.get(lines, F.lit(0)).alias("question"),
         F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda t: t != "").alias("answers"),

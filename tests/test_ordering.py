@@ -77,7 +77,7 @@ def test_seeded_permutation_is_a_permutation_of_md5_order(spark):
 def test_first_by_hash(spark, quota):
     df = spark.range(400).select((F.col("id") % 2 == 0).alias("c"), F.col("id").alias("k"))
     quotas = spark.createDataFrame([(True, quota), (False, 3)], "c boolean, quota bigint")
-    found = o.first_by_hash(df, 1, ["k"], quotas, ["c"]).collect()
+    found = o.first_by_hash(df, 1, ["k"], lambda counts: counts.join(quotas, "c"), ["c"]).collect()
     for c, n in ((True, quota), (False, 3)):
         members = sorted((k for k in range(400) if (k % 2 == 0) == c), key=lambda k: (md5_order(1, k), k))
         assert sorted(r.k for r in found if r.c == c) == sorted(members[:n])

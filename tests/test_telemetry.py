@@ -67,6 +67,15 @@ def test_checkpoint_listing_reads_no_content(spark):
     assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_missing_readings_count_as_idle(spark):
+    rows = [("d", 0, 90.0, 10.0), ("d", 1, None, None), ("d", 2, 70.0, 20.0)]
+    df = spark.createDataFrame(rows, "run string, step bigint, util double, power double")
+    r = tele.device_summary(df).first()
+    assert (r.util_avg, r.util_min, r.n_low, r.power_avg, r.n_samples) == (160 / 3, 0.0, 2, 10.0, 3)
+    assert sorted(r.step for r in tele.device_dips(df).collect()) == [1, 2]
+    assert tele.device_summary(df, last=1).first().util_avg == 70.0
+
+
 def runs(spark, lengths, seed=0, block=None):
     rng = random.Random(seed)
     rows = [(run, step, rng.uniform(0.1, 9.0)) for run, n in lengths.items() for step in range(n)]

@@ -10,6 +10,11 @@ from shardloom.constants import EOT, MAX_ID, PAD
 EMPTY = "array<int>"
 
 
+def whole_div(a: Column, b: Column | int) -> Column:
+    """Exact bigint division (``floor(a / b)`` would go through doubles); truncates toward 0."""
+    return F.call_function("div", a.cast("bigint"), (F.lit(b) if isinstance(b, int) else b).cast("bigint"))
+
+
 def char_ids(text: Column) -> Column:
     """The native vocabulary: one id per character, its code point."""
     chars = F.transform(F.split(text, ""), lambda c: F.ascii(c))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.constants import PAD
-from shardloom.functions.arrays import inputs_of, labels_of, pad_to, total
+from shardloom.functions.arrays import inputs_of, labels_of, pad_to, total, whole_div
 from shardloom.functions.pieces import (
     char_example,
     encode_examples,
@@ -123,14 +123,12 @@ def tuning_batches(examples: DataFrame, B: int, order: str = "conv_id") -> DataF
     pass a materialised table.
     """
     indexed = dense_index(examples, [], order, "__idx")
-    size = F.lit(B).cast("bigint")
     placed = indexed.select(
-        F.floor(F.col("__idx") / size).alias("batch"), (F.col("__idx") % size).cast("int").alias("row"), *examples.columns
+        whole_div(F.col("__idx"), B).alias("batch"), (F.col("__idx") % B).cast("int").alias("row"), *examples.columns
     )
     in_batch = Window.partitionBy("batch")
     return (
-        placed.withColumn("__n", F.count("*").over(in_batch))
-        .withColumn("L", F.max(F.size("ids")).over(in_batch))
+        placed.select("*", F.count("*").over(in_batch).alias("__n"), F.max(F.size("ids")).over(in_batch).alias("L"))
         .where(F.col("__n") == B)
         .drop("__n")
     )

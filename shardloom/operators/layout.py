@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of
-from shardloom.session import ship_package, sized_side
+from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of, whole_div
+from shardloom.session import materialize, ship_package, sized_side
 
 
 def shard_lengths(segments: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def assemble_sequences(segments: DataFrame, T: int) -> DataFrame:
     """
     start = F.col("seg_start")
     end = start + F.size("tokens")
-    first = F.greatest(F.floor((start - 1) / F.lit(T)), F.lit(0).cast("bigint"))
-    last = F.floor((end - 1) / F.lit(T))
+    first = whole_div(F.greatest(start - 1, F.lit(0)), T)
+    last = whole_div(end - 1, T)
 
     def part(seq):
         low = F.greatest(start, seq * T)
@@ -56,13 +56,13 @@ def deal_batches(segments: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
     step = B * T
     lengths = sized_side(shard_lengths(segments), "shard-lengths")
     seqs = assemble_sequences(segments, T).where(F.size("tokens") == T + 1)
-    slot = F.floor(F.col("seq") / F.lit(B))
+    slot = whole_div(F.col("seq"), B)
     dealt = seqs.select(
         "source",
         "split",
         "shard_id",
         (slot % ranks).cast("int").alias("rank"),
-        F.floor(slot / F.lit(ranks)).alias("shard_k"),
+        whole_div(slot, ranks).alias("shard_k"),
         (F.col("seq") % B).cast("int").alias("b"),
         "tokens",
     ).join(lengths, ["source", "split", "shard_id"])
@@ -118,8 +118,9 @@ def mix_schedule(mixes: DataFrame) -> DataFrame:
     """Weighted round-robin: (mix, weights array<double>, n_picks) -> (mix, pick, source_no, ordinal).
 
     Each pick depends on the rounding of all picks before it, so one schedule is a sequential
-    walk over a few doubles; schedules run in parallel and rows leave in bounded batches. Data
-    rows are attached afterwards by a join on (source, ordinal).
+    walk over a few doubles; schedules run in parallel and rows leave in bounded batches. The
+    result is written, so that the join to the batches (on source and ordinal) is planned with its
+    real size.
     """
     ship_package(mixes.sparkSession)
     chunk = 100_000
@@ -143,8 +144,9 @@ def mix_schedule(mixes: DataFrame) -> DataFrame:
                         used[best] += 1
                     yield pd.DataFrame(rows, columns=["mix", "pick", "source_no", "ordinal"])
 
-    return mixes.select("mix", "weights", F.col("n_picks").cast("bigint").alias("n_picks")).mapInPandas(
-        walk, "mix string, pick bigint, source_no int, ordinal bigint"
+    specs = mixes.select("mix", "weights", F.col("n_picks").cast("bigint").alias("n_picks"))
+    return materialize(
+        specs.mapInPandas(walk, "mix string, pick bigint, source_no int, ordinal bigint"), "mix-schedule"
     )
 
 

@@ -16,11 +16,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardloom.functions.arrays import whole_div
 from shardloom.session import materialize, sized_side
 
 # Bits of the order key below which rows (first) and block totals (then) share a window: at most
 # 1,024 rows, then 2**20 totals, then 2**20 more for keys below 2**50.
 DENSE_LEVELS = (10, 30)
+# For an order key shared by many groups, whose rows lie thin in it: longer blocks keep the totals
+# few, and a block of the busiest group still has at most 2**20 rows.
+SHARED_LEVELS = (20, 40)
 # For keys spread evenly over 60 bits (hashes): 2**20 blocks of equal expected size.
 HASH_LEVELS = (40,)
 
@@ -173,9 +177,8 @@ def with_halo(rows: DataFrame, index: str, reach: int, block_rows: int) -> DataF
     """
     if reach >= block_rows:
         raise ValueError("the frame must be shorter than a block")
-    size = F.lit(block_rows).cast("bigint")
-    home = F.floor(F.col(index) / size).cast("bigint")
-    tail = F.col(index) % size >= F.lit(block_rows - reach)
+    home = whole_div(F.col(index), block_rows)
+    tail = F.col(index) % block_rows >= F.lit(block_rows - reach)
     targets = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
     return rows.withColumn("__window_block", F.explode(targets)).withColumn(
         "__home", F.col("__window_block") == home

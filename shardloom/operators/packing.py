@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, MAX_ID, SHARD_SIZE
-from shardloom.functions.arrays import char_ids, ids_in_range
+from shardloom.functions.arrays import char_ids, ids_in_range, whole_div
 from shardloom.functions.text import is_filled
 from shardloom.functions.vocab import DEFAULT_VOCAB, encode_column
 from shardloom.operators.ordering import DENSE_LEVELS, prefix_scan
@@ -91,7 +91,7 @@ def pack_shards(
     if total is not None:
         placed = token_budget(placed, total, shard_size)
         end = F.least(end, F.lit(budget_limit(total, shard_size)).cast("bigint"))
-    first, last = F.floor(start / size), F.floor((end - 1) / size)
+    first, last = whole_div(start, size), whole_div(end - 1, size)
 
     def piece(shard: Column) -> Column:
         low = F.greatest(start, shard * size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, TEXT_VOCAB_SIZE
+from shardloom.functions.arrays import whole_div
 
 SHARD = ["source", "split", "shard_id"]
 
@@ -116,7 +117,7 @@ def check_layout(params: DataFrame) -> DataFrame:
     """(total_batch, B, T, ranks) rows: the total must divide; adds the accumulation count."""
     per_step = F.col("B") * F.col("T") * F.col("ranks")
     return params.withColumn("divides", F.col("total_batch") % per_step == 0).withColumn(
-        "accumulation", F.when(F.col("divides"), F.floor(F.col("total_batch") / per_step))
+        "accumulation", F.when(F.col("divides"), whole_div(F.col("total_batch"), per_step))
     )
 
 

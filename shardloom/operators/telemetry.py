@@ -20,15 +20,16 @@ from shardloom.constants import (
     STALL_SAMPLES,
     VALIDATION_BATCHES,
 )
+from shardloom.functions.arrays import whole_div
 from shardloom.functions.schedules import phase, validates
 from shardloom.functions.text import hours_minutes
-from shardloom.operators.ordering import dense_index, newest, prefix_scan, with_halo
+from shardloom.operators.ordering import SHARED_LEVELS, dense_index, newest, prefix_scan, with_halo
 
 BLOCK_ROWS = 1024
 
 
 def with_steps(rows: DataFrame, run: str = "run", order: str = "order") -> DataFrame:
-    return dense_index(rows, [run], order, "step")
+    return dense_index(rows, [run], order, "step", levels=SHARED_LEVELS)
 
 
 def run_lengths(rows: DataFrame) -> DataFrame:
@@ -62,13 +63,12 @@ def ema_step_time(rows: DataFrame, value: str = "dt", block_rows: int = BLOCK_RO
     a block's start comes from the one block before it. Step 0 has a null ``ema``.
     """
     place = F.col("step") - 1
-    size = F.lit(block_rows).cast("bigint")
-    inside = (place % size).cast("double")
+    inside = (place % block_rows).cast("double")
     weight = F.when(F.col("step") == 1, F.lit(1.0)).otherwise(F.lit(1.0 - EMA_KEEP))
     timed = rows.where("step >= 1").select(
         "run",
         "step",
-        F.floor(place / size).alias("__block"),
+        whole_div(place, block_rows).alias("__block"),
         inside.alias("__p"),
         (weight * F.col(value) * F.pow(F.lit(EMA_KEEP), -inside)).alias("__w"),
     )

@@ -147,8 +147,9 @@ def mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheduled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rank follows the same schedule over its own batches; a finite source wraps."""
     train = ops.number_batches(dealt(spark, sf_dir).where("split = 'train'"))
+    # One row per source and rank.
     have = train.groupBy("source", "rank").agg((F.max("k") + 1).alias("n_all"))
-    wanted = schedule(spark, sf_dir).join(have, "source").withColumn("ordinal", F.col("ordinal") % F.col("n_all"))
+    wanted = schedule(spark, sf_dir).join(F.broadcast(have), "source").withColumn("ordinal", F.col("ordinal") % F.col("n_all"))
     batches = ops.shift_labels(train).withColumnRenamed("k", "ordinal")
     joined = ops.scheduled_batches(wanted, batches, ["rank"])
     return joined.select("pick", "source", *as_long("rank", "b"), "shard_id", digest(F.col("x")).alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions import schedules as lr
+from shardloom.functions.arrays import whole_div
 from shardloom.functions.text import fixed1, hours_minutes
 from shardloom.operators import telemetry as ops
 from shardloom.operators.ordering import newest
@@ -167,7 +168,7 @@ samples AS (SELECT run, ord, step, event_type <> 'error' AS active, floor(least(
 def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with units, one per minute, as the collector prints them."""
     minute = F.col("order")
-    clock = F.format_string("%02d:%02d:00", F.floor(minute / F.lit(60)) % 24, minute % 60)
+    clock = F.format_string("%02d:%02d:00", whole_div(minute, 60) % 24, minute % 60)
     util = F.floor(F.least(F.col("value"), F.lit(100.0)))
     return user_runs(spark, sf_dir).select(
         "run",

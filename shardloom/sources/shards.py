@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.arrays import whole_div
+
 SCHEMA = "seg_start bigint, ord bigint, n_tok int, tokens array<int>, source string, split string, shard_id bigint"
 
 
@@ -17,7 +19,7 @@ def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread:
     input task. Only written partitions are replaced, so running a stage again is idempotent.
     """
     if not in_order:
-        slot = F.pmod(F.floor(F.col("seg_start") / F.lit(1 << 20)), F.lit(spread))
+        slot = F.pmod(whole_div(F.col("seg_start"), 1 << 20), F.lit(spread))
         segments = segments.repartition("source", "split", "shard_id", slot)
     (
         segments.sortWithinPartitions("source", "split", "shard_id", "seg_start")

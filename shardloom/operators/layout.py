@@ -114,39 +114,78 @@ def attention_runs(sequences: DataFrame, ids: str = "x") -> DataFrame:
     return runs.withColumn("n_pairs", (n * (n + 1) / 2).cast("bigint"))
 
 
+def _picks(weights: Sequence[float], credit: list[float], used: list[int], n: int) -> Iterator[tuple[int, int]]:
+    """n picks of (source, ordinal): everyone earns its weight, the richest (first on ties) pays 1.
+
+    ``credit`` and ``used`` are advanced in place; their doubles are the whole state.
+    """
+    for _ in range(n):
+        best = 0
+        for i, w in enumerate(weights):
+            credit[i] += w
+            if credit[i] > credit[best]:
+                best = i
+        credit[best] -= 1.0
+        yield best, used[best]
+        used[best] += 1
+
+
+def _mix_states(mixes: DataFrame) -> DataFrame:
+    """(mix, weights, n_picks, pick, credit, used); without a saved state a schedule starts at 0."""
+    zero = F.transform("weights", lambda w: F.lit(0.0))
+    saved = set(mixes.columns)
+    return mixes.select(
+        "mix",
+        "weights",
+        F.col("n_picks").cast("bigint").alias("n_picks"),
+        (F.col("pick") if "pick" in saved else F.lit(0)).cast("bigint").alias("pick"),
+        (F.col("credit") if "credit" in saved else zero).alias("credit"),
+        (F.col("used") if "used" in saved else zero).cast("array<bigint>").alias("used"),
+    )
+
+
 def mix_schedule(mixes: DataFrame) -> DataFrame:
     """Weighted round-robin: (mix, weights array<double>, n_picks) -> (mix, pick, source_no, ordinal).
 
     Each pick depends on the rounding of all picks before it, so one schedule is a sequential
-    walk over a few doubles; schedules run in parallel and rows leave in bounded batches. The
-    result is written, so that the join to the batches (on source and ordinal) is planned with its
-    real size.
+    walk over a few doubles; schedules run in parallel and rows leave in bounded batches. A saved
+    state (``mix_cursor``) continues where it stopped. The result is written, so that the join to
+    the batches (on source and ordinal) is planned with its real size.
     """
     ship_package(mixes.sparkSession)
     chunk = 100_000
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for mix, weights, n in zip(batch["mix"], batch["weights"], batch["n_picks"]):
-                w = [float(v) for v in weights]
-                credit = [0.0] * len(w)
-                used = [0] * len(w)
-                for low in range(0, int(n), chunk):
-                    rows = []
-                    for pick in range(low, min(low + chunk, int(n))):
-                        best = 0
-                        for i, v in enumerate(w):
-                            credit[i] += v
-                            if credit[i] > credit[best]:
-                                best = i
-                        credit[best] -= 1.0
-                        rows.append((mix, pick, best, used[best]))
-                        used[best] += 1
-                    yield pd.DataFrame(rows, columns=["mix", "pick", "source_no", "ordinal"])
-
-    specs = mixes.select("mix", "weights", F.col("n_picks").cast("bigint").alias("n_picks"))
-    return materialize(
-        specs.mapInPandas(walk, "mix string, pick bigint, source_no int, ordinal bigint"), "mix-schedule"
+            for row in batch.itertuples(index=False):
+                credit, used = list(row.credit), list(row.used)
+                for low in range(0, row.n_picks, chunk):
+                    picks = list(_picks(row.weights, credit, used, min(chunk, row.n_picks - low)))
+                    out = pd.DataFrame(picks, columns=["source_no", "ordinal"])
+                    out.insert(0, "pick", range(row.pick + low, row.pick + low + len(out)))
+                    out.insert(0, "mix", row.mix)
+                    yield out
+
+    rows = _mix_states(mixes).mapInPandas(walk, "mix string, pick bigint, source_no int, ordinal bigint")
+    return materialize(rows, "mix-schedule")
+
+
+def mix_cursor(mixes: DataFrame) -> DataFrame:
+    """The state after ``n_picks``: (mix, weights, pick, credit, used), one row per schedule."""
+    ship_package(mixes.sparkSession)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                credit, used = list(row.credit), list(row.used)
+                for _ in _picks(row.weights, credit, used, row.n_picks):
+                    pass
+                rows.append((row.mix, row.weights, row.pick + row.n_picks, credit, used))
+            yield pd.DataFrame(rows, columns=["mix", "weights", "pick", "credit", "used"])
+
+    return _mix_states(mixes).mapInPandas(
+        walk, "mix string, weights array<double>, pick bigint, credit array<double>, used array<bigint>"
     )
 
 

@@ -19,6 +19,12 @@ from shardloom.session import ship_package
 OPEN_CALL, CLOSE_CALL = "<tool_call>", "</tool_call>"
 OPEN_RESULT, CLOSE_RESULT = "<tool_result>", "</tool_result>"
 NOT_ARITHMETIC = "not a plain arithmetic expression"
+# The wording and ranges of synthetic examples.
+QUESTION = "What is %s?"
+REASONING = "I'll compute %s."
+ANSWER = "The answer is %s."
+OPERATORS = ["+", "-", "*"]
+A_RANGE, B_RANGE = (2, 999), (2, 99)
 
 # Guard against answers that would exhaust an executor; ordinary bigints are far below it.
 MAX_POWER_BITS = 10_000_000
@@ -200,8 +206,12 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
 def synth_tool_examples(keys: DataFrame, key: Column, seed: int = SEED) -> DataFrame:
     """One arithmetic example per key: a in 2..999, b in 2..99, one of + - *, drawn from md5."""
     draw = lambda name: order_hash(seed, F.lit(name), key)
-    drawn = keys.withColumn("a", F.lit(2) + draw("a") % 998).withColumn("b", F.lit(2) + draw("b") % 98).withColumn(
-        "op", F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("*")), (draw("op") % 3 + 1).cast("int"))
+    between = lambda name, low, high: F.lit(low) + draw(name) % (high - low + 1)
+    symbols = F.array(*[F.lit(o) for o in OPERATORS])
+    drawn = (
+        keys.withColumn("a", between("a", *A_RANGE))
+        .withColumn("b", between("b", *B_RANGE))
+        .withColumn("op", F.get(symbols, (draw("op") % len(OPERATORS)).cast("int")))
     )
     a, b, op = F.col("a").cast("string"), F.col("b").cast("string"), F.col("op")
     value = F.when(op == "+", F.col("a") + F.col("b")).when(op == "-", F.col("a") - F.col("b")).otherwise(
@@ -210,11 +220,11 @@ def synth_tool_examples(keys: DataFrame, key: Column, seed: int = SEED) -> DataF
     spaced = F.concat(a, F.lit(" "), op, F.lit(" "), b)
     return drawn.select(
         *keys.columns,
-        F.concat(F.lit("What is "), spaced, F.lit("?")).alias("question"),
-        F.concat(F.lit("I'll compute "), spaced, F.lit(".")).alias("reasoning"),
+        F.format_string(QUESTION, spaced).alias("question"),
+        F.format_string(REASONING, spaced).alias("reasoning"),
         F.concat(a, op, b).alias("expr"),
         value.cast("string").alias("result"),
-        F.concat(F.lit("The answer is "), value.cast("string"), F.lit(".")).alias("answer"),
+        F.format_string(ANSWER, value.cast("string")).alias("answer"),
     )
 
 

@@ -13,7 +13,6 @@ from shardloom.operators import packing, quality
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
 from shardloom.session import new_scratch_path
-from shardloom.sources import corpus as corpus_source
 from shardloom.sources.shards import list_shards, scan_shards, write_shards
 
 CAP = 250_000  # not a multiple of the shard size: the cap rounds up to whole shards

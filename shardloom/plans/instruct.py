@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from shardloom.constants import ABSTAIN_TEXT, GROUNDED_SYSTEM, QA_SYSTEM, SEED, WHITESPACE
 from shardloom.functions.arrays import total
-from shardloom.functions.text import strip
 from shardloom.operators import chat as chat_ops
 from shardloom.operators import evals
 from shardloom.operators import instruct as ops
 from shardloom.operators.ordering import seeded_permutation
 from shardloom.plans import fixtures as fx
-from shardloom.plans.chat import chars, repeated
 from shardloom.plans.registry import query
 from shardloom.sources.chat import chat_json
 

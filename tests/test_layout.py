@@ -91,6 +91,14 @@ def test_mix_schedule(spark):
         assert sorted(found.get(name, [])) == greedy(w, n)
 
 
+def test_a_saved_schedule_continues(spark):
+    whole = greedy([0.82, 0.18], 1500)
+    start = spark.createDataFrame([("m", [0.82, 0.18], 700)], "mix string, weights array<double>, n_picks bigint")
+    cursor = lay.mix_cursor(start).withColumn("n_picks", F.lit(800))
+    rest = sorted((r.pick, r.source_no, r.ordinal) for r in lay.mix_schedule(cursor).collect())
+    assert rest == whole[700:]
+
+
 def test_document_runs(spark):
     rows = [(0, [EOT, 1, 2, EOT, EOT, 3]), (1, [5, 6, EOT]), (2, [7, 8]), (3, [EOT])]
     df = spark.createDataFrame(rows, "seq int, x array<int>")

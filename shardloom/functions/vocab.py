@@ -54,11 +54,13 @@ def encode_column(
     vocab: str = DEFAULT_VOCAB,
     specials: bool = False,
     prefix: Sequence[int] = (),
+    limit: int | None = None,
 ) -> DataFrame:
     """Replace a text column by its token ids.
 
     Select only the needed columns first: everything in ``df`` crosses to Python. With
-    ``specials`` the reserved strings map to their single ids, else they are ordinary text.
+    ``specials`` the reserved strings map to their single ids, else they are ordinary text. An id
+    above ``limit`` fails the job.
     """
     ship_package(df.sparkSession)
     column = df.columns.index(text)
@@ -72,6 +74,8 @@ def encode_column(
             parts = []
             for value in batch.column(column).to_pylist():
                 ids = enc.encode_to_numpy(value, allowed_special=allowed, disallowed_special=()) if value else empty
+                if limit is not None and len(ids) and ids.max() > limit:
+                    raise ValueError(f"token id outside 0..{limit}")
                 parts.append(np.concatenate((head, ids)) if len(head) else ids)
             columns = list(batch.columns)
             columns[column] = _ids_array(parts)

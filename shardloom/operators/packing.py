@@ -29,7 +29,7 @@ def tokenize_corpus(docs: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     if vocab == "char":
         tokens = kept.select("source", "ord", F.concat(F.array(F.lit(EOT)), char_ids(F.col("text"))).alias("tokens"))
     else:
-        tokens = encode_column(kept, vocab=vocab, prefix=[EOT])
+        tokens = encode_column(kept, vocab=vocab, prefix=[EOT], limit=MAX_ID)
     return tokens.select("source", "ord", F.size("tokens").alias("n_tok"), "tokens")
 
 

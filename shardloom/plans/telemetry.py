@@ -17,7 +17,7 @@ from shardloom.sources import logs
 
 TOKENS_PER_STEP = 524_288
 CKPT_EVERY = 10
-ARTIFACT_EVERY = 50  # one file each
+ARTIFACT_EVERY = 250  # one file each
 STALL = 4
 IDLE = 3
 MILESTONES = {20: "end_of_warmup", 40: "end_of_stable", 60: "end_of_decay"}
@@ -242,10 +242,13 @@ ckpts AS (SELECT run, step FROM runs WHERE step > 0 AND (step % {CKPT_EVERY} = 0
 )
 
 
-def checkpoints(spark: SparkSession, sf_dir: str, every: int = CKPT_EVERY) -> DataFrame:
-    rows = ops.with_lengths(user_runs(spark, sf_dir))
-    made = rows.where(lr.checkpoints(F.col("step"), F.col("n_steps"), every))
-    return made.select("run", "step")
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made_checkpoints(user_runs(spark, sf_dir), CKPT_EVERY)
+
+
+def made_checkpoints(steps: DataFrame, every: int) -> DataFrame:
+    rows = ops.with_lengths(steps)
+    return rows.where(lr.checkpoints(F.col("step"), F.col("n_steps"), every)).select("run", "step")
 
 
 @query(
@@ -267,20 +270,20 @@ def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A10, M14",
-    f"""WITH {USERS_SQL} SELECT run, step, length(run::VARCHAR || ':' || step) + 1 AS size FROM runs
+    f"""WITH {TYPES_SQL} SELECT run, step, length(run || ':' || step) + 1 AS size FROM runs
         WHERE step > 0 AND (step % {ARTIFACT_EVERY} = 0 OR step = n - 1)""",
 )
 def list_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts are written as files named by step, then listed without reading them."""
     path = new_scratch_path(spark, "checkpoints")
-    named = checkpoints(spark, sf_dir, ARTIFACT_EVERY).select(
+    named = made_checkpoints(type_runs(spark, sf_dir), ARTIFACT_EVERY).select(
         "run",
         F.format_string("ckpt_%06d", "step").alias("artifact"),
         F.concat_ws(":", "run", "step").alias("value"),
     )
     # A path holds a few artifacts per run; rows of a run go to one task to get one file each.
     named.repartition("run").write.partitionBy("run", "artifact").text(path)
-    run = F.regexp_extract("path", r"run=(\d+)", 1).cast("bigint")
+    run = F.regexp_extract("path", r"run=(\w+)", 1)
     return logs.list_checkpoints(spark, path, "*.txt").select(run.alias("run"), "step", "size")
 
 

@@ -10,9 +10,14 @@ MAX_TURNS = 100_000
 MAX_CHARS = 1 << 28
 
 
-def scan_chat(spark: SparkSession, path: str, messages_col: str = "messages", fmt: str = "json") -> DataFrame:
-    """(messages) from .json/.jsonl or Parquet with an explicit schema; other columns are not read."""
-    return spark.read.format(fmt).schema(f"`{messages_col}` {MESSAGES}").load(path).select(
+def scan_chat(
+    spark: SparkSession, path: str, messages_col: str = "messages", fmt: str = "json", multi_line: bool = False
+) -> DataFrame:
+    """(messages) from JSON or Parquet with an explicit schema; other columns are not read.
+
+    ``multi_line`` reads a file that holds one JSON array; one object per line is splittable.
+    """
+    return spark.read.format(fmt).option("multiLine", multi_line).schema(f"`{messages_col}` {MESSAGES}").load(path).select(
         F.col(messages_col).alias("messages")
     )
 

@@ -54,6 +54,12 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_metric_lines(lines)
 
 
+def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """(run, value): the lines of arriving log files, the file being the run."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select(F.input_file_name().alias("run"), "value")
+
+
 def nonfinite_metrics(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines holding a stand-alone nan or inf."""
     return lines.where(F.col(line).rlike(NONFINITE))

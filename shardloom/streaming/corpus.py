@@ -31,6 +31,7 @@ def pack_stream(
     path: str,
     state: str,
     shard_size: int = SHARD_SIZE,
+    total: int | None = None,
     val_shards: int = 1,
     vocab: str = DEFAULT_VOCAB,
     available_now: bool = True,
@@ -59,7 +60,7 @@ def pack_stream(
         # One row per source: a handful of named corpora.
         placed = token_offsets(tokens).join(F.broadcast(base.withColumnRenamed("n_tok", "base")), "source", "left")
         shifted = placed.withColumn("start", F.col("start") + F.coalesce("base", F.lit(0))).drop("base")
-        pack_shards(shifted, shard_size, None, val_shards).write.mode("overwrite").parquet(
+        pack_shards(shifted, shard_size, total, val_shards).write.mode("overwrite").parquet(
             f"{path}/segments/batch={batch_id}"
         )
 

@@ -105,6 +105,12 @@ def test_rendering_and_jsonl(spark, turns):
     assert any('"Ciao é"' in r.value for r in spark.read.text(path).collect())
 
 
+def test_chat_from_one_json_array(spark, tmp_path):
+    (tmp_path / "chat.json").write_text('[{"messages":[{"role":"user","content":"a"}],"x":1},{"messages":[]}]')
+    rows = src.scan_chat(spark, str(tmp_path / "chat.json"), multi_line=True).collect()
+    assert sorted(len(r.messages) for r in rows) == [0, 1]
+
+
 def test_learnable_filter(turns):
     kept = c.has_learnable(c.encode_turns(turns))
     assert {(r.conv_id, r.role) for r in kept.collect()} == {(1, "assistant"), (3, "assistant"), (4, "assistant"), (5, "assistant")}

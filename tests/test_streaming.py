@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shardloom.operators import packing as p
 from shardloom.session import new_scratch_path
 from shardloom.sources.corpus import scan_corpus_stream
+from shardloom.sources.logs import stream_log_lines
 from shardloom.streaming import corpus as sc
 from shardloom.streaming import watch
 
@@ -52,6 +53,25 @@ def test_stall_counts_survive_triggers_and_restarts(spark):
     assert sorted(found) == [(2, "stall"), (5, "idle")]
 
 
+def test_log_files_arrive_as_text(spark):
+    path, out = new_scratch_path(spark, "test-logs"), new_scratch_path(spark, "test-log-alerts")
+    for value in ("1 train 5.0 norm 1.0", "2 train inf norm 1.0"):
+        spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("append").text(path)
+    lines = stream_log_lines(spark, path, files_per_trigger=1)
+    watch.append_rows(watch.nonfinite_alerts(lines), out, new_scratch_path(spark, "s")).awaitTermination()
+    assert [r.value[0] for r in spark.read.parquet(out).collect()] == ["2"]
+
+
+def test_packing_respects_the_cap(spark):
+    path, out, state = (new_scratch_path(spark, f"test-cap-{n}") for n in ("in", "out", "state"))
+    rows = [("a", i, "x" * 24) for i in range(20)]
+    for part in (rows[:7], rows[7:]):
+        add(spark, path, part, DOCS)
+    stream = scan_corpus_stream(spark, path, DOCS, order_col="ord", files_per_trigger=1)
+    sc.pack_stream(stream, out, state, 100, total=150, vocab="char").awaitTermination()
+    assert sc.read_packed(spark, out).agg(F.sum("n_tok")).first()[0] == 200
+
+
 def test_progress_and_bad_values(spark):
     path = new_scratch_path(spark, "test-lines")
     schema = "run bigint, value string"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import mixing, sharding, toxicity
+from shardloom.llm import decontaminate, mixing, sharding, toxicity
 from shardloom.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,40 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), (5, 2, 1), 150).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a benchmark window of 13, and the items they come from."""
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(5).alias("contaminated"),
+    )
+
+
+SQL["op7_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws, row_number() OVER () AS k FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[p:p + least(13, len(ws)) - 1], ' ') AS g
+       FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS p FROM b WHERE len(ws) > 0)),
+dw AS (SELECT k, n, p, array_to_string(ws[p:p + n - 1], ' ') AS g
+       FROM (SELECT k, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p
+             FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+hit AS (SELECT k, item_id, dw.n, p FROM dw JOIN bw USING (n, g)),
+words AS (SELECT k, count(DISTINCT spot) AS n_hit FROM (SELECT k, unnest(generate_series(p, p + n - 1)) AS spot FROM hit)
+          GROUP BY k),
+items AS (SELECT k, list_sort(list(DISTINCT coalesce(item_id::VARCHAR, ''))) AS ids FROM hit GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from shardloom.llm import decontaminate, grammar, mixing, sharding, simhash, toxicity
 from shardloom.llm.common import documents, table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -97,3 +100,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; four differing bits link."""
     found = simhash.near_duplicates(documents(spark, sf_dir), 4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the compressed files."""
+    return grammar.encoded_documents(documents(spark, sf_dir), TOKENIZER)

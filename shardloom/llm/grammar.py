@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by id, encoded, and cut into shards of about
 ``SHARD_IDS`` ids at document borders. Each shard is Re-Pair compressed on its own: rounds count
-all adjacent pairs, give the most frequent ones a nonterminal each and replace them from left to
+adjacent pairs, give the most frequent ones a nonterminal each and replace them from left to
 right, until a pair is too rare or 16-bit symbols run out. Pairs never reach across documents.
 
 A shard is one row of a Parquet folder (written by Spark, so it commits as a whole and lands in any
@@ -33,6 +33,7 @@ RULES_A_ROUND = 4096
 LEAST_COUNT = 8
 BUCKETS = 20
 CACHED_PIECES = 700_000
+TOGETHER = 64  # new pieces encoded in one string
 END = 0
 # A space after any white space: there, pieces cut at spaces are not always encoded apart.
 UNSAFE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
@@ -66,8 +67,8 @@ class Encoder:
 
     The vocabulary's pre-tokenizer always cuts where a space follows something that isn't white
     space, so a text's ids are those of its space-led pieces, one after the other. A piece is encoded
-    once per worker; new pieces of a batch are encoded in one string and told apart by the tokens
-    that hold a space. Texts with a space after white space are encoded as they are.
+    once per worker; new pieces are encoded many to a string and told apart by the tokens that hold a
+    space. Texts with a space after white space are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -106,7 +107,9 @@ class Encoder:
         return first
 
     def learn(self, pieces: list[str]) -> None:
-        ids = np.array(self.ids(" " + " ".join(pieces)), dtype=np.int32)
+        strings = [" " + " ".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in found])
         begins = np.flatnonzero(self.leads[ids])
         if len(begins) != len(pieces):
             raise ValueError("the vocabulary joins pieces across spaces")
@@ -128,7 +131,7 @@ class Encoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         pieces = split.flatten().dictionary_encode()
-        values = pieces.dictionary.to_pylist()
+        values = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = offsets[:-1]
         place = pieces.indices.to_numpy()
         first_values = [values[i] for i in place[heads]]
@@ -173,22 +176,22 @@ def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         pair = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         inside = np.flatnonzero(~last[:-1])
         pair = pair[inside]
-        bucket = (pair * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS)
+        # One pair per bucket is counted; where pairs share a bucket it is most likely the frequent one.
+        bucket = ((pair * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
+        chosen = np.zeros(1 << BUCKETS, dtype=np.uint32)
+        chosen[bucket] = pair
+        own = np.flatnonzero(chosen[bucket] == pair)
+        bucket = bucket[own]
         counts = np.bincount(bucket, minlength=1 << BUCKETS)
-        # Only buckets as full as the room-th fullest can hold one of the most frequent pairs.
-        least = max(LEAST_COUNT, int(np.partition(counts, len(counts) - room)[len(counts) - room]))
-        may = counts[bucket] >= least
-        at, pair = inside[may], pair[may]
-        distinct, where, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        frequent = np.flatnonzero(counts >= least)
+        frequent = np.argpartition(counts, len(counts) - room)[len(counts) - room :]
+        frequent = np.sort(frequent[counts[frequent] >= LEAST_COUNT])
         if not len(frequent):
             break
-        if len(frequent) > room:
-            frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:room]])
-        number = np.full(len(distinct), -1, dtype=np.int64)
+        number = np.zeros(1 << BUCKETS, dtype=np.uint32)
         number[frequent] = following + np.arange(len(frequent))
-        symbol = number[where]
-        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
+        symbol = number[bucket]
+        hit = np.flatnonzero(symbol)
+        at, symbol = inside[own[hit]], symbol[hit]
         # Overlapping places form runs; every other place of a run is taken, from the left.
         head = np.diff(at, prepend=-2) != 1
         turn = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
@@ -198,8 +201,8 @@ def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
-        left.append(distinct[frequent] >> np.uint32(16))
-        right.append(distinct[frequent] & np.uint32(0xFFFF))
+        left.append(chosen[frequent] >> np.uint32(16))
+        right.append(chosen[frequent] & np.uint32(0xFFFF))
         following += len(frequent)
     none = [np.zeros(0, np.uint32)]
     return symbols, last, np.concatenate(none + left), np.concatenate(none + right)

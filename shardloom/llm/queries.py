@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, grammar, mixing, sharding, simhash, toxicity
+from shardloom.llm import decontaminate, grammar, mixing, quality, sharding, simhash, toxicity, urls
 from shardloom.llm.common import documents, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,3 +106,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the compressed files."""
     return grammar.encoded_documents(documents(spark, sf_dir), TOKENIZER)
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    found = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base numbers and verdict of every document."""
+    return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, grammar, mixing, quality, sharding, simhash, toxicity, urls
+from shardloom.llm import decontaminate, grammar, lines, mixing, quality, sharding, simhash, toxicity, urls
 from shardloom.llm.common import documents, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,3 +119,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base numbers and verdict of every document."""
     return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First place, copies, links and class of every distinct line; two edits link."""
+    return lines.classes(documents(spark, sf_dir), 2).select(
+        "doc_id", "line_no", F.crc32(F.col("line").cast("binary")).alias("line_crc32"), "copies", "n_links",
+        "class_doc_id", "class_line_no",
+    )

@@ -185,6 +185,15 @@ def is_contaminated(percent: int = 5) -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
+    """``docs`` without the contaminated rows; of the others, every row as it is."""
+    found = contamination(docs, benchmark, window).where(is_contaminated(percent))
+    # Written, so that the planner broadcasts it while it is small instead of moving the texts.
+    found = materialize(found.select(*KEY).distinct(), "contaminated")
+    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(found, list(KEY), "left_anti").select(*docs.columns)
+
+
 def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
     """doc_id, item_id, start, stop: stretches of at most ``slop`` words that hold the ``terms``
     rarest terms of an item in any order (all of a shorter item's terms).

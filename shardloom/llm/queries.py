@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, grammar, lines, mixing, quality, sharding, simhash, toxicity, urls
+from shardloom.llm import decontaminate, grammar, lines, mixing, quality, quotes, sharding, simhash, toxicity, urls
 from shardloom.llm.common import documents, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,3 +128,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line_no", F.crc32(F.col("line").cast("binary")).alias("line_crc32"), "copies", "n_links",
         "class_doc_id", "class_line_no",
     )
+
+
+@query
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply, thread, place and quote-free text of every message."""
+    found = quotes.linked(table(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id", "turn", "role", "reply_turn", "thread_turn", "n_ancestors", "position",
+        F.crc32(F.col("body").cast("binary")).alias("body_crc32"), F.length("body").alias("body_chars"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def bounded(df: DataFrame, name: str, max_bytes: int, row_bytes: int) -> DataFra
     ``row_bytes`` each. Beyond that the planner shuffles both sides, with adaptive skew splitting."""
     small = materialize(df, name)
     return F.broadcast(small) if small.count() * row_bytes <= max_bytes else small
+
+
+def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Cuts a batch into (start, stop) runs of rows whose sizes add up to about ``most``, one row at
+    least, so that a worker's memory follows ``most`` and the largest row, not the batch."""
+    ends = np.cumsum(sizes)
+    out, start = [], 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        out.append((start, stop))
+        start = stop
+    return out

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import text_or_empty
+from shardloom.llm.common import slices, text_or_empty
 from shardloom.session import new_scratch_path, ship_package
 
 SHARD_IDS = 1 << 21
@@ -31,6 +31,7 @@ SYMBOLS = 1 << 16
 ROUNDS = 5
 RULES_A_ROUND = 4096
 LEAST_COUNT = 8
+BYTES_AT_ONCE = 4_000_000
 BUCKETS = 20
 CACHED_PIECES = 700_000
 TOGETHER = 64  # new pieces encoded in one string
@@ -292,6 +293,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column(1)).to_numpy(), BYTES_AT_ONCE):
+                yield batch.slice(a, b - a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -306,9 +312,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD
             row = pack(part, shard, doc_ids, np.concatenate(ids), np.concatenate(lengths))
             return pa.RecordBatch.from_pylist([row], schema=FILE_ARROW)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches):
             names, found, counts = batch.column(0).to_pylist(), *encoder.encode(batch.column(1))
             ends = np.cumsum(counts)
             begin = 0

@@ -70,6 +70,11 @@ def fingerprint(text: Column) -> Column:
     return run(text)
 
 
+def differing_bits(xored: np.ndarray) -> np.ndarray:
+    """Bits set, as unsigned: numpy counts those of the absolute value otherwise."""
+    return np.bitwise_count(xored.view(np.uint64)).astype(np.int64)
+
+
 class BKTree:
     """A BK-tree over distinct 64-bit values. ``edges[i]`` maps a Hamming distance to the child."""
 
@@ -81,7 +86,7 @@ class BKTree:
         while pending:
             members = pending.pop()
             root, rest = int(members[0]), members[1:]
-            distance = np.bitwise_count(values[rest] ^ values[root])
+            distance = differing_bits(values[rest] ^ values[root])
             for d in np.unique(distance).tolist():
                 below = rest[distance == d]
                 self.edges[root][d] = int(below[0])
@@ -93,7 +98,7 @@ class BKTree:
         pending = [(0, np.arange(len(queries)))] if len(self.values) else []
         while pending:
             node, active = pending.pop()
-            distance = np.bitwise_count(queries[active] ^ self.values[node]).astype(np.int64)
+            distance = differing_bits(queries[active] ^ self.values[node])
             near = distance <= radius
             if near.any():
                 yield node, active[near]
@@ -106,7 +111,7 @@ class BKTree:
 def local_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (value, smaller value) that join the values of one shard into its components."""
     if len(values) == 2:
-        if np.bitwise_count(values[0] ^ values[1]) > radius:
+        if differing_bits(values[:1] ^ values[1:])[0] > radius:
             return values[:0], values[:0]
         return values.max(keepdims=True), values.min(keepdims=True)
     parent = np.arange(len(values))
@@ -193,7 +198,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of the links (a, b).
+    """(node, root): the smallest node reachable, for every node of the links (a, b) but the roots.
 
     Rounds of large-star (everyone larger than me hangs under my smallest neighbour) and small-star
     (everyone smaller than me too) until nothing changes. Minima are combined before the shuffle

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import bounded, text_or_empty
-from shardloom.llm.simhash import components
+from shardloom.llm.simhash import components, differing_bits
 from shardloom.session import materialize, ship_package
 
 TAU = 2
@@ -164,8 +164,8 @@ def candidates(rows: DataFrame, tau: int) -> DataFrame:
 
     def pairs(ids: np.ndarray, own: np.ndarray, single: np.ndarray, double: np.ndarray):
         for o in np.flatnonzero(own):
-            near = np.bitwise_count(single ^ single[o]) <= 2 * tau
-            near &= np.bitwise_count(double ^ double[o]) <= 4 * tau
+            near = differing_bits(single ^ single[o]) <= 2 * tau
+            near &= differing_bits(double ^ double[o]) <= 4 * tau
             near &= ids != ids[o]
             near &= ~own | (ids > ids[o])
             found = ids[near]
@@ -310,7 +310,8 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "id")
     top = components(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("node", "id")
-    linked = materialize(degree.join(top, "id"), "line-classes")
+    linked = degree.join(top, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    linked = materialize(linked, "line-classes")
     narrow = lines.select("id", "first")
     first = linked.join(narrow, "id").groupBy("root").agg(F.min("first").alias("_class"))
     linked = linked.join(first, "root").select("id", "n_links", "_class")

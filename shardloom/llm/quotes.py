@@ -20,7 +20,7 @@ from shardloom.llm.common import text_or_empty
 from shardloom.operators.ordering import dense_index, prefix_scan
 from shardloom.session import materialize
 
-MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+MARKS = r"^([ \t>]*>)[ \t]?"
 # A line that only announces a quote belongs to the quote.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$"
 KEY = ("conv_id", "_m")

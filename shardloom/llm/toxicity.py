@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.llm.common import slices
 from shardloom.session import ship_package
 
 BITS = 18
@@ -32,6 +33,7 @@ MAX_FIT_DOCS = 2000
 MAX_FIT_CHARS = 10_000
 ROUNDS = 40
 CACHED_WORDS = 1_000_000
+CHARS_AT_ONCE = 4_000_000
 TOKEN = re.compile(r"\S+")
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
 
@@ -252,7 +254,9 @@ def fit(
         model = fit_field(list(rows["text"]), rows["toxic"].to_numpy(dtype=bool), clean_weight / toxic_weight)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    return sample.coalesce(1).mapInPandas(run, "model binary").first()["model"]
+    fitted = sample.coalesce(1).mapInPandas(run, "model binary").first()
+    # Nothing labelled: Spark leaves the empty task out.
+    return fitted["model"] if fitted else pickle.dumps(fit_field([], np.zeros(0, dtype=bool), 1.0))
 
 
 def word_scores(model: dict, words: list[str], cache: dict[str, float]) -> None:
@@ -316,7 +320,9 @@ def toxicity(spark: SparkSession, model: bytes, text: Column) -> Column:
             _scores.clear()
         cache = _scores.setdefault(key, {})
         for batch in batches:
-            yield score_texts(field, list(batch), cache)
+            texts = list(batch)
+            cut = slices(np.array([len(t or "") for t in texts]), CHARS_AT_ONCE)
+            yield pd.concat([score_texts(field, texts[a:b], cache) for a, b in cut], ignore_index=True)
 
     return run(text)
 

@@ -30,6 +30,7 @@ from shardloom.session import materialize, ship_package
 
 TAU = 2
 GROUP = 2048
+BROADCAST_BYTES = 64 << 20
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -280,7 +281,8 @@ def links(lines: DataFrame, tau: int = TAU, group: int = GROUP) -> DataFrame:
     """(a, b), a < b: ids of different lines within ``tau`` edits, each pair once."""
     ship_package(lines.sparkSession)
     live = materialize(shared(keyed(lines, tau)), "line-keys")
-    ids = live.select("id").distinct()
+    # The lines are wide and the live ids few: without moving the lines while the ids fit.
+    ids = bounded(live.select("id").distinct(), "line-ids", BROADCAST_BYTES, 16)
     texts = materialize(with_signatures(lines.join(ids, "id", "left_semi")), "line-texts")
     large = live.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > group)
     large = bounded(large.select("key", F.ceil(F.col("_n") / group).cast("int").alias("_blocks")), "line-groups", 8 << 20, 24)
@@ -315,6 +317,7 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     narrow = lines.select("id", "first")
     first = linked.join(narrow, "id").groupBy("root").agg(F.min("first").alias("_class"))
     linked = linked.join(first, "root").select("id", "n_links", "_class")
+    linked = bounded(linked, "line-linked", BROADCAST_BYTES, 64)
     every = lines.join(linked, "id", "left").withColumn("_class", F.coalesce("_class", "first"))
     return every.select(
         "line",

@@ -17,11 +17,7 @@ from shardloom.functions.pieces import (
     turn_pieces,
 )
 from shardloom.functions.vocab import DEFAULT_VOCAB
-from shardloom.operators.ordering import dense_index
-
-# Start mark, at least one role token, newline, end mark, newline.
-MIN_TURN_TOKENS = 5
-
+from shardloom.operators.ordering import dense_index, prefix_scan
 
 def render_turns(turns: DataFrame, add_generation_prompt: bool = False) -> DataFrame:
     """(conv_id, turn, text): one rendered row per turn, no shuffle; texts concatenate in turn order."""
@@ -83,25 +79,14 @@ def min_len(examples: DataFrame, n: int = 2) -> DataFrame:
 def assemble_examples(encoded: DataFrame, T: int) -> DataFrame:
     """Turn rows to (conv_id, ids, mask), cut to T tokens, conversations without anything to learn dropped.
 
-    Whether a conversation has learnable tokens is decided on all its turns, before the cut. Turns
-    that cannot reach into the first T tokens leave before the shuffle (WindowGroupLimit), and each
-    array is cut first, so a conversation of any length moves at most a few T tokens per task.
+    Whether a conversation has learnable tokens is decided on all its turns, before the cut. Where
+    each turn starts is an exact prefix sum in blocks of turns, so a conversation of any length is
+    no single task; turns that start behind the cut leave before the rest is gathered.
     """
     learnable = encoded.where(F.array_contains("mask", 1)).select("conv_id").distinct()
-    by_turn = Window.partitionBy("conv_id").orderBy("turn")
-    before = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    early = (
-        encoded.select(
-            "conv_id",
-            "turn",
-            F.slice("ids", 1, T).alias("ids"),
-            F.slice("mask", 1, T).alias("mask"),
-        )
-        .withColumn("__rank", F.row_number().over(by_turn))
-        .where(F.col("__rank") <= T // MIN_TURN_TOKENS + 1)
-        .withColumn("__at", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
-        .where(F.col("__at") < T)
-    )
+    cut = encoded.select("conv_id", "turn", F.slice("ids", 1, T).alias("ids"), F.slice("mask", 1, T).alias("mask"))
+    placed = prefix_scan(cut, ["conv_id"], "turn", {"__at": ("sum", F.size("ids"))}, inclusive=False)
+    early = placed.where(F.col("__at") < T)
     room = (F.lit(T) - F.col("__at")).cast("int")
     parts = F.struct("turn", F.slice("ids", F.lit(1), room).alias("ids"), F.slice("mask", F.lit(1), room).alias("mask"))
     return (

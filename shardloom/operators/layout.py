@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of, whole_div
-from shardloom.session import materialize, ship_package, sized_side
+from shardloom.session import materialize, ship_package
 
 
 def shard_lengths(segments: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def deal_batches(segments: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
     round earlier than rank 0. Windows cut off by the shard end are not batches and stay out.
     """
     step = B * T
-    lengths = sized_side(shard_lengths(segments), "shard-lengths")
+    # Written, so the planner knows its size: a row per shard, broadcast only while it is small.
+    lengths = materialize(shard_lengths(segments), "shard-lengths")
     seqs = assemble_sequences(segments, T).where(F.size("tokens") == T + 1)
     slot = whole_div(F.col("seq"), B)
     dealt = seqs.select(
@@ -88,7 +89,7 @@ def number_batches(dealt: DataFrame) -> DataFrame:
     offsets = per_shard.select(
         "source", "split", "rank", "shard_id", F.coalesce(F.sum("n_batches").over(before), F.lit(0)).alias("k0")
     )
-    offsets = sized_side(offsets, "batch-offsets")
+    offsets = materialize(offsets, "batch-offsets")
     return dealt.join(offsets, ["source", "split", "rank", "shard_id"]).withColumn(
         "k", (F.col("k0") + F.col("shard_k")).cast("bigint")
     ).drop("k0")

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import whole_div
-from shardloom.session import materialize, sized_side
 
 # Bits of the order key below which rows (first) and block totals (then) share a window: at most
 # 1,024 rows, then 2**20 totals, then 2**20 more for keys below 2**50.
@@ -145,26 +144,35 @@ def first_by_hash(
     """The first rows per class in seeded order, as many as ``quota`` grants.
 
     ``keys`` name classes, a handful of values; ``quota`` turns (keys, n_rows) into (keys, quota).
-    Rows are counted per hash block once. Only blocks a class still needs (at most its quota of
-    them) are joined back, so about ``quota`` rows are shuffled, spread over their blocks.
+    Hashes of the keys alone give each class its cutoff: rows are counted per hash block, and the
+    block that holds the last wanted row is ranked. The wide rows are then read once and compared
+    with their class's cutoff; nothing is written, and no wide row is shuffled.
     """
     keys = list(keys)
-    hashed = rows.withColumn("__hash", order_hash(seed, *[F.col(k) for k in key])).withColumn(
-        "__block", F.shiftright("__hash", HASH_LEVELS[0])
-    )
-    counts = materialize(hashed.groupBy(*keys, "__block").agg(F.count("*").alias("n_rows")), "hash-blocks")
-    granted = quota(counts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))).select(*keys, "quota")
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        counts.select(*keys, "__block", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("__before"))
+    hashed = rows.withColumn("__hash", order_hash(seed, *[F.col(k) for k in key]))
+    narrow = hashed.select(*{k: None for k in (*keys, *key)}, "__hash", F.shiftright("__hash", HASH_LEVELS[0]).alias("__block"))
+    counts = narrow.groupBy(*keys, "__block").agg(F.count("*").alias("n_rows"))
+    granted = quota(counts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))).select(*keys, "quota").where("quota > 0")
+    through = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    last_block = (
+        counts.withColumn("__upto", F.sum("n_rows").over(through))
         .join(F.broadcast(granted), keys)  # one row per class
-        .where("__before < quota")
+        .where("__upto >= quota AND __upto - n_rows < quota")
+        .select(*keys, "__block", (F.col("quota") - F.col("__upto") + F.col("n_rows")).alias("__nth"))
     )
-    within = Window.partitionBy(*keys, "__block").orderBy("__hash", *key)
-    return (
-        hashed.join(sized_side(needed, "needed-blocks"), [*keys, "__block"])
+    place = F.struct("__hash", *key)
+    within = Window.partitionBy(*keys).orderBy("__hash", *key)
+    cutoff = (
+        narrow.join(F.broadcast(last_block), [*keys, "__block"])  # one row per class
         .withColumn("__rank", F.row_number().over(within))
-        .where("__before + __rank <= quota")
+        .where("__rank = __nth")
+        .select(*keys, place.alias("__cutoff"))
+    )
+    # A class that is granted all its rows or more may have no cutoff.
+    limits = granted.select(*keys).join(cutoff, keys, "left")
+    return (
+        hashed.join(F.broadcast(limits), keys)  # one row per class
+        .where(F.col("__cutoff").isNull() | (place <= F.col("__cutoff")))
         .select(*rows.columns)
     )
 

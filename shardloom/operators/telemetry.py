@@ -26,6 +26,7 @@ from shardloom.functions.text import hours_minutes
 from shardloom.operators.ordering import SHARED_LEVELS, dense_index, newest, prefix_scan, with_halo
 
 BLOCK_ROWS = 1024
+ZERO_WEIGHT_STEPS = 7200  # EMA_KEEP to this power is zero as a double
 
 
 def with_steps(rows: DataFrame, run: str = "run", order: str = "order") -> DataFrame:
@@ -58,10 +59,12 @@ def moving_average(rows: DataFrame, k: int, value: str = "loss", block_rows: int
 def ema_step_time(rows: DataFrame, value: str = "dt", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """e = 0.9 e + 0.1 dt per run, without step 0 (it carries the compile), seeded with step 1.
 
-    Inside a block of steps the recurrence is a weighted running sum. What a block hands on is
-    scaled by 0.9**1024 < 1e-46 after one more block, far below double rounding, so the state at
-    a block's start comes from the one block before it. Step 0 has a null ``ema``.
+    Inside a block of steps the recurrence is a weighted running sum. A block starts from the ends
+    of all blocks whose weight is not zero as a double yet; those ends are copied into the next
+    group of blocks as a halo, so a long run is no single task. ``block_rows`` changes only how the
+    work is cut. Step 0 has a null ``ema``.
     """
+    block_rows = min(max(block_rows, 1), 4 * BLOCK_ROWS)  # powers within a block stay finite
     place = F.col("step") - 1
     inside = (place % block_rows).cast("double")
     weight = F.when(F.col("step") == 1, F.lit(1.0)).otherwise(F.lit(1.0 - EMA_KEEP))
@@ -72,8 +75,16 @@ def ema_step_time(rows: DataFrame, value: str = "dt", block_rows: int = BLOCK_RO
         inside.alias("__p"),
         (weight * F.col(value) * F.pow(F.lit(EMA_KEEP), -inside)).alias("__w"),
     )
-    ends = timed.groupBy("run", "__block").agg((F.sum("__w") * F.pow(F.lit(EMA_KEEP), F.max("__p"))).alias("__carry"))
-    carried = ends.select("run", (F.col("__block") + 1).alias("__block"), "__carry")
+    ends = timed.groupBy("run", "__block").agg((F.sum("__w") * F.pow(F.lit(EMA_KEEP), F.max("__p"))).alias("__end"))
+    reach = ZERO_WEIGHT_STEPS // block_rows + 1
+    halo = with_halo(ends, "__block", reach, 2 * reach + BLOCK_ROWS)
+    earlier = Window.partitionBy("run", "__window_block").orderBy("__block").rowsBetween(-reach, -1)
+    here = F.col("__block")
+    held = halo.withColumn("__ends", F.collect_list(F.struct("__block", "__end")).over(earlier)).where("__home")
+    decay = lambda end: F.pow(F.lit(EMA_KEEP), ((here - end["__block"] - 1) * block_rows).cast("double"))
+    carried = held.select(
+        "run", "__block", F.aggregate("__ends", F.lit(0.0), lambda acc, end: acc + end["__end"] * decay(end)).alias("__carry")
+    )
     running = Window.partitionBy("run", "__block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     scanned = timed.withColumn("__own", F.sum("__w").over(running) * F.pow(F.lit(EMA_KEEP), F.col("__p")))
     smoothed = scanned.join(carried, ["run", "__block"], "left").select(
@@ -124,12 +135,10 @@ def keep_last(checkpoints: DataFrame, keep: int) -> DataFrame:
 
 
 def keep_milestones(checkpoints: DataFrame, wanted: Mapping[int, str]) -> DataFrame:
-    """Checkpoints of named steps with their label; the side broadcast is the caller's short map."""
-    spark = checkpoints.sparkSession
-    if len(wanted) > 1000:
-        raise ValueError("milestones are a short list")
-    labels = spark.createDataFrame(list(wanted.items()), "step bigint, label string")
-    return checkpoints.join(F.broadcast(labels), "step")
+    """Checkpoints of named steps with their label. The labels are a local relation of known size, so
+    the planner decides how to join them."""
+    labels = checkpoints.sparkSession.createDataFrame(list(wanted.items()), "step bigint, label string")
+    return checkpoints.join(labels, "step")
 
 
 def consecutive(rows: DataFrame, counts: Column, out: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import operator
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,6 @@ ANSWER = "The answer is %s."
 OPERATORS = ["+", "-", "*"]
 A_RANGE, B_RANGE = (2, 999), (2, 99)
 
-# Guard against answers that would exhaust an executor; ordinary bigints are far below it.
-MAX_POWER_BITS = 10_000_000
-
 _INT = r"(-?(?:0|[1-9][0-9]{0,14}))"
 SIMPLE_CALL = rf"^[ \t]*{_INT}[ \t]*(//|[-+*/%])[ \t]*{_INT}[ \t]*$"
 
@@ -84,10 +82,28 @@ def evaluate_simple(expr: Column) -> Column:
     return simple_value(parse_simple(expr))
 
 
+class _LongPower:
+    """A power of two whole numbers with more digits than Python prints, not computed yet: under a
+    remainder it never has to be, and as a result it cannot be written."""
+
+    def __init__(self, base: int, exponent: int):
+        self.base, self.exponent = base, exponent
+
+    def value(self) -> int:
+        return self.base**self.exponent
+
+
 def _power(a, b):
-    if isinstance(a, int) and isinstance(b, int) and b > 0 and a.bit_length() * b > MAX_POWER_BITS:
-        raise OverflowError("number too large")
-    return a**b
+    whole = isinstance(a, int) and isinstance(b, int)
+    return _LongPower(a, b) if whole and abs(a) > 1 and b > 0 and a.bit_length() * b > 1 << 16 else a**b
+
+
+def _remainder(a, b):
+    if isinstance(a, _LongPower):
+        if isinstance(b, int) and b:
+            return pow(a.base, a.exponent, b)
+        a = a.value()
+    return a % b
 
 
 # The allowed operators.
@@ -97,38 +113,46 @@ _BINARY = {
     ast.Mult: operator.mul,
     ast.Div: operator.truediv,
     ast.FloorDiv: operator.floordiv,
-    ast.Mod: operator.mod,
+    ast.Mod: _remainder,
     ast.Pow: _power,
 }
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 
 
+def _plain(value):
+    return value.value() if isinstance(value, _LongPower) else value
+
+
 def calculate(text: str) -> tuple[str | None, str | None]:
-    """(result, error) of one arithmetic expression; literals and operators only, never code."""
+    """(result, error) of one arithmetic expression; literals and operators only, never code.
+
+    Operands are worked out from the left, so of several faults the leftmost is reported.
+    """
     try:
-        nodes = [ast.parse(text.strip(), mode="eval").body]
-        pending = []  # children before parents once reversed
-        while nodes:
-            node = nodes.pop()
-            pending.append(node)
-            match node:
-                case ast.Constant(value=int() | float()):
-                    pass
-                case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
-                    nodes += [left, right]
-                case ast.UnaryOp(op=op, operand=inner) if type(op) in _UNARY:
-                    nodes.append(inner)
-                case _:
-                    raise ValueError(NOT_ARITHMETIC)
-        known = {}
-        for node in reversed(pending):
-            if isinstance(node, ast.Constant):
-                known[id(node)] = node.value
-            elif isinstance(node, ast.UnaryOp):
-                known[id(node)] = _UNARY[type(node.op)](known[id(node.operand)])
+        todo, values = [(ast.parse(text.strip(), mode="eval").body, False)], []
+        while todo:
+            node, ready = todo.pop()
+            if ready:
+                apply = _BINARY[type(node.op)] if isinstance(node, ast.BinOp) else _UNARY[type(node.op)]
+                operands = [values.pop() for _ in range(2 if isinstance(node, ast.BinOp) else 1)][::-1]
+                if apply is _remainder:
+                    values.append(_remainder(operands[0], _plain(operands[1])))
+                else:
+                    values.append(apply(*map(_plain, operands)))
+            elif isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+                values.append(node.value)
+            elif isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
+                todo += [(node, True), (node.right, False), (node.left, False)]
+            elif isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
+                todo += [(node, True), (node.operand, False)]
             else:
-                known[id(node)] = _BINARY[type(node.op)](known[id(node.left)], known[id(node.right)])
-        value = known[id(pending[0])]
+                raise ValueError(NOT_ARITHMETIC)
+        value = values.pop()
+        if isinstance(value, _LongPower):
+            limit = sys.get_int_max_str_digits()
+            if limit:
+                raise ValueError(f"Exceeds the limit ({limit} digits) for integer string conversion")
+            value = value.value()
         whole = isinstance(value, float) and value.is_integer()
         return str(int(value) if whole else value), None
     except (ValueError, SyntaxError, ArithmeticError, RecursionError, MemoryError, TypeError) as error:
@@ -243,16 +267,22 @@ def mix_slots(slots: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix_bernoulli(slots: DataFrame, chats: DataFrame | None, fraction: float, seed: int = SEED) -> DataFrame:
+def mix_bernoulli(slots: DataFrame, chats: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
     """Each slot is a synthetic example, or the next chat row of an endlessly repeated source.
 
-    ``chats`` has a dense ``idx``; with ``fraction`` 1 it is not read at all. Returns all slots
-    with the matched chat columns (null for synthetic ones).
+    ``chats`` has a dense ``idx`` from 0 and must have rows if ``fraction`` is below 1. Returns all
+    slots with synthetic, ordinal and the chat columns, which are null for synthetic slots; those
+    never take part in the join.
     """
     mixed = mix_slots(slots, fraction, seed)
-    if fraction >= 1.0 or chats is None:
-        return mixed
-    # One number, the size of the finite source, read from a materialised table.
-    n_chats = chats.count()
-    wanted = F.when(~F.col("synthetic"), F.col("ordinal") % F.lit(n_chats))
-    return mixed.withColumn("idx", wanted).join(chats, "idx", "left")
+    added = [f for f in chats.schema if f.name != "idx"]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in added]
+    idx = F.lit(None).cast(chats.schema["idx"].dataType).alias("idx")
+    synthetic = mixed.where("synthetic").select("*", idx, *empty)
+    if fraction >= 1.0:
+        return synthetic
+    n_chats = chats.count()  # one number, from a materialised table
+    if not n_chats:
+        raise ValueError("chat slots need chat rows")
+    wanted = mixed.where(~F.col("synthetic")).withColumn("idx", F.col("ordinal") % F.lit(n_chats))
+    return synthetic.unionByName(wanted.join(chats, "idx"))

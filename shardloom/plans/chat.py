@@ -10,7 +10,7 @@ from shardloom.functions.pieces import learns
 from shardloom.operators import chat as ops
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
-from shardloom.session import new_scratch_path
+from shardloom.session import materialize, new_scratch_path
 from shardloom.sources import chat as chat_source
 
 CUT = 256  # short enough that most conversations are truncated
@@ -22,8 +22,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits, long = chat_source.turns_to_chat(turns(spark, sf_dir))
-    return fits
+    return chat_source.turns_to_chat(turns(spark, sf_dir))
 
 
 def char_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +30,8 @@ def char_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def write(path: str) -> None:
-        ops.min_len(ops.assemble_examples(char_turns(spark, sf_dir), CUT)).write.parquet(path)
-
-    return spark.read.parquet(fx.written(spark, sf_dir, "chat-examples", write))
+    """Read twice by what batches them, so written; by every query anew."""
+    return materialize(ops.min_len(ops.assemble_examples(char_turns(spark, sf_dir), CUT)), "chat-examples")
 
 
 def char_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +127,8 @@ def render_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM conversations GROUP BY conv_id""",
 )
 def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = ops.render_chat(F.col("messages"), add_generation_prompt=True)
+    body = ops.render_chat(F.col("messages"))
+    text = F.when(F.col("last"), ops.render_chat(F.col("messages"), add_generation_prompt=True)).otherwise(body)
     return chats(spark, sf_dir).select("conv_id", F.md5(text).alias("digest"))
 
 
@@ -178,7 +176,8 @@ def has_learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
         {fx.list_digest("ids")} AS ids_digest, {fx.list_digest("mask")} AS mask_digest FROM ex""",
 )
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return char_examples(spark, sf_dir).select(
+    cut = ops.min_len(ops.assemble_examples(char_turns(spark, sf_dir), CUT))
+    return cut.select(
         "conv_id",
         F.size("ids").cast("bigint").alias("n_ids"),
         total(F.col("mask")).alias("n_learn"),

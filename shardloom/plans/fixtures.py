@@ -34,17 +34,16 @@ def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
     return _written[key]
 
 
-def spread_few_files(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table held in fewer files than there are cores, so that one row group does not
-    keep the tokenizer in one task. A table of many files is read in place, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a given table out by its key: each is one row group, which is one task, at every scale.
+    How many partitions come out is left to adaptive execution."""
+    return df.repartition(key)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as two sources: English is the base corpus, the rest the second one."""
     by_lang = F.when(F.col("lang") == "en", "base").otherwise("extra")
-    docs = spread_few_files(table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text")
 
 

@@ -24,7 +24,7 @@ KEY = ["origin", "doc_id"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.spread_few_files(fx.table(spark, sf_dir, "documents"), "doc_id")
+    return fx.spread(fx.table(spark, sf_dir, "documents"), "doc_id")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

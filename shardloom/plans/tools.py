@@ -35,7 +35,7 @@ LINE = ["l_orderkey", "l_partkey", "l_suppkey", "n"]
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.spread_few_files(fx.table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    lines = fx.spread(fx.table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",

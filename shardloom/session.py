@@ -8,7 +8,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -66,16 +65,6 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_side(df: DataFrame, name: str, max_rows: int = 2_000_000) -> DataFrame:
-    """The small side of a join, written so that its size is known before planning.
-
-    Up to ``max_rows`` (counted in file footers) it is broadcast and the large side is not
-    shuffled; beyond that the join is an ordinary shuffled one. For narrow rows only.
-    """
-    small = materialize(df, name)
-    return broadcast(small) if small.count() <= max_rows else small
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (what ``--py-files`` does on submit)."""
     context = spark.sparkContext

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.arrays import whole_div
+from shardloom.operators.ordering import dense_index
+
 MESSAGES = "array<struct<role:string,content:string>>"
-MAX_TURNS = 100_000
-MAX_CHARS = 1 << 28
+CHUNK_TURNS = 10_000
 
 
 def scan_chat(
@@ -22,34 +24,24 @@ def scan_chat(
     )
 
 
-def oversize_conversations(turns: DataFrame, max_turns: int = MAX_TURNS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Conversations too long for one row (counted with map-side partial sums)."""
-    sizes = turns.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.sum(F.length("content").cast("bigint")).alias("n_chars")
-    )
-    return sizes.where((F.col("n_turns") > max_turns) | (F.col("n_chars") > max_chars))
-
+def turns_to_chat(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """(conv_id, chunk, last, messages): every turn of every conversation, in rows of bounded length.
 
-def turns_to_chat(turns: DataFrame, max_turns: int = MAX_TURNS) -> tuple[DataFrame, DataFrame]:
-    """((conv_id, messages), turns of conversations too long for one row).
-
-    The second frame keeps turn form; rendering, masking, truncation and batching all work on
-    turns as well, so nothing is lost and no unbounded group is collected.
+    A row holds up to ``chunk_turns`` consecutive turns; nearly all conversations are one row. The
+    texts of a conversation's chunks concatenate in chunk order; ``last`` marks the final one.
     """
-    long = oversize_conversations(turns, max_turns).select("conv_id")
-    fits = turns.join(long, "conv_id", "left_anti")
+    placed = dense_index(turns, ["conv_id"], "turn", "__idx")
+    ends = turns.groupBy("conv_id").agg(whole_div(F.count("*") - 1, chunk_turns).alias("__last"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
     messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return (
-        fits.groupBy("conv_id").agg(messages.alias("messages")),
-        turns.join(long, "conv_id", "left_semi"),
-    )
+    chunks = placed.groupBy("conv_id", whole_div(F.col("__idx"), chunk_turns).alias("chunk")).agg(messages.alias("messages"))
+    return chunks.join(ends, "conv_id").select("conv_id", "chunk", (F.col("chunk") == F.col("__last")).alias("last"), "messages")
 
 
 def chat_json(messages: Column) -> Column:
-    return F.to_json(F.struct(messages.alias("messages")))
+    return F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"})
 
 
 def write_chat_jsonl(chats: DataFrame, path: str) -> None:
     """One {"messages": [...]} object per line, non-ASCII kept."""
-    chats.select("messages").write.mode("errorifexists").json(path)
+    chats.select("messages").write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

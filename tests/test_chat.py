@@ -49,9 +49,9 @@ def test_turns_encode_like_the_library(turns, escape):
 
 
 def test_rows_encode_like_turns(turns):
-    fits, long = src.turns_to_chat(turns)
-    assert long.count() == 0
-    got = {r.conv_id: (r.ids, r.mask) for r in c.encode_chats(fits, ["conv_id"]).collect()}
+    chats = src.turns_to_chat(turns)
+    assert all(r["last"] for r in chats.collect())
+    got = {r.conv_id: (r.ids, r.mask) for r in c.encode_chats(chats, ["conv_id"]).collect()}
     assert got == {k: encode(ts) for k, ts in CHATS.items()}
 
 
@@ -66,10 +66,21 @@ def test_assembled_examples(turns, T):
     assert {r.conv_id: (r.ids, r.mask) for r in found.collect()} == want
 
 
-def test_long_conversations_stay_in_turn_form(turns):
-    fits, long = src.turns_to_chat(turns, max_turns=2)
-    assert sorted(r.conv_id for r in fits.collect()) == [2, 3, 4, 5]
-    assert {r.conv_id for r in long.collect()} == {1} and long.count() == 5
+def test_long_conversations_lose_nothing(turns):
+    rows = sorted(src.turns_to_chat(turns, chunk_turns=2).collect(), key=lambda r: (r.conv_id, r.chunk))
+    whole = {k: [] for k in CHATS}
+    for r in rows:
+        assert len(r.messages) <= 2
+        whole[r.conv_id] += [(m.role, m.content) for m in r.messages]
+    assert whole == CHATS
+    assert [r.chunk for r in rows if r.conv_id == 1] == [0, 1, 2]
+    assert [(r.conv_id, r.chunk) for r in rows if r["last"]] == [(1, 2), (2, 0), (3, 0), (4, 0), (5, 0)]
+
+
+def test_empty_roles_fill_the_cut(spark):
+    rows = [(1, i, "" if i % 2 else "assistant", "") for i in range(200)] + [(2, 0, "assistant", "x" * 300)]
+    examples = c.assemble_examples(c.encode_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string"), "char"), 256)
+    assert {r.conv_id: (len(r.ids), len(r.mask)) for r in examples.collect()} == {1: (256, 256), 2: (256, 256)}
 
 
 def test_batches_are_full_and_padded(spark, turns):
@@ -94,7 +105,7 @@ def test_masked_mean(spark):
 
 
 def test_rendering_and_jsonl(spark, turns):
-    fits, _ = src.turns_to_chat(turns)
+    fits = src.turns_to_chat(turns)
     text = fits.select("conv_id", c.render_chat(F.col("messages"), True).alias("t"))
     want = "<|im_start|>user\nno answer<|im_end|>\n<|im_start|>assistant\n"
     assert {r.conv_id: r.t for r in text.collect()}[2] == want

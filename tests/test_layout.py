@@ -70,29 +70,27 @@ def test_resume_reads_what_is_left(spark):
             assert mine == order[done % len(order) :]
 
 
-def greedy(weights, n):
-    credit, used, out = [0.0] * len(weights), [0] * len(weights), []
-    for pick in range(n):
-        credit = [c + w for c, w in zip(credit, weights)]
-        j = credit.index(max(credit))
-        credit[j] -= 1.0
-        out.append((pick, j, used[j]))
-        used[j] += 1
-    return out
+def picks_of(spark, weights, n):
+    mixes = spark.createDataFrame([("m", weights, n)], "mix string, weights array<double>, n_picks bigint")
+    rows = sorted((r.pick, r.source_no, r.ordinal) for r in lay.mix_schedule(mixes).collect())
+    assert [pick for pick, _, _ in rows] == list(range(n))
+    return rows
 
 
 def test_mix_schedule(spark):
-    mixes = {"web": ([0.82, 0.18], 2000), "one": ([1.0], 5), "tie": ([0.25, 0.25, 0.5], 40), "none": ([0.5, 0.5], 0)}
-    rows = [(name, w, n) for name, (w, n) in mixes.items()]
-    found = {}
-    for r in lay.mix_schedule(spark.createDataFrame(rows, "mix string, weights array<double>, n_picks bigint")).collect():
-        found.setdefault(r.mix, []).append((r.pick, r.source_no, r.ordinal))
-    for name, (w, n) in mixes.items():
-        assert sorted(found.get(name, [])) == greedy(w, n)
+    assert picks_of(spark, [1.0], 3) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+    assert picks_of(spark, [0.5, 0.5], 0) == []
+    # Ties go to the first source; every fourth pick the pattern starts again.
+    assert [j for _, j, _ in picks_of(spark, [0.25, 0.25, 0.5], 8)] == [2, 0, 1, 2, 2, 0, 1, 2]
+    rows = picks_of(spark, [0.82, 0.18], 2000)
+    for n in (50, 100, 1000, 2000):  # whole periods hold each source exactly by weight
+        assert sum(j for _, j, _ in rows[:n]) == n * 18 // 100
+    for source in (0, 1):
+        assert [o for _, j, o in rows if j == source] == list(range(sum(j == source for _, j, _ in rows)))
 
 
 def test_a_saved_schedule_continues(spark):
-    whole = greedy([0.82, 0.18], 1500)
+    whole = picks_of(spark, [0.82, 0.18], 1500)
     start = spark.createDataFrame([("m", [0.82, 0.18], 700)], "mix string, weights array<double>, n_picks bigint")
     cursor = lay.mix_cursor(start).withColumn("n_picks", F.lit(800))
     rest = sorted((r.pick, r.source_no, r.ordinal) for r in lay.mix_schedule(cursor).collect())

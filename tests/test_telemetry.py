@@ -93,9 +93,10 @@ def test_moving_average_crosses_blocks(spark):
     assert all(found[k] == pytest.approx(want[k], rel=1e-12) for k in want)
 
 
-def test_ema_equals_the_sequential_fold(spark):
+@pytest.mark.parametrize("block_rows", [8, 1024, 1_000_000])
+def test_ema_equals_the_sequential_fold(spark, block_rows):
     rows, df = runs(spark, {"a": 5000, "b": 1, "c": 2, "d": 1026})
-    found = {(r.run, r.step): r.ema for r in tele.ema_step_time(df, "loss").collect()}
+    found = {(r.run, r.step): r.ema for r in tele.ema_step_time(df, "loss", block_rows).collect()}
     state = {}
     for run, step, v in rows:
         if step == 0:

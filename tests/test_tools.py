@@ -88,15 +88,15 @@ def test_injection(spark):
 
 
 def test_worked_example(spark):
-    rows = [("How many apples?", "I need 47 times 89.", "47*89", "4183", "There are 4183 apples.")]
+    rows = [("Length of the fence?", "Twelve posts apart by 7.", "12*7", "84", "84 metres.")]
     df = spark.createDataFrame(rows, "question string, reasoning string, expr string, result string, answer string")
     row = encode_examples(df, ["expr"], t.example_pieces()).first()
     enc = encoder()
     learned = enc.decode([i for i, m in zip(row.ids, row.mask) if m])
     unlearned = enc.decode([i for i, m in zip(row.ids, row.mask) if not m])
-    assert learned == "I need 47 times 89.\n<tool_call>47*89</tool_call>\nThere are 4183 apples.<|im_end|>\n"
+    assert learned == "Twelve posts apart by 7.\n<tool_call>12*7</tool_call>\n84 metres.<|im_end|>\n"
     assert unlearned == (
-        "<|im_start|>user\nHow many apples?<|im_end|>\n<|im_start|>assistant\n<tool_result>4183</tool_result>\n"
+        "<|im_start|>user\nLength of the fence?<|im_end|>\n<|im_start|>assistant\n<tool_result>84</tool_result>\n"
     )
 
 
@@ -139,4 +139,17 @@ def test_mixing(spark):
         else:
             assert r.conv == f"c{n % 7}"
             n += 1
-    assert all(r.synthetic for r in t.mix_bernoulli(slots, None, 1.0).collect())
+    only = t.mix_bernoulli(slots, chats, 1.0)
+    assert only.columns == t.mix_bernoulli(slots, chats, 0.15).columns
+    assert all(r.synthetic and r.conv is None for r in only.collect())
+    with pytest.raises(ValueError, match="chat rows"):
+        t.mix_bernoulli(slots, chats.limit(0), 0.5)
+
+
+def test_long_powers_and_the_leftmost_fault():
+    assert t.calculate("2**20000000 % 7") == ("4", None)
+    assert t.calculate("-(3**100000) % 10") == ("9", None)
+    assert "digits" in t.calculate("2**20000000")[1]
+    assert t.calculate("2**100000 // 2**99998") == ("4", None)
+    assert "zero" in t.calculate("1/0 + open(1)")[1]
+    assert t.calculate("open(1) + 1/0") == (None, t.NOT_ARITHMETIC)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, TEXT_VOCAB_SIZE
 from shardloom.functions.arrays import whole_div
+from shardloom.operators.ordering import prefix_scan
 
 SHARD = ["source", "split", "shard_id"]
 
@@ -22,11 +23,18 @@ def shard_stats(segments: DataFrame) -> DataFrame:
 
 
 def validate_shards(segments: DataFrame, shard_size: int, vocab_size: int = TEXT_VOCAB_SIZE) -> DataFrame:
-    """One pass per shard: id bounds, separators, length, gap-free cover; ``ok`` sums it up.
+    """Per shard: id bounds, separators, length, and whether its segments follow each other without
+    gap or overlap; ``ok`` sums it up.
 
-    Only a source's last shard may be short.
+    What the segments before each one reach is a running maximum in blocks of positions, over
+    narrow rows. Shard numbers of a source must run from 0 without a hole; only its last shard may
+    be short.
     """
     ids = F.col("tokens")
+    narrow = segments.select(*SHARD, "seg_start", (F.col("seg_start") + F.size(ids)).alias("seg_end"))
+    reached = prefix_scan(narrow, SHARD, "seg_start", {"reached": ("max", F.col("seg_end"))}, tie=["seg_end"], inclusive=False)
+    joined = F.col("seg_start") == F.coalesce("reached", F.lit(0).cast("bigint"))
+    follows = reached.groupBy(*SHARD).agg(F.min(joined).alias("follows"))
     per_shard = segments.groupBy(*SHARD).agg(
         F.min(F.array_min(ids)).alias("min_id"),
         F.max(F.array_max(ids)).alias("max_id"),
@@ -34,15 +42,20 @@ def validate_shards(segments: DataFrame, shard_size: int, vocab_size: int = TEXT
         F.sum(F.size(ids)).alias("n_tokens"),
         F.max(F.col("seg_start") + F.size(ids)).alias("shard_len"),
     )
-    tail = segments.groupBy("source").agg(F.max("shard_id").alias("tail_shard"))
+    tail = per_shard.groupBy("source").agg(
+        F.max("shard_id").alias("tail_shard"), F.count_distinct("shard_id").alias("n_shards"), F.min("shard_id").alias("head_shard")
+    )
     good = (
         (F.col("min_id") >= 0)
         & (F.col("max_id") < vocab_size)
         & (F.col("n_separators") > 0)
-        & (F.col("n_tokens") == F.col("shard_len"))
+        & F.col("follows")
+        & (F.col("head_shard") == 0)
+        & (F.col("n_shards") == F.col("tail_shard") + 1)
         & ((F.col("n_tokens") == shard_size) | (F.col("shard_id") == F.col("tail_shard")))
     )
-    return per_shard.join(tail, "source").withColumn("ok", good).drop("tail_shard")
+    checked = per_shard.join(follows, SHARD).join(tail, "source").withColumn("ok", good)
+    return checked.drop("tail_shard", "head_shard", "n_shards", "follows")
 
 
 def preflight(required: DataFrame, shards: DataFrame) -> DataFrame:

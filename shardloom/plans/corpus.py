@@ -13,6 +13,7 @@ from shardloom.operators import packing, quality
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
 from shardloom.session import new_scratch_path
+from shardloom.sources import corpus as corpus_source
 from shardloom.sources.shards import list_shards, scan_shards, write_shards
 
 CAP = 250_000  # not a multiple of the shard size: the cap rounds up to whole shards
@@ -45,9 +46,9 @@ def shard_census(segments: DataFrame) -> DataFrame:
     )
 
 
-@query("A1", f"WITH {fx.DOCS_SQL} SELECT source, ord, length(text) AS n_chars, md5(text) AS digest FROM docs")
+@query("A1", "SELECT source, doc_id AS ord, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.corpus(spark, sf_dir)
+    docs = corpus_source.scan_corpus(spark, f"{sf_dir}/documents.parquet")
     return docs.select("source", "ord", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -200,6 +201,20 @@ def write_shards_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "A4 (a second build into the same folder)",
+    f"""WITH {fx.SEGMENTS_SQL} SELECT source, CASE WHEN shard_id < 2 THEN 'val' ELSE 'train' END AS split, shard_id,
+        sum(len(tokens))::BIGINT AS n_tokens FROM segs WHERE shard_id < {_CAP_SHARDS} GROUP BY ALL""",
+)
+def rebuild_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full build, then one with a cap and another validation split: readers see the second only."""
+    path = new_scratch_path(spark, "rebuilt")
+    placed = packing.token_offsets(fx.char_tokens(spark, sf_dir))
+    write_shards(packing.pack_shards(placed, fx.SHARD), path)
+    write_shards(packing.pack_shards(placed, fx.SHARD, CAP, 2), path)
+    return scan_shards(spark, path).groupBy("source", "split", "shard_id").agg(F.sum(F.size("tokens")).alias("n_tokens"))
+
+
 @query(
     "A5",
     f"""WITH {fx.SEGMENTS_SQL} SELECT source, shard_id, seg_start, ord, len(tokens)::BIGINT AS n_tokens,
@@ -247,11 +262,15 @@ def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {fx.SEGMENTS_SQL}, per AS (SELECT source, split, shard_id,
           min(list_min(tokens))::BIGINT AS min_id, max(list_max(tokens))::BIGINT AS max_id,
           sum(len(list_filter(tokens, lambda t: t = 50256)))::BIGINT AS n_separators,
-          sum(len(tokens))::BIGINT AS n_tokens, max(seg_start + len(tokens))::BIGINT AS shard_len
-        FROM segs GROUP BY ALL),
-        tails AS (SELECT *, max(shard_id) OVER (PARTITION BY source) AS tail FROM per)
+          sum(len(tokens))::BIGINT AS n_tokens, max(seg_start + len(tokens))::BIGINT AS shard_len,
+          bool_and(seg_start = before) AS follows
+        FROM (SELECT *, coalesce(max(seg_start + len(tokens)) OVER (PARTITION BY source, split, shard_id ORDER BY seg_start
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM segs)
+        GROUP BY source, split, shard_id),
+        tails AS (SELECT *, max(shard_id) OVER (PARTITION BY source) AS tail,
+                  count(*) OVER (PARTITION BY source) AS n_shards FROM per)
         SELECT source, split, shard_id, min_id, max_id, n_separators, n_tokens, shard_len,
-          (min_id >= 0 AND max_id < 50257 AND n_separators > 0 AND n_tokens = shard_len
+          (min_id >= 0 AND max_id < 50257 AND n_separators > 0 AND follows AND n_shards = tail + 1
            AND (n_tokens = {fx.SHARD} OR shard_id = tail)) AS ok FROM tails""",
 )
 def validate_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,21 +292,25 @@ def corpus_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "I2",
     f"""WITH {fx.SEGMENTS_SQL}, have AS (SELECT source, split, count(DISTINCT shard_id) AS n FROM segs GROUP BY ALL)
-        SELECT source, split, n AS n_shards, n >= 2 AS skip_stage FROM have""",
+        SELECT source, split, coalesce(n, 0) >= 2 AS skip_stage
+        FROM (VALUES ('base', 'val'), ('base', 'train'), ('extra', 'val'), ('extra', 'train')) stages(source, split)
+        LEFT JOIN have USING (source, split)""",
 )
 def already_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = list_shards(fx.char_shards(spark, sf_dir)).groupBy("source", "split").agg(F.count("*").alias("n_shards"))
-    return found.withColumn("skip_stage", F.col("n_shards") >= 2)
+    """Whether each stage of the build could be skipped, asked the way a job asks: per stage."""
+    shards = fx.char_shards(spark, sf_dir)
+    stages = [(source, split) for source in ("base", "extra") for split in ("val", "train")]
+    found = [(*stage, quality.already_complete(shards, *stage, 2)) for stage in stages]
+    return spark.createDataFrame(found, "source string, split string, skip_stage boolean")
 
 
-@query("A2", f"WITH {fx.DOCS_SQL} SELECT source, ord, length(text) AS n_chars, md5(text) AS digest FROM docs")
+@query("A2", "SELECT source, doc_id AS ord, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def scan_corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    by_lang = F.when(F.col("lang") == "en", "base").otherwise("extra")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     # The folder is watched; the pattern picks one table's files.
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).option(
-        "pathGlobFilter", "documents.parquet"
-    ).parquet(sf_dir).select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text")
+    stream = corpus_source.scan_corpus_stream(
+        spark, sf_dir, schema, files_per_trigger=8, file_pattern="documents.parquet"
+    )
     rows = stream.select(
         "source", "ord", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest")
     )

@@ -17,21 +17,16 @@ SEQ = 512
 BATCH = 4
 RANKS = 2
 
-_written: dict[tuple[str, str, str], str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """Path of a table that several queries share, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = new_scratch_path(spark, name)
-        write(path)
-        _written[key] = path
-    return _written[key]
+    """Path of a table a query reads more than once. Every query writes its own, so that its work is
+    part of its plan and its time."""
+    path = new_scratch_path(spark, name)
+    write(path)
+    return path
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -187,11 +187,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A8, M12",
-    f"""WITH {SAMPLES_SQL} SELECT run, step, printf('%02d:%02d:00', (ord // 60) % 24, ord % 60) AS ts, util, mem, power
+    f"""WITH {SAMPLES_SQL} SELECT printf('%02d:%02d:00', (ord // 60) % 24, ord % 60) AS ts, util, mem, power
         FROM samples""",
 )
 def parse_device_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).select("run", "step", "ts", "util", "mem", "power")
+    path = new_scratch_path(spark, "device-csv")
+    device_lines(spark, sf_dir).select("ts", "util", "mem", "power").write.csv(path)
+    return logs.read_device_csv(spark, path)
 
 
 @query(

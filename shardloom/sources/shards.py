@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import whole_div
 
-SCHEMA = "seg_start bigint, ord bigint, n_tok int, tokens array<int>, source string, split string, shard_id bigint"
+SCHEMA = (
+    "seg_start bigint, ord bigint, n_tok int, tokens array<int>, build string, source string, split string, shard_id bigint"
+)
+PUBLISHED = "source string, build string"
+
 
+def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> str:
+    """Write a build of segments under builds/source/split/shard_id, sorted by position inside each
+    file, and publish it for the sources it holds. Returns the build's name.
 
-def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> None:
-    """Write segments under source/split/shard_id, sorted by position inside each file.
+    A build has a folder of its own, so nothing of an earlier one can mix with it: readers see a
+    source's newest published build only, whatever its splits, sizes or caps were before. A build
+    that fails is never published, and running a stage again publishes the same shards anew.
 
     ``in_order`` segments (from offsets whose documents share tasks) are written where they are: a
     shard then lies in the few tasks its documents came from. Others go to ``spread`` tasks per
     shard by position, so a 100M-token shard neither sits in one task nor leaves a small file per
-    input task. Only written partitions are replaced, so running a stage again is idempotent.
+    input task.
     """
+    build = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     if not in_order:
         slot = F.pmod(whole_div(F.col("seg_start"), 1 << 20), F.lit(spread))
         segments = segments.repartition("source", "split", "shard_id", slot)
     (
         segments.sortWithinPartitions("source", "split", "shard_id", "seg_start")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "split", "shard_id")
-        .parquet(path)
+        .withColumn("build", F.lit(build))
+        .write.mode("append")
+        .partitionBy("build", "source", "split", "shard_id")
+        .parquet(f"{path}/builds")
     )
+    written = segments.sparkSession.read.schema(SCHEMA).parquet(f"{path}/builds").where(F.col("build") == build)
+    written.select("source", "build").distinct().write.mode("append").parquet(f"{path}/published")
+    return build
 
 
 def scan_shards(spark: SparkSession, path: str, split: str | None = None, source: str | None = None) -> DataFrame:
-    """Segments of a split; partition pruning reads only its folders. An empty split is an error."""
-    shards = spark.read.schema(SCHEMA).parquet(path)
+    """Segments of the newest build of each source; an empty split is an error.
+
+    Partition pruning reads only a split's folders, and the published builds (one row per source and
+    build, far below any broadcast limit) prune the rest when the job runs.
+    """
+    published = spark.read.schema(PUBLISHED).parquet(f"{path}/published")
+    newest = published.groupBy("source").agg(F.max("build").alias("build"))
+    shards = spark.read.schema(SCHEMA).parquet(f"{path}/builds")
     if split is not None:
         shards = shards.where(F.col("split") == split)
     if source is not None:
         shards = shards.where(F.col("source") == source)
+    shards = shards.join(newest, ["source", "build"])
     if shards.select("shard_id").limit(1).isEmpty():
         raise FileNotFoundError(f"no shards for split {split} of {source or 'any source'} in {path}")
     return shards.select("source", "split", "shard_id", "seg_start", "ord", "n_tok", "tokens")

@@ -120,7 +120,7 @@ def test_written_shards(spark, docs):
     path = new_scratch_path(spark, "test-shards")
     segments = p.pack_shards(p.token_offsets(p.tokenize_corpus(docs, "char")), 30)
     write_shards(segments, path)
-    write_shards(segments, path)  # replaces its own partitions only
+    write_shards(segments, path)  # published anew
     assert by_shard(scan_shards(spark, path)) == brute("char", 30)
     val = scan_shards(spark, path, "val")
     assert "PartitionFilters: [isnotnull(split" in val._jdf.queryExecution().toString()
@@ -131,6 +131,29 @@ def test_written_shards(spark, docs):
     assert not quality.already_complete(scan_shards(spark, path), "a", "val", 2)
 
 
+def test_builds_never_mix(spark, docs):
+    path = new_scratch_path(spark, "test-builds")
+    placed = p.token_offsets(p.tokenize_corpus(docs, "char"))
+    write_shards(p.pack_shards(placed, 30, None, 1), path)
+    write_shards(p.pack_shards(placed, 30, 60, 2), path)
+    assert by_shard(scan_shards(spark, path)) == brute("char", 30, 60, 2)
+    # A build of one source leaves the others as they are.
+    write_shards(p.pack_shards(placed, 30, None, 1).where("source = 'a'"), path)
+    wanted = {k: v for k, v in brute("char", 30, None, 1).items() if k[0] == "a"}
+    wanted |= {k: v for k, v in brute("char", 30, 60, 2).items() if k[0] != "a"}
+    assert by_shard(scan_shards(spark, path)) == wanted
+
+
+def test_gaps_overlaps_and_missing_shards_are_found(spark):
+    segment = lambda shard, start, n: ("s", "train", shard, start, 0, n, [50256] + [1] * (n - 1))
+    schema = "source string, split string, shard_id bigint, seg_start bigint, ord bigint, n_tok int, tokens array<int>"
+    verdict = lambda rows: [r.ok for r in quality.validate_shards(spark.createDataFrame(rows, schema), 30).orderBy("shard_id").collect()]
+    assert verdict([segment(0, 0, 10), segment(0, 10, 20), segment(1, 0, 7)]) == [True, True]
+    # An overlap of five and a gap of five cancel out in every sum.
+    assert verdict([segment(0, 0, 10), segment(0, 5, 10), segment(0, 20, 10), segment(1, 0, 7)]) == [False, True]
+    assert verdict([segment(0, 0, 30), segment(2, 0, 7)]) == [False, False]
+
+
 def test_whole_build(spark, docs):
     built = build_corpus(docs, 30, None, 1, "char", new_scratch_path(spark, "test-build"))
     assert by_shard(built) == brute("char", 30)

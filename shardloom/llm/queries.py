@@ -138,3 +138,60 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "role", "reply_turn", "thread_turn", "n_ancestors", "position",
         F.crc32(F.col("body").cast("binary")).alias("body_crc32"), F.length("body").alias("body_chars"),
     )
+
+
+def _url_sql() -> str:
+    """The tree level by level, with the operator's constants."""
+    levels = [
+        """
+x{d} AS (SELECT *, segs[{d}] AS s, CASE WHEN regexp_matches(segs[{d}], '^[0-9]+$') THEN '<num>'
+           WHEN regexp_matches(segs[{d}], '^[0-9]+[.][a-z]+$') THEN regexp_replace(segs[{d}], '^[0-9]+', '<num>')
+           WHEN regexp_matches(segs[{d}], '^[0-9a-fA-F-]{{8,}}$') THEN '<id>'
+           WHEN regexp_matches(segs[{d}], '[0-9]') THEN '<mixed>' ELSE '<word>' END AS shape FROM p{e}),
+c{d} AS (SELECT host, template, s, shape, sum(pages) AS pages, sum(labelled) AS labelled, sum(good) AS good
+         FROM x{d} WHERE s IS NOT NULL GROUP BY ALL),
+h{d} AS (SELECT host, template, shape, count(*) AS vals, sum(labelled) AS lab, sum(good) AS gd,
+                count(*) >= {many} AND sum(pages) <= {rare} * count(*) AS variable FROM c{d} GROUP BY ALL),
+l{d} AS (SELECT host, template, sum(lab)::DOUBLE AS al, sum(gd)::DOUBLE AS ag, sum(vals) AS br
+         FROM h{d} WHERE NOT variable GROUP BY ALL),
+t{d} AS (SELECT host, template, s, CASE WHEN variable THEN shape
+           WHEN br = 1 OR coalesce(labelled > 0 AND al - labelled > 0 AND
+             abs(good / labelled::DOUBLE - (ag - good) / (al - labelled))
+               > {z} * sqrt(ag / al * (1 - ag / al) * (1 / labelled::DOUBLE + 1 / (al - labelled))), false) THEN s
+           ELSE '*' END AS tok
+         FROM c{d} JOIN h{d} USING (host, template, shape) LEFT JOIN l{d} USING (host, template)),
+p{d} AS (SELECT x{d}.host, path, pages, labelled, good, segs,
+                CASE WHEN x{d}.s IS NULL THEN x{d}.template ELSE x{d}.template || '/' || tok END AS template
+         FROM x{d} LEFT JOIN t{d} ON x{d}.host = t{d}.host AND x{d}.template = t{d}.template AND x{d}.s = t{d}.s)""".format(
+            d=d, e=d - 1, many=urls.MANY, rare=urls.RARE, z=urls.Z
+        )
+        for d in range(1, urls.DEPTH + 1)
+    ]
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: (
+        f"(host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}')"
+    )
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in rules) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in rules)
+    return f"""
+WITH labelled AS (SELECT doc_id AS page_id, (min(quality) > 0)::INTEGER AS good FROM labels
+                  WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p0 AS (SELECT host, path, count(*) AS pages, count(good) AS labelled, coalesce(sum(good), 0) AS good,
+              CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segs, '' AS template
+       FROM r LEFT JOIN labelled USING (page_id) GROUP BY host, path),{",".join(levels)},
+tree AS (SELECT host, path, labelled, good, CASE WHEN len(segs) > {urls.DEPTH} THEN template || '/**' ELSE template END AS template
+         FROM p{urls.DEPTH}),
+bt AS (SELECT host, template, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good FROM tree GROUP BY ALL),
+bh AS (SELECT host, sum(labelled) AS hl, sum(good) AS hg FROM bt GROUP BY host),
+hp AS (SELECT host, (hg + {urls.PRIOR} * (SELECT (sum(hg) + 1) / (sum(hl) + 2) FROM bh)) / (hl + {urls.PRIOR}) AS prior FROM bh),
+pur AS (SELECT host, template, (good + {urls.PRIOR} * prior) / (labelled + {urls.PRIOR}) AS purity FROM bt JOIN hp USING (host))
+SELECT page_id, host, path, template, {rule} AS rule,
+       {verdict} WHEN purity < {urls.PURITY} THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN (SELECT host, path, template FROM tree) USING (host, path) JOIN pur USING (host, template)
+"""
+
+
+SQL["op3_url_filters"] = _url_sql()

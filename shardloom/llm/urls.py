@@ -76,9 +76,11 @@ def grow(paths: DataFrame, depth: int) -> DataFrame:
         F.sum("_labelled").alias("_all_labelled"), F.sum("_good").alias("_all_good"), F.sum("_values").alias("_branches")
     )
     rest, rest_good = F.col("_all_labelled") - F.col("labelled"), F.col("_all_good") - F.col("good")
-    pooled = F.col("_all_good") / F.col("_all_labelled")
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-    apart = (F.col("labelled") > 0) & (rest > 0) & (F.abs(F.col("good") / F.col("labelled") - rest_good / rest) > Z * error)
+    one = F.lit(1)
+    pooled = F.try_divide("_all_good", "_all_labelled")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, F.col("labelled")) + F.try_divide(one, rest)))
+    difference = F.abs(F.try_divide("good", "labelled") - F.try_divide(rest_good, rest))
+    apart = (F.col("labelled") > 0) & (rest > 0) & (difference > Z * error)
     token = (
         F.when(F.col("_variable"), F.col("_shape"))
         .when((F.col("_branches") == 1) | F.coalesce(apart, F.lit(False)), F.col("_s"))

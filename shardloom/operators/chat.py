@@ -17,6 +17,7 @@ from shardloom.functions.pieces import (
     turn_pieces,
 )
 from shardloom.functions.vocab import DEFAULT_VOCAB
+from shardloom.operators.layout import repeat_epochs
 from shardloom.operators.ordering import dense_index, prefix_scan
 
 def render_turns(turns: DataFrame, add_generation_prompt: bool = False) -> DataFrame:
@@ -35,14 +36,24 @@ def render_chat(messages: Column, add_generation_prompt: bool = False) -> Column
     return F.concat(F.array_join(turns, ""), tail)
 
 
-def encode_turns(turns: DataFrame, vocab: str = DEFAULT_VOCAB, escape: bool = False) -> DataFrame:
+def encode_turns(
+    turns: DataFrame, vocab: str = DEFAULT_VOCAB, escape: bool = False, add_generation_prompt: bool = False
+) -> DataFrame:
     """(conv_id, turn, role, ids, mask) per turn, no shuffle.
 
+    With ``add_generation_prompt`` every conversation ends with one more row that opens the
+    assistant's turn and trains nothing.
+
     As in the source data special strings inside content become special ids; ``escape`` keeps
     them ordinary text.
     """
     pieces = turn_pieces(F.col("role"), F.col("content"))
-    return encode_examples(turns, ["conv_id", "turn", "role"], pieces, vocab, escape)
+    keys = ["conv_id", "turn", "role"]
+    encoded = encode_examples(turns, keys, pieces, vocab, escape)
+    if not add_generation_prompt:
+        return encoded
+    ends = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("role", F.lit("assistant"))
+    return encoded.unionByName(encode_examples(ends, keys, [generation_prompt()], vocab, escape))
 
 
 def _char_turn_ids(m: Column) -> Column:
@@ -119,6 +130,27 @@ def tuning_batches(examples: DataFrame, B: int, order: str = "conv_id") -> DataF
     )
 
 
+def tuning_stream(examples: DataFrame, B: int, steps: int, order: str = "conv_id") -> DataFrame:
+    """Exactly ``steps`` batches of B examples from an endlessly repeated source.
+
+    The source starts again where it ends, inside a batch if need be, so no example is left out at
+    the end of an epoch. Adds ``batch``, ``row``, ``epoch`` and ``L``. ``examples`` is read more than
+    once: pass a materialised table. Without examples there are no batches to make.
+    """
+    n = examples.count()  # from file footers
+    if not n and steps:
+        raise ValueError("no examples to make batches of")
+    indexed = dense_index(examples, [], order, "__idx").withColumn("__n", F.lit(n).cast("bigint"))
+    stream = repeat_epochs(indexed, -(-steps * B // max(n, 1)), "__idx", "__n").where(F.col("stream_pos") < steps * B)
+    placed = stream.select(
+        whole_div(F.col("stream_pos"), B).alias("batch"),
+        (F.col("stream_pos") % B).cast("int").alias("row"),
+        "epoch",
+        *examples.columns,
+    )
+    return placed.withColumn("L", F.max(F.size("ids")).over(Window.partitionBy("batch")))
+
+
 def pad_batch(batches: DataFrame) -> DataFrame:
     return batches.withColumn("ids", pad_to(F.col("ids"), F.col("L"), PAD)).withColumn(
         "mask", pad_to(F.col("mask"), F.col("L"), 0)

@@ -261,16 +261,48 @@ def masked_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("batch", "n_learn", F.round("loss", 6).alias("loss"))
 
 
-STEPS = 5
+STEPS = 45  # more than an epoch at the smallest scale
+JOB_T = 1024  # the job's own cut
 
 
-@query("G5", f"WITH {BATCHES_SQL} SELECT batch, row, conv_id FROM bat WHERE batch < {STEPS}")
+def stream_sql(cut: int) -> str:
+    """The first STEPS batches of the endlessly repeated examples."""
+    return (
+        EXAMPLES_SQL.replace(f", {CUT})", f", {cut})")
+        + f""",
+numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS n_all FROM ex),
+places AS (SELECT unnest(range({STEPS * ROWS})) AS pos),
+bat AS (SELECT (pos // {ROWS})::BIGINT AS batch, (pos % {ROWS})::BIGINT AS row, (pos // n_all)::BIGINT AS epoch, conv_id, ids, mask,
+               max(len(ids)) OVER (PARTITION BY pos // {ROWS})::BIGINT AS longest
+        FROM places JOIN numbered ON idx = pos % (SELECT count(*) FROM ex)),
+padded AS (SELECT batch, row, epoch, conv_id, longest, ids || {repeated("50259", "longest - len(ids)")} AS ids,
+                  mask || {repeated("0", "longest - len(ids)")} AS mask FROM bat)"""
+    )
+
+
+@query("G5, F14, F15", f"WITH {stream_sql(CUT)} SELECT batch, row, epoch, conv_id FROM bat")
 def step_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked number of batches, over the end of an epoch."""
     from shardloom.constants import STEPS_PER_EPOCH
-    from shardloom.operators.layout import step_cap as cap
+    from shardloom.operators.layout import step_limit
+
+    stream = ops.tuning_stream(char_examples(spark, sf_dir), ROWS, step_limit(STEPS, 2, STEPS_PER_EPOCH))
+    return stream.select("batch", F.col("row").cast("bigint").alias("row"), F.col("epoch").cast("bigint").alias("epoch"), "conv_id")
 
-    capped = cap(char_batches(spark, sf_dir), STEPS, 2, STEPS_PER_EPOCH)
-    return capped.select("batch", F.col("row").cast("bigint").alias("row"), "conv_id")
+
+@query(
+    "C4, C5, B3, B4, B5, F14, F15, C16, C15, G5",
+    f"""WITH {stream_sql(JOB_T)} SELECT batch, row, conv_id, {fx.list_digest("ids[:-2]")} AS x,
+        {fx.list_digest("ids[2:]")} AS y, {fx.list_digest("mask[2:]")} AS m FROM padded""",
+)
+def tuning_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From turns to shifted, padded batches: encode, mask, drop, cut, batch over epochs, pad, shift."""
+    examples = ops.min_len(ops.assemble_examples(char_turns(spark, sf_dir), JOB_T))
+    stream = ops.tuning_stream(materialize(examples, "tuning-examples"), ROWS, STEPS)
+    shifted = ops.shift_masked(ops.pad_batch(stream))
+    return shifted.select(
+        "batch", F.col("row").cast("bigint").alias("row"), "conv_id", *[digest(F.col(c)).alias(c) for c in ("x", "y", "m")]
+    )
 
 
 @query(

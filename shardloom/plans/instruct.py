@@ -260,28 +260,28 @@ def union_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "E2",
     f"""WITH {GROUNDED_SQL} SELECT answerable, count(*) AS n_rows,
-        printf('%.1f', count(*)::DOUBLE / sum(count(*)) OVER ()::DOUBLE * 100.0) AS percent FROM capped GROUP BY answerable""",
+        printf('%.1f', count(*)::DOUBLE / sum(count(*)) OVER ()::DOUBLE * 100.0) AS percent FROM gr_rows GROUP BY answerable""",
 )
 def class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.class_share(ops.stratified_cap(grounded(spark, sf_dir), WANTED, ["doc_id"]))
+    """Over the whole grounded set: an audit that sees a sample can miss what it is for."""
+    return ops.class_share(grounded(spark, sf_dir))
 
 
 @query(
     "E3",
     f"""WITH {GROUNDED_SQL}, per AS (SELECT answerable, count(*) AS n_examples,
-          sum(length(answer) + 2)::BIGINT AS n_trained FROM capped GROUP BY answerable)
+          sum(length(answer) + 2)::BIGINT AS n_trained FROM gr_rows GROUP BY answerable)
         SELECT answerable, n_examples, n_trained, round(n_trained / (sum(n_trained) OVER ())::DOUBLE, 6) AS share FROM per""",
 )
 def trained_token_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = ops.stratified_cap(grounded(spark, sf_dir), WANTED, ["doc_id"])
-    audit = chat_ops.trained_token_share(chat_ops.encode_chats(capped, ["answerable"], "char"), "answerable")
+    encoded = chat_ops.encode_chats(grounded(spark, sf_dir), ["answerable"], "char")
+    audit = chat_ops.trained_token_share(encoded, "answerable")
     return audit.select("answerable", "n_examples", "n_trained", F.round("share", 6).alias("share"))
 
 
 @query("E3 (byte-level BPE)")
 def trained_token_share_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = ops.stratified_cap(grounded(spark, sf_dir), WANTED, ["doc_id"])
-    return chat_ops.trained_token_share(chat_ops.encode_chats(capped, ["answerable"]), "answerable")
+    return chat_ops.trained_token_share(chat_ops.encode_chats(grounded(spark, sf_dir), ["answerable"]), "answerable")
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

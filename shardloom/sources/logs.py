@@ -132,3 +132,11 @@ def append_ledger(finals: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
+
+
+def read_csv_ledgers(spark: SparkSession, path: str) -> DataFrame:
+    """Ledgers kept as CSV, with or without a header line; lines without numbers are headers."""
+    names = [f.name for f in LEDGER]
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
+    typed = raw.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LEDGER])
+    return typed.where(F.col(names[1]).isNotNull() | F.col(names[2]).isNotNull())

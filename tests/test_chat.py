@@ -130,3 +130,27 @@ def test_learnable_filter(turns):
 def test_special_ids_frame_every_turn(turns):
     for r in c.encode_turns(turns, "char").collect():
         assert r.ids[0] == IM_START and r.ids[-2:] == [IM_END, 10] and len(r.ids) == len(r.mask)
+
+
+def test_stream_of_batches_crosses_epochs(spark):
+    rows = [(i, [i] * (i + 1), [1] * (i + 1)) for i in range(5)]
+    path = new_scratch_path(spark, "test-stream")
+    spark.createDataFrame(rows, "conv_id bigint, ids array<int>, mask array<int>").write.parquet(path)
+    examples = spark.read.parquet(path)
+    found = sorted((r.batch, r["row"], r.epoch, r.conv_id, r.L) for r in c.tuning_stream(examples, 3, 4).collect())
+    assert [(b, r) for b, r, *_ in found] == [(b, r) for b in range(4) for r in range(3)]
+    assert [k for _, _, _, k, _ in found] == [0, 1, 2, 3, 4, 0, 1, 2, 3, 4, 0, 1]
+    assert [e for _, _, e, _, _ in found] == [0] * 5 + [1] * 5 + [2] * 2
+    assert [length for *_, length in found] == [3] * 3 + [5] * 3 + [4] * 3 + [5] * 3
+    with pytest.raises(ValueError, match="no examples"):
+        c.tuning_stream(examples.limit(0), 3, 1)
+
+
+def test_generation_prompt_as_ids(turns):
+    plain = c.encode_turns(turns, "char").count()
+    encoded = c.encode_turns(turns, "char", add_generation_prompt=True)
+    opened = [50257, *map(ord, "assistant\n")]
+    prompts = [r for r in encoded.collect() if r.ids == opened]
+    assert encoded.count() == plain + len(CHATS)
+    assert {r.conv_id for r in prompts} == set(CHATS) and len(prompts) == len(CHATS)
+    assert all(r.mask == [0] * len(opened) for r in prompts)

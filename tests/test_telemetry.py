@@ -186,3 +186,10 @@ def test_ledger_appends(spark):
     for run in ("a", "b", "a"):
         logs.append_ledger(spark.createDataFrame([(run, 1.5, 2)], "run_name string, val_loss double, tokens_per_sec int"), path)
     assert sorted(r.run_name for r in logs.read_ledger(spark, path).collect()) == ["a", "a", "b"]
+
+
+def test_csv_ledgers(spark):
+    path = new_scratch_path(spark, "test-ledger")
+    rows = [("run_name,val_loss,tokens_per_sec",), ("first,2.5,1000.5",), ("second,1.25,",)]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.text(path)
+    assert sorted(map(tuple, logs.read_csv_ledgers(spark, path).collect())) == [("first", 2.5, 1000.5), ("second", 1.25, None)]

@@ -95,18 +95,18 @@ def matched_positions(index: DataFrame, items: DataFrame, seeds: DataFrame) -> D
         .select(*KEY, "item", "n_item", (F.col("pos") - F.col("item_pos")).alias("offset"))
         .distinct()
     )
-    # Written, so that the planner knows its size and broadcasts it while it is small.
-    candidates = materialize(candidates, "bench-candidates")
+    # The index is wide and the candidates few: it stays in place while they fit.
+    candidates = bounded(candidates, "bench-candidates", BROADCAST_BYTES, 60)
     places = bounded(items.select("item", "item_pos", "word_id"), "bench-places", BROADCAST_BYTES, 100)
     return (
         index.where("pos >= 0")
         .select(*KEY, "pos", "word_id")
-        .distinct()
         .join(candidates, list(KEY))
         .withColumn("item_pos", F.col("pos") - F.col("offset"))
         .where("item_pos >= 0 AND item_pos < n_item")
         .join(places, ["item", "item_pos", "word_id"])
         .select(*KEY, "item", "n_item", "offset", "item_pos")
+        .distinct()  # repeated rows of a document repeat their postings
     )
 
 

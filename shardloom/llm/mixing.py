@@ -9,8 +9,8 @@ order in which tasks end and reruns agree.
 
 Rates become whole copies: everyone gets the whole part, and what is missing to a source's target
 is filled with one more copy of documents in the order of (hash / fractional part), which favours
-large fractions. The cut is found over totals per block of that order first; rows are ordered only
-within the block that holds the cut.
+large fractions. The cut is found over totals per coarse block of that order, then per fine block
+within the one that holds it; rows are ordered only within that fine block.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from shardloom.session import materialize
 WEIGHTS = (5, 2, 1)
 CAP = 2
 SCALE = 1024  # fractions of a word kept in a histogram row's share of a sum
-BLOCKS = 1 << 16
+BLOCKS = 1 << 20  # of the order in which fractions are filled up, per unit of it
+COARSE = 12  # bits of blocks that are summed together first
 MAX_STEPS = 60
 
 
@@ -123,26 +124,30 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 15
     state = solve(histogram.drop("source"), targets(sizes, weights, percent))
     state = state.select("_s", "source_size", "target", "_limit", "_m", "_mean")
     fractional = rows.join(small(state, "mix-solved"), "_s").select("_s", "size", "_h", *rated())
-    blocks = (
-        fractional.groupBy("_s", "_block")
-        .agg(F.sum(F.col("size") * F.col("_whole")).alias("_sure"), F.sum(F.when(F.col("_part") > 0, F.col("size"))).alias("_more"))
-    )
-    before = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    running = blocks.select(
-        "_s",
-        "_block",
-        F.coalesce("_more", F.lit(0)).alias("_more"),
-        F.coalesce(F.sum("_more").over(before), F.lit(0)).alias("_before"),
-        F.sum("_sure").over(Window.partitionBy("_s")).alias("_sure"),
-    ).join(state.select("_s", "target"), "_s")
-    missing = F.col("target") - F.col("_sure")
-    cut = (
-        running.where((F.col("_before") < missing) & (F.col("_before") + F.col("_more") >= missing))
-        .groupBy("_s")
-        .agg(F.min(F.struct("_block", "_before", missing.alias("_missing"))).alias("_cut"))
-    )
+    more = F.sum(F.when(F.col("_part") > 0, F.col("size"))).alias("_more")
+    coarse = F.shiftright("_block", COARSE).alias("_block")
+    totals = fractional.groupBy("_s", coarse).agg(F.sum(F.col("size") * F.col("_whole")).alias("_sure"), more)
+    totals = materialize(totals, "mix-blocks")
+    sure = totals.groupBy("_s").agg(F.sum("_sure").alias("_sure"))
+    missing = state.join(sure, "_s").select("_s", (F.col("target") - F.col("_sure")).alias("_missing"), F.lit(0).cast("bigint").alias("_start"))
+    found = cut(totals, missing).join(missing.drop("_start"), "_s")
+    found = found.select("_s", "_missing", F.col("_before").alias("_start"), F.col("_block").alias("_coarse"))
+    found = small(found, "mix-coarse")
+    inside = fractional.join(found.select("_s", "_coarse"), "_s").where(F.shiftright("_block", COARSE) == F.col("_coarse"))
+    found = cut(inside.groupBy("_s", "_block").agg(more), found).join(found.select("_s", "_missing"), "_s")
     # No block reaches the target: only by rounding, and then every fraction is filled up.
-    return rows, state.join(cut.select("_s", "_cut.*").withColumnRenamed("_block", "_cut_block"), "_s", "left")
+    return rows, state.join(found.withColumnRenamed("_block", "_cut_block"), "_s", "left")
+
+
+def cut(totals: DataFrame, missing: DataFrame) -> DataFrame:
+    """(_s, _block, _before): the block of (_s, _block, _more) in which a source's running sum, begun at
+    ``_start``, reaches what is missing, and the sum before it. A level has few blocks per source."""
+    before = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    lead = totals.select("_s", "_block", F.coalesce("_more", F.lit(0)).alias("_more"), F.sum("_more").over(before).alias("_lead"))
+    placed = lead.join(missing, "_s").withColumn("_before", F.col("_start") + F.coalesce("_lead", F.lit(0)))
+    reached = (F.col("_before") < F.col("_missing")) & (F.col("_before") + F.col("_more") >= F.col("_missing"))
+    first = placed.where(reached).groupBy("_s").agg(F.min(F.struct("_block", "_before")).alias("_cut"))
+    return first.select("_s", "_cut.*")
 
 
 def placing() -> list[Column]:

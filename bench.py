@@ -18,7 +18,6 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
 HEADLINE = [
     "scan_corpus",
-    "tokenize_corpus",
     "token_offsets",
     "pack_shards",
     "corpus_census",
@@ -27,7 +26,6 @@ HEADLINE = [
     "assemble",
     "deal_batches",
     "scheduled_batches",
-    "tokenize_chat",
     "truncate",
     "sft_batches",
     "union_qa",
@@ -42,6 +40,7 @@ HEADLINE = [
     "stall_runs",
     "step_loss",
     "score_by_class",
+    "tuning_job",
 ]
 
 

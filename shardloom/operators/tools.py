@@ -184,19 +184,17 @@ def calculate_lists(lists: pd.Series) -> pd.Series:
 def evaluate_tool_calls(rows: DataFrame, expr: str = "expr") -> DataFrame:
     """Adds ``result`` and ``error``; a bad expression is an error row, not a failed job.
 
-    Plain calls never leave the JVM: Python receives null for them. No shuffle, so a popular
+    Plain calls never leave the JVM; only the others go to Python. No shuffle, so a popular
     expression is no hot key; repeats are evaluated once per Arrow batch.
     """
     ship_package(rows.sparkSession)
     # Parsed in a projection of its own, so the pattern runs once per row.
     staged = rows.withColumn("__call", parse_simple(F.col(expr))).withColumn("__simple", simple_value(F.col("__call")))
-    hard = F.when(F.col("__simple").isNull(), F.col(expr))
-    return (
-        staged.withColumn("__hard", calculate_column(hard))
-        .withColumn("result", F.coalesce("__simple", F.col("__hard.result")))
-        .withColumn("error", F.col("__hard.error"))
-        .drop("__call", "__simple", "__hard")
-    )
+    none = F.lit(None).cast("string")
+    plain = staged.where("__simple IS NOT NULL").withColumn("result", F.col("__simple")).withColumn("error", none)
+    hard = staged.where("__simple IS NULL").withColumn("__hard", calculate_column(F.col(expr)))
+    hard = hard.withColumn("result", F.col("__hard.result")).withColumn("error", F.col("__hard.error")).drop("__hard")
+    return plain.unionByName(hard).drop("__call", "__simple")
 
 
 def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected") -> DataFrame:
@@ -210,8 +208,10 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
         .withColumn("__simple", F.transform("__calls", simple_value))
         .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
-    hard = F.when(F.exists("__todo", lambda e: e.isNotNull()), F.col("__todo"))
-    staged = staged.withColumn("__hard", calculate_lists(hard))
+    is_hard = F.coalesce(F.exists("__todo", lambda e: e.isNotNull()), F.lit(False))
+    # Only texts with a call that isn't plain go to Python.
+    plain = staged.where(~is_hard).withColumn("__hard", F.lit(None).cast("array<string>"))
+    staged = plain.unionByName(staged.where(is_hard).withColumn("__hard", calculate_lists(F.col("__todo"))))
 
     def line(index: Column) -> Column:
         outcome = F.coalesce(

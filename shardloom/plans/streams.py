@@ -81,10 +81,10 @@ def samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT run, step, 'stall' AS kind, in_row FROM stalls UNION ALL SELECT run, step, 'idle', in_row FROM idles""",
 )
 def stream_stall_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = watch.stall_alerts(samples_stream(spark, sf_dir), stall_n=tele.STALL, idle_n=tele.IDLE)
-    path = new_scratch_path(spark, "stall-alerts")
-    watch.append_rows(alerts, path, new_scratch_path(spark, "stall-alerts-state")).awaitTermination()
-    return spark.read.schema(watch.ALERTS).parquet(path)
+    path, state = (new_scratch_path(spark, name) for name in ("stall-alerts", "stall-alerts-state"))
+    run = watch.watch_stalls(samples_stream(spark, sf_dir), path, state, stall_n=tele.STALL, idle_n=tele.IDLE)
+    run.awaitTermination()
+    return watch.read_alerts(spark, path)
 
 
 def lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

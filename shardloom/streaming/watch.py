@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shardloom.constants import IDLE_SAMPLES, MIN_UTIL, STALL_SAMPLES
-from shardloom.session import ship_package
+from shardloom.operators.ordering import dense_index, prefix_scan
 from shardloom.sources.logs import nonfinite_metrics, parse_metric_lines
 
 ALERTS = "run bigint, step bigint, kind string, in_row bigint"
-COUNTERS = "stall bigint, idle bigint"
+CARRY = "run bigint, last_step bigint, n_samples bigint, stall_break bigint, idle_break bigint"
 
 
 def nonfinite_alerts(lines: DataFrame) -> DataFrame:
@@ -23,48 +19,77 @@ def nonfinite_alerts(lines: DataFrame) -> DataFrame:
     return nonfinite_metrics(lines)
 
 
-def stall_alerts(
+def watch_stalls(
     samples: DataFrame,
+    path: str,
+    state: str,
     min_util: float = MIN_UTIL,
     stall_n: int = STALL_SAMPLES,
     idle_n: int = IDLE_SAMPLES,
-    silence_ms: int | None = None,
-) -> DataFrame:
-    """Alerts of (run, step, active, util) samples, with two counters of state per device.
-
-    Samples of a device must arrive in step order between triggers; inside one trigger they are
-    sorted here, so a trigger's size (files per trigger) bounds the memory. Counting goes on
-    after an alert. With ``silence_ms`` a device that sends nothing for that long is reported.
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Alerts of (run, step, active, util) samples: n low or idle samples of a device in a row.
+
+    Every trigger counts its samples in blocks (a device may send any share of them) and hands on one
+    row per device: its last step, its number of samples and where its streaks last broke. A trigger
+    writes alerts and that carry under its number, so a replay overwrites itself. Counting goes on
+    after an alert. Samples at or before a device's last counted step are late: they are kept under
+    ``late`` and change nothing.
     """
-    ship_package(samples.sparkSession)
-    columns = ["run", "step", "kind", "in_row"]
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stall, idle = state.get if state.exists else (0, 0)
-        alerts = []
-        if state.hasTimedOut:
-            alerts.append((key[0], -1, "silent", 0))
-        else:
-            rows = pd.concat(list(frames), ignore_index=True).sort_values("step")
-            for step, active, util in zip(rows["step"], rows["active"], rows["util"]):
-                low = active and not util >= min_util
-                stall = stall + 1 if low else 0
-                idle = 0 if active else idle + 1
-                if stall == stall_n:
-                    alerts.append((key[0], step, "stall", stall))
-                if idle == idle_n:
-                    alerts.append((key[0], step, "idle", idle))
-        state.update((stall, idle))
-        if silence_ms is not None:
-            state.setTimeoutDuration(silence_ms)
-        yield pd.DataFrame(alerts, columns=columns)
-
-    timeout = GroupStateTimeout.NoTimeout if silence_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return (
-        samples.select("run", "step", "active", "util")
-        .groupBy("run")
-        .applyInPandasWithState(count, ALERTS, COUNTERS, "append", timeout)
-    )
+
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = f"{path}/carry/batch={batch_id - 1}"
+        carry = spark.read.schema(CARRY).parquet(earlier) if batch_id else spark.createDataFrame([], CARRY)
+        seen = batch.select("run", "step", "active", "util").join(carry, "run", "left")
+        late = F.coalesce(F.col("step") <= F.col("last_step"), F.lit(False))
+        seen.where(late).select("run", "step", "active", "util").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        rows_path = f"{path}/rows/batch={batch_id}"
+        dense_index(seen.where(~late), ["run"], "step", "place").write.mode("overwrite").parquet(rows_path)
+        rows = spark.read.parquet(rows_path)
+        rows = rows.withColumn("place", F.col("place") + F.coalesce("n_samples", F.lit(0)) + 1)
+        low = F.col("active") & ~F.coalesce(F.col("util") >= min_util, F.lit(False))
+        idle = ~F.col("active")
+        scanned = prefix_scan(
+            rows, ["run"], "place", {"__stall": ("max", F.when(~low, F.col("place"))), "__idle": ("max", F.when(~idle, F.col("place")))}
+        )
+        none = F.lit(0).cast("bigint")
+        broke = lambda now, before: F.coalesce(F.col(now), F.col(before), none)
+        counted = scanned.select(
+            "run",
+            "step",
+            (F.col("place") - broke("__stall", "stall_break")).alias("stall"),
+            (F.col("place") - broke("__idle", "idle_break")).alias("idle"),
+        )
+        alerts = [
+            counted.where(F.col(kind) == n).select("run", "step", F.lit(kind).alias("kind"), F.col(kind).alias("in_row"))
+            for kind, n in (("stall", stall_n), ("idle", idle_n))
+        ]
+        alerts[0].unionByName(alerts[1]).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        now = rows.select(
+            "run",
+            F.col("step").alias("last_step"),
+            F.col("place").alias("n_samples"),
+            F.when(~low, F.col("place")).alias("stall_break"),
+            F.when(~idle, F.col("place")).alias("idle_break"),
+        )
+        columns = ("last_step", "n_samples", "stall_break", "idle_break")
+        merged = carry.unionByName(now).groupBy("run").agg(*[F.max(c).alias(c) for c in columns])
+        merged.write.mode("overwrite").parquet(f"{path}/carry/batch={batch_id}")
+
+    writer = samples.writeStream.foreachBatch(watch).option("checkpointLocation", state)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{ALERTS}, batch bigint").option("basePath", f"{path}/alerts").parquet(f"{path}/alerts").drop("batch")
+
+
+def silent_devices(spark: SparkSession, path: str, batch_id: int, last_wanted: int) -> DataFrame:
+    """Devices whose last counted sample lies before a step they should have reached."""
+    return spark.read.schema(CARRY).parquet(f"{path}/carry/batch={batch_id}").where(F.col("last_step") < last_wanted).select("run", "last_step")
 
 
 def progress_updates(lines: DataFrame) -> DataFrame:

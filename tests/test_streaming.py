@@ -48,9 +48,15 @@ def test_stall_counts_survive_triggers_and_restarts(spark):
     for part in (rows[:2], rows[2:5], rows[5:]):
         add(spark, path, part, schema)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-        watch.append_rows(watch.stall_alerts(stream, 40, 3, 2), out, state).awaitTermination()
-    found = [(r.step, r.kind) for r in spark.read.schema(watch.ALERTS).parquet(out).collect()]
-    assert sorted(found) == [(2, "stall"), (5, "idle")]
+        watch.watch_stalls(stream, out, state, 40, 3, 2).awaitTermination()
+    assert sorted((r.step, r.kind) for r in watch.read_alerts(spark, out).collect()) == [(2, "stall"), (5, "idle")]
+    # A late sample is kept apart and breaks no streak.
+    add(spark, path, [(1, 3, False, 0.0), (1, 7, True, None), (1, 8, True, 1.0), (1, 9, True, 1.0)], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    watch.watch_stalls(stream, out, state, 40, 3, 2).awaitTermination()
+    assert sorted((r.step, r.kind) for r in watch.read_alerts(spark, out).collect()) == [(2, "stall"), (5, "idle"), (9, "stall")]
+    assert [r.step for r in spark.read.option("basePath", f"{out}/late").parquet(f"{out}/late").collect()] == [3]
+    assert [r.run for r in watch.silent_devices(spark, out, 3, 10).collect()] == [1]
 
 
 def test_log_files_arrive_as_text(spark):

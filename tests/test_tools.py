@@ -77,7 +77,8 @@ def test_injection(spark):
         ("<tool_call>(2+3)*4</tool_call>",),
         ("x</tool_call>",),
     ]
-    out = [r.injected for r in t.inject_tool_result(spark.createDataFrame(rows, "text string")).collect()]
+    found = {r.text: r.injected for r in t.inject_tool_result(spark.createDataFrame(rows, "text string")).collect()}
+    out = [found[text] for text, in rows]
     assert out[0] == (
         "Sum: <tool_call>6/3</tool_call>\n<tool_result>2</tool_result>\n then "
         "<tool_call>bad</tool_call>\n<tool_result>ERROR: not a plain arithmetic expression</tool_result>\n."

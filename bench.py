@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from shardloom.operators import packing  # noqa: E402
 from shardloom.plans import corpus, fixtures  # noqa: E402
 from shardloom.plans.catalog import QUERIES  # noqa: E402
-from shardloom.session import build_session, new_scratch_path  # noqa: E402
+from shardloom.session import build_session, new_scratch_path, release_scratch  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -66,6 +66,7 @@ def main() -> None:
             began = time.perf_counter()
             QUERIES[name].run(spark, SF_DIR).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
+            release_scratch(spark)
         timings[name], first[name] = round(min(runs), 3), round(runs[0], 3)
     print(
         json.dumps(

@@ -232,11 +232,11 @@ def loader_cursor(dealt: DataFrame, B: int, T: int, ranks: int, reads: int) -> D
 def resume_after(dealt: DataFrame, cursor: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
     """Batches at or behind the saved position, the rest of the running epoch.
 
-    A cursor has one row per source, split and rank, so it is broadcast.
+    A cursor has one row per source, split and rank; the planner decides how to join it.
     """
     keys = ["source", "split", "rank"]
     at = (F.col("rank") + F.col("shard_k") * ranks) * (B * T)
     later = (F.col("shard_id") > F.col("next_shard")) | (
         (F.col("shard_id") == F.col("next_shard")) & (at >= F.col("next_pos"))
     )
-    return dealt.join(F.broadcast(cursor), keys).where(later).drop("next_shard", "next_pos")
+    return dealt.join(cursor, keys).where(later).drop("next_shard", "next_pos")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_paths: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "shardloom", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,7 +52,23 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate tables this application has written so far; returns how many paths.
+
+    For the end of a job, when its results are written elsewhere: frames that still read an
+    intermediate table cannot be used afterwards.
+    """
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from shardloom.operators.packing import pack_shards, token_offsets, tokenize_cor
 
 TOTALS = "source string, n_tok bigint"
 SEGMENTS = (
-    "source string, split string, shard_id bigint, seg_start bigint, ord bigint, n_tok int, tokens array<int>, batch bigint"
+    "seg_start bigint, ord bigint, n_tok int, tokens array<int>, batch bigint, source string, split string, shard_id bigint"
 )
 
 
@@ -40,7 +40,9 @@ def pack_stream(
 
     Each micro-batch writes its tokens, running totals and segments under its batch number, and
     starts at the totals of the number before, so a replayed batch overwrites itself with the
-    same rows and no trigger reads more than one earlier total.
+    same rows and no trigger reads more than one earlier total. Segments lie under their source,
+    split and shard, so a reader of one split opens its folders only. A source that has reached the
+    cap (whole shards) is not tokenised any more.
     """
 
     def before(spark: SparkSession, batch_id: int) -> DataFrame:
@@ -50,17 +52,20 @@ def pack_stream(
 
     def pack(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        base = before(spark, batch_id)
+        if total is not None:
+            full = base.where(F.col("n_tok") >= -(-total // shard_size) * shard_size).select("source")
+            batch = batch.join(full, "source", "left_anti")
         tokens_path = f"{path}/tokens/batch={batch_id}"
         tokenize_corpus(batch, vocab).write.mode("overwrite").parquet(tokens_path)
         tokens = spark.read.parquet(tokens_path)
-        base = before(spark, batch_id)
         counted = tokens.select("source", F.col("n_tok").cast("bigint").alias("n_tok"))
         totals = base.unionByName(counted).groupBy("source").agg(F.sum("n_tok").alias("n_tok"))
         totals.write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
-        # One row per source: a handful of named corpora.
-        placed = token_offsets(tokens).join(F.broadcast(base.withColumnRenamed("n_tok", "base")), "source", "left")
+        placed = token_offsets(tokens).join(base.withColumnRenamed("n_tok", "base"), "source", "left")
         shifted = placed.withColumn("start", F.col("start") + F.coalesce("base", F.lit(0))).drop("base")
-        pack_shards(shifted, shard_size, total, val_shards).write.mode("overwrite").parquet(
+        segments = pack_shards(shifted, shard_size, total, val_shards)
+        segments.write.mode("overwrite").partitionBy("source", "split", "shard_id").parquet(
             f"{path}/segments/batch={batch_id}"
         )
 
@@ -72,4 +77,4 @@ def pack_stream(
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).option("basePath", f"{path}/segments").parquet(f"{path}/segments")
-    return segments.drop("batch")
+    return segments.select("source", "split", "shard_id", "seg_start", "ord", "n_tok", "tokens")

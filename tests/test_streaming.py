@@ -76,6 +76,13 @@ def test_packing_respects_the_cap(spark):
     stream = scan_corpus_stream(spark, path, DOCS, order_col="ord", files_per_trigger=1)
     sc.pack_stream(stream, out, state, 100, total=150, vocab="char").awaitTermination()
     assert sc.read_packed(spark, out).agg(F.sum("n_tok")).first()[0] == 200
+    # Nothing of a full source is read any more, and a split's folders are all that is opened.
+    add(spark, path, [("a", 20 + i, "x" * 24) for i in range(5)] + [("b", 1, "y" * 24)], DOCS)
+    stream = scan_corpus_stream(spark, path, DOCS, order_col="ord", files_per_trigger=1)
+    sc.pack_stream(stream, out, state, 100, total=150, vocab="char").awaitTermination()
+    assert [r.source for r in spark.read.parquet(f"{out}/tokens/batch=2").collect()] == ["b"]
+    val = sc.read_packed(spark, out).where("split = 'val'")
+    assert "PartitionFilters: [isnotnull(split" in val._jdf.queryExecution().toString()
 
 
 def test_progress_and_bad_values(spark):

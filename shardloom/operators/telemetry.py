@@ -231,7 +231,7 @@ def phase_summary(rows: DataFrame) -> DataFrame:
 
 
 def compare_runs(rows: DataFrame, runs: Sequence[str], value: str = "loss") -> DataFrame:
-    """Named runs side by side at equal steps."""
+    """Named runs side by side at equal steps; the caller names the columns wanted."""
     return rows.groupBy("step").pivot("run", list(runs)).agg(F.first(value))
 
 

@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The line formats.
 TRAIN_LINE = r"^(\d+) train (\S+) norm (\S+)"
-RATE_FIELDS = r" lr_muon (\S+) lr_adam (\S+) tok_s (\S+)"
+RATE_NAMES = ("lr_muon", "lr_adam", "tok_s")
 VAL_LINE = r"^(\d+) val (\S+)$"
 TUNING_LINE = r"^(\d+) loss (\S+) norm (\S+)$"
 NONFINITE = r"(?i) (nan|inf)( |$)"
 CHECKPOINT_STEP = r"(?:ckpt|sft)_(\d+)"
 
 
-def _field(line: Column, pattern: str, group: int, dtype: str) -> Column:
-    return F.regexp_extract(line, pattern, group).try_cast(dtype)
-
-
 def parse_metric_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Typed rows of train, val and tuning lines; other lines (samples, notes) are not metrics.
 
-    Adds step, kind, loss, norm, lr_a, lr_b, tok_s; works on batch and streaming frames alike.
+    Adds step, kind, loss, norm, lr_a, lr_b, tok_s; works on batch and streaming frames alike. The
+    patterns only decide what kind a line is; its fields come from one split.
     """
     text = F.col(line)
     kind = (
         F.when(text.rlike(TRAIN_LINE), "train").when(text.rlike(VAL_LINE), "val").when(text.rlike(TUNING_LINE), "sft")
     )
     others = [c for c in lines.columns if c != line]
-    pick = lambda group, dtype: (
-        F.when(F.col("kind") == "train", _field(text, TRAIN_LINE, group, dtype))
-        .when(F.col("kind") == "sft", _field(text, TUNING_LINE, group, dtype))
-    )
+    part = lambda i: F.get("__parts", i)
+    number = lambda i: part(i).try_cast("double")
+    rates = F.array_position("__parts", RATE_NAMES[0]).cast("int")  # from 1; the first value's index from 0
+    named = (rates > 0) & (part(rates + 1) == RATE_NAMES[1]) & (part(rates + 3) == RATE_NAMES[2])
+    rate = lambda i: F.when(named, number(rates + i))
     return (
         lines.withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
+        .withColumn("__parts", F.split(text, r"\s"))
         .select(
             *others,
             "kind",
-            F.regexp_extract(text, r"^(\d+)", 1).try_cast("bigint").alias("step"),
-            F.coalesce(pick(2, "double"), _field(text, VAL_LINE, 2, "double")).alias("loss"),
-            pick(3, "double").alias("norm"),
-            _field(text, RATE_FIELDS, 1, "double").alias("lr_a"),
-            _field(text, RATE_FIELDS, 2, "double").alias("lr_b"),
-            _field(text, RATE_FIELDS, 3, "double").alias("tok_s"),
+            part(F.lit(0)).try_cast("bigint").alias("step"),
+            number(F.lit(2)).alias("loss"),
+            F.when(F.col("kind") != "val", number(F.lit(4))).alias("norm"),
+            rate(0).alias("lr_a"),
+            rate(2).alias("lr_b"),
+            rate(4).alias("tok_s"),
         )
     )
 

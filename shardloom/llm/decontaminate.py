@@ -96,7 +96,7 @@ def matched_positions(index: DataFrame, items: DataFrame, seeds: DataFrame) -> D
         .distinct()
     )
     # The index is wide and the candidates few: it stays in place while they fit.
-    candidates = bounded(candidates, "bench-candidates", BROADCAST_BYTES, 60)
+    candidates = bounded(candidates, "bench-candidates", BROADCAST_BYTES, 120)
     places = bounded(items.select("item", "item_pos", "word_id"), "bench-places", BROADCAST_BYTES, 100)
     return (
         index.where("pos >= 0")

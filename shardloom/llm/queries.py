@@ -195,3 +195,30 @@ FROM r JOIN (SELECT host, path, template FROM tree) USING (host, path) JOIN pur
 
 
 SQL["op3_url_filters"] = _url_sql()
+
+
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of bytes given as hexadecimal digits, half a byte at a time, with the usual reflected
+    polynomial."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    digit = f"strpos('0123456789ABCDEF', substr({digits}, j + 2 - j % 2 * 2, 1)) - 1"  # the low half first
+    halves = f"list_transform(range(strlen({digits})), lambda j: ({digit})::BIGINT)"
+    step = f"xor(crc >> 4, ({table}::BIGINT[])[xor(crc & 15, half) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {halves}, lambda crc, half: {step}), 4294967295::BIGINT)"
+
+
+SQL["op2_sharding"] = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+s AS (SELECT doc_id, strlen(digits) // 2 + 16 AS size, {_crc32_sql("digits")} AS text_crc32 FROM t),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start,
+             sum(size) OVER () AS total FROM s),
+c AS (SELECT *, ((2 * start + size) * 40 // (2 * total))::INTEGER AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM c
+"""

@@ -201,8 +201,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of the links (a, b) but the roots.
 
     Rounds of large-star (everyone larger than me hangs under my smallest neighbour) and small-star
-    (everyone smaller than me too) until nothing changes. Minima are combined before the shuffle
-    and links are joined, so a node with very many neighbours is never gathered.
+    (everyone smaller than me too) until nothing changes. Minima are combined before the shuffle and
+    written, so that the join to them is planned by size: without a shuffle while they are small, and
+    with adaptive splitting of a node with very many neighbours beyond.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "links")
     state = None
@@ -213,9 +214,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
+        low = materialize(low, "minima")
         star = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
         star = materialize(star.where("a <> b").distinct(), "links")
-        low = star.groupBy("a").agg(F.min("b").alias("_low"))
+        low = materialize(star.groupBy("a").agg(F.min("b").alias("_low")), "minima")
         hung = star.join(low, "a").where("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
         edges = materialize(hung.unionByName(low.select("a", F.col("_low").alias("b"))).distinct(), "links")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

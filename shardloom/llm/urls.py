@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import UPPER
+from shardloom.llm.common import UPPER, bounded
 from shardloom.session import materialize
 
 # Verdict and rule (host and path).
@@ -67,11 +67,13 @@ def grow(paths: DataFrame, depth: int) -> DataFrame:
     rows = paths.withColumn("_s", here).withColumn("_shape", shape(here))
     node = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "good")]
-    children = rows.where("_s IS NOT NULL").groupBy(*node, "_s", "_shape").agg(*sums)
+    children = materialize(rows.where("_s IS NOT NULL").groupBy(*node, "_s", "_shape").agg(*sums), "url-children")
     shapes = children.groupBy(*node, "_shape").agg(
         F.count("*").alias("_values"), F.sum("pages").alias("_pages"), *[F.sum(c).alias(f"_{c}") for c in ("labelled", "good")]
     )
     shapes = shapes.withColumn("_variable", (F.col("_values") >= MANY) & (F.col("_pages") <= RARE * F.col("_values")))
+    # A row per node and shape: a host with very many segments is not dealt out by them again.
+    shapes = bounded(shapes, "url-shapes", 32 << 20, 200)
     literal = shapes.where("NOT _variable").groupBy(*node).agg(
         F.sum("_labelled").alias("_all_labelled"), F.sum("_good").alias("_all_good"), F.sum("_values").alias("_branches")
     )
@@ -113,10 +115,9 @@ def purity(rows: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("labelled", "good")]
     by_template = rows.groupBy("host", "template").agg(*sums)
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("_hl"), F.sum("good").alias("_hg"))
-    whole = by_host.agg(((F.sum("_hg") + 1) / (F.sum("_hl") + 2)).alias("_p"))
-    by_host = by_host.join(F.broadcast(whole), F.lit(True)).select(  # one row
-        "host", ((F.col("_hg") + PRIOR * F.col("_p")) / (F.col("_hl") + PRIOR)).alias("_hp")
-    )
+    good, labelled = by_host.agg(F.sum("_hg"), F.sum("_hl")).first()  # two numbers
+    whole = F.lit(((good or 0) + 1) / ((labelled or 0) + 2))
+    by_host = by_host.select("host", ((F.col("_hg") + PRIOR * whole) / (F.col("_hl") + PRIOR)).alias("_hp"))
     smooth = (F.col("good") + PRIOR * F.col("_hp")) / (F.col("labelled") + PRIOR)
     return by_template.join(by_host, "host").select("host", "template", smooth.alias("purity"))
 

@@ -1,11 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects documents whose ratio exceeds a cutoff. Per stratum (language) and rule, cutoffs
-of a fixed grid are tested from the loosest to the strictest on documents labelled good: the exact
-binomial tail tells whether the share of good documents rejected is below the rule's part of
-``alpha``. Testing stops at the first cutoff that fails, so the grid itself needs no correction;
-strata and rules share ``delta`` equally (Bonferroni). With probability 1 - delta, all rules
-together falsely reject at most ``alpha`` of the good documents of every stratum.
+Each rule rejects documents whose ratio exceeds a cutoff. The rules are tightened along one path of
+joint settings, each stricter than the one before: the order comes from documents labelled bad (what
+rejects most of them comes first), never from those labelled good. Per stratum (language) the path's
+settings are tested in turn on documents labelled good: the exact binomial tail tells whether the
+share of good documents that all rules together reject is below ``alpha``. Testing stops at the first
+setting that fails, so neither the path's length nor the number of rules needs a correction; strata
+share ``delta`` equally (Bonferroni).
+
+A stratum with too few good labels for even a setting that rejects none of them is not tested by
+itself. It takes the setting found for the good documents of all strata together, which has a part of
+``delta`` of its own, no further than its own good labels show at most ``alpha`` rejected. With
+probability 1 - delta, at most ``alpha`` of the good documents are falsely rejected in every tested
+stratum, and of all strata together where the pooled setting is used; for a small stratum alone
+nothing is promised. A stratum without any good label is no part of that pool and keeps whatever the
+base part keeps.
 """
 
 from __future__ import annotations
@@ -13,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +35,7 @@ SYMBOLS = "#*$%&|<>"
 NGRAM = 5
 ALPHA = 0.01
 DELTA = 0.05
+POOLED = 0.2  # the pooled test's part of delta
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_lines bigint, n_repeat_words bigint"
 
 
@@ -135,28 +146,85 @@ def strictest(n_good: int, rejected: list[int], grid: tuple[float, ...], alpha:
     return best
 
 
-def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and one cutoff column per rule (null: rule unused), from rows (stratum, numbers) of
-    documents labelled good. Rejections per cutoff are counted before anything is gathered: a row
-    per stratum leaves the cluster's aggregation, with one count per rule and cutoff."""
+def least_good(alpha: float, delta: float) -> int:
+    """Good documents it takes for a setting that rejects none of them to pass."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
+def first_exceeded() -> dict[str, Column]:
+    """Per rule, the place in its grid of the loosest cutoff that rejects a row; the grid's length if none."""
     values = rule_values()
-    counts = [
-        F.count(F.when(values[name] > c, 1)).alias(f"{name}_{i}")
+    return {
+        name: F.lit(len(grid)) - sum((F.when(values[name] > c, 1).otherwise(0) for c in grid), F.lit(0))
         for name, grid in RULES.items()
-        for i, c in enumerate(grid)
-    ]
-    table = materialize(good.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts), "quality-counts")
-    share, part = delta / (len(RULES) * max(1, table.count())), alpha / len(RULES)
+    }
+
+
+def tightening(bad: list[tuple[tuple[int, ...], int]]) -> list[tuple[str, int]]:
+    """The path: (rule, place in its grid) of each step, from (first exceeded places, rows) of bad
+    documents. Next comes what rejects most bad documents not rejected yet, in the fewest steps;
+    cutoffs that reject no more of them come last, loosest first."""
+    names = list(RULES)
+    first = np.array([f for f, _ in bad], dtype=np.int64).reshape(-1, len(names))
+    rows = np.array([n for _, n in bad], dtype=np.int64)
+    done = dict.fromkeys(names, 0)
+    path: list[tuple[str, int]] = []
+    while True:
+        offers = [
+            (int(rows[first[:, r] < stop].sum()), done[name] - stop, -r, name, stop)
+            for r, name in enumerate(names)
+            for stop in range(done[name] + 1, len(RULES[name]) + 1)
+        ]
+        gain, _, r, name, stop = max(offers, default=(0, 0, 0, "", 0))
+        if not gain:
+            break
+        path += [(name, i) for i in range(done[name], stop)]
+        done[name] = stop
+        left = first[:, -r] >= stop
+        first, rows = first[left], rows[left]
+    rest = [(i, names.index(name), name) for name in names for i in range(done[name], len(RULES[name]))]
+    return path + [(name, i) for i, _, name in sorted(rest)]
+
+
+def cutoffs(good: DataFrame, bad: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and one cutoff column per rule (null: rule unused), from rows (stratum, numbers) of
+    documents labelled good and bad. Bad rows are gathered as counts of their places in the grids (8
+    to the 5th at most). Rejections per step are counted before anything is gathered: a row per
+    stratum leaves the cluster's aggregation, with one count per step."""
+    places = first_exceeded()
+    seen = bad.groupBy(*[c.alias(name) for name, c in places.items()]).agg(F.count("*").alias("_n")).collect()
+    path = tightening(sorted((tuple(r[name] for name in RULES), r["_n"]) for r in seen))
+    steps = range(len(path))
+    # The step that rejects a row first.
+    step = F.least(
+        *[
+            F.element_at(F.array(*[F.lit(path.index((name, i))) for i in range(len(grid))], F.lit(len(path))), places[name] + 1)
+            for name, grid in RULES.items()
+        ]
+    )
+    counts = [F.count(F.when(F.col("_step") <= s, 1)).alias(f"step_{s}") for s in steps]
+    table = good.select("stratum", step.alias("_step")).groupBy("stratum").agg(F.count("*").alias("n_good"), *counts)
+    table = materialize(table, "quality-counts")
+    pool = table.agg(F.sum("n_good").alias("n_good"), *[F.sum(f"step_{s}").alias(f"step_{s}") for s in steps]).first()
+    pooled = strictest(pool["n_good"] or 0, [pool[f"step_{s}"] or 0 for s in steps], tuple(steps), alpha, POOLED * delta)
+    # The strata tested are chosen by their size alone, before any rejection is looked at.
+    enough = least_good(alpha, (1 - POOLED) * delta / max(1, table.count()))
+    share = (1 - POOLED) * delta / max(1, table.where(F.col("n_good") >= enough).count())
+
+    def reached(n: int, rejected: list[int]) -> int | None:
+        if n >= enough:
+            return strictest(n, rejected, tuple(steps), alpha, share)
+        fine = [s for s in steps if pooled is not None and s <= pooled and rejected[s] <= alpha * n]
+        return max(fine, default=None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            columns = [batch[f"step_{s}"].tolist() for s in steps]
+            last = [reached(n, list(k)) for n, k in zip(batch["n_good"].tolist(), zip(*columns))]
+            settings = [{name: RULES[name][i] for name, i in path[: s + 1]} if s is not None else {} for s in last]
             out = {"stratum": batch["stratum"]}
-            for name, grid in RULES.items():
-                columns = [batch[f"{name}_{i}"].tolist() for i in range(len(grid))]
-                found = [
-                    strictest(n, list(k), grid, part, share) for n, k in zip(batch["n_good"].tolist(), zip(*columns))
-                ]
-                out[name] = pd.Series(found, index=batch.index, dtype="float64")
+            for name in RULES:
+                out[name] = pd.Series([found.get(name) for found in settings], index=batch.index, dtype="float64")
             yield pd.DataFrame(out)
 
     return table.mapInPandas(run, "stratum string, " + ", ".join(f"{name} double" for name in RULES))
@@ -170,17 +238,18 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, base numbers, base_failed and kept of every document.
 
-    A null language is a stratum of its own. Strata without enough good labels keep whatever the
-    base part keeps. An id labelled twice is good only if both labels say so; null labels and ids
-    don't count. Rows that share an id are judged each by its own text.
+    A null language is a stratum of its own. Strata without a good label keep whatever the base part
+    keeps, others with few take the pooled setting. An id labelled twice is good only if both labels
+    say so; null labels and ids don't count. Rows that share an id are judged each by its own text.
     """
     ship_package(docs.sparkSession)
     stratum = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("lang "), "lang"))
     rows = docs.select("doc_id", stratum.alias("stratum"), base_statistics(F.col("text")).alias("_b"))
     rows = materialize(rows.select("doc_id", "stratum", "_b.*"), "quality-rows")
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    good = good.groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q > 0").select("doc_id")
-    found = cutoffs(rows.where(~base_failed()).join(good, "doc_id", "left_semi"), alpha, delta)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg((F.min("quality") > 0).alias("_good"))
+    known = materialize(rows.where(~base_failed()).join(known, "doc_id"), "quality-labelled")
+    found = cutoffs(known.where("_good"), known.where("NOT _good"), alpha, delta)
     found = bounded(found, "quality-cutoffs", 8 << 20, 100)
     values = rule_values()
     passed = [F.col(f"_c.{name}").isNull() | (values[name] <= F.col(f"_c.{name}")) for name in RULES]

@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.llm import quality as Q
 from shardloom.llm.common import documents
@@ -65,3 +66,36 @@ def test_odd_rows(spark):
         [(None, 0, True, False), (1, 0, True, False), (1, 0, True, False), (2, 30000, True, False), (3, 30, False, True)], key=str
     )
     assert Q.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_the_path_follows_bad_documents():
+    path = Q.tightening([((7, 7, 7, 7, 7), 9), ((5, 7, 7, 7, 7), 3), ((7, 7, 1, 7, 7), 2)])
+    assert path[:8] == [("symbols", i) for i in range(6)] + [("repeat_words", i) for i in range(2)]
+    assert len(path) == len(set(path)) == sum(map(len, Q.RULES.values()))
+    assert Q.tightening([])[:2] == [("symbols", 0), ("dup_lines", 0)]
+    assert all(path.index((name, i)) < path.index((name, i + 1)) for name, grid in Q.RULES.items() for i in range(len(grid) - 1))
+
+
+def test_junk_goes_though_languages_are_small(spark):
+    """Of four languages one has 2,027 good documents, two just under 500 and one 312."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op6_quality"](spark, sf).join(documents(spark, sf).select("doc_id", "lang"), "doc_id").where("NOT base_failed")
+    junk = got.where("n_symbols > 0.02 * word_chars")
+    assert junk.count() == 698 and junk.where("kept").count() == 0
+    good = got.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    lost = {r["lang"]: (r["n"], r["lost"]) for r in good.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("lost")).collect()}
+    assert min(n for n, _ in lost.values()) < 459 and all(k <= 0.01 * n for n, k in lost.values())
+
+
+def test_small_strata_use_the_pool(spark):
+    good = "plain words of a clean text that has no symbols at all here "
+    junk = "#a *b &c |d <e >f $g %h i j k l m"
+    lang = lambda i: f"l{i % 10}"
+    rows = [(i, good + f"word{i:05}", lang(i)) for i in range(1000)] + [(2000 + i, junk, lang(i)) for i in range(10)]
+    # In l9 good documents look like junk, so its own labels hold it back; l10 has no label at all.
+    rows += [(3000 + i, junk, "l9") for i in range(2)] + [(4000, junk, "l10")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = [(i, 1) for i in range(1000)] + [(2000 + i, 0) for i in range(9)] + [(3000 + i, 1) for i in range(2)]
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(got[2000 + i] for i in range(9)) and got[2009] and got[4000]
+    assert all(got[i] for i in range(1000)) and all(got[3000 + i] for i in range(2))

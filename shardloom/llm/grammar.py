@@ -52,7 +52,7 @@ FILE_ARROW = pa.schema(
     ]
 )
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -70,14 +70,21 @@ class Encoder:
     space, so a text's ids are those of its space-led pieces, one after the other. A piece is encoded
     once per worker; new pieces are encoded many to a string and told apart by the tokens that hold a
     space. Texts with a space after white space are encoded as they are.
+
+    With ``special``, the string of a special token in a text becomes that token, as by the library's
+    plain ``encode``; otherwise it is ordinary text. Texts that hold such a string are encoded as they
+    are too, so pieces never see one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = not special
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values() if special or not t.special]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max(self.tokenizer.get_vocab_size(), 1 + max(vocabulary.values())), dtype=bool)
         self.leads[[i for t, i in vocabulary.items() if "Ġ" in t]] = True
@@ -90,7 +97,7 @@ class Encoder:
         self.flat[0], self.start[0], self.length[0] = END, 0, 1
 
     def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Code of the first of new entries, whose ids follow each other."""
@@ -127,6 +134,8 @@ class Encoder:
         if self.known > CACHED_PIECES:
             self.clear()
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        for mark in self.marks:
+            unsafe = unsafe | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         safe = pc.if_else(pa.array(unsafe), pa.scalar("", texts.type), texts) if unsafe.any() else texts
         split = pc.split_pattern(safe, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
@@ -281,11 +290,12 @@ class Shard:
         return out
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD_IDS) -> None:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD_IDS, special: bool = False) -> None:
     """Encode and compress ``docs`` into the folder ``path``, in ascending order of doc_id.
 
     Null texts are empty (one end id); null ids come first; equal ids are ordered by a hash of the
     text. A document longer than a shard is a shard of its own. No rows write an empty folder.
+    ``special``: strings of special tokens in a text become those tokens.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -302,7 +312,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, shard_ids: int = SHARD
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        key = (tokenizer, special)
+        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -374,7 +385,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the files to the shared folder and read every document back."""
+    """Write the files to the shared folder and read every document back. The ids are those of the
+    library's plain ``encode(text, add_special_tokens=False)``."""
     path = new_scratch_path(docs.sparkSession, "token-files")
-    write_ids(docs, tokenizer, path)
+    write_ids(docs, tokenizer, path, special=True)
     return read_ids(docs.sparkSession, path)

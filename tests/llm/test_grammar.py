@@ -75,3 +75,16 @@ def test_null_ids_come_first(spark):
     docs = spark.createDataFrame([(1, "b"), (None, "a a")], "doc_id long, text string")
     got = {r["doc_id"]: r["start"] for r in G.encoded_documents(docs, TOKENIZER).collect()}
     assert got == {None: 0, 1: 3}
+
+
+def test_special_strings_as_by_the_unmodified_tokenizer(spark):
+    texts = ODD + ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endof text|> <|endoftext|", "one two"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    found = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert 50256 in found[len(ODD)]
+    ids, counts = G.Encoder(TOKENIZER, special=True).encode(pa.array(texts))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == found
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    starts = np.cumsum([0] + [len(f) for f in found]).tolist()
+    rows = [(i, starts[i], len(f), zlib.crc32(np.array(f, dtype="<u4").tobytes())) for i, f in enumerate(found)]
+    assert sorted(map(tuple, G.encoded_documents(docs, TOKENIZER).collect())) == rows

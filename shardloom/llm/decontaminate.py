@@ -145,9 +145,12 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     return build_index(docs, terms), materialize(items.join(terms, "word").drop("word"), "bench-items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: tuple[int, int] | None = None) -> DataFrame:
     """_k1, _k2, doc_id, n_words, n_hit, items (ids of occurring items) of every document.
 
+    With ``near`` = (terms, slop) there is n_near_items too: how many items ``near_places`` finds in
+    the document, from the same index.
+
     Null and empty texts have no words and no hits; so do all documents where the benchmark is
     empty. Benchmark items without words are left out. Rows equal in id and text get equal results;
     rows that share only the id are told apart. A null item id counts as an item and is listed as
@@ -166,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
     )
     found = materialize(covered_words(runs).join(listed, list(KEY)), "bench-found")
-    return (
+    out = (
         index.where("word_id = 0")
         .select(*KEY, "doc_id", "n_words")
         .join(found, list(KEY), "left")
@@ -178,6 +181,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
     )
+    if near is None:
+        return out
+    close = near_places(index, items, *near).groupBy(*KEY).agg(
+        F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("_near")
+    )
+    close = materialize(close, "bench-near-found")
+    return out.join(close, list(KEY), "left").withColumn("n_near_items", F.coalesce("_near", F.lit(0).cast("bigint"))).drop("_near")
 
 
 def is_contaminated(percent: int = 5) -> Column:
@@ -196,18 +206,25 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
     """doc_id, item_id, start, stop: stretches of at most ``slop`` words that hold the ``terms``
-    rarest terms of an item in any order (all of a shorter item's terms).
+    rarest terms of an item in any order (all of a shorter item's terms)."""
+    found = near_places(*prepare(docs, benchmark), terms, slop)
+    return found.select("doc_id", "item_id", "start", "stop").distinct()
 
-    Postings of those terms are ordered by position per document and item; each is followed by the
-    next place of every other term, so no pairs are formed. The shortest stretch from each posting
-    of the rarest term counts.
+
+def near_places(index: DataFrame, items: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
+    """_k1, _k2, doc_id, item, item_id, start, stop of the proximity matches in a written index.
+
+    Only terms that occur in the corpus are ranked, so a reworded item is found by its other words;
+    an item of which fewer than ``terms`` (or than it has) occur has no match. Postings of those
+    terms are ordered by position per document and item; each is followed by the last place of every
+    other term, so no pairs are formed. The shortest stretch that ends at each posting counts.
     """
-    index, items = prepare(docs, benchmark)
     counts = index.where("pos >= 0").groupBy("word_id").agg(F.count("*").alias("n_postings"))
-    wanted = items.select("item", "item_id", "word_id").distinct().join(counts, "word_id", "left")
-    rank = Window.partitionBy("item").orderBy(F.coalesce("n_postings", F.lit(0)), "word_id")
-    wanted = wanted.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= terms)
-    wanted = wanted.withColumn("_of", F.count("*").over(Window.partitionBy("item")))
+    own = Window.partitionBy("item")
+    wanted = items.select("item", "item_id", "word_id").distinct().withColumn("_of", F.least(F.count("*").over(own), F.lit(terms)))
+    wanted = wanted.join(counts, "word_id")
+    wanted = wanted.withColumn("_rank", F.row_number().over(own.orderBy("n_postings", "word_id"))).where(F.col("_rank") <= terms)
+    wanted = wanted.withColumn("_found", F.count("*").over(own)).where("_found = _of")
     wanted = bounded(wanted.select("item", "item_id", "word_id", "_rank", "_of"), "bench-near", BROADCAST_BYTES, 60)
     postings = index.where("pos >= 0").select(*KEY, "doc_id", "pos", "word_id").distinct().join(wanted, "word_id")
     here = Window.partitionBy(*KEY, "item").orderBy("pos")
@@ -215,4 +232,4 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: in
     seen = postings.select("*", *[c.alias(f"_last{r}") for r, c in last.items()])
     start = F.least(*[F.when(F.col("_of") >= r, F.coalesce(F.col(f"_last{r}"), F.lit(-(1 << 30)))) for r in last], F.col("pos"))
     seen = seen.withColumn("start", start).withColumn("stop", F.col("pos") + 1)
-    return seen.where(F.col("stop") - F.col("start") <= slop).select("doc_id", "item_id", "start", "stop").distinct()
+    return seen.where(F.col("stop") - F.col("start") <= slop).select(*KEY, "doc_id", "item", "item_id", "start", "stop")

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 from shardloom.llm import decontaminate as D
 from shardloom.llm.queries import QUERIES, SQL
@@ -64,3 +66,35 @@ def test_near_matches(spark):
     bench = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
     got = {tuple(r) for r in D.near_matches(docs, bench, terms=3, slop=8).collect()}
     assert got == {(1, 9, 2, 7)}
+
+
+def test_near_matches_equal_a_window_search(spark):
+    """The second item has a word that no document has; the third has only two of its three."""
+    items = [(1, "alpha beta gamma delta"), (2, "alpha absent beta gamma epsilon"), (3, "alpha beta missing"), (4, "zeta zeta")]
+    rng = random.Random(3)
+    pool = "alpha beta gamma delta epsilon zeta u v w x y z".split()
+    docs = [(i, " ".join(rng.choices(pool, weights=[3, 4, 5, 2, 1, 1, 9, 9, 9, 9, 9, 9], k=40))) for i in range(30)] + [(30, None)]
+    terms, slop = 3, 6
+    corpus = Counter(w for _, t in docs for w in words(t))
+    wanted = {}
+    for item_id, text in items:
+        distinct = set(words(text))
+        ranked = sorted((w for w in distinct if corpus[w]), key=lambda w: corpus[w])
+        if len(ranked) >= min(terms, len(distinct)):
+            assert len({corpus[w] for w in ranked}) == len(ranked)  # no ties
+            wanted[item_id] = set(ranked[:terms])
+    assert sorted(wanted) == [1, 2, 4]
+    spans = set()
+    for doc_id, text in docs:
+        w = words(text)
+        for item_id, need in wanted.items():
+            for stop in range(1, len(w) + 1):
+                starts = [s for s in range(max(0, stop - slop), stop) if need <= set(w[s:stop])]
+                if starts and w[stop - 1] in need:
+                    spans.add((doc_id, item_id, max(starts), stop))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in D.near_matches(frame, bench, terms, slop).collect()} == spans
+    assert {i for _, i, _, _ in spans} == {1, 2, 4}
+    near = {r["doc_id"]: r["n_near_items"] for r in D.contamination(frame, bench, 4, (terms, slop)).collect()}
+    assert near == {d: len({i for e, i, _, _ in spans if e == d}) for d, _ in docs}

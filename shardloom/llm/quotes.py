@@ -1,19 +1,22 @@
 """Conversations in reply order, without quotes, by linking quoted passages to their originals.
 
 A message's leading ``>`` marks give each line a quote level. The lines of level 0 are what the
-message itself says. Lines are normalised (case, white space and marks don't count) and hashed; a
-conversation states a passage where its hash first stands at level 0. A quoted line of level 1 that
-was stated by an earlier message of the conversation is a vote for that message, and the message
-with most votes (the latest on a tie) is the one replied to. Deeper levels link to what is quoted
-there, and count as a message's ancestors.
-
-Statements are reduced to one row per (conversation, hash) before the join, so however often a line
-occurs, a quote meets one row; no pairs are formed within a conversation.
+message itself says. Lines are normalised (case, white space and marks don't count). Passages are
+single lines, paragraphs (lines without a blank one between them) and blocks (lines of one level
+without a line of another level between them), each joined without its line breaks and hashed, so
+that a passage wrapped anew has the same hash. A quoted passage links to the latest earlier message of
+the conversation that states it at level 0; where a block has a link, its paragraphs and lines are not
+looked at, and where a paragraph has one, its lines aren't. Each linked line of level 1 is a vote, and
+the message with most votes (the latest on a tie) is the one replied to. Deeper levels link to what is
+quoted there, and count as a message's ancestors. A quote of a part of a line finds no original.
+
+The latest earlier statement comes from one ordered scan over statements and quotes of a hash, in
+blocks of turns; no pairs are formed within a conversation, however often a line occurs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import text_or_empty
@@ -37,29 +40,61 @@ def normalised(line: Column) -> Column:
 
 
 def message_lines(messages: DataFrame) -> DataFrame:
-    """Rows (conv_id, _m, turn, at, level, line, hash); hash is null for lines without a word."""
+    """Rows (conv_id, _m, turn, at, level, plain); plain is null for lines without a word."""
     lines = messages.select(*KEY, "turn", F.posexplode(F.split(text_or_empty(F.col("text")), "\n", -1)).alias("at", "_raw"))
-    deep, plain = level(F.col("_raw")), normalised(F.col("_raw"))
-    said = F.when(plain != "", F.sha2(plain.cast("binary"), 256))
-    return lines.select(*KEY, "turn", "at", deep.alias("level"), F.col("_raw").alias("line"), said.alias("hash"))
-
-
-def statements(lines: DataFrame) -> DataFrame:
-    """(conv_id, hash, stated): where a conversation first says something of its own accord."""
-    place = F.struct(F.col("turn").alias("turn"), F.col("_m").alias("m"))
-    own = lines.where("level = 0 AND hash IS NOT NULL AND turn IS NOT NULL")
-    return own.groupBy("conv_id", "hash").agg(F.min(place).alias("stated"))
+    plain = normalised(F.col("_raw"))
+    return lines.select(*KEY, "turn", "at", level(F.col("_raw")).alias("level"), F.when(plain != "", plain).alias("plain"))
+
+
+def passages(lines: DataFrame) -> DataFrame:
+    """(conv_id, _m, turn, level, _block, _par, kind, n, hash): lines (kind 0), paragraphs of several
+    lines (1) and blocks of several paragraphs (2), with their lines that have words."""
+    order = Window.partitionBy(*KEY).orderBy("at")
+    changed = F.coalesce(F.col("level") != F.lag("level").over(order), F.lit(False))
+    numbered = lines.withColumn("_changed", changed)
+    numbered = numbered.withColumn("_block", F.sum(F.col("_changed").cast("int")).over(order))
+    numbered = numbered.withColumn("_par", F.sum((F.col("_changed") | F.col("plain").isNull()).cast("int")).over(order))
+    numbered = numbered.where("plain IS NOT NULL")
+    said = F.array_sort(F.collect_list(F.struct("at", "plain")))
+    pars = numbered.groupBy(*KEY, "turn", "level", "_block", "_par").agg(said.alias("_lines"))
+    joined = lambda c: F.sha2(F.array_join(c, " ").cast("binary"), 256)
+    pars = pars.select("*", F.col("_lines.plain").alias("_plain"), F.col("_lines.at").getItem(0).alias("_at"))
+    same = [*KEY, "turn", "level", "_block"]
+    single = pars.select(*same, "_par", F.explode("_plain").alias("_line")).select(
+        *same, "_par", F.lit(0).alias("kind"), F.lit(1).alias("n"), F.sha2(F.col("_line").cast("binary"), 256).alias("hash")
+    )
+    several = pars.where(F.size("_plain") > 1).select(
+        *same, "_par", F.lit(1).alias("kind"), F.size("_plain").alias("n"), joined(F.col("_plain")).alias("hash")
+    )
+    blocks = pars.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("_at", "_plain"))).alias("_pars"))
+    blocks = blocks.where(F.size("_pars") > 1).withColumn("_plain", F.flatten(F.col("_pars._plain"))).select(
+        *same, F.lit(-1).cast("bigint").alias("_par"), F.lit(2).alias("kind"), F.size("_plain").alias("n"), joined(F.col("_plain")).alias("hash")
+    )
+    return single.unionByName(several).unionByName(blocks)
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv_id, _m, level, source, source_turn, votes): per message and quote level, each earlier
     message that stated some of the quoted lines."""
-    lines = message_lines(messages)
-    quoted = lines.where("level > 0 AND hash IS NOT NULL AND turn IS NOT NULL").select(*KEY, "turn", "level", "hash")
-    quoted = quoted.groupBy(*KEY, "turn", "level", "hash").agg(F.count("*").alias("_times"))
-    found = quoted.join(statements(lines), ["conv_id", "hash"]).where(F.col("stated.turn") < F.col("turn"))
+    messages = messages.where("turn IS NOT NULL")
+    quoting = messages.where(F.col("text").rlike(r"(?:^|\n)[ \t]*>"))
+    quoted = materialize(passages(message_lines(quoting)).where("level > 0"), "quoted-passages")
+    # Only conversations with quotes are cut into statements, and only quoted hashes are kept.
+    asked = messages.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    stated = passages(message_lines(asked)).where("level = 0").select("conv_id", "hash", "turn", "_m").distinct()
+    stated = stated.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    events = quoted.withColumn("_states", F.lit(0)).unionByName(stated.withColumn("_states", F.lit(1)), allowMissingColumns=True)
+    events = materialize(events, "quote-events")
+    place = F.when(F.col("_states") == 1, F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("_m").alias("m")))
+    # In a turn, quotes come before statements: only earlier turns count.
+    found = prefix_scan(events, ["conv_id", "hash"], "turn", {"stated": ("max", place)}, tie=["_states"], levels=(10, 30))
+    found = found.where("_states = 0 AND stated IS NOT NULL")
+    longest = Window.partitionBy(*KEY, "_block")
+    found = found.withColumn("_in_block", F.max("kind").over(longest) == 2)
+    found = found.withColumn("_in_par", F.max("kind").over(Window.partitionBy(*KEY, "_block", "_par")) == 1)
+    found = found.where((F.col("kind") == 2) | (~F.col("_in_block") & ((F.col("kind") == 1) | ~F.col("_in_par"))))
     return found.groupBy(*KEY, "level", F.col("stated.m").alias("source"), F.col("stated.turn").alias("source_turn")).agg(
-        F.sum("_times").alias("votes")
+        F.sum("n").alias("votes")
     )
 
 

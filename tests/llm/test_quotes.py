@@ -60,3 +60,29 @@ def test_whole_table(spark, sf_dir):
         place[conv, turn] = place.get((conv, "n"), 0)
         place[conv, "n"] = place[conv, turn] + 1
     assert all(r["position"] == place[r["conv_id"], r["turn"]] for r in got)  # no quotes here: turn order
+
+
+def test_repeated_lines_link_to_the_latest(spark):
+    rows = [
+        (1, 1, "u", "Yes."), (1, 2, "a", "What else?"), (1, 5, "u", "Yes."), (1, 6, "a", "> Yes.\nFine."), (1, 7, "u", "Yes."),
+        (1, 2000, "a", "> yes.\nStill fine."),  # beyond a block of turns
+        (2, 0, "u", "Yes.\nUse sorted()."), (2, 1, "a", "Yes."), (2, 2, "u", "> Yes.\n> Use sorted().\nok"), (2, 3, "a", "> Yes.\nYes."),
+        (3, 4, "u", "> Yes.\nYes."),  # stated in its own turn and in other conversations only
+    ]
+    got = linked(spark, rows)
+    wanted = {(1, 6): 5, (1, 2000): 7, (2, 2): 0, (2, 3): 1}
+    assert {k: r["reply_turn"] for k, r in got.items() if r["reply_turn"] is not None} == wanted
+    assert got[1, 6]["thread_turn"] == 5 and got[1, 2000]["thread_turn"] == 7
+    order = sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["position"])
+    assert [t for _, t in order] == [1, 2, 5, 6, 7, 2000]
+
+
+def test_quotes_wrapped_anew(spark):
+    rows = [
+        (1, 0, "u", "one two three four five six\n\nseven eight nine"), (1, 1, "a", "something else"),
+        (1, 2, "u", "> One two three\n> four five six\nfirst"), (1, 3, "a", "> one two\n> three four five six\n>\n> seven\n> eight nine\nboth"),
+        (1, 4, "u", "> four five six\nnot a line"), (1, 5, "a", "a b\nc d"), (1, 6, "u", ">> one two three four\n>> five six\n> a b c d\nthird"),
+    ]
+    got = linked(spark, rows)
+    assert {t: r["reply_turn"] for (_, t), r in got.items()} == {0: None, 1: None, 2: 0, 3: 0, 4: None, 5: None, 6: 5}
+    assert got[1, 6]["n_ancestors"] == 2

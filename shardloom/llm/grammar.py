@@ -3,7 +3,9 @@
 Documents are range-partitioned and sorted by id, encoded, and cut into shards of about
 ``SHARD_IDS`` ids at document borders. Each shard is Re-Pair compressed on its own: rounds count
 adjacent pairs, give the most frequent ones a nonterminal each and replace them from left to
-right, until a pair is too rare or 16-bit symbols run out. Pairs never reach across documents.
+right, for ``ROUNDS`` rounds of ``RULES_A_ROUND`` rules, or until pairs are too rare or 16-bit symbols
+run out; repeats beyond that stay as they are. One pair per hash bucket is counted in a round. Pairs
+never reach across documents. Ids above 65,535 don't fit the symbols and are an error.
 
 A shard is one row of a Parquet folder (written by Spark, so it commits as a whole and lands in any
 store Spark can reach): document ids, symbols and ids per document, the rules, each rule's
@@ -227,6 +229,8 @@ def expansion_lengths(base: int, left: np.ndarray, right: np.ndarray) -> np.ndar
 
 def pack(part: int, shard: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> dict:
     """A shard's row from its documents' ids."""
+    if int(ids.max()) >= SYMBOLS:
+        raise ValueError(f"id {int(ids.max())} doesn't fit 16-bit symbols")
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(lengths) - 1] = True
     base = int(ids.max()) + 1

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from shardloom.llm import grammar as G
@@ -88,3 +89,10 @@ def test_special_strings_as_by_the_unmodified_tokenizer(spark):
     starts = np.cumsum([0] + [len(f) for f in found]).tolist()
     rows = [(i, starts[i], len(f), zlib.crc32(np.array(f, dtype="<u4").tobytes())) for i, f in enumerate(found)]
     assert sorted(map(tuple, G.encoded_documents(docs, TOKENIZER).collect())) == rows
+
+
+def test_ids_beyond_the_symbols_are_an_error():
+    ids = np.array([5, 65535, 0], dtype=np.int32)
+    assert G.Shard(G.pack(0, 0, [1], ids, np.array([3]))).all_ids().tolist() == ids.tolist()
+    with pytest.raises(ValueError, match="65536"):
+        G.pack(0, 0, [1], ids + np.array([0, 1, 0], dtype=np.int32), np.array([3]))

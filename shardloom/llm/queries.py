@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, grammar, infill, lines, mixing, quality, quotes, sharding, simhash, toxicity, urls
+from shardloom.llm import (
+    centroids,
+    decontaminate,
+    grammar,
+    infill,
+    lines,
+    mixing,
+    quality,
+    quotes,
+    sharding,
+    simhash,
+    toxicity,
+    urls,
+)
 from shardloom.llm.common import documents, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -168,6 +181,42 @@ FROM p
 """
 
 
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every usable vector, after three rounds of sixteen centroids."""
+    found, final = centroids.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, seed=1)
+    return centroids.with_inertia(found, final).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _centroid_sql(k: int, rounds: int, dims: int) -> str:
+    """Every round compares every vector with every centroid."""
+    usable = f"len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}"
+    step = """
+d{r} AS MATERIALIZED (SELECT n, min(c) AS c, any_value(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY n) AS least FROM (
+         SELECT n, c, list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+         FROM v CROSS JOIN c{r})) WHERE d = least GROUP BY n)"""
+    move = """,
+c{s} AS MATERIALIZED (SELECT c{r}.c, coalesce(u.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+         SELECT c, list(m ORDER BY i) AS m FROM (SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (
+           SELECT c, unnest(q) AS x, unnest(range(1, {dims} + 1)) AS i FROM v JOIN d{r} USING (n)) GROUP BY c, i) GROUP BY c) u USING (c))"""
+    tables = [step.format(r=r) + (move.format(r=r, s=r + 1, dims=dims) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id,
+                          list_transform(embedding, lambda x: floor(x::DOUBLE * {centroids.SCALE})::BIGINT) AS q
+                        FROM embeddings WHERE {usable}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q AS m FROM (
+        SELECT q, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, q LIMIT {k})),{",".join(tables)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d{rounds} JOIN v USING (n) JOIN c{rounds} USING (c)
+"""
+
+
+SQL["op11_centroids"] = _centroid_sql(16, 3, 64)
+
+
 def _url_sql() -> str:
     """The tree level by level, with the operator's constants."""
     levels = [

@@ -13,6 +13,7 @@ from shardloom.llm import (
     decontaminate,
     grammar,
     infill,
+    licenses,
     lines,
     mixing,
     quality,
@@ -217,6 +218,53 @@ FROM d{rounds} JOIN v USING (n) JOIN c{rounds} USING (c)
 SQL["op11_centroids"] = _centroid_sql(16, 3, 64)
 
 
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in every document."""
+    joined = lambda name: F.array_join(name, ",").alias(name)
+    return licenses.licenses(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score"
+    )
+
+
+def _license_sql() -> str:
+    """Every block against every template, without filters."""
+    sets = [sorted(set(licenses.template_words(text))) for _, text in licenses.TEMPLATES]
+    wider = [[o for o, other in enumerate(sets) if set(own) < set(other)] for own in sets]
+    rows = ", ".join(
+        f"({t}, '{label}', {own}, {licenses.needed(len(own), licenses.THRESHOLD)}, {wider[t]}::BIGINT[])"
+        for t, ((label, _), own) in enumerate(zip(licenses.TEMPLATES, sets))
+    )
+    spots = ", ".join(
+        "list_filter(range(len(ws)), lambda i: " + " AND ".join(f"ws[i + {n}] = '{w}'" for n, w in enumerate(phrase.split(), 1)) + f") AS p{j}"
+        for j, phrase in enumerate(licenses.PHRASES)
+    )
+    every = " || ".join(f"p{j}" for j in range(len(licenses.PHRASES)))
+    named = " || ".join(f"CASE WHEN len(p{j}) > 0 THEN ['{label}'] ELSE [] END" for j, label in enumerate(licenses.PHRASES.values()))
+    block, stride = licenses.BLOCK, licenses.STRIDE
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '{licenses.GAPS}'), lambda w: w <> '') AS ws FROM documents),
+p AS (SELECT k, doc_id, len(ws) AS n_words, {spots} FROM d),
+base AS (SELECT k, doc_id, n_words, {every} AS a, {named} AS names FROM p),
+t(t, label, ws, needed, wider) AS (VALUES {rows}),
+b AS (SELECT k, b, ws[b * {stride} + 1:b * {stride} + {block}] AS ws
+      FROM (SELECT k, ws, unnest(range(greatest(len(ws) - {block - stride}, 0) // {stride} + 1)) AS b FROM d)),
+h AS (SELECT k, b, t, label, needed, wider, len(t.ws) AS size, len(list_intersect(t.ws, b.ws)) AS common FROM b CROSS JOIN t),
+f AS (SELECT *, list(t) OVER (PARTITION BY k, b) AS ts FROM h WHERE common >= needed),
+g AS (SELECT k, list(DISTINCT label) AS labels, max(common / size) AS score FROM f WHERE NOT list_has_any(wider, ts) GROUP BY k)
+SELECT doc_id, n_words::BIGINT AS n_words, len(a)::BIGINT AS n_base, list_min(a)::BIGINT AS first_word, list_max(a)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(names)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(names || coalesce(labels, []))), ',') AS labels,
+       CASE WHEN len(a) > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score
+FROM base LEFT JOIN g USING (k)
+"""
+
+
+SQL["op12_licenses"] = _license_sql()
+
+
 def _url_sql() -> str:
     """The tree level by level, with the operator's constants."""
     levels = [

@@ -33,11 +33,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Two longs that tell rows apart without relying on unique, non-null ids: rows agree on both
-    only if id and text agree. Both are non-null, so an ordinary equi-join on them loses nothing."""
+    """Two longs that tell rows apart without relying on unique, non-null or numeric ids: rows that
+    agree in id and text agree on both, others don't, but for a collision of 64-bit hashes among rows
+    of one whole-number id (of all rows, where ids are none). Both are non-null, so an ordinary
+    equi-join on them loses nothing."""
     return [
-        F.coalesce(doc_id.cast("bigint"), F.lit(0)).alias("_k1"),
-        F.xxhash64(doc_id.isNull(), text_or_empty(text)).alias("_k2"),
+        F.coalesce(doc_id.try_cast("bigint"), F.lit(0)).alias("_k1"),
+        F.xxhash64(doc_id.isNull(), doc_id.cast("string"), text_or_empty(text)).alias("_k2"),
     ]
 
 

@@ -200,8 +200,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     found = contamination(docs, benchmark, window).where(is_contaminated(percent))
     # Written, so that the planner broadcasts it while it is small instead of moving the texts.
     found = materialize(found.select(*KEY).distinct(), "contaminated")
-    keyed = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(found, list(KEY), "left_anti").select(*docs.columns)
+    # The document in one column, so that no name of its own can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), *row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(found, list(KEY), "left_anti").select("_doc.*")
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:

@@ -98,3 +98,14 @@ def test_near_matches_equal_a_window_search(spark):
     assert {i for _, i, _, _ in spans} == {1, 2, 4}
     near = {r["doc_id"]: r["n_near_items"] for r in D.contamination(frame, bench, 4, (terms, slop)).collect()}
     assert near == {d: len({i for e, i, _, _ in spans if e == d}) for d, _ in docs}
+
+
+def test_clashing_names_and_ids_of_any_kind(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [("a", text, 1, 2, "x"), ("b", "other words", 3, 4, "y"), (None, text, 5, 6, "z"), ("b", text, 7, 8, "w")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _k1 int, _k2 int, word string")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    kept = D.clean_documents(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
+    found = {(r["doc_id"], r["n_hit"]) for r in D.contamination(docs, items).collect()}
+    assert found == {("a", 13), ("b", 0), (None, 13), ("b", 13)}

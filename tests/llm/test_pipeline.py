@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -77,3 +78,22 @@ def test_entry_without_the_operators(tmp_path):
     (tmp_path / "__spark_entry__.py").write_bytes(open(os.path.join(root, "__spark_entry__.py"), "rb").read())
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and extra columns whose names the stages use."""
+    sf = "/root/testdata/sf0.001"
+    docs = documents(spark, sf).limit(40)
+    names = ["_toxicity", "_k1", "_row", "_doc", "found", "size", "fp"]
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    empty = docs.limit(6).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "doc_id" else f.name for f in docs.schema])
+    blank = docs.limit(2).withColumn("text", F.lit("")).withColumn("doc_id", F.lit(None).cast("long"))
+    both = odd.unionByName(empty.unionByName(blank), allowMissingColumns=True).unionByName(odd.limit(3))
+    both = materialize(both, "odd-documents")
+    for rows in (both, both.limit(0)):
+        for name, stage in P.STAGES[:-1]:
+            out = materialize(stage(spark, rows, sf), f"odd-{name}")
+            assert out.columns == both.columns, name
+            rows = out
+        encoded = P.STAGES[-1][1](spark, rows, sf)
+        assert encoded.count() == rows.count()

@@ -6,6 +6,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -18,8 +19,9 @@ from shardloom.session import materialize  # noqa: E402
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the fitted field doesn't predict as toxic."""
     model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("*", toxicity.toxicity(spark, model, docs["text"]).alias("_toxicity"))
-    return scored.where("_toxicity.predicted = 0").select(*docs.columns)
+    # The document in one column, so that no name of its own can clash.
+    scored = docs.select(F.struct(*docs.columns).alias("doc"), toxicity.toxicity(spark, model, docs["text"]).alias("found"))
+    return scored.where("found.predicted = 0").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

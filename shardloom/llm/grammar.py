@@ -1,16 +1,15 @@
 """Token ids in grammar-compressed files with random access.
 
 Documents are range-partitioned and sorted by id, encoded, and cut into shards of about
-``SHARD_IDS`` ids at document borders. Each shard is Re-Pair compressed on its own: rounds count
-adjacent pairs, give the most frequent ones a nonterminal each and replace them from left to
-right, for ``ROUNDS`` rounds of ``RULES_A_ROUND`` rules, or until pairs are too rare or 16-bit symbols
-run out; repeats beyond that stay as they are. One pair per hash bucket is counted in a round. Pairs
-never reach across documents. Ids above 65,535 don't fit the symbols and are an error.
+``SHARD_IDS`` ids at document borders. Each shard is Re-Pair compressed on its own: every round
+counts the adjacent pairs exactly, gives the most frequent ones a nonterminal each and replaces them
+from left to right, until no pair is left that stands ``LEAST_COUNT`` times. Pairs never reach across
+documents.
 
 A shard is one row of a Parquet folder (written by Spark, so it commits as a whole and lands in any
 store Spark can reach): document ids, symbols and ids per document, the rules, each rule's
-expansion length, and the symbols. The lengths let a reader find the k-th id of a document without
-expanding what lies before it.
+expansion length, and the symbols, in two to four bytes each as the shard needs. The lengths let a
+reader find the k-th id of a document without expanding what lies before it.
 """
 
 from __future__ import annotations
@@ -28,28 +27,29 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import slices, text_or_empty
 from shardloom.session import new_scratch_path, ship_package
 
-SHARD_IDS = 1 << 21
-SYMBOLS = 1 << 16
-ROUNDS = 5
-RULES_A_ROUND = 4096
-LEAST_COUNT = 8
+SHARD_IDS = 1 << 20
+LEAST_COUNT = 16
+FEWER = 16  # a round takes all pairs at least one FEWER-th as frequent as the most frequent one
 BYTES_AT_ONCE = 4_000_000
-BUCKETS = 20
-CACHED_PIECES = 700_000
-TOGETHER = 64  # new pieces encoded in one string
+CACHE_BYTES = 80_000_000
+PART_BYTES = 180  # of a cached part, its ids apart: the string, its slot and its place
+TOGETHER = 128  # new parts encoded in one string
 END = 0
 # A space after any white space: there, pieces cut at spaces are not always encoded apart.
 UNSAFE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 
+# Letters that a piece may be cut behind, if a character of ASCII that is no letter follows.
+CUT = r"(?s)^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<rest>[\x00-\x40\x5B-\x60\x7B-\x7F].*)?$"
+
 SHARD_SCHEMA = (
     "part int, shard int, n_docs long, n_ids long, doc_ids array<bigint>, doc_symbols binary, doc_lengths binary, "
-    "base int, left binary, right binary, expansion binary, symbols binary"
+    "base int, width int, left binary, right binary, expansion binary, symbols binary"
 )
 FILE_ARROW = pa.schema(
     [
         ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("doc_symbols", pa.binary()), ("doc_lengths", pa.binary()),
-        ("base", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("expansion", pa.binary()),
+        ("base", pa.int32()), ("width", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("expansion", pa.binary()),
         ("symbols", pa.binary()),
     ]
 )
@@ -66,12 +66,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, with a bounded memory of pieces already encoded.
+    """Ids of whole texts, with a bounded memory of parts already encoded.
 
     The vocabulary's pre-tokenizer always cuts where a space follows something that isn't white
-    space, so a text's ids are those of its space-led pieces, one after the other. A piece is encoded
-    once per worker; new pieces are encoded many to a string and told apart by the tokens that hold a
-    space. Texts with a space after white space are encoded as they are.
+    space, so a text's ids are those of its space-led pieces, one after the other. It also cuts between
+    a run of letters and any ASCII character that isn't one, so most pieces are a word and a rest.
+    Words, rests and other pieces are encoded once per worker, many to a string, and told apart by
+    the tokens that hold a space. Texts with a space after white space are encoded as they are, and
+    their ids are not kept.
 
     With ``special``, the string of a special token in a text becomes that token, as by the library's
     plain ``encode``; otherwise it is ordinary text. Texts that hold such a string are encoded as they
@@ -82,24 +84,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.special = Tokenizer.from_file(path), special
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = not special
-        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values() if special or not t.special]
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max(self.tokenizer.get_vocab_size(), 1 + max(vocabulary.values())), dtype=bool)
         self.leads[[i for t, i in vocabulary.items() if "Ġ" in t]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}  # space-led pieces; first pieces have a zero character before them
+        # Codes of parts by whether they follow a space. Code 0 is the end id, code 1 nothing.
+        self.led: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 1
-        self.start, self.length, self.known = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 1
-        self.flat[0], self.start[0], self.length[0] = END, 0, 1
+        self.start, self.length, self.known = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 2
+        self.flat[0], self.length[0] = END, 1
 
     def ids(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = not self.special
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return found
 
     def store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Code of the first of new entries, whose ids follow each other."""
@@ -116,24 +121,41 @@ class Encoder:
         self.known += len(lengths)
         return first
 
-    def learn(self, pieces: list[str]) -> None:
-        strings = [" " + " ".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+    def learn_led(self, parts: list[str]) -> range:
+        """Parts that follow a space."""
+        strings = [" " + " ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in found])
         begins = np.flatnonzero(self.leads[ids])
-        if len(begins) != len(pieces):
+        if len(begins) != len(parts):
             raise ValueError("the vocabulary joins pieces across spaces")
         first = self.store(ids, np.diff(np.append(begins, len(ids))))
-        self.codes.update(zip(pieces, range(first, first + len(pieces))))
+        return range(first, first + len(parts))
 
-    def learn_first(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def learn_bare(self, parts: list[str]) -> range:
+        """Parts that follow none: rests, and what a text begins with."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         first = self.store(np.array([i for f in found for i in f], dtype=np.int32), np.array([len(f) for f in found]))
-        self.codes.update(zip(("\0" + p for p in pieces), range(first, first + len(pieces))))
+        return range(first, first + len(parts))
+
+    def part_codes(self, parts: pa.Array, led: bool) -> np.ndarray:
+        """A code per part; null is nothing."""
+        coded = parts.dictionary_encode()
+        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.led if led else self.bare
+        found = list(map(known.get, values))
+        new = [v for v, f in zip(values, found) if f is None]
+        if new:
+            codes = self.learn_led(new) if led else self.learn_bare(new)
+            known.update(zip(new, codes))
+            following = iter(codes)
+            found = [next(following) if f is None else f for f in found]
+        table = np.array([*found, 1], dtype=np.int32)
+        return table[pc.fill_null(coded.indices, len(values)).to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
-        if self.known > CACHED_PIECES:
+        if 4 * self.used + PART_BYTES * self.known > CACHE_BYTES:
             self.clear()
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         for mark in self.marks:
@@ -143,104 +165,155 @@ class Encoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         pieces = split.flatten().dictionary_encode()
-        values = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        heads = offsets[:-1]
-        place = pieces.indices.to_numpy()
-        first_values = [values[i] for i in place[heads]]
+        place, heads = pieces.indices.to_numpy(), offsets[:-1]
+        cut = pc.extract_regex(pieces.dictionary, CUT)
+        whole = cut.is_null()
+        word = pc.if_else(whole, pieces.dictionary, cut.field("word"))
+        rest = cut.field("rest")
+        rest = pc.if_else(pc.or_kleene(whole, pc.equal(rest, "")), pa.scalar(None, rest.type), rest)
+        needed = np.zeros(len(word), dtype=bool)
         led = np.ones(len(place), dtype=bool)
         led[heads] = False
-        needed = np.zeros(len(values), dtype=bool)
         needed[place[led]] = True
-        new = [v for v, n in zip(values, needed) if n and v not in self.codes]
-        if new:
-            self.learn(new)
-        new = list({v for v in first_values if "\0" + v not in self.codes})
-        if new:
-            self.learn_first(new)
-        get = self.codes.get
-        table = np.array([get(v, 0) for v in values], dtype=np.int64)
-        codes = table[place]
-        codes[heads] = [self.codes["\0" + v] for v in first_values]
+        # Per piece the word, then the rest; then, at a text's end, the end id.
+        words = np.ones(len(word), np.int32)
+        at = pa.array(np.flatnonzero(needed))
+        words[needed] = self.part_codes(word.take(at), True)
+        rests = self.part_codes(rest, False)
+        codes = np.empty(2 * len(place) + len(heads), np.int32)
+        text_of = np.repeat(np.arange(len(heads)), np.diff(offsets))
+        spot = 2 * np.arange(len(place)) + text_of
+        codes[spot], codes[spot + 1] = words[place], rests[place]
+        codes[spot[heads]] = self.part_codes(word.take(pa.array(place[heads])), False)
+        borders = 2 * offsets + np.arange(len(offsets))
+        codes[borders[1:] - 1] = 0
+        kept = self.used, self.known
         for i in np.flatnonzero(unsafe):
             ids = self.ids(texts[int(i)].as_py())
-            codes[heads[i]] = self.store(np.array(ids, dtype=np.int32), np.array([len(ids)]))
-        codes = np.insert(codes, offsets[1:], 0)  # code 0 is the end id
+            codes[borders[i]] = self.store(np.array(ids, dtype=np.int32), np.array([len(ids)]))
         lengths = self.length[codes]
         ids = self.flat[ranges(self.start[codes], lengths)]
-        borders = offsets + np.arange(len(offsets))
-        per_text = np.diff(np.concatenate([[0], np.cumsum(lengths)])[borders])
+        self.used, self.known = kept
+        per_text = np.diff(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[borders])
         return ids, per_text
 
 
+def frequent_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs that stand ``LEAST_COUNT`` times or more, the number of each place's pair
+    among those, and their counts, all exact: pairs are sorted with their places."""
+    n = len(left)
+    bits, place_bits = (int(max(left.max(), right.max())).bit_length() if n else 1), n.bit_length()
+    pair = (left.astype(np.uint64) << np.uint64(bits)) | right
+    if 2 * bits + place_bits <= 64:
+        pair = (pair << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64)
+        pair.sort()
+        order = (pair & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        pair >>= np.uint64(place_bits)
+    else:
+        order = np.argsort(pair)
+        pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[n > 0], pair[1:] != pair[:-1]]))
+    counts = np.diff(np.append(first, n))
+    enough = counts >= LEAST_COUNT
+    number = np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32)
+    of_place = np.empty(n, np.int32)
+    of_place[order] = np.repeat(number, counts)
+    at = np.flatnonzero(of_place >= 0)
+    return at, of_place[at], counts[enough]
+
+
 def repair(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, left, right): the compressed sequence, its document ends, and the rules.
 
-    The rule for symbol ``base + i`` is (left[i], right[i]), with base = largest id + 1.
+    The rule for symbol ``base + i`` is (left[i], right[i]), with base = largest id + 1. A pair that is
+    too rare never becomes frequent again, because replacing only takes places from it: later rounds
+    count the pairs that are still frequent and those with a new symbol.
     """
     symbols, base = ids.astype(np.uint32), int(ids.max()) + 1
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     following = base
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, SYMBOLS - following)
-        if room <= 0 or len(symbols) < 2:
+    open_ = ~last
+    while True:
+        at = np.flatnonzero(open_[:-1] & ~last[:-1])
+        kept, number, counts = frequent_pairs(symbols[at], symbols[at + 1])
+        if not len(kept):
             break
-        pair = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        inside = np.flatnonzero(~last[:-1])
-        pair = pair[inside]
-        # One pair per bucket is counted; where pairs share a bucket it is most likely the frequent one.
-        bucket = ((pair * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS)).astype(np.int64)
-        chosen = np.zeros(1 << BUCKETS, dtype=np.uint32)
-        chosen[bucket] = pair
-        own = np.flatnonzero(chosen[bucket] == pair)
-        bucket = bucket[own]
-        counts = np.bincount(bucket, minlength=1 << BUCKETS)
-        frequent = np.argpartition(counts, len(counts) - room)[len(counts) - room :]
-        frequent = np.sort(frequent[counts[frequent] >= LEAST_COUNT])
-        if not len(frequent):
-            break
-        number = np.zeros(1 << BUCKETS, dtype=np.uint32)
-        number[frequent] = following + np.arange(len(frequent))
-        symbol = number[bucket]
-        hit = np.flatnonzero(symbol)
-        at, symbol = inside[own[hit]], symbol[hit]
+        at = at[kept]
+        open_ = np.zeros(len(symbols), dtype=bool)
+        open_[at] = True
+        taken = np.flatnonzero(counts[number] * FEWER >= counts.max())
+        where, which = at[taken], number[taken]
         # Overlapping places form runs; every other place of a run is taken, from the left.
-        head = np.diff(at, prepend=-2) != 1
-        turn = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at, symbol = at[turn % 2 == 0], symbol[turn % 2 == 0]
-        symbols[at] = symbol
-        last[at] |= last[at + 1]
+        head = np.diff(where, prepend=-2) != 1
+        turn = np.arange(len(where)) - np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
+        mine = turn % 2 == 0
+        where, which = where[mine], which[mine]
+        uses = np.bincount(which, minlength=len(counts))
+        worth = uses[which] >= 2  # a pair whose places its neighbours took waits
+        where, which = where[worth], which[worth]
+        rule = np.zeros(len(counts), np.uint32)
+        used = np.zeros(len(counts), dtype=bool)
+        used[which] = True
+        rule[used] = following + np.arange(np.count_nonzero(used))
+        example = np.zeros(len(counts), np.int64)
+        example[which] = where
+        example = example[used]
+        left.append(symbols[example])
+        right.append(symbols[example + 1])
+        following += len(example)
+        symbols[where] = rule[which]
+        last[where] |= last[where + 1]
+        open_[where] = True  # with what follows, and so is what lies before
+        open_[where[where > 0] - 1] = True
         stay = np.ones(len(symbols), dtype=bool)
-        stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
-        left.append(chosen[frequent] >> np.uint32(16))
-        right.append(chosen[frequent] & np.uint32(0xFFFF))
-        following += len(frequent)
+        stay[where + 1] = False
+        # What lies before a pair's end is before the new symbol once the end is gone.
+        symbols, last, open_ = symbols[stay], last[stay], open_[stay]
     none = [np.zeros(0, np.uint32)]
     return symbols, last, np.concatenate(none + left), np.concatenate(none + right)
 
 
+def rule_steps(base: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rules that only use ids and the rules of earlier runs."""
+    newest, start = np.maximum(left, right).astype(np.int64) - base, 0
+    while start < len(newest):
+        later = np.flatnonzero(newest[start:] >= start)
+        stop = start + int(later[0]) if len(later) else len(newest)
+        yield start, stop
+        start = stop
+
+
 def expansion_lengths(base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    length = [1] * base
-    for a, b in zip(left.tolist(), right.tolist()):
-        length.append(length[a] + length[b])
-    return np.array(length[base:], dtype=np.int64)
+    length = np.ones(base + len(left), np.int64)
+    for a, b in rule_steps(base, left, right):
+        length[base + a : base + b] = length[left[a:b]] + length[right[a:b]]
+    return length[base:]
+
+
+def to_bytes(symbols: np.ndarray, width: int) -> bytes:
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def from_bytes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u4")
 
 
 def pack(part: int, shard: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> dict:
     """A shard's row from its documents' ids."""
-    if int(ids.max()) >= SYMBOLS:
-        raise ValueError(f"id {int(ids.max())} doesn't fit 16-bit symbols")
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(lengths) - 1] = True
     base = int(ids.max()) + 1
     symbols, last, left, right = repair(ids, last)
     per_doc = np.diff(np.flatnonzero(last), prepend=-1)
+    width = max(2, -(-(base + len(left) - 1).bit_length() // 8))
     return {
         "part": part, "shard": shard, "n_docs": len(doc_ids), "n_ids": len(ids), "doc_ids": doc_ids,
-        "doc_symbols": per_doc.astype("<i8").tobytes(), "doc_lengths": lengths.astype("<i8").tobytes(), "base": base,
-        "left": left.astype("<u2").tobytes(), "right": right.astype("<u2").tobytes(),
-        "expansion": expansion_lengths(base, left, right).astype("<i8").tobytes(), "symbols": symbols.astype("<u2").tobytes(),
+        "doc_symbols": per_doc.astype("<i8").tobytes(), "doc_lengths": lengths.astype("<i8").tobytes(), "base": base, "width": width,
+        "left": to_bytes(left, width), "right": to_bytes(right, width),
+        "expansion": expansion_lengths(base, left, right).astype("<i8").tobytes(), "symbols": to_bytes(symbols, width),
     }
 
 
@@ -249,10 +322,11 @@ class Shard:
 
     def __init__(self, row: dict):
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
+        symbols = lambda name: from_bytes(row[name], row["width"])
         self.base = row["base"]
-        self.left, self.right = read("left", "<u2").astype(np.int64), read("right", "<u2").astype(np.int64)
+        self.left, self.right = symbols("left").astype(np.int64), symbols("right").astype(np.int64)
         self.length = np.concatenate([np.ones(self.base, np.int64), read("expansion", "<i8")])
-        self.symbols = read("symbols", "<u2")
+        self.symbols = symbols("symbols")
         self.per_doc, self.lengths = read("doc_symbols", "<i8"), read("doc_lengths", "<i8")
         self.begin = np.cumsum(self.per_doc) - self.per_doc
         self.doc_ids = row["doc_ids"]
@@ -262,11 +336,10 @@ class Shard:
         start = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.length[self.base :]) - self.length[self.base :]])
         flat = np.zeros(self.base + int(self.length[self.base :].sum()), dtype="<u4")
         flat[: self.base] = np.arange(self.base)
-        begins, sizes = start.tolist(), self.length.tolist()
-        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist()), self.base):
-            at, mid = begins[i], begins[i] + sizes[a]
-            flat[at:mid] = flat[begins[a] : begins[a] + sizes[a]]
-            flat[mid : mid + sizes[b]] = flat[begins[b] : begins[b] + sizes[b]]
+        for a, b in rule_steps(self.base, self.left, self.right):
+            sides = np.stack([self.left[a:b], self.right[a:b]], axis=1).reshape(-1)
+            begin, sizes = int(start[self.base + a]), self.length[sides]
+            flat[begin : begin + int(sizes.sum())] = flat[ranges(start[sides], sizes)]
         return flat[ranges(start[self.symbols], self.length[self.symbols])]
 
     def ids_of(self, doc: int, start: int, stop: int) -> list[int]:

@@ -91,8 +91,71 @@ def test_special_strings_as_by_the_unmodified_tokenizer(spark):
     assert sorted(map(tuple, G.encoded_documents(docs, TOKENIZER).collect())) == rows
 
 
-def test_ids_beyond_the_symbols_are_an_error():
-    ids = np.array([5, 65535, 0], dtype=np.int32)
-    assert G.Shard(G.pack(0, 0, [1], ids, np.array([3]))).all_ids().tolist() == ids.tolist()
-    with pytest.raises(ValueError, match="65536"):
-        G.pack(0, 0, [1], ids + np.array([0, 1, 0], dtype=np.int32), np.array([3]))
+def test_wide_ids_come_back():
+    for top in (65_535, 65_536, 1 << 22):
+        ids = np.array([5, top, 0, *[7, top] * 40, 0], dtype=np.int64)
+        row = G.pack(0, 0, [1, 2], ids, np.array([3, len(ids) - 3]))
+        assert len(row["left"]) > 0 and G.Shard(row).all_ids().tolist() == ids.tolist()
+
+
+def count_pairs(symbols, last):
+    found = {}
+    for i in range(len(symbols) - 1):
+        if not last[i]:
+            found.setdefault((int(symbols[i]), int(symbols[i + 1])), []).append(i)
+    return found
+
+
+@pytest.mark.parametrize("kinds", [2, 40, 3000])
+def test_no_frequent_pair_stays(kinds):
+    rng = np.random.default_rng(kinds)
+    lengths = rng.integers(1, 300, 200)
+    ids = (rng.zipf(1.3, int(lengths.sum())) % kinds).astype(np.int32)
+    last = np.zeros(len(ids), dtype=bool)
+    last[np.cumsum(lengths) - 1] = True
+    symbols, ends, left, right = G.repair(ids, last.copy())
+    assert len(left) == len(right) > 0 and ends.sum() == len(lengths)
+    assert max(map(len, count_pairs(symbols, ends).values()), default=0) < G.LEAST_COUNT
+    base = int(ids.max()) + 1
+    assert G.expansion_lengths(base, left, right).min() >= 2
+    assert len({(int(a), int(b)) for a, b in zip(left, right)}) == len(left)
+
+
+def test_exact_counts_of_pairs():
+    rng = np.random.default_rng(0)
+    for top in (50, 1 << 31):
+        symbols = rng.choice(rng.integers(0, top, 60), 5000).astype(np.uint32)
+        at, number, counts = G.frequent_pairs(symbols[:-1], symbols[1:])
+        wanted = {p: w for p, w in count_pairs(symbols, np.zeros(len(symbols), bool)).items() if len(w) >= G.LEAST_COUNT}
+        assert sorted(counts.tolist()) == sorted(map(len, wanted.values()))
+        assert at.tolist() == sorted(i for w in wanted.values() for i in w)
+        assert all(counts[n] == len(wanted[int(symbols[i]), int(symbols[i + 1])]) for i, n in zip(at, number))
+
+
+def test_texts_encoded_whole_are_not_kept():
+    encoder, tokenizer = G.Encoder(TOKENIZER), plain()
+    texts = [f"def f{i}():\n    return  {i}  # two  spaces" for i in range(5000)]
+    encoder.encode(pa.array(["some words"]))
+    before = encoder.used, encoder.known, len(encoder.led), len(encoder.bare)
+    for low in range(0, len(texts), 500):
+        ids, counts = encoder.encode(pa.array(texts[low : low + 500]))
+    assert ids[: counts[0]].tolist() == tokenizer.encode(texts[4500], add_special_tokens=False).ids + [0]
+    first = encoder.encode(pa.array([""]))
+    assert (encoder.used - before[0] < 50, encoder.known - before[1] < 5) == (True, True) and first[0].tolist() == [0]
+
+
+def test_pieces_cut_behind_letters():
+    texts = ["don't isn't l'été x'S", "abc123 déjà-vu, naïve. Ünï", "word.\nNext line\n\nlast\n", "Привет, мир! abcпривет", "aªb ǅx ẞ! ſs.", "a\tb c\x1cd é\u0301. x²y"]
+    ids, counts = G.Encoder(TOKENIZER).encode(pa.array(texts))
+    tokenizer = plain()
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0], text
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(G, "CACHE_BYTES", 40_000)
+    encoder, tokenizer = G.Encoder(TOKENIZER), plain()
+    for n in range(20):
+        text = " ".join(f"w{n}x{i}!" for i in range(100))
+        assert encoder.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    assert 4 * encoder.used + G.PART_BYTES * encoder.known < 80_000

@@ -184,34 +184,32 @@ def calculate_lists(lists: pd.Series) -> pd.Series:
 def evaluate_tool_calls(rows: DataFrame, expr: str = "expr") -> DataFrame:
     """Adds ``result`` and ``error``; a bad expression is an error row, not a failed job.
 
-    Plain calls never leave the JVM; only the others go to Python. No shuffle, so a popular
+    Plain calls are worked out in the JVM, and Python gets null for them. No shuffle, so a popular
     expression is no hot key; repeats are evaluated once per Arrow batch.
     """
     ship_package(rows.sparkSession)
-    # Parsed in a projection of its own, so the pattern runs once per row.
-    staged = rows.withColumn("__call", parse_simple(F.col(expr))).withColumn("__simple", simple_value(F.col("__call")))
-    none = F.lit(None).cast("string")
-    plain = staged.where("__simple IS NOT NULL").withColumn("result", F.col("__simple")).withColumn("error", none)
-    hard = staged.where("__simple IS NULL").withColumn("__hard", calculate_column(F.col(expr)))
-    hard = hard.withColumn("result", F.col("__hard.result")).withColumn("error", F.col("__hard.error")).drop("__hard")
-    return plain.unionByName(hard).drop("__call", "__simple")
+    # The parsed call is bound by a lambda, so that its pattern runs once a row wherever it is used.
+    simple = F.transform(F.array(parse_simple(F.col(expr))), simple_value)[0]
+    staged = rows.withColumn("__simple", simple)
+    hard = calculate_column(F.when(F.col("__simple").isNull(), F.col(expr)))
+    staged = staged.withColumn("__hard", hard)
+    result = F.coalesce("__simple", F.col("__hard.result"))
+    return staged.withColumn("result", result).withColumn("error", F.col("__hard.error")).drop("__simple", "__hard")
 
 
 def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected") -> DataFrame:
     """After every call insert its result line; the text stays one row, so nothing is regrouped."""
     ship_package(rows.sparkSession)
-    # One projection per stage: each is used more than once below.
+    # One projection per stage: each is used more than once below. One branch: Python gets null for a
+    # text of plain calls, so every text is read and split once.
     staged = (
         rows.withColumn("__parts", F.split(text, CLOSE_CALL))
         .withColumn("__exprs", _call_heads(F.col("__parts")))
-        .withColumn("__calls", F.transform("__exprs", parse_simple))
-        .withColumn("__simple", F.transform("__calls", simple_value))
+        .withColumn("__simple", F.transform(F.transform("__exprs", parse_simple), simple_value))
         .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
     is_hard = F.coalesce(F.exists("__todo", lambda e: e.isNotNull()), F.lit(False))
-    # Only texts with a call that isn't plain go to Python.
-    plain = staged.where(~is_hard).withColumn("__hard", F.lit(None).cast("array<string>"))
-    staged = plain.unionByName(staged.where(is_hard).withColumn("__hard", calculate_lists(F.col("__todo"))))
+    staged = staged.withColumn("__hard", calculate_lists(F.when(is_hard, F.col("__todo"))))
 
     def line(index: Column) -> Column:
         outcome = F.coalesce(
@@ -223,7 +221,7 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
     injected = F.transform(
         "__parts", lambda p, i: F.when(i < last, F.concat(p, line(i))).otherwise(p)
     )
-    helpers = ["__parts", "__exprs", "__calls", "__simple", "__todo", "__hard"]
+    helpers = ["__parts", "__exprs", "__simple", "__todo", "__hard"]
     return staged.withColumn(out, F.array_join(injected, "")).drop(*helpers)
 
 

@@ -154,3 +154,24 @@ def test_long_powers_and_the_leftmost_fault():
     assert t.calculate("2**100000 // 2**99998") == ("4", None)
     assert "zero" in t.calculate("1/0 + open(1)")[1]
     assert t.calculate("open(1) + 1/0") == (None, t.NOT_ARITHMETIC)
+
+
+def test_plans_evaluate_once_and_compile(spark):
+    """Generated code compiles (no fallback), the input is read once, and each pattern stands once."""
+    texts = [f"so <tool_call>{e}</tool_call> and <tool_call>7*6</tool_call>" for e in ("1+2", "(1+2)*3", "2 // 0", "oops", "9/4")] * 20
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(texts)], "id long, text string").repartition(2)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        calls = rows.select("id", t.extract_tool_call(F.split("text", " and ")[0]).alias("expr"))
+        found = {(r["expr"], r["result"]) for r in t.evaluate_tool_calls(calls).collect()}
+        assert {("1+2", "3"), ("(1+2)*3", "9"), ("9/4", "2.25")} <= found
+        injected = t.inject_tool_result(rows)
+        assert injected.count() == len(texts) and all("<tool_result>42</tool_result>" in r["injected"] for r in injected.collect())
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+    for df in (t.evaluate_tool_calls(calls), injected):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1 and "Union" not in plan
+        assert plan.count("RLIKE") <= 1 and plan.count("ArrowEvalPython") == 1

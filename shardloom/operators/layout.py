@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import document_ids, document_runs, inputs_of, labels_of, whole_div
-from shardloom.session import materialize, ship_package
+from shardloom.session import folders_done, materialize, ship_package
 
 
 def shard_lengths(segments: DataFrame) -> DataFrame:
@@ -46,31 +47,49 @@ def assemble_sequences(segments: DataFrame, T: int) -> DataFrame:
     )
 
 
-def deal_batches(segments: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
-    """One row per sequence with its rank, the rank's batch number in the shard, and row in the batch.
+def batch_positions(lengths: DataFrame, B: int, T: int, ranks: int) -> DataFrame:
+    """Where every rank reads: (source, split, shard_id, seq, rank, shard_k, b), from shard lengths alone.
 
     Rank r reads its batch k of a shard at B*T*(r + k*ranks). The first is always read; a later one
     only if a whole round still fits after its own start, so higher ranks may leave a shard a
     round earlier than rank 0. Windows cut off by the shard end are not batches and stay out.
     """
     step = B * T
+    whole = whole_div(F.col("shard_len") - 1, step)
+    slots = lengths.where(whole > 0).select(
+        "source", "split", "shard_id", "shard_len", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("slot")
+    )
+    another_round = F.col("slot") * step + (step * ranks + 1) <= F.col("shard_len")
+    shard_k = whole_div(F.col("slot"), ranks)
+    return (
+        slots.where((shard_k == 0) | another_round)
+        .select(
+            "source",
+            "split",
+            "shard_id",
+            (F.col("slot") % ranks).cast("int").alias("rank"),
+            shard_k.alias("shard_k"),
+            "slot",
+            F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"),
+        )
+        .withColumn("seq", F.col("slot") * B + F.col("b"))
+        .drop("slot")
+    )
+
+
+def with_tokens(positions: DataFrame, segments: DataFrame, T: int) -> DataFrame:
+    """Adds the T+1 tokens of each (source, split, shard_id, seq). Segments are dealt by those four,
+    once; the positions, which may repeat, come to them."""
+    keys = ["source", "split", "shard_id", "seq"]
+    return positions.join(assemble_sequences(segments, T), keys)
+
+
+def deal_batches(segments: DataFrame, B: int, T: int, ranks: int, lengths: DataFrame | None = None) -> DataFrame:
+    """``batch_positions`` with their tokens. ``lengths`` may come from a manifest; otherwise they are
+    counted from the segments' places, without reading tokens."""
     # Written, so the planner knows its size: a row per shard, broadcast only while it is small.
-    lengths = materialize(shard_lengths(segments), "shard-lengths")
-    seqs = assemble_sequences(segments, T).where(F.size("tokens") == T + 1)
-    slot = whole_div(F.col("seq"), B)
-    dealt = seqs.select(
-        "source",
-        "split",
-        "shard_id",
-        (slot % ranks).cast("int").alias("rank"),
-        whole_div(slot, ranks).alias("shard_k"),
-        (F.col("seq") % B).cast("int").alias("b"),
-        "tokens",
-    ).join(lengths, ["source", "split", "shard_id"])
-    begin = (F.col("rank") + F.col("shard_k") * ranks) * step
-    whole = begin + step + 1 <= F.col("shard_len")
-    another_round = begin + (step * ranks + 1) <= F.col("shard_len")
-    return dealt.where(whole & ((F.col("shard_k") == 0) | another_round)).drop("shard_len")
+    lengths = materialize(shard_lengths(segments) if lengths is None else lengths, "shard-lengths")
+    return with_tokens(batch_positions(lengths, B, T, ranks), segments, T).drop("seq")
 
 
 def number_batches(dealt: DataFrame) -> DataFrame:
@@ -115,79 +134,179 @@ def attention_runs(sequences: DataFrame, ids: str = "x") -> DataFrame:
     return runs.withColumn("n_pairs", (n * (n + 1) / 2).cast("bigint"))
 
 
-def _picks(weights: Sequence[float], credit: list[float], used: list[int], n: int) -> Iterator[tuple[int, int]]:
-    """n picks of (source, ordinal): everyone earns its weight, the richest (first on ties) pays 1.
+STRETCH = 1 << 20  # picks between two states
+
+
+def _walk(weights: Sequence[float], credit: list[float], used: list[int], n: int, picked: list[int] | None = None) -> list[float]:
+    """Credits after n picks: everyone earns its weight, the richest (first on ties) pays 1.
 
-    ``credit`` and ``used`` are advanced in place; their doubles are the whole state.
+    ``used`` is advanced in place, and ``picked`` collects the sources' numbers. Each addition is
+    rounded as it would be alone, since ties depend on it.
     """
     for _ in range(n):
-        best = 0
-        for i, w in enumerate(weights):
-            credit[i] += w
-            if credit[i] > credit[best]:
-                best = i
+        credit = [c + w for c, w in zip(credit, weights)]
+        best = credit.index(max(credit))
         credit[best] -= 1.0
-        yield best, used[best]
         used[best] += 1
+        if picked is not None:
+            picked.append(best)
+    return credit
 
 
-def _mix_states(mixes: DataFrame) -> DataFrame:
-    """(mix, weights, n_picks, pick, credit, used); without a saved state a schedule starts at 0."""
+STATE = "mix string, weights array<double>, pick bigint, n_picks bigint, credit array<double>, used array<bigint>"
+
+
+def mix_states(mixes: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The state before every ``stretch``-th pick, and after the last: one row each, written.
+
+    (mix, weights, pick, n_picks, credit, used): ``n_picks`` are to be made from this state before the
+    next one; the closing state has 0. Each pick depends on the rounding of all before it, so this walk
+    over a few doubles is sequential per mix; it emits states only. Any row with the picks wanted as
+    ``n_picks`` is a schedule to be continued. ``mixes`` may carry such a state (pick, credit, used).
+    """
+    ship_package(mixes.sparkSession)
     zero = F.transform("weights", lambda w: F.lit(0.0))
     saved = set(mixes.columns)
-    return mixes.select(
+    rows = mixes.select(
         "mix",
         "weights",
-        F.col("n_picks").cast("bigint").alias("n_picks"),
         (F.col("pick") if "pick" in saved else F.lit(0)).cast("bigint").alias("pick"),
+        F.col("n_picks").cast("bigint").alias("n_picks"),
         (F.col("credit") if "credit" in saved else zero).alias("credit"),
         (F.col("used") if "used" in saved else zero).cast("array<bigint>").alias("used"),
     )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [part.split()[0] for part in STATE.split(", ")]
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                weights, credit, used = list(row.weights), list(row.credit), list(row.used)
+                for low in [*range(0, row.n_picks, stretch), row.n_picks]:
+                    n = min(stretch, row.n_picks - low)
+                    yield pd.DataFrame([(row.mix, weights, row.pick + low, n, credit, used)], columns=names)
+                    used = list(used)
+                    credit = _walk(weights, credit, used, n)
+
+    return materialize(rows.mapInPandas(run, STATE), "mix-states")
 
-def mix_schedule(mixes: DataFrame) -> DataFrame:
-    """Weighted round-robin: (mix, weights array<double>, n_picks) -> (mix, pick, source_no, ordinal).
 
-    Each pick depends on the rounding of all picks before it, so one schedule is a sequential
-    walk over a few doubles; schedules run in parallel and rows leave in bounded batches. A saved
-    state (``mix_cursor``) continues where it stopped. The result is written, so that the join to
-    the batches (on source and ordinal) is planned with its real size.
-    """
-    ship_package(mixes.sparkSession)
-    chunk = 100_000
+def expand_states(states: DataFrame) -> DataFrame:
+    """(mix, pick, source_no, ordinal) of all stretches, each a row of ``states`` and a partition of
+    its own, so stretches run side by side and none emits more than its picks."""
+    ship_package(states.sparkSession)
+    chunk = 1 << 17
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                credit, used = list(row.credit), list(row.used)
+                weights, credit, used = list(row.weights), list(row.credit), [0] * len(row.weights)
+                before = np.array(row.used, dtype=np.int64)
                 for low in range(0, row.n_picks, chunk):
-                    picks = list(_picks(row.weights, credit, used, min(chunk, row.n_picks - low)))
-                    out = pd.DataFrame(picks, columns=["source_no", "ordinal"])
-                    out.insert(0, "pick", range(row.pick + low, row.pick + low + len(out)))
-                    out.insert(0, "mix", row.mix)
-                    yield out
+                    picked: list[int] = []
+                    credit = _walk(weights, credit, used, min(chunk, row.n_picks - low), picked)
+                    source = np.array(picked)
+                    ordinal = np.empty(len(source), np.int64)
+                    for i in range(len(weights)):
+                        own = source == i
+                        ordinal[own] = before[i] + np.arange(np.count_nonzero(own))
+                        before[i] += np.count_nonzero(own)
+                    pick = row.pick + low + np.arange(len(source))
+                    yield pd.DataFrame({"mix": row.mix, "pick": pick, "source_no": source.astype(np.int32), "ordinal": ordinal})
+
+    open_ = states.where("n_picks > 0")
+    # A number of states, from a written table; a partition each, dealt round.
+    return open_.repartition(max(open_.count(), 1)).mapInPandas(run, "mix string, pick bigint, source_no int, ordinal bigint")
+
+
+def mix_schedule(mixes: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Weighted round-robin: (mix, weights array<double>, n_picks) -> (mix, pick, source_no, ordinal).
 
-    rows = _mix_states(mixes).mapInPandas(walk, "mix string, pick bigint, source_no int, ordinal bigint")
-    return materialize(rows, "mix-schedule")
+    First the states at every ``stretch``-th pick, then all stretches in parallel. A saved state
+    (``mix_cursor``) continues where it stopped. The result is written, so that the join to the
+    batches (on source and ordinal) is planned with its real size.
+    """
+    return materialize(expand_states(mix_states(mixes, stretch)), "mix-schedule")
 
 
 def mix_cursor(mixes: DataFrame) -> DataFrame:
     """The state after ``n_picks``: (mix, weights, pick, credit, used), one row per schedule."""
-    ship_package(mixes.sparkSession)
+    return mix_states(mixes).where("n_picks = 0").drop("n_picks")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                credit, used = list(row.credit), list(row.used)
-                for _ in _picks(row.weights, credit, used, row.n_picks):
-                    pass
-                rows.append((row.mix, row.weights, row.pick + row.n_picks, credit, used))
-            yield pd.DataFrame(rows, columns=["mix", "weights", "pick", "credit", "used"])
-
-    return _mix_states(mixes).mapInPandas(
-        walk, "mix string, weights array<double>, pick bigint, credit array<double>, used array<bigint>"
-    )
+
+CURSOR = (
+    "mix string, weights array<double>, pick bigint, credit array<double>, used array<bigint>, source string, "
+    "source_no int, rank int, next_shard bigint, next_pos bigint, epoch bigint"
+)
+
+
+def mixed_cursor(state: DataFrame, numbered: DataFrame, sources: Sequence[str], B: int, T: int, ranks: int) -> DataFrame:
+    """Where a mixed schedule stands: its state, and per source and rank the batch read next.
+
+    ``state`` is ``mix_cursor``'s, ``numbered`` the numbered positions of one split. A source read n
+    times has its rank at batch n modulo its batches, in epoch n divided by them.
+    """
+    names = F.array(*[F.lit(s) for s in sources])
+    read = state.select("*", F.posexplode("used").alias("source_no", "reads")).withColumn("source", F.get(names, F.col("source_no")))
+    heads = numbered.where("b = 0").select("source", "rank", "shard_id", "shard_k", "k")
+    sizes = heads.groupBy("source", "rank").agg(F.count("*").alias("n_all"))
+    # A row per mix, source and rank.
+    wanted = read.join(F.broadcast(sizes), "source").withColumn("k", F.col("reads") % F.col("n_all"))
+    at = (F.col("rank") + F.col("shard_k") * ranks) * (B * T)
+    placed = heads.join(F.broadcast(wanted), ["source", "rank", "k"])
+    return placed.select(
+        "mix", "weights", "pick", "credit", "used", "source", F.col("source_no").cast("int").alias("source_no"), "rank",
+        F.col("shard_id").alias("next_shard"), at.alias("next_pos"), whole_div(F.col("reads"), F.col("n_all")).alias("epoch"),
+    )
+
+
+def save_cursor(cursor: DataFrame, path: str, version: int) -> None:
+    """Write a cursor as a version of its own; saving a version again replaces it. A version counts
+    once its success marker stands, so a save that dies leaves the one before in force."""
+    cursor.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version:012d}")
+
+
+def load_cursor(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest complete version, or the one named; without any it is an error."""
+    done = sorted(folders_done(spark, path, "version="))
+    if version is not None:
+        done = [d for d in done if d == version]
+    if not done:
+        raise FileNotFoundError(f"no complete cursor in {path}")
+    return spark.read.schema(CURSOR).parquet(f"{path}/version={done[-1]:012d}")
+
+
+def resumed_schedule(cursor: DataFrame, n_picks: int, sources: Sequence[str]) -> DataFrame:
+    """(pick, source, ordinal) of the next ``n_picks`` of a saved cursor's schedule."""
+    state = cursor.select("mix", "weights", "pick", "credit", "used").distinct().withColumn("n_picks", F.lit(n_picks))
+    names = F.array(*[F.lit(s) for s in sources])
+    return mix_schedule(state).select("pick", F.get(names, F.col("source_no")).alias("source"), "ordinal")
+
+
+def pruned_segments(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``segments`` of the shards that ``wanted`` positions lie in: a condition on the partition
+    columns per source and split (a few rows), so other shards' files are never opened."""
+    spans = wanted.groupBy("source", "split").agg(F.collect_set("shard_id").alias("ids")).collect()
+    if not spans:
+        return segments.limit(0)
+    of = lambda r: (F.col("source") == r["source"]) & (F.col("split") == r["split"]) & _in_runs(sorted(r["ids"]))
+    condition = of(spans[0])
+    for r in spans[1:]:
+        condition = condition | of(r)
+    return segments.where(condition)
+
+
+def _in_runs(ids: list[int]) -> Column:
+    """Membership in sorted shard numbers, as ranges of neighbours."""
+    runs: list[list[int]] = []
+    for i in ids:
+        if runs and i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    found = F.lit(False)
+    for low, high in runs:
+        found = found | F.col("shard_id").between(low, high)
+    return found
 
 
 def scheduled_batches(schedule: DataFrame, batches: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -22,6 +22,13 @@ def shard_stats(segments: DataFrame) -> DataFrame:
     )
 
 
+def manifest_stats(manifest: DataFrame) -> DataFrame:
+    """``shard_stats`` from a manifest, a row per shard."""
+    return manifest.groupBy("source", "split").agg(
+        F.count("*").alias("n_shards"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_segments").alias("n_segments")
+    )
+
+
 def validate_shards(segments: DataFrame, shard_size: int, vocab_size: int = TEXT_VOCAB_SIZE) -> DataFrame:
     """Per shard: id bounds, separators, length, and whether its segments follow each other without
     gap or overlap; ``ok`` sums it up.
@@ -76,11 +83,17 @@ def require_preflight(required: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def already_complete(shards: DataFrame, source: str, split: str, need: int) -> bool:
-    """Whether a stage can be skipped: its shards exist (partition values only)."""
+    """Whether a stage can be skipped: its shards exist. ``shards`` may be segments or a manifest."""
     found = shards.where((F.col("source") == source) & (F.col("split") == split)).select("shard_id").distinct()
     return found.count() >= need
 
 
+def complete_stages(stages: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``skip_stage`` for many (source, split, need) rows at once, from the manifest alone."""
+    checked = preflight(stages, manifest)
+    return checked.select("source", "split", F.col("ok").alias("skip_stage"))
+
+
 def resolve_weights(weights: DataFrame, shards: DataFrame, split: str, allow_missing: bool = False) -> DataFrame:
     """Drop sources without shards of the split and renormalise the rest to 1.
 

@@ -241,7 +241,7 @@ def scan_val_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    names = list_shards(fx.char_shards(spark, sf_dir)).withColumn(
+    names = list_shards(fx.char_manifest(spark, sf_dir)).withColumn(
         "name", shard_name(F.col("source"), F.col("split"), F.col("shard_id"))
     )
     place = F.row_number().over(Window.partitionBy("source", "split").orderBy("name"))
@@ -254,7 +254,7 @@ def sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         sum(len(tokens))::BIGINT AS n_tokens, count(*) AS n_segments FROM segs GROUP BY ALL""",
 )
 def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.shard_stats(fx.char_shards(spark, sf_dir))
+    return quality.manifest_stats(fx.char_manifest(spark, sf_dir))
 
 
 @query(
@@ -297,11 +297,10 @@ def corpus_census(spark: SparkSession, sf_dir: str) -> DataFrame:
         LEFT JOIN have USING (source, split)""",
 )
 def already_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each stage of the build could be skipped, asked the way a job asks: per stage."""
-    shards = fx.char_shards(spark, sf_dir)
-    stages = [(source, split) for source in ("base", "extra") for split in ("val", "train")]
-    found = [(*stage, quality.already_complete(shards, *stage, 2)) for stage in stages]
-    return spark.createDataFrame(found, "source string, split string, skip_stage boolean")
+    """Whether each stage of the build could be skipped, from the manifest."""
+    stages = [(source, split, 2) for source in ("base", "extra") for split in ("val", "train")]
+    wanted = spark.createDataFrame(stages, "source string, split string, need bigint")
+    return quality.complete_stages(wanted, fx.char_manifest(spark, sf_dir))
 
 
 @query("A2", "SELECT source, doc_id AS ord, length(text) AS n_chars, md5(text) AS digest FROM documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardloom.operators.packing import pack_shards, token_offsets, tokenize_corpus
 from shardloom.session import new_scratch_path
-from shardloom.sources.shards import scan_shards, write_shards
+from shardloom.sources.shards import scan_shards, shard_manifest, write_shards
 
 # Sizes of the registered layout queries.
 SHARD = 100_000
@@ -68,6 +68,11 @@ def char_shards(spark: SparkSession, sf_dir: str, split: str | None = None) -> D
     return scan_shards(spark, shard_folder(spark, sf_dir), split)
 
 
+def char_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per shard, from the manifest of the written shards: no token is read."""
+    return shard_manifest(spark, shard_folder(spark, sf_dir))
+
+
 # The same views in SQL.
 DOCS_SQL = """
 docs AS (SELECT CASE WHEN lang = 'en' THEN 'base' ELSE 'extra' END AS source, doc_id AS ord, text

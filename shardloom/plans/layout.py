@@ -10,6 +10,8 @@ from shardloom.operators import layout as ops
 from shardloom.operators import quality
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
+from shardloom.session import materialize, new_scratch_path
+from shardloom.sources.shards import scan_shards, shard_manifest
 
 B, T, N = fx.BATCH, fx.SEQ, fx.RANKS
 WEIGHTS = {"base": 0.82, "extra": 0.18}
@@ -18,11 +20,22 @@ PLACE = ["source", "split", "shard_id"]
 SLOT = [*PLACE, "rank", "shard_k", "b"]
 
 
-def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def write(path: str) -> None:
-        ops.deal_batches(fx.char_shards(spark, sf_dir), B, T, N).write.parquet(path)
+def shards_and_lengths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written shards and, from their manifest, a row per shard with its length."""
+    folder = fx.shard_folder(spark, sf_dir)
+    lengths = shard_manifest(spark, folder).select(*PLACE, "shard_len")
+    return scan_shards(spark, folder), materialize(lengths, "shard-lengths")
+
 
-    return spark.read.parquet(fx.written(spark, sf_dir, "dealt", write))
+def positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, positions of all batches): narrow rows, no tokens read."""
+    segments, lengths = shards_and_lengths(spark, sf_dir)
+    return segments, ops.batch_positions(lengths, B, T, N)
+
+
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, lengths = shards_and_lengths(spark, sf_dir)
+    return ops.deal_batches(segments, B, T, N, lengths)
 
 
 def as_long(*names: str):
@@ -122,18 +135,42 @@ def same_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("source", "shard_id", "seq", *as_long("doc", "first", "last", "n_pairs"))
 
 
-def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = dealt(spark, sf_dir).where("split = 'train' AND rank = 0 AND b = 0")
+def train_mix(train: DataFrame) -> DataFrame:
+    """One schedule as long as rank 0 has training batches."""
+    heads = train.where("rank = 0 AND b = 0")
     weights = F.array(*[F.lit(w) for w in WEIGHTS.values()])
-    mixes = heads.agg(F.count("*").alias("n_picks")).withColumn("mix", F.lit("train")).withColumn("weights", weights)
+    return heads.agg(F.count("*").alias("n_picks")).withColumn("mix", F.lit("train")).withColumn("weights", weights)
+
+
+def with_names(picks: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(name) for name in WEIGHTS])
-    picks = ops.mix_schedule(mixes)
     return picks.select("pick", F.get(names, F.col("source_no")).alias("source"), "ordinal")
 
 
+def train_positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, numbered positions of the training batches, written)."""
+    segments, found = positions(spark, sf_dir)
+    return segments, materialize(ops.number_batches(found.where("split = 'train'")), "train-positions")
+
+
+def placed_picks(picks: DataFrame, train: DataFrame) -> DataFrame:
+    """Where each rank reads for every pick; a finite source wraps."""
+    # One row per source and rank.
+    have = train.groupBy("source", "rank").agg((F.max("k") + 1).alias("n_all"))
+    wanted = picks.join(F.broadcast(have), "source").withColumn("ordinal", F.col("ordinal") % F.col("n_all")).drop("n_all")
+    return ops.scheduled_batches(wanted, train.withColumnRenamed("k", "ordinal"), ["rank"])
+
+
+def read_picks(placed: DataFrame, segments: DataFrame) -> DataFrame:
+    """The batches themselves: tokens move once, at the end."""
+    found = ops.shift_labels(ops.with_tokens(placed, segments, T))
+    return found.select("pick", "source", *as_long("rank", "b"), "shard_id", digest(F.col("x")).alias("x"))
+
+
 @query("F13", f"WITH RECURSIVE {NUMBERED_SQL}, {SCHEDULE_SQL} SELECT pick, source, ordinal FROM picks")
 def mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule(spark, sf_dir)
+    _, found = positions(spark, sf_dir)
+    return with_names(ops.mix_schedule(train_mix(found.where("split = 'train'"))))
 
 
 @query(
@@ -146,13 +183,32 @@ def mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scheduled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rank follows the same schedule over its own batches; a finite source wraps."""
-    train = ops.number_batches(dealt(spark, sf_dir).where("split = 'train'"))
-    # One row per source and rank.
-    have = train.groupBy("source", "rank").agg((F.max("k") + 1).alias("n_all"))
-    wanted = schedule(spark, sf_dir).join(F.broadcast(have), "source").withColumn("ordinal", F.col("ordinal") % F.col("n_all"))
-    batches = ops.shift_labels(train).withColumnRenamed("k", "ordinal")
-    joined = ops.scheduled_batches(wanted, batches, ["rank"])
-    return joined.select("pick", "source", *as_long("rank", "b"), "shard_id", digest(F.col("x")).alias("x"))
+    segments, train = train_positions(spark, sf_dir)
+    picks = with_names(ops.mix_schedule(train_mix(train)))
+    return read_picks(placed_picks(picks, train), segments)
+
+
+@query(
+    "J2 (a mixed schedule, stopped and resumed)",
+    f"""WITH RECURSIVE {NUMBERED_SQL}, {SCHEDULE_SQL},
+        have AS (SELECT DISTINCT source, rank, n_all FROM numbered WHERE split = 'train')
+        SELECT p.pick, p.source, h.rank::BIGINT AS rank, t.b::BIGINT AS b, t.shard_id, {fx.list_digest("t.x")} AS x
+        FROM picks p JOIN have h USING (source)
+        JOIN numbered t ON t.source = p.source AND t.rank = h.rank AND t.split = 'train' AND t.k = p.ordinal % h.n_all
+        WHERE p.pick >= (SELECT n // 3 FROM n_train)""",
+)
+def resume_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule stops after a third of its picks and saves its cursor; the rest comes from the saved
+    table, and opens only shards that it needs."""
+    segments, train = train_positions(spark, sf_dir)
+    mix = train_mix(train)
+    whole = mix.first()["n_picks"]  # one number
+    path = new_scratch_path(spark, "mixed-cursor")
+    stopped = ops.mix_cursor(mix.withColumn("n_picks", F.lit(whole // 3)))
+    ops.save_cursor(ops.mixed_cursor(stopped, train, list(WEIGHTS), B, T, N), path, whole // 3)
+    rest = ops.resumed_schedule(ops.load_cursor(spark, path), whole - whole // 3, list(WEIGHTS))
+    placed = materialize(placed_picks(rest, train), "resumed-positions")
+    return read_picks(placed, ops.pruned_segments(segments, placed))
 
 
 @query(
@@ -161,7 +217,7 @@ def scheduled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM numbered WHERE k >= {READS} % n_all""",
 )
 def resume_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = dealt(spark, sf_dir)
+    _, batches = positions(spark, sf_dir)
     cursor = ops.loader_cursor(batches, B, T, N, READS)
     rest = ops.resume_after(batches, cursor, B, T, N)
     return rest.select(*PLACE, *as_long("rank", "shard_k", "b"))
@@ -179,7 +235,7 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("base", "train", 3), ("extra", "val", 1), ("extra", "train", 1000), ("absent", "train", 1)],
         "source string, split string, need bigint",
     )
-    return quality.preflight(required, fx.char_shards(spark, sf_dir))
+    return quality.preflight(required, fx.char_manifest(spark, sf_dir))
 
 
 @query(
@@ -190,7 +246,7 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def resolve_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spark.createDataFrame([*WEIGHTS.items(), ("absent", 0.5)], "source string, weight double")
-    shares = quality.resolve_weights(weights, fx.char_shards(spark, sf_dir), "train", allow_missing=True)
+    shares = quality.resolve_weights(weights, fx.char_manifest(spark, sf_dir), "train", allow_missing=True)
     return shares.select("source", "weight", F.round("share", 6).alias("share"))
 
 
@@ -224,7 +280,7 @@ def val_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def check_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks come from the dealt batches; one total divides, one does not."""
-    ranks = dealt(spark, sf_dir).groupBy("source", "split").agg(F.count_distinct("rank").alias("ranks"))
+    ranks = positions(spark, sf_dir)[1].groupBy("source", "split").agg(F.count_distinct("rank").alias("ranks"))
     good = F.col("ranks") * (B * T * 8)
     params = ranks.select(
         "source",

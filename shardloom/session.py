@@ -71,6 +71,15 @@ def release_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def folders_done(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix<number>`` below ``path`` whose write was completed, from the
+    store's listing alone."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    where = hadoop.Path(path)
+    found = where.getFileSystem(conf).globStatus(hadoop.Path(where, f"{prefix}*/_SUCCESS")) or []
+    return [int(status.getPath().getParent().getName()[len(prefix) :]) for status in found]
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write once to the shared folder and read back.
 

@@ -5,20 +5,27 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.constants import EOT
 from shardloom.functions.arrays import whole_div
 
 SCHEMA = (
     "seg_start bigint, ord bigint, n_tok int, tokens array<int>, build string, source string, split string, shard_id bigint"
 )
-PUBLISHED = "source string, build string"
+# A row per shard of a published build.
+MANIFEST = (
+    "source string, build string, split string, shard_id bigint, n_segments bigint, n_tokens bigint, shard_len bigint, "
+    "min_id int, max_id int, n_separators bigint, first_ord bigint, last_ord bigint"
+)
 
 
 def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> str:
     """Write a build of segments under builds/source/split/shard_id, sorted by position inside each
-    file, and publish it for the sources it holds. Returns the build's name.
+    file, and publish it with a manifest: a row of statistics per shard, counted from what was
+    written in one pass. Returns the build's name.
 
     A build has a folder of its own, so nothing of an earlier one can mix with it: readers see a
     source's newest published build only, whatever its splits, sizes or caps were before. A build
@@ -41,26 +48,83 @@ def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread:
         .parquet(f"{path}/builds")
     )
     written = segments.sparkSession.read.schema(SCHEMA).parquet(f"{path}/builds").where(F.col("build") == build)
-    written.select("source", "build").distinct().write.mode("append").parquet(f"{path}/published")
+    statistics(written).write.mode("append").parquet(f"{path}/manifest")
     return build
 
 
+def statistics(shards: DataFrame) -> DataFrame:
+    """The manifest's rows of written shards."""
+    ids = F.col("tokens")
+    found = shards.groupBy("source", "build", "split", "shard_id").agg(
+        F.count("*").alias("n_segments"),
+        F.sum("n_tok").alias("n_tokens"),
+        F.max(F.col("seg_start") + F.col("n_tok")).alias("shard_len"),
+        F.min(F.array_min(ids)).alias("min_id"),
+        F.max(F.array_max(ids)).alias("max_id"),
+        F.sum(F.size(F.filter(ids, lambda t: t == EOT))).alias("n_separators"),
+        F.min("ord").alias("first_ord"),
+        F.max("ord").alias("last_ord"),
+    )
+    columns = [part.split() for part in MANIFEST.split(", ")]
+    return found.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns])
+
+
+def newest_builds(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's rows of each source's newest published build."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no build was published in {path}") from error
+    newest = rows.groupBy("source").agg(F.max("build").alias("build"))  # a row per source
+    return rows.join(F.broadcast(newest), ["source", "build"])
+
+
+def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A row per shard of the newest builds, from what was written when they were published: shards,
+    segments, tokens, bounds of ids and documents. No file of tokens is opened."""
+    return newest_builds(spark, path).drop("build")
+
+
+def stale_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Shards whose files don't hold what the manifest says: (source, build, split, shard_id, n_segments,
+    found). Segments are counted from folder names and file footers, so no token is read."""
+    found = spark.read.schema(SCHEMA).parquet(f"{path}/builds").groupBy("source", "build", "split", "shard_id")
+    found = found.agg(F.count("*").alias("found"))
+    keys = ["source", "build", "split", "shard_id"]
+    named = newest_builds(spark, path).select(*keys, "n_segments")
+    wanted = named.select("source", "build").distinct()
+    both = named.join(found.join(wanted, ["source", "build"], "left_semi"), keys, "full")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_segments", "found")]
+    return both.select(*keys, *counts).where("n_segments <> found")
+
+
+def require_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``shard_manifest``, once its shards are found as it says; anything else is an error."""
+    stale = stale_shards(spark, path).limit(1).collect()
+    if stale:
+        raise ValueError(f"the manifest of {path} is stale: {stale[0].asDict()}")
+    return shard_manifest(spark, path)
+
+
 def scan_shards(spark: SparkSession, path: str, split: str | None = None, source: str | None = None) -> DataFrame:
     """Segments of the newest build of each source; an empty split is an error.
 
     Partition pruning reads only a split's folders, and the published builds (one row per source and
     build, far below any broadcast limit) prune the rest when the job runs.
     """
-    published = spark.read.schema(PUBLISHED).parquet(f"{path}/published")
-    newest = published.groupBy("source").agg(F.max("build").alias("build"))
+    listed = newest_builds(spark, path)
+    for name, wanted in (("split", split), ("source", source)):
+        if wanted is not None:
+            listed = listed.where(F.col(name) == wanted)
+    if listed.isEmpty():  # the manifest only
+        raise FileNotFoundError(f"no shards for split {split} of {source or 'any source'} in {path}")
+    newest = listed.select("source", "build").distinct()
     shards = spark.read.schema(SCHEMA).parquet(f"{path}/builds")
     if split is not None:
         shards = shards.where(F.col("split") == split)
     if source is not None:
         shards = shards.where(F.col("source") == source)
-    shards = shards.join(newest, ["source", "build"])
-    if shards.select("shard_id").limit(1).isEmpty():
-        raise FileNotFoundError(f"no shards for split {split} of {source or 'any source'} in {path}")
+    shards = shards.join(F.broadcast(newest), ["source", "build"])  # a row per source
     return shards.select("source", "split", "shard_id", "seg_start", "ord", "n_tok", "tokens")
 
 

@@ -129,3 +129,82 @@ def test_epochs_and_step_caps(spark):
     ]
     assert lay.step_limit(0, 2, 5000) == 10_000 and lay.step_limit(7, 2, 5000) == 7
     assert lay.step_cap(rows.withColumnRenamed("i", "batch"), 2, 1, 5000).count() == 2
+
+
+def sequential(weights, n):
+    credit, used, out = [0.0] * len(weights), [0] * len(weights), []
+    for pick in range(n):
+        credit = [c + w for c, w in zip(credit, weights)]
+        best = max(range(len(weights)), key=lambda i: (credit[i], -i))
+        credit[best] -= 1.0
+        out.append((pick, best, used[best]))
+        used[best] += 1
+    return out
+
+
+def test_a_schedule_goes_on_from_every_state(spark):
+    weights = [0.5, 0.3, 0.2]
+    mixes = spark.createDataFrame([("m", weights, 100)], "mix string, weights array<double>, n_picks bigint")
+    states = lay.mix_states(mixes, 7)
+    assert [r.n_picks for r in states.orderBy("pick", F.desc("n_picks")).collect()] == [7] * 14 + [2, 0]
+    want = sequential(weights, 100)
+    for pick in (0, 7, 49, 98):
+        rest = states.where(f"pick = {pick} AND n_picks > 0").withColumn("n_picks", F.lit(100 - pick))
+        assert sorted(tuple(r)[1:] for r in lay.mix_schedule(rest, 11).collect()) == want[pick:]
+    two = mixes.union(mixes.withColumn("mix", F.lit("o")).withColumn("n_picks", F.lit(0)))
+    assert sorted(tuple(r)[1:] for r in lay.mix_schedule(two, 13).collect()) == want
+    assert lay.mix_schedule(mixes.limit(0)).count() == 0
+
+
+def test_no_task_emits_more_than_a_stretch(spark):
+    n, stretch = 1_500_000, 1 << 18
+    mixes = spark.createDataFrame([("m", [0.82, 0.18], n)], "mix string, weights array<double>, n_picks bigint")
+    rows = lay.expand_states(lay.mix_states(mixes, stretch))
+    per_task = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("pick").alias("low"), F.max("pick").alias("high"))
+    found = per_task.collect()
+    assert max(r.n for r in found) == stretch and sum(r.n for r in found) == n
+    assert all(r.high - r.low == r.n - 1 for r in found)
+    totals = rows.groupBy("source_no").agg(F.count("*").alias("n"), F.max("ordinal").alias("top"), F.count_distinct("ordinal").alias("d")).collect()
+    assert {r.source_no: r.n for r in totals} == {0: n * 82 // 100, 1: n * 18 // 100}
+    assert all(r.top == r.n - 1 == r.d - 1 for r in totals)
+
+
+def test_cursor_versions(spark, tmp_path):
+    B, T, ranks, names = 2, 3, 2, ["base", "extra"]
+    lengths = {("base", 0): 60, ("base", 1): 45, ("extra", 0): 30}
+    shards = {(s, "train", i): list(range(n)) for (s, i), n in lengths.items()}
+    segments = segments_of(spark, shards)
+    train = lay.number_batches(lay.batch_positions(lay.shard_lengths(segments), B, T, ranks))
+    mix = spark.createDataFrame([("m", [0.7, 0.3], 0)], "mix string, weights array<double>, n_picks bigint")
+    whole = sequential([0.7, 0.3], 40)
+    path = str(tmp_path / "cursor")
+    with pytest.raises(FileNotFoundError):
+        lay.load_cursor(spark, path)
+    for stop in (0, 9, 23):
+        state = lay.mix_cursor(mix.withColumn("n_picks", F.lit(stop)))
+        lay.save_cursor(lay.mixed_cursor(state, train, names, B, T, ranks), path, stop)
+    (tmp_path / "cursor" / "version=000000000099").mkdir()  # a save that died
+    for version, stop in ((None, 23), (9, 9)):
+        cursor = lay.load_cursor(spark, path, version)
+        rest = lay.resumed_schedule(cursor, 40 - stop, names).collect()
+        assert sorted((r.pick, names.index(r.source), r.ordinal) for r in rest) == whole[stop:]
+        for r in cursor.collect():  # where each rank's reader stands
+            order = reads([n for (s, _), n in lengths.items() if s == r.source], B, T, ranks, r["rank"])
+            read = sum(j == names.index(r.source) for _, j, _ in whole[:stop])
+            assert (r.next_shard, r.next_pos, r.epoch) == (*order[read % len(order)], read // len(order))
+    assert {r.shard_id for r in lay.pruned_segments(segments, train.where("source = 'base' AND shard_id = 1")).collect()} == {1}
+    assert lay.pruned_segments(segments, train.limit(0)).count() == 0
+
+
+def test_tokens_move_once(spark):
+    """Placing, numbering and scheduling batches shuffles narrow rows; tokens go through one exchange."""
+    shards = {("s", "train", i): list(range(100)) for i in range(3)}
+    segments = segments_of(spark, shards)
+    placed = lay.number_batches(lay.batch_positions(lay.shard_lengths(segments), 2, 3, 2))
+    picks = spark.range(20).select(F.lit("s").alias("source"), (F.col("id") % 5).alias("ordinal"), F.col("id").alias("pick"))
+    found = lay.with_tokens(lay.scheduled_batches(picks, placed.withColumnRenamed("k", "ordinal")), segments, 3)
+    assert found.count() == 20 * 2 * 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.split("Initial Plan")[-1].count("partial_collect_list") == 1

@@ -19,6 +19,7 @@ from shardloom.functions.pieces import (
 from shardloom.functions.vocab import DEFAULT_VOCAB
 from shardloom.operators.layout import repeat_epochs
 from shardloom.operators.ordering import dense_index, prefix_scan
+from shardloom.session import materialize
 
 def render_turns(turns: DataFrame, add_generation_prompt: bool = False) -> DataFrame:
     """(conv_id, turn, text): one rendered row per turn, no shuffle; texts concatenate in turn order."""
@@ -92,8 +93,10 @@ def assemble_examples(encoded: DataFrame, T: int) -> DataFrame:
 
     Whether a conversation has learnable tokens is decided on all its turns, before the cut. Where
     each turn starts is an exact prefix sum in blocks of turns, so a conversation of any length is
-    no single task; turns that start behind the cut leave before the rest is gathered.
+    no single task; turns that start behind the cut leave before the rest is gathered. The encoded
+    turns have four readers (what is learnable, two scans, the rows), so they are written once.
     """
+    encoded = materialize(encoded, "encoded-turns")
     learnable = encoded.where(F.array_contains("mask", 1)).select("conv_id").distinct()
     cut = encoded.select("conv_id", "turn", F.slice("ids", 1, T).alias("ids"), F.slice("mask", 1, T).alias("mask"))
     placed = prefix_scan(cut, ["conv_id"], "turn", {"__at": ("sum", F.size("ids"))}, inclusive=False)

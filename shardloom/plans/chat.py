@@ -261,17 +261,22 @@ def masked_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("batch", "n_learn", F.round("loss", 6).alias("loss"))
 
 
-STEPS = 45  # more than an epoch at the smallest scale
+def job_steps(n_examples: int) -> int:
+    """Steps of a job: an epoch and a tenth, so that every example is seen and the source starts again."""
+    return -(-n_examples * 11 // (10 * ROWS))
+
+
+STEPS_SQL = f"(SELECT (count(*) * 11 + {10 * ROWS - 1}) // {10 * ROWS} FROM ex)"
 JOB_T = 1024  # the job's own cut
 
 
 def stream_sql(cut: int) -> str:
-    """The first STEPS batches of the endlessly repeated examples."""
+    """The batches of ``job_steps`` steps over the endlessly repeated examples."""
     return (
         EXAMPLES_SQL.replace(f", {CUT})", f", {cut})")
         + f""",
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS n_all FROM ex),
-places AS (SELECT unnest(range({STEPS * ROWS})) AS pos),
+places AS (SELECT unnest(range({STEPS_SQL} * {ROWS})) AS pos),
 bat AS (SELECT (pos // {ROWS})::BIGINT AS batch, (pos % {ROWS})::BIGINT AS row, (pos // n_all)::BIGINT AS epoch, conv_id, ids, mask,
                max(len(ids)) OVER (PARTITION BY pos // {ROWS})::BIGINT AS longest
         FROM places JOIN numbered ON idx = pos % (SELECT count(*) FROM ex)),
@@ -286,7 +291,9 @@ def step_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shardloom.constants import STEPS_PER_EPOCH
     from shardloom.operators.layout import step_limit
 
-    stream = ops.tuning_stream(char_examples(spark, sf_dir), ROWS, step_limit(STEPS, 2, STEPS_PER_EPOCH))
+    examples = char_examples(spark, sf_dir)
+    steps = step_limit(job_steps(examples.count()), 2, STEPS_PER_EPOCH)  # from file footers
+    stream = ops.tuning_stream(examples, ROWS, steps)
     return stream.select("batch", F.col("row").cast("bigint").alias("row"), F.col("epoch").cast("bigint").alias("epoch"), "conv_id")
 
 
@@ -298,7 +305,8 @@ def step_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tuning_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From turns to shifted, padded batches: encode, mask, drop, cut, batch over epochs, pad, shift."""
     examples = ops.min_len(ops.assemble_examples(char_turns(spark, sf_dir), JOB_T))
-    stream = ops.tuning_stream(materialize(examples, "tuning-examples"), ROWS, STEPS)
+    examples = materialize(examples, "tuning-examples")
+    stream = ops.tuning_stream(examples, ROWS, job_steps(examples.count()))
     shifted = ops.shift_masked(ops.pad_batch(stream))
     return shifted.select(
         "batch", F.col("row").cast("bigint").alias("row"), "conv_id", *[digest(F.col(c)).alias(c) for c in ("x", "y", "m")]

@@ -87,6 +87,29 @@ def stream_stall_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.read_alerts(spark, path)
 
 
+DEADLINE, DELAY = 60, 30  # minutes; a sample's order is its minute
+DAY = 86_400  # the clock starts a day after 1970, where no watermark lies
+
+
+@query(
+    "J3 (silence, by event-time timers)",
+    f"""WITH {tele.SAMPLES_SQL},
+        marked AS (SELECT run, ord, coalesce(ord - lag(ord) OVER (PARTITION BY run ORDER BY ord) > {DEADLINE}, true) AS fresh FROM samples),
+        bursts AS (SELECT run, ord, sum(fresh::INTEGER) OVER (PARTITION BY run ORDER BY ord) AS burst FROM marked),
+        ends AS (SELECT run, max(ord) AS last_order FROM bursts GROUP BY run, burst)
+        SELECT run, last_order FROM ends WHERE last_order + {DEADLINE} < (SELECT max(ord) - {DELAY} FROM samples)""",
+)
+def stream_silence_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices that send nothing for an hour, the ones that never come back included."""
+    rows = tele.samples(spark, sf_dir).select("run", "order", F.timestamp_seconds(DAY + F.col("order") * 60).alias("at"))
+    stream = stream_of(spark, arriving(spark, rows, "order", "silence-arriving"), rows.schema)
+    path = new_scratch_path(spark, "silence-alerts")
+    alerts = watch.silence_alerts(stream, DEADLINE * 60, DELAY * 60)
+    watch.append_rows(alerts, path, new_scratch_path(spark, "silence-alerts-state")).awaitTermination()
+    found = spark.read.schema(watch.SILENT).parquet(path)
+    return found.select("run", ((F.unix_timestamp("last_at") - DAY) / 60).cast("bigint").alias("last_order"))
+
+
 def lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tele.log_lines(spark, sf_dir)
     return stream_of(spark, arriving(spark, rows, "line_no", "lines-arriving"), rows.schema)

@@ -140,11 +140,11 @@ def nonfinite_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A11",
     f"""WITH {METRICS_SQL}, last AS (SELECT run, max(CASE WHEN event_type = 'click' AND run % 3 = 0 THEN step + 1 END) AS bar
           FROM runs GROUP BY run),
-        logged AS (SELECT run, max(CASE WHEN kind = 'train' AND run % 3 <> 2 THEN step END) AS log FROM metrics GROUP BY run)
+        logged AS (SELECT run, max(CASE WHEN kind = 'train' THEN step END) AS log FROM metrics GROUP BY run)
         SELECT run, coalesce(bar, log, 0)::BIGINT AS step FROM last LEFT JOIN logged USING (run)""",
 )
 def parse_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the runs have a bar, a third only a metric log, a third neither."""
+    """A third of the runs have a bar, the others their metric log, if it has a training line."""
     events = user_runs(spark, sf_dir)
     n, bar = F.col("step"), F.lit("/500 [00:00]")
     click = (F.col("event_type") == "click") & (F.col("run") % 3 == 0)
@@ -152,7 +152,7 @@ def parse_console(spark: SparkSession, sf_dir: str) -> DataFrame:
         click, F.concat(F.lit("train:  0%| "), n.cast("string"), bar, F.lit("\rtrain:  1%| "), (n + 1).cast("string"), bar)
     ).otherwise("warming up 7/9999")
     consoles = events.select("run", F.col("order").alias("line_no"), text.alias("value"))
-    metrics = logs.parse_metric_lines(log_lines(spark, sf_dir)).where(F.col("run") % 3 != 2)
+    metrics = logs.parse_metric_lines(log_lines(spark, sf_dir))
     return logs.parse_console(consoles, metrics, 500)
 
 

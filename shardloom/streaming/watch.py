@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shardloom.constants import IDLE_SAMPLES, MIN_UTIL, STALL_SAMPLES
 from shardloom.operators.ordering import dense_index, prefix_scan
+from shardloom.session import folders_done
 from shardloom.sources.logs import nonfinite_metrics, parse_metric_lines
 
 ALERTS = "run bigint, step bigint, kind string, in_row bigint"
@@ -92,6 +99,65 @@ def silent_devices(spark: SparkSession, path: str, batch_id: int, last_wanted: i
     return spark.read.schema(CARRY).parquet(f"{path}/carry/batch={batch_id}").where(F.col("last_step") < last_wanted).select("run", "last_step")
 
 
+SILENT = "run bigint, last_at timestamp"
+
+
+def _bursts(times: np.ndarray, known: list[tuple[int, int]], deadline: int) -> list[tuple[int, int]]:
+    """Known (first, last) stretches without a gap above ``deadline``, joined with more times."""
+    times = np.sort(times)
+    edge = np.flatnonzero(np.diff(times) > deadline)
+    first, last = times[np.append(0, edge + 1)], times[np.append(edge, len(times) - 1)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*known, *zip(first.tolist(), last.tolist())]):
+        if out and a - out[-1][1] <= deadline:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def silence_alerts(samples: DataFrame, deadline: int, delay: int, at: str = "at") -> DataFrame:
+    """(run, last_at) each time a device misses its deadline: nothing for more than ``deadline`` seconds
+    after ``last_at``. ``samples`` is a stream with ``run`` and the event time ``at``.
+
+    State per device is its stretches of samples that follow each other in time. A stretch is silent
+    once the watermark has passed its deadline, so an event-time timer fires for a device that sends
+    nothing any more, as soon as others move the watermark. Until then a late sample still joins the
+    stretches around it; samples at or behind the watermark (``delay`` seconds behind the newest,
+    the year 1970 at first) are dropped. Which trigger brings any other makes no difference. Stretches above the watermark are few: each pair of them is
+    more than a deadline apart.
+    """
+    wait = deadline * 1000
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = list(zip(*state.get)) if state.exists else []
+        watermark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for part in parts:
+                times = part[at].astype("datetime64[ms]").astype("int64").to_numpy()
+                times = times[times > watermark]
+                if len(times):
+                    known = _bursts(times, known, wait)
+        silent = [last for _, last in known if last + wait < watermark]
+        left = [burst for burst in known if burst[1] + wait >= watermark]
+        if left:
+            state.update(([a for a, _ in left], [b for _, b in left]))
+            state.setTimeoutTimestamp(left[0][1] + wait)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"run": [key[0]] * len(silent), "last": pd.Series(silent, dtype="int64")})
+
+    found = (
+        samples.select("run", at)
+        .withWatermark(at, f"{delay} seconds")
+        .groupBy("run")
+        .applyInPandasWithState(
+            step, "run bigint, last bigint", "firsts array<bigint>, lasts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+    return found.select("run", F.timestamp_millis("last").alias("last_at"))
+
+
 def progress_updates(lines: DataFrame) -> DataFrame:
     """Latest step and loss per run; map-side partial, state of one row per run."""
     metrics = parse_metric_lines(lines).where("kind = 'train'")
@@ -99,11 +165,19 @@ def progress_updates(lines: DataFrame) -> DataFrame:
     return metrics.groupBy("run").agg(latest).select("run", "latest.*")
 
 
-def append_updates(updates: DataFrame, path: str, state: str, available_now: bool = True) -> StreamingQuery:
-    """Write changed rows of each trigger under its number; a replay overwrites itself."""
+def append_updates(
+    updates: DataFrame, path: str, state: str, available_now: bool = True, compact_every: int = 16
+) -> StreamingQuery:
+    """Write changed rows of each trigger under its number; a replay overwrites itself.
+
+    Every ``compact_every`` triggers the newest row per run of all triggers so far is written as a
+    generation, from the generation before and the triggers since.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact_updates(batch.sparkSession, path, batch.schema, batch_id)
 
     writer = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
     if available_now:
@@ -111,11 +185,39 @@ def append_updates(updates: DataFrame, path: str, state: str, available_now: boo
     return writer.start()
 
 
-def latest_updates(spark, path: str, schema: str) -> DataFrame:
-    """The newest update per run."""
-    rows = spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path)
-    others = [c for c in rows.columns if c not in ("run", "batch")]
-    return rows.groupBy("run").agg(F.max_by(F.struct(*others), "batch").alias("u")).select("run", "u.*")
+def _update_rows(spark: SparkSession, path: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
+    """Rows with their trigger: of the newest complete generation below ``upto``, then of later triggers."""
+    full = T.StructType([*schema, T.StructField("batch", T.LongType())])
+    before = lambda n: upto is None or n < upto
+    generations = [n for n in folders_done(spark, f"{path}/generations", "upto=") if before(n)]
+    base = max(generations, default=-1)
+    batches = [n for n in folders_done(spark, path, "batch=") if n > base and (before(n) or n == upto)]
+    rows = spark.createDataFrame([], full)
+    if base >= 0:
+        rows = spark.read.schema(full).parquet(f"{path}/generations/upto={base}")
+    if batches:
+        late = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/batch={n}" for n in batches])
+        rows = rows.unionByName(late) if base >= 0 else late
+    return rows
+
+
+def _newest_updates(rows: DataFrame) -> DataFrame:
+    others = [c for c in rows.columns if c != "run"]
+    newest = F.max_by(F.struct(*others), "batch").alias("u")
+    return rows.groupBy("run").agg(newest).select("run", "u.*")
+
+
+def compact_updates(spark: SparkSession, path: str, schema: T.StructType, upto: int) -> None:
+    """Publish the generation up to a trigger. It counts once its success marker stands, and writing
+    it again gives the same rows."""
+    newest = _newest_updates(_update_rows(spark, path, schema, upto))
+    newest.write.mode("overwrite").parquet(f"{path}/generations/upto={upto}")
+
+
+def latest_updates(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest update per run, read from the newest generation and the triggers after it."""
+    parsed = T.StructType.fromDDL(schema)
+    return _newest_updates(_update_rows(spark, path, parsed)).select(*parsed.names)
 
 
 def append_rows(rows: DataFrame, path: str, state: str, available_now: bool = True) -> StreamingQuery:

@@ -154,3 +154,12 @@ def test_generation_prompt_as_ids(turns):
     assert encoded.count() == plain + len(CHATS)
     assert {r.conv_id for r in prompts} == set(CHATS) and len(prompts) == len(CHATS)
     assert all(r.mask == [0] * len(opened) for r in prompts)
+
+
+def test_turns_are_encoded_once(spark):
+    """Deciding what is learnable, placing and gathering read the written turns, not the encoder."""
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello there")], "conv_id long, turn long, role string, content string")
+    examples = c.assemble_examples(c.encode_turns(turns), 64)
+    assert examples.count() == 1
+    plan = examples._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan

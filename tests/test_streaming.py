@@ -98,3 +98,61 @@ def test_progress_and_bad_values(spark):
     bad = new_scratch_path(spark, "test-bad")
     watch.append_rows(watch.nonfinite_alerts(stream()), bad, new_scratch_path(spark, "s")).awaitTermination()
     assert [r.run for r in spark.read.schema(schema).parquet(bad).collect()] == [2]
+
+
+def minutes(spark, rows):
+    return spark.createDataFrame(rows, "run bigint, minute bigint").select("run", F.timestamp_seconds(86_400 + F.col("minute") * 60).alias("at"))
+
+
+def silent_after(spark, parts, deadline=10, delay=5, restart_at=None):
+    """Alerts (run, minute) when ``parts`` arrive one by one; ``restart_at`` runs the stream twice."""
+    path, out, state = (new_scratch_path(spark, f"test-silence-{n}") for n in ("in", "out", "state"))
+    schema = minutes(spark, [(0, 0)]).schema
+    for i, part in enumerate(parts):
+        minutes(spark, part).coalesce(1).write.mode("append").parquet(path)
+        if i + 1 == restart_at or i + 1 == len(parts):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+            watch.append_rows(watch.silence_alerts(stream, deadline * 60, delay * 60), out, state).awaitTermination()
+    found = spark.read.schema(watch.SILENT).parquet(out).select("run", ((F.unix_timestamp("last_at") - 86_400) / 60).cast("bigint").alias("m"))
+    return sorted(map(tuple, found.collect()))
+
+
+def test_silent_devices_alert_by_themselves(spark):
+    """Device 2 stops for good, device 1 pauses and comes back, device 3 sends on."""
+    three = [(3, m) for m in range(0, 60, 5)]
+    rows = sorted([(1, 0), (1, 4), (1, 30), (1, 39), (2, 0), (2, 3), *three], key=lambda r: r[1])
+    want = [(1, 4), (2, 3), (1, 39)]
+    want = sorted(w for w in want if w[1] + 10 < 55 - 5)
+    for cuts in ([], [5], [3, 8, 12]):
+        edges = [0, *cuts, len(rows)]
+        parts = [rows[a:b] for a, b in zip(edges, edges[1:])]
+        assert silent_after(spark, parts) == want
+    assert silent_after(spark, [rows[:6], rows[6:]], restart_at=1) == want
+
+
+def test_late_samples_close_a_gap_until_the_watermark(spark):
+    # Minute 9 arrives late but within the delay, so 0 and 18 are one stretch; it would be too late after 40.
+    assert silent_after(spark, [[(1, 0), (1, 12)], [(1, 18), (1, 9)], [(2, 60)]], delay=8) == [(1, 18)]
+    assert silent_after(spark, [[(1, 0), (2, 40)], [(1, 9), (1, 11)], [(2, 60)]]) == [(1, 0), (2, 40)]
+
+
+def test_updates_are_compacted(spark):
+    path, out, state = (new_scratch_path(spark, f"test-compact-{n}") for n in ("in", "out", "state"))
+    schema = "run bigint, value string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    want = {}
+    for i in range(11):
+        want[i % 3], want[7] = i, i
+        add(spark, path, [(i % 3, f"{i} train {i}.5 norm 1.0"), (7, f"{i} train 1.0 norm 1.0")], schema)
+    watch.append_updates(watch.progress_updates(stream()), out, state, compact_every=4).awaitTermination()
+    rows = "run bigint, step bigint, loss double"
+    read = lambda: {r.run: r.step for r in watch.latest_updates(spark, out, rows).collect()}
+    assert read() == want
+    opened = watch.latest_updates(spark, out, rows).inputFiles()
+    assert {f.split("/")[-2] for f in opened} <= {"upto=7", "batch=8", "batch=9", "batch=10"}
+    # A replayed trigger and a compaction done again change nothing.
+    replay = spark.read.parquet(f"{out}/batch=7").collect()
+    spark.createDataFrame(replay, rows).write.mode("overwrite").parquet(f"{out}/batch=7")
+    watch.compact_updates(spark, out, spark.createDataFrame([], rows).schema, 7)
+    assert read() == want
+    assert watch.latest_updates(spark, new_scratch_path(spark, "no-updates"), rows).count() == 0

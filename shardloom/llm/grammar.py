@@ -99,6 +99,24 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, np.int32), 1
         self.start, self.length, self.known = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 2
         self.flat[0], self.length[0] = END, 1
+        self.turn = np.zeros(1 << 18, np.int32)  # the batch that last used a code
+        self.batch = 0
+
+    def trim(self) -> None:
+        """Keep the parts that the last batch used, or none if they are the most of the memory."""
+        led, bare, flat, start, length, turn = self.led, self.bare, self.flat, self.start, self.length, self.turn
+        recent, batch = turn[: self.known] >= self.batch, self.batch
+        self.clear()
+        self.batch = batch
+        recent[:2] = False
+        codes = np.flatnonzero(recent)
+        if PART_BYTES * len(codes) > CACHE_BYTES // 2:
+            return
+        first = self.store(flat[ranges(start[codes], length[codes])], length[codes])
+        renamed = np.zeros(len(recent), np.int64)
+        renamed[codes] = first + np.arange(len(codes))
+        self.led = {p: int(renamed[c]) for p, c in led.items() if recent[c]}
+        self.bare = {p: int(renamed[c]) for p, c in bare.items() if recent[c]}
 
     def ids(self, text: str) -> list[int]:
         self.tokenizer.encode_special_tokens = not self.special
@@ -113,6 +131,7 @@ class Encoder:
         while self.known + len(lengths) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.turn = np.concatenate([self.turn, np.zeros_like(self.turn)])
         first = self.known
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[first : first + len(lengths)] = self.used + np.cumsum(lengths) - lengths
@@ -151,12 +170,14 @@ class Encoder:
             following = iter(codes)
             found = [next(following) if f is None else f for f in found]
         table = np.array([*found, 1], dtype=np.int32)
+        self.turn[table] = self.batch
         return table[pc.fill_null(coded.indices, len(values)).to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
         if 4 * self.used + PART_BYTES * self.known > CACHE_BYTES:
-            self.clear()
+            self.trim()
+        self.batch += 1
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         for mark in self.marks:
             unsafe = unsafe | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)

@@ -159,3 +159,13 @@ def test_cache_is_bounded(monkeypatch):
         text = " ".join(f"w{n}x{i}!" for i in range(100))
         assert encoder.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
     assert 4 * encoder.used + G.PART_BYTES * encoder.known < 80_000
+
+
+def test_trimming_keeps_recent_parts(monkeypatch):
+    encoder, tokenizer = G.Encoder(TOKENIZER), plain()
+    same = lambda text: encoder.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    assert same(" ".join(f"old{'x' * (i % 50)}é, " for i in range(300)).replace(", ", ",")) and same("begin new words, here's some; more")
+    before = len(encoder.led)
+    monkeypatch.setattr(G, "CACHE_BYTES", 4 * encoder.used + G.PART_BYTES * encoder.known - 1)
+    assert same("new words, again here's some") and 0 < len(encoder.led) < before and "new" in encoder.led and "words" in encoder.led
+    assert same("begin old oldx oldxxé, new words")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardloom.constants import SEED
+from shardloom.functions.arithmetic import evaluate_whole
 from shardloom.functions.pieces import tool_pieces
 from shardloom.operators.ordering import order_hash, prefix_scan
 from shardloom.session import ship_package
@@ -82,6 +83,16 @@ def evaluate_simple(expr: Column) -> Column:
     return simple_value(parse_simple(expr))
 
 
+def evaluate_native(expr: Column) -> Column:
+    """Result text of a plain call or of nested whole-number arithmetic; null where Python must decide.
+
+    The expression and the parsed call are bound by lambdas, so that each is worked out once a row
+    wherever it is used.
+    """
+    plain = lambda e: F.transform(F.array(parse_simple(e)), simple_value)[0]
+    return F.transform(F.array(expr), lambda e: F.coalesce(plain(e), evaluate_whole(e)))[0]
+
+
 class _LongPower:
     """A power of two whole numbers with more digits than Python prints, not computed yet: under a
     remainder it never has to be, and as a result it cannot be written."""
@@ -184,13 +195,11 @@ def calculate_lists(lists: pd.Series) -> pd.Series:
 def evaluate_tool_calls(rows: DataFrame, expr: str = "expr") -> DataFrame:
     """Adds ``result`` and ``error``; a bad expression is an error row, not a failed job.
 
-    Plain calls are worked out in the JVM, and Python gets null for them. No shuffle, so a popular
-    expression is no hot key; repeats are evaluated once per Arrow batch.
+    Plain calls and nested whole-number arithmetic are worked out in the JVM, and Python gets null for
+    them. No shuffle, so a popular expression is no hot key; repeats are evaluated once per Arrow batch.
     """
     ship_package(rows.sparkSession)
-    # The parsed call is bound by a lambda, so that its pattern runs once a row wherever it is used.
-    simple = F.transform(F.array(parse_simple(F.col(expr))), simple_value)[0]
-    staged = rows.withColumn("__simple", simple)
+    staged = rows.withColumn("__simple", evaluate_native(F.col(expr)))
     hard = calculate_column(F.when(F.col("__simple").isNull(), F.col(expr)))
     staged = staged.withColumn("__hard", hard)
     result = F.coalesce("__simple", F.col("__hard.result"))
@@ -201,11 +210,11 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
     """After every call insert its result line; the text stays one row, so nothing is regrouped."""
     ship_package(rows.sparkSession)
     # One projection per stage: each is used more than once below. One branch: Python gets null for a
-    # text of plain calls, so every text is read and split once.
+    # text of calls the JVM can work out, so every text is read and split once.
     staged = (
         rows.withColumn("__parts", F.split(text, CLOSE_CALL))
         .withColumn("__exprs", _call_heads(F.col("__parts")))
-        .withColumn("__simple", F.transform(F.transform("__exprs", parse_simple), simple_value))
+        .withColumn("__simple", F.transform("__exprs", evaluate_native))
         .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
     is_hard = F.coalesce(F.exists("__todo", lambda e: e.isNotNull()), F.lit(False))

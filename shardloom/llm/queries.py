@@ -265,8 +265,12 @@ FROM base LEFT JOIN g USING (k)
 SQL["op12_licenses"] = _license_sql()
 
 
+URL_LEVELS = 6
+
+
 def _url_sql() -> str:
-    """The tree level by level, with the operator's constants."""
+    """The tree level by level, with the operator's constants. The operator goes to any depth; this goes
+    to ``URL_LEVELS``, beyond those of the given pages, and fails on deeper paths."""
     levels = [
         """
 x{d} AS (SELECT *, segs[{d}] AS s, CASE WHEN regexp_matches(segs[{d}], '^[0-9]+$') THEN '<num>'
@@ -290,7 +294,7 @@ p{d} AS (SELECT x{d}.host, path, pages, labelled, good, segs,
          FROM x{d} LEFT JOIN t{d} ON x{d}.host = t{d}.host AND x{d}.template = t{d}.template AND x{d}.s = t{d}.s)""".format(
             d=d, e=d - 1, many=urls.MANY, rare=urls.RARE, z=urls.Z
         )
-        for d in range(1, urls.DEPTH + 1)
+        for d in range(1, URL_LEVELS + 1)
     ]
     rules = sorted(urls.RULES, key=lambda r: -len(r[1]))
     fits = lambda r: (
@@ -307,8 +311,8 @@ r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 p0 AS (SELECT host, path, count(*) AS pages, count(good) AS labelled, coalesce(sum(good), 0) AS good,
               CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segs, '' AS template
        FROM r LEFT JOIN labelled USING (page_id) GROUP BY host, path),{",".join(levels)},
-tree AS (SELECT host, path, labelled, good, CASE WHEN len(segs) > {urls.DEPTH} THEN template || '/**' ELSE template END AS template
-         FROM p{urls.DEPTH}),
+tree AS (SELECT host, path, labelled, good, CASE WHEN len(segs) > {URL_LEVELS} THEN error('path too deep') ELSE template END AS template
+         FROM p{URL_LEVELS}),
 bt AS (SELECT host, template, sum(labelled)::DOUBLE AS labelled, sum(good)::DOUBLE AS good FROM tree GROUP BY ALL),
 bh AS (SELECT host, sum(labelled) AS hl, sum(good) AS hg FROM bt GROUP BY host),
 hp AS (SELECT host, (hg + {urls.PRIOR} * (SELECT (sum(hg) + 1) / (sum(hl) + 2) FROM bh)) / (hl + {urls.PRIOR}) AS prior FROM bh),

@@ -1,6 +1,7 @@
 """URL filters from fixed rules and a tree of path templates per host.
 
-Paths grow into templates level by level, from the host down. Under each node, segments of a shape
+Paths grow into templates level by level, from the host down, to any depth; what all paths below a
+node begin with is appended in one step, as each of its levels has a single branch. Under each node, segments of a shape
 with many rare values (numbers, numbered files, identifiers) become that shape's wildcard. Of the
 other segments, those whose labelled purity doesn't differ from the rest of their siblings (two
 proportions, pooled) become one merged branch ``*``; the rest stay literal branches. Templates are then
@@ -13,6 +14,7 @@ Only counts per distinct path are moved. A label belongs to the page whose page_
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,6 @@ from shardloom.session import materialize
 
 # Verdict and rule (host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 4  # levels of the tree; what lies deeper is one last wildcard, **
 MANY = 8  # distinct values a variable segment has at least
 RARE = 8  # pages per value it has on average at most
 Z = 1.96
@@ -61,13 +62,27 @@ def shape(segment: Column) -> Column:
     )
 
 
-def grow(paths: DataFrame, depth: int) -> DataFrame:
-    """One more level: rows (host, path, segments, template, pages, labelled, good)."""
-    here = F.try_element_at("segments", F.lit(depth + 1))
+def skip(paths: DataFrame) -> DataFrame:
+    """Appends to each node's template the segments that all its paths go on with, of rows that go on."""
+    node = ["host", "template"]
+    rest = F.slice("segments", F.col("at") + 1, F.size("segments"))
+    ends = paths.groupBy(*node).agg(F.min(rest).alias("_low"), F.max(rest).alias("_high"))
+    # Arrays are ordered by their first difference, so the least and the greatest differ first.
+    apart = F.array_position(F.zip_with("_low", "_high", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+    common = F.when(apart == 0, F.size("_low")).otherwise(apart - 1)
+    ends = ends.withColumn("_n", common).select(*node, "_n", F.array_join(F.slice("_low", F.lit(1), F.col("_n")), "/").alias("_more"))
+    longer = F.when(F.col("_n") > 0, F.concat("template", F.lit("/"), "_more")).otherwise(F.col("template"))
+    joined = paths.join(ends, node).withColumn("template", longer).withColumn("at", F.col("at") + F.col("_n"))
+    return joined.select(*paths.columns)
+
+
+def grow(paths: DataFrame) -> DataFrame:
+    """One more level: rows (host, path, segments, template, at, pages, labelled, good) that go on."""
+    here = F.element_at("segments", F.col("at") + 1)
     rows = paths.withColumn("_s", here).withColumn("_shape", shape(here))
     node = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "good")]
-    children = materialize(rows.where("_s IS NOT NULL").groupBy(*node, "_s", "_shape").agg(*sums), "url-children")
+    children = materialize(rows.groupBy(*node, "_s", "_shape").agg(*sums), "url-children")
     shapes = children.groupBy(*node, "_shape").agg(
         F.count("*").alias("_values"), F.sum("pages").alias("_pages"), *[F.sum(c).alias(f"_{c}") for c in ("labelled", "good")]
     )
@@ -93,21 +108,29 @@ def grow(paths: DataFrame, depth: int) -> DataFrame:
         .join(literal, node, "left")
         .select(*node, "_s", token.alias("_token"))
     )
-    grown = rows.drop("_shape").join(decided, [*node, "_s"], "left")
-    template = F.when(F.col("_s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_token"))
-    return grown.withColumn("template", template).select(*paths.columns)
+    grown = rows.drop("_shape").join(decided, [*node, "_s"])
+    grown = grown.withColumn("template", F.concat("template", F.lit("/"), "_token")).withColumn("at", F.col("at") + 1)
+    return grown.select(*paths.columns)
+
 
+def templates(paths: DataFrame) -> DataFrame:
+    """Adds template to rows (host, path, pages, labelled, good), one row per distinct path.
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds template to rows (host, path, pages, labelled, good), one row per distinct path."""
+    A round goes down to the next place where paths part; paths that have ended leave the rounds. So
+    there are as many rounds as there are such places on one path, however long the paths are.
+    """
     segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("path", "^/", ""), "/")
     )
-    rows = paths.select("*", segments.alias("segments"), F.lit("").alias("template"))
-    for level in range(depth):
-        rows = materialize(grow(rows, level), "url-templates")
-    tail = F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return rows.withColumn("template", tail).drop("segments")
+    rows = paths.select("*", segments.alias("segments"), F.lit("").alias("template"), F.lit(0).alias("at"))
+    goes_on = F.col("at") < F.size("segments")
+    ended = [rows.where(~goes_on)]
+    step = skip
+    while not rows.where(goes_on).isEmpty():
+        rows = materialize(step(rows.where(goes_on)), "url-templates")
+        ended.append(rows.where(~goes_on))
+        step = grow if step is skip else skip
+    return reduce(DataFrame.union, ended).drop("segments", "at")
 
 
 def purity(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +52,69 @@ def test_templates_wildcards_and_purity(spark):
     assert got[2]["template"] == "/spam/<num>.html" and got[2]["verdict"] == "block"
     assert {got[i]["verdict"] for i in range(2, 180, 3)} == {"block"}  # unlabelled ones of the template too
     assert got[0]["verdict"] == got[1]["verdict"] == got[None]["verdict"] == "allow"
-    assert got[900]["template"].endswith("/**") and got[901]["verdict"] == "allow"
+    assert got[900]["template"] == "/*/b/c/d/e/f" and got[901]["verdict"] == "allow"
+
+
+def brute_templates(paths):
+    """Templates of {path: (pages, labelled, good)} of one host, a level at a time."""
+    out, nodes = {}, [("", 0, list(paths))]
+    parts = {p: [] if p == "" else p.removeprefix("/").split("/") for p in paths}
+
+    def form(s):
+        if re.fullmatch("[0-9]+", s):
+            return "<num>"
+        if re.fullmatch(r"[0-9]+\.[a-z]+", s):
+            return "<num>" + s.lstrip("0123456789")
+        if re.fullmatch("[0-9a-fA-F-]{8,}", s):
+            return "<id>"
+        return "<mixed>" if re.search("[0-9]", s) else "<word>"
+
+    while nodes:
+        template, level, below = nodes.pop()
+        kids = {}
+        for p in below:
+            if len(parts[p]) == level:
+                out[p] = template
+            else:
+                kids.setdefault(parts[p][level], []).append(p)
+        counts = {s: [sum(paths[p][i] for p in ps) for i in range(3)] for s, ps in kids.items()}
+        forms = {}
+        for s in kids:
+            forms.setdefault(form(s), []).append(s)
+        variable = {f for f, ss in forms.items() if len(ss) >= U.MANY and sum(counts[s][0] for s in ss) <= U.RARE * len(ss)}
+        literal = [s for s in kids if form(s) not in variable]
+        n, g = sum(counts[s][1] for s in literal), sum(counts[s][2] for s in literal)
+        groups = {}
+        for s, ps in kids.items():
+            token = form(s)
+            if token not in variable:
+                _, labelled, good = counts[s]
+                apart = False
+                if labelled and n - labelled:
+                    rate = g / n
+                    error = (rate * (1 - rate) * (1 / labelled + 1 / (n - labelled))) ** 0.5
+                    apart = abs(good / labelled - (g - good) / (n - labelled)) > U.Z * error
+                token = s if len(literal) == 1 or apart else "*"
+            groups.setdefault(token, []).extend(ps)
+        nodes += [(f"{template}/{t}", level + 1, ps) for t, ps in groups.items()]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_deep_templates_equal_brute_force(spark, seed):
+    """Paths of up to nine levels and one of thousands, branching anywhere, some ending inside others."""
+    rng = random.Random(seed)
+    paths = {"": (1, 1, 1), "/": (2, 0, 0), "//": (1, 0, 0), "/" + "d/" * 3000 + "x": (1, 1, 0), "/" + "d/" * 3000 + "y": (3, 2, 2)}
+    names = ["news", "blog", "spam", "en", "", "v2", "*"]
+    for _ in range(500):
+        parts = [rng.choice(names[: rng.choice([1, 2, 7])]) for _ in range(rng.randint(0, 7))]
+        tail = rng.choice([[], [str(rng.randint(0, 99))], [f"{rng.randint(0, 999)}.html"], ["deadbeef%02x" % rng.randint(0, 40), "end"]])
+        labelled = rng.randint(0, 9)
+        good = 0 if "spam" in parts else rng.randint(labelled // 2, labelled)
+        paths["/" + "/".join(parts + tail)] = (labelled + rng.randint(1, 3), labelled, good)
+    rows = spark.createDataFrame([("h", p, *c) for p, c in paths.items()], "host string, path string, pages long, labelled long, good long")
+    got = {r["path"]: r["template"] for r in U.templates(rows).collect()}
+    assert got == brute_templates(paths)
 
 
 def test_empty_tables(spark):

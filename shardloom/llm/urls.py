@@ -70,10 +70,12 @@ def skip(paths: DataFrame) -> DataFrame:
     # Arrays are ordered by their first difference, so the least and the greatest differ first.
     apart = F.array_position(F.zip_with("_low", "_high", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
     common = F.when(apart == 0, F.size("_low")).otherwise(apart - 1)
-    ends = ends.withColumn("_n", common).select(*node, "_n", F.array_join(F.slice("_low", F.lit(1), F.col("_n")), "/").alias("_more"))
-    longer = F.when(F.col("_n") > 0, F.concat("template", F.lit("/"), "_more")).otherwise(F.col("template"))
-    joined = paths.join(ends, node).withColumn("template", longer).withColumn("at", F.col("at") + F.col("_n"))
-    return joined.select(*paths.columns)
+    # A count per node: a node of very many paths is not dealt out by its key again.
+    ends = bounded(ends.select(*node, common.alias("_n")).where("_n > 0"), "url-ends", 32 << 20, 200)
+    more = F.array_join(F.slice("segments", F.col("at") + 1, F.col("_n")), "/")
+    longer = F.when(F.col("_n") > 0, F.concat("template", F.lit("/"), more)).otherwise(F.col("template"))
+    joined = paths.join(ends, node, "left").withColumn("template", longer)
+    return joined.withColumn("at", F.col("at") + F.coalesce("_n", F.lit(0))).select(*paths.columns)
 
 
 def grow(paths: DataFrame) -> DataFrame:
@@ -162,7 +164,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
         F.coalesce(F.sum("_good"), F.lit(0)).alias("good"),
     )
     paths = materialize(templates(materialize(counted, "url-paths")).select("host", "path", "template", "labelled", "good"), "url-tree")
-    found = paths.select("host", "path", "template").join(purity(paths), ["host", "template"])
+    pure = bounded(purity(paths), "url-purity", 32 << 20, 200)
+    found = paths.select("host", "path", "template").join(pure, ["host", "template"])
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     judged = rows.join(found, ["host", "path"]).withColumn("_rule", rule)
     by_method = F.when(F.col("purity") < PURITY, "block").otherwise("allow")

@@ -13,6 +13,7 @@ from shardloom.operators import packing, quality
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
 from shardloom.session import new_scratch_path
+from shardloom.sources import blocks
 from shardloom.sources import corpus as corpus_source
 from shardloom.sources.shards import list_shards, scan_shards, write_shards
 
@@ -163,6 +164,37 @@ def pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "F1, F2 (documents added and corrected)",
+    f"""WITH {fx.SEGMENTS_SQL} SELECT source, split, shard_id, seg_start, ord, len(tokens)::BIGINT AS n_tokens,
+        {fx.list_digest('tokens')} AS digest FROM segs""",
+)
+def add_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a corpus that arrived in three parts: Spanish in capitals at first, German late, Spanish
+    corrected last. They are those of the corpus packed at once."""
+    docs = fx.table(spark, sf_dir, "documents")
+    by_lang = F.when(F.col("lang") == "en", "base").otherwise("extra")
+    docs = docs.select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    path = new_scratch_path(spark, "blocks")
+    spanish = F.col("lang") == "es"
+    parts = [
+        docs.where("lang <> 'de'").withColumn("text", F.when(spanish, F.upper("text")).otherwise(F.col("text"))),
+        docs.where("lang = 'de'"),
+        docs.where(spanish),
+    ]
+    for part in parts:
+        blocks.add_documents(part.select("source", "ord", "text"), path, "char", bits=12)
+    return packing.pack_shards(blocks.placed_documents(spark, path), fx.SHARD).select(
+        "source",
+        "split",
+        "shard_id",
+        "seg_start",
+        "ord",
+        F.size("tokens").cast("bigint").alias("n_tokens"),
+        digest(F.col("tokens")).alias("digest"),
+    )
+
+
 _CAP_SHARDS = -(-CAP // fx.SHARD)
 
 

@@ -142,7 +142,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     """The index of ``docs`` and the benchmark's terms with their ids."""
     items = item_terms(benchmark)
     terms = number_terms(items)
-    return build_index(docs, terms), materialize(items.join(terms, "word").drop("word"), "bench-items")
+    return build_index(docs, terms), materialize(items.join(terms, "word"), "bench-items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: tuple[int, int] | None = None) -> DataFrame:
@@ -215,16 +215,16 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: in
 def near_places(index: DataFrame, items: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
     """_k1, _k2, doc_id, item, item_id, start, stop of the proximity matches in a written index.
 
-    Only terms that occur in the corpus are ranked, so a reworded item is found by its other words;
+    Only terms that occur in the corpus are ranked (of equally rare ones the lesser word first), so a reworded item is found by its other words;
     an item of which fewer than ``terms`` (or than it has) occur has no match. Postings of those
     terms are ordered by position per document and item; each is followed by the last place of every
     other term, so no pairs are formed. The shortest stretch that ends at each posting counts.
     """
     counts = index.where("pos >= 0").groupBy("word_id").agg(F.count("*").alias("n_postings"))
     own = Window.partitionBy("item")
-    wanted = items.select("item", "item_id", "word_id").distinct().withColumn("_of", F.least(F.count("*").over(own), F.lit(terms)))
+    wanted = items.select("item", "item_id", "word", "word_id").distinct().withColumn("_of", F.least(F.count("*").over(own), F.lit(terms)))
     wanted = wanted.join(counts, "word_id")
-    wanted = wanted.withColumn("_rank", F.row_number().over(own.orderBy("n_postings", "word_id"))).where(F.col("_rank") <= terms)
+    wanted = wanted.withColumn("_rank", F.row_number().over(own.orderBy("n_postings", "word"))).where(F.col("_rank") <= terms)
     wanted = wanted.withColumn("_found", F.count("*").over(own)).where("_found = _of")
     wanted = bounded(wanted.select("item", "item_id", "word_id", "_rank", "_of"), "bench-near", BROADCAST_BYTES, 60)
     postings = index.where("pos >= 0").select(*KEY, "doc_id", "pos", "word_id").distinct().join(wanted, "word_id")

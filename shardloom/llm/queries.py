@@ -74,8 +74,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document inside a benchmark window of 13, and the items they come from."""
-    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 13)
+    """Words of every document inside a benchmark window of 13, and the items they come from;
+    ``n_near_items`` counts the items whose three rarest terms stand within 20 words."""
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 13, near=(3, 20))
     return found.select(
         "doc_id",
         "n_words",
@@ -83,6 +84,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.is_contaminated(5).alias("contaminated"),
+        "n_near_items",
     )
 
 
@@ -101,11 +103,26 @@ dw AS (SELECT k, n, p, array_to_string(ws[p:p + n - 1], ' ') AS g
 hit AS (SELECT k, item_id, dw.n, p FROM dw JOIN bw USING (n, g)),
 words AS (SELECT k, count(DISTINCT spot) AS n_hit FROM (SELECT k, unnest(generate_series(p, p + n - 1)) AS spot FROM hit)
           GROUP BY k),
-items AS (SELECT k, list_sort(list(DISTINCT coalesce(item_id::VARCHAR, ''))) AS ids FROM hit GROUP BY k)
+items AS (SELECT k, list_sort(list(DISTINCT coalesce(item_id::VARCHAR, ''))) AS ids FROM hit GROUP BY k),
+dp AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+freq AS (SELECT w, count(*) AS n FROM dp GROUP BY w),
+bi AS (SELECT *, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, ws FROM b WHERE len(ws) > 0)),
+bt AS (SELECT item, item_id, w, least(3, count(*) OVER (PARTITION BY item)) AS need
+       FROM (SELECT DISTINCT item, item_id, unnest(ws) AS w FROM bi)),
+rare AS (SELECT *, count(*) OVER (PARTITION BY item) AS have FROM (
+         SELECT item, item_id, w, need, row_number() OVER (PARTITION BY item ORDER BY n, w) AS r FROM bt JOIN freq USING (w))
+         WHERE r <= 3),
+-- A stretch ends at a term and holds every other one in the 19 words before it.
+ends AS (SELECT DISTINCT k, item, item_id, need, p FROM dp JOIN (SELECT * FROM rare WHERE have = need) USING (w)),
+near AS (SELECT k, count(DISTINCT coalesce(item_id::VARCHAR, '')) AS n_near FROM (
+         SELECT e.k, e.item, e.item_id, e.p, e.need FROM ends e
+         JOIN (SELECT k, item, w, p AS q FROM dp JOIN rare USING (w)) o ON o.k = e.k AND o.item = e.item AND q BETWEEN e.p - 19 AND e.p
+         GROUP BY ALL HAVING count(DISTINCT o.w) = e.need) GROUP BY k)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k) LEFT JOIN near USING (k)
 """
 
 

@@ -100,6 +100,15 @@ def test_near_matches_equal_a_window_search(spark):
     assert near == {d: len({i for e, i, _, _ in spans if e == d}) for d, _ in docs}
 
 
+def test_equally_rare_terms_are_ranked_by_word(spark):
+    """Four terms occur twice each: the three lesser ones count, wherever the fourth stands."""
+    far = "u " * 40
+    docs = [(1, f"gamma {far} delta beta alpha"), (2, f"delta {far} gamma beta alpha")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(9, "gamma delta beta alpha")], "item_id long, text string")
+    assert {tuple(r)[:2] for r in D.near_matches(frame, bench).collect()} == {(1, 9)}
+
+
 def test_clashing_names_and_ids_of_any_kind(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     rows = [("a", text, 1, 2, "x"), ("b", "other words", 3, 4, "y"), (None, text, 5, 6, "z"), ("b", text, 7, 8, "w")]

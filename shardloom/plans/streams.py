@@ -3,6 +3,10 @@ must equal the batch twin."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +16,10 @@ from shardloom.plans import corpus as _corpus  # noqa: F401  (registers the batc
 from shardloom.plans import fixtures as fx
 from shardloom.plans import telemetry as tele
 from shardloom.plans.registry import QUERIES, query
-from shardloom.session import new_scratch_path
+from shardloom.session import new_scratch_path, ship_package
+from shardloom.sources import tail
 from shardloom.sources.corpus import scan_corpus_stream as corpus_stream
+from shardloom.sources.logs import parse_metric_lines
 from shardloom.streaming import corpus as stream_corpus
 from shardloom.streaming import watch
 
@@ -142,3 +148,69 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nanvl("loss", F.lit(None).cast("double")).alias("loss"),
         hours_minutes((F.lit(500) - F.col("step")) * 30).alias("eta"),
     )
+
+
+def grow_files(lines: DataFrame, folder: str) -> None:
+    """Write each file's lines (file, line_no, value) in order. A longer beginning of the same lines
+    replaces a shorter one, which readers see as growth; a task that runs again writes the same."""
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = tail.open_store(folder)
+        store.create_dir(root)
+        out, name = None, None
+
+        def close() -> None:
+            out.close()
+            store.move(f"{root}/_{name}", f"{root}/{name}")
+
+        for part in parts:
+            for file, rows in part.groupby("file", sort=False):
+                if file != name:
+                    if out:
+                        close()
+                    name, out = file, store.open_output_stream(f"{root}/_{file}")
+                out.write("".join(f"{value}\n" for value in rows["value"]).encode())
+            yield pd.DataFrame({"n": [len(part)]})
+        if out:
+            close()
+
+    ship_package(lines.sparkSession)
+    placed = lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value")
+    placed.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+
+
+@query(
+    "A7, J4, J5 (files that grow)",
+    f"""WITH {tele.METRICS_SQL},
+        placed AS (SELECT run, ord, 'host-' || (run % 16) || '-' || (ord >> 16) || '.log' AS file FROM lines),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) - 1 AS at_line FROM placed)
+        SELECT file, at_line AS line_no, n.run, kind, step, CASE WHEN NOT isnan(loss) THEN loss END AS loss, isnan(loss) AS loss_is_nan
+        FROM numbered n JOIN metrics m ON m.run = n.run AND m.line_no = n.ord""",
+)
+def tail_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of log files that grow between triggers, as one read of the whole files gives them.
+
+    A file holds the lines of a host's runs, at most 65,536 of them.
+    """
+    path = new_scratch_path(spark, "grown-lines")
+    host, stretch = (F.col("run") % 16).cast("string"), F.shiftright("line_no", 16).cast("string")
+    file = F.concat(F.lit("host-"), host, F.lit("-"), stretch, F.lit(".log")).alias("file")
+    value = F.concat_ws("\t", F.col("run").cast("string"), "value").alias("value")
+    tele.log_lines(spark, sf_dir).select(file, "line_no", value).write.parquet(path)
+    lines = spark.read.parquet(path)
+    last = (lines.agg(F.max("line_no")).first()[0] or 0) + 1
+    folder, out, state = (new_scratch_path(spark, f"tail-{n}") for n in ("logs", "out", "state"))
+    for i in range(2):
+        grow_files(lines.where(F.col("line_no") * 2 < (i + 1) * last), folder)
+        tail.number_lines(tail.tail_lines(spark, folder, ".log"), out, state).awaitTermination()
+    split = F.split("value", "\t", 2)
+    found = tail.read_numbered(spark, out).select(
+        F.element_at(F.split("path", re.escape("/")), -1).alias("file"),
+        "line_no",
+        split[0].cast("bigint").alias("run"),
+        split[1].alias("value"),
+    )
+    loss_is_nan = F.isnan("loss")
+    return parse_metric_lines(found).select(
+        "file", "line_no", "run", "kind", "step", F.when(~loss_is_nan, F.col("loss")).alias("loss"), loss_is_nan.alias("loss_is_nan")
+    )

@@ -283,8 +283,8 @@ def resumed_schedule(cursor: DataFrame, n_picks: int, sources: Sequence[str]) ->
 
 
 def pruned_segments(segments: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``segments`` of the shards that ``wanted`` positions lie in: a condition on the partition
-    columns per source and split (a few rows), so other shards' files are never opened."""
+    """``segments`` of the shards that ``wanted`` positions lie in: a condition on their numbers per
+    source and split (a few rows), which written shards answer from folder names and file footers."""
     spans = wanted.groupBy("source", "split").agg(F.collect_set("shard_id").alias("ids")).collect()
     if not spans:
         return segments.limit(0)

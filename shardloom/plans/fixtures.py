@@ -61,7 +61,7 @@ def char_segments(spark: SparkSession, sf_dir: str, total: int | None = None) ->
 
 
 def shard_folder(spark: SparkSession, sf_dir: str) -> str:
-    return written(spark, sf_dir, "char-shards", lambda path: write_shards(char_segments(spark, sf_dir), path))
+    return written(spark, sf_dir, "char-shards", lambda path: write_shards(char_segments(spark, sf_dir), path, shard_size=SHARD))
 
 
 def char_shards(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:

@@ -6,14 +6,16 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.constants import EOT
+from shardloom.constants import EOT, SHARD_SIZE
 from shardloom.functions.arrays import whole_div
 
+# ``shard`` is a segment's shard, ``shard_id`` its folder's first one.
 SCHEMA = (
-    "seg_start bigint, ord bigint, n_tok int, tokens array<int>, build string, source string, split string, shard_id bigint"
+    "shard bigint, seg_start bigint, ord bigint, n_tok int, tokens array<int>, "
+    "build string, source string, split string, shard_id bigint"
 )
 # A row per shard of a published build.
 MANIFEST = (
@@ -22,10 +24,18 @@ MANIFEST = (
 )
 
 
-def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread: int = 16) -> str:
-    """Write a build of segments under builds/source/split/shard_id, sorted by position inside each
-    file, and publish it with a manifest: a row of statistics per shard, counted from what was
-    written in one pass. Returns the build's name.
+def folder_of(shard_id: Column, shard_size: int) -> Column:
+    """The shard that names a shard's folder: one folder takes as many neighbours as make up a shard of
+    the default size, so that folders and files grow with the tokens, however small the shards."""
+    return shard_id - F.pmod(shard_id, F.lit(max(1, SHARD_SIZE // shard_size)))
+
+
+def write_shards(
+    segments: DataFrame, path: str, in_order: bool = False, spread: int = 16, shard_size: int = SHARD_SIZE
+) -> str:
+    """Write a build of segments under builds/source/split/shard_id, sorted by shard and position inside
+    each file, and publish it with a manifest: a row of statistics per shard, counted from what was
+    written in one pass. Returns the build's name. Shards that are small by ``shard_size`` share folders.
 
     A build has a folder of its own, so nothing of an earlier one can mix with it: readers see a
     source's newest published build only, whatever its splits, sizes or caps were before. A build
@@ -33,25 +43,29 @@ def write_shards(segments: DataFrame, path: str, in_order: bool = False, spread:
 
     ``in_order`` segments (from offsets whose documents share tasks) are written where they are: a
     shard then lies in the few tasks its documents came from. Others go to ``spread`` tasks per
-    shard by position, so a 100M-token shard neither sits in one task nor leaves a small file per
+    folder by position, so a 100M-token shard neither sits in one task nor leaves a small file per
     input task.
     """
     build = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    segments = segments.withColumnRenamed("shard_id", "shard").withColumn("shard_id", folder_of(F.col("shard"), shard_size))
     if not in_order:
-        slot = F.pmod(whole_div(F.col("seg_start"), 1 << 20), F.lit(spread))
-        segments = segments.repartition("source", "split", "shard_id", slot)
+        place = F.col("shard") * F.lit(shard_size).cast("bigint") + F.col("seg_start")
+        segments = segments.repartition("source", "split", "shard_id", F.pmod(whole_div(place, 1 << 20), F.lit(spread)))
     (
-        segments.sortWithinPartitions("source", "split", "shard_id", "seg_start")
-        .withColumn("build", F.lit(build))
-        .write.mode("append")
-        .partitionBy("build", "source", "split", "shard_id")
-        .parquet(f"{path}/builds")
+        segments.sortWithinPartitions("source", "split", "shard_id", "shard", "seg_start")
+        .write.partitionBy("source", "split", "shard_id")
+        .parquet(f"{path}/builds/build={build}")
     )
     written = segments.sparkSession.read.schema(SCHEMA).parquet(f"{path}/builds").where(F.col("build") == build)
-    statistics(written).write.mode("append").parquet(f"{path}/manifest")
+    statistics(by_shard(written)).write.mode("append").parquet(f"{path}/manifest")
     return build
 
 
+def by_shard(written: DataFrame) -> DataFrame:
+    """What is in the folders, with each segment's own shard as ``shard_id``."""
+    return written.drop("shard_id").withColumnRenamed("shard", "shard_id")
+
+
 def statistics(shards: DataFrame) -> DataFrame:
     """The manifest's rows of written shards."""
     ids = F.col("tokens")
@@ -87,8 +101,8 @@ def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def stale_shards(spark: SparkSession, path: str) -> DataFrame:
     """Shards whose files don't hold what the manifest says: (source, build, split, shard_id, n_segments,
-    found). Segments are counted from folder names and file footers, so no token is read."""
-    found = spark.read.schema(SCHEMA).parquet(f"{path}/builds").groupBy("source", "build", "split", "shard_id")
+    found). Segments are counted by their shard's number alone, so no token is read."""
+    found = by_shard(spark.read.schema(SCHEMA).parquet(f"{path}/builds")).groupBy("source", "build", "split", "shard_id")
     found = found.agg(F.count("*").alias("found"))
     keys = ["source", "build", "split", "shard_id"]
     named = newest_builds(spark, path).select(*keys, "n_segments")
@@ -124,7 +138,7 @@ def scan_shards(spark: SparkSession, path: str, split: str | None = None, source
         shards = shards.where(F.col("split") == split)
     if source is not None:
         shards = shards.where(F.col("source") == source)
-    shards = shards.join(F.broadcast(newest), ["source", "build"])  # a row per source
+    shards = by_shard(shards).join(F.broadcast(newest), ["source", "build"])  # a row per source
     return shards.select("source", "split", "shard_id", "seg_start", "ord", "n_tok", "tokens")
 
 

@@ -1,10 +1,12 @@
 import random
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT
+from shardloom.operators import layout as lay
 from shardloom.operators import quality
 from shardloom.session import new_scratch_path
 from shardloom.sources import shards as S
@@ -66,3 +68,18 @@ def test_newest_build_counts(spark):
     assert S.scan_shards(spark, path).agg(F.sum("n_tok")).first()[0] == 34
     with pytest.raises(FileNotFoundError):
         S.scan_shards(spark, path, "val")
+
+
+def test_small_shards_share_folders(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_SIZE", 100)
+    ids = {("a", "train", i): [EOT, *range(9)] for i in range(1, 40)} | {("a", "val", 0): [EOT] * 10}
+    path = new_scratch_path(spark, "small-shards")
+    build = S.write_shards(segments_of(spark, ids), path, shard_size=10)
+    folders = {tuple(p.parts[-2:]) for p in Path(path, "builds", f"build={build}", "source=a").glob("*/shard_id=*")}
+    assert folders == {("split=val", "shard_id=0"), *(("split=train", f"shard_id={i}") for i in (0, 10, 20, 30))}
+    assert {(r.split, r.shard_id): r.n_tokens for r in S.require_manifest(spark, path).collect()} == {k[1:]: 10 for k in ids}
+    rows = S.scan_shards(spark, path, "train").orderBy("shard_id", "seg_start").collect()
+    assert [t for r in rows for t in r.tokens] == [EOT, *range(9)] * 39
+    one = lay.pruned_segments(S.scan_shards(spark, path), spark.createDataFrame([("a", "train", 17)], "source string, split string, shard_id bigint"))
+    assert {r.shard_id for r in one.collect()} == {17}
+    assert "PushedFilters: [" in (plan := one._jdf.queryExecution().toString()) and "GreaterThanOrEqual(shard,17)" in plan

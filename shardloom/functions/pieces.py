@@ -25,7 +25,7 @@ from shardloom.constants import (
     TOOL_RESULT,
 )
 from shardloom.functions.arrays import char_ids
-from shardloom.functions.vocab import DEFAULT_VOCAB, IDS, encoder
+from shardloom.functions.vocab import DEFAULT_VOCAB, IDS, encoder, list_sizes, small_batches, text_sizes
 from shardloom.session import ship_package
 
 NAMES = {v: k for k, v in SPECIAL_TOKENS.items()}
@@ -114,9 +114,14 @@ def encode_pieces(df: DataFrame, pieces: str = "pieces", vocab: str = DEFAULT_VO
     column = df.columns.index(pieces)
     kept = [f for f in df.schema.fields if f.name != pieces]
 
+    def text_bytes(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(column)
+        ends = np.concatenate(([0], np.cumsum(text_sizes(lists.flatten().field("text")))))
+        return np.diff(ends[np.concatenate(([0], np.cumsum(list_sizes(lists))))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-        for batch in batches:
+        for batch in small_batches(batches, text_bytes):
             lists = batch.column(column)
             flat = lists.flatten()
             texts = flat.field("text").to_pylist()

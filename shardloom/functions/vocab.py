@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,6 +36,35 @@ def encoder(vocab: str = DEFAULT_VOCAB):
     )
 
 
+# Bytes of text, or of ids, that a worker has in hand as Python values at a time, one row excepted.
+IN_HAND = 1 << 20
+
+
+def small_batches(
+    batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], np.ndarray], most: int = IN_HAND
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``most`` bytes, by ``sizes`` of a batch's rows, or of one row more.
+
+    Spark counts rows, so a batch of long texts would take several times its size in Python values.
+    """
+    for batch in batches:
+        size = sizes(batch)
+        block = (np.cumsum(size) - size) // most
+        starts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(size)]
+        for low, high in zip(starts, starts[1:]):
+            yield batch.slice(low, high - low)
+
+
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, nulls 0."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """Items of each list, nulls 0."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _ids_array(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -70,7 +100,7 @@ def encode_column(
         enc = encoder(vocab)
         allowed = "all" if specials else set()
         empty = np.zeros(0, dtype=np.uint32)
-        for batch in batches:
+        for batch in small_batches(batches, lambda b: text_sizes(b.column(column))):
             parts = []
             for value in batch.column(column).to_pylist():
                 ids = enc.encode_to_numpy(value, allowed_special=allowed, disallowed_special=()) if value else empty
@@ -93,7 +123,7 @@ def decode_column(df: DataFrame, ids: str = "tokens", out: str = "text", *, voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-        for batch in batches:
+        for batch in small_batches(batches, lambda b: 4 * list_sizes(b.column(column))):
             texts = [None if v is None else enc.decode(v) for v in batch.column(column).to_pylist()]
             columns = list(batch.columns)
             columns[column] = pa.array(texts, type=pa.string())

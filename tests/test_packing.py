@@ -1,10 +1,12 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, SPECIAL_TOKENS
-from shardloom.functions.vocab import decode_column, encoder
+from shardloom.functions.pieces import Piece, encode_examples
+from shardloom.functions.vocab import decode_column, encoder, list_sizes, small_batches, text_sizes
 from shardloom.operators import packing as p
 from shardloom.operators import quality
 from shardloom.plans.corpus import build_corpus
@@ -224,3 +226,28 @@ def test_scratch_must_be_shared_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         session.scratch_root(Fake())
     assert os.path.isdir(session.scratch_root(spark))
+
+
+def test_workers_hold_little_of_a_batch(spark):
+    lengths = [3, 0, None, 90, 400, 1, 1, 99, 100, 250, 5]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if n is None else "é" * n for n in lengths])], names=["text"])
+    slices = list(small_batches(iter([batch, batch.slice(0, 0), batch.slice(3, 4)]), lambda b: text_sizes(b.column(0)), 200))
+    values = batch.column(0).to_pylist()
+    assert [v for s in slices for v in s.column(0).to_pylist()] == values + values[3:7]
+    for s in slices:  # all but the last row of a slice fit
+        assert sum(2 * len(v or "") for v in s.column(0).to_pylist()[:-1]) <= 200
+    lists = pa.array([[1, 2], None, [], [3] * 7])
+    assert list_sizes(lists).tolist() == [2, 0, 0, 7] and list_sizes(lists.slice(1, 3)).tolist() == [0, 0, 7]
+
+
+def test_long_texts_encode_as_short_ones(spark):
+    text = "one two, three. " * 5000  # above a tenth of what a worker takes at a time
+    rows = spark.range(40).select(F.lit("a").alias("source"), F.col("id").alias("ord"), F.concat(F.lit(text), "id").alias("text"))
+    tokens = p.tokenize_corpus(rows.coalesce(1))
+    back = {r.ord: r.text for r in decode_column(tokens.select("ord", F.slice("tokens", 2, 1 << 30).alias("tokens"))).collect()}
+    assert back == {i: f"{text}{i}" for i in range(40)}
+    pieces = [Piece((F.col("text"),), F.lit(0)), Piece((F.lit("x"), F.col("text")), F.col("ord").cast("int"))]
+    for r in encode_examples(rows.coalesce(1), ["ord"], pieces).collect():
+        enc = encoder()
+        ids = [enc.encode_ordinary(f"{text}{r.ord}"), enc.encode_ordinary(f"x{text}{r.ord}")]
+        assert r.ids == ids[0] + ids[1] and r["mask"] == [0] * len(ids[0]) + [r.ord] * len(ids[1])

@@ -16,6 +16,7 @@ SHARD = 100_000
 SEQ = 512
 BATCH = 4
 RANKS = 2
+TASK_BITS = 12  # documents that share a task while shards are written: 4,096, some 50 MB of ids
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,7 +62,11 @@ def char_segments(spark: SparkSession, sf_dir: str, total: int | None = None) ->
 
 
 def shard_folder(spark: SparkSession, sf_dir: str) -> str:
-    return written(spark, sf_dir, "char-shards", lambda path: write_shards(char_segments(spark, sf_dir), path, shard_size=SHARD))
+    def write(path: str) -> None:
+        placed = token_offsets(char_tokens(spark, sf_dir), TASK_BITS)
+        write_shards(pack_shards(placed, SHARD), path, in_order=True, shard_size=SHARD)
+
+    return written(spark, sf_dir, "char-shards", write)
 
 
 def char_shards(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:

@@ -56,3 +56,15 @@ def test_step_numbers_do_not_need_a_whole_run_in_a_task(spark, sf_dir):
     windows = re.findall(r"windowspecdefinition\((.*?) ASC", plan_of(telemetry.with_steps(events)))
     assert windows and all("__block" in w or w == "run, __order" for w in (re.sub(r"#\d+L?", "", w) for w in windows))
     assert [w for w in windows if "__block0" in w]
+
+
+def test_shards_are_written_where_their_documents_are(spark, sf_dir, monkeypatch):
+    from shardloom.plans import fixtures as fx
+
+    seen = []
+    monkeypatch.setattr(fx, "write_shards", lambda segments, path, **kw: seen.append((segments, kw)))
+    fx.shard_folder(spark, sf_dir)
+    segments, options = seen[0]
+    assert options == {"in_order": True, "shard_size": fx.SHARD}
+    per_task = segments.groupBy(F.shiftright("ord", fx.TASK_BITS), "source").agg(F.count_distinct(F.spark_partition_id()).alias("n"))
+    assert {r.n for r in per_task.collect()} == {1}

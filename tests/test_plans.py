@@ -59,12 +59,10 @@ def test_step_numbers_do_not_need_a_whole_run_in_a_task(spark, sf_dir):
 
 
 def test_shards_are_written_where_their_documents_are(spark, sf_dir, monkeypatch):
-    from shardloom.plans import fixtures as fx
-
     seen = []
     monkeypatch.setattr(fx, "write_shards", lambda segments, path, **kw: seen.append((segments, kw)))
     fx.shard_folder(spark, sf_dir)
     segments, options = seen[0]
     assert options == {"in_order": True, "shard_size": fx.SHARD}
-    per_task = segments.groupBy(F.shiftright("ord", fx.TASK_BITS), "source").agg(F.count_distinct(F.spark_partition_id()).alias("n"))
-    assert {r.n for r in per_task.collect()} == {1}
+    placed = segments.select("source", F.shiftright("ord", fx.TASK_BITS).alias("range"), F.spark_partition_id().alias("task")).collect()
+    assert len({(r.source, r.range) for r in placed}) == len({tuple(r) for r in placed}) > 0

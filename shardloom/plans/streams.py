@@ -26,13 +26,16 @@ from shardloom.streaming import watch
 CHUNKS = 4
 
 
-def arriving(spark: SparkSession, rows: DataFrame, order: str, name: str, fmt: str = "parquet") -> str:
-    """Write rows as files that arrive one after the other, in key order."""
+def arriving(
+    spark: SparkSession, rows: DataFrame, order: str, name: str, fmt: str = "parquet", one_file: bool = True
+) -> str:
+    """Write rows as files that arrive one after the other, in key order. Without ``one_file`` a part's
+    rows come in as many files as they have partitions, for readers that need no order inside a part."""
     path = new_scratch_path(spark, name)
     last = rows.agg(F.max(order)).first()[0] + 1
     for i in range(CHUNKS):
         chunk = rows.where((F.col(order) * CHUNKS >= i * last) & (F.col(order) * CHUNKS < (i + 1) * last))
-        chunk.coalesce(1).write.mode("append").format(fmt).save(path)
+        (chunk.coalesce(1) if one_file else chunk).write.mode("append").format(fmt).save(path)
     return path
 
 
@@ -67,10 +70,13 @@ def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J1 (byte-level BPE)")
 def stream_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are encoded one by one, so each trigger takes a part's worth of files, in any order."""
+    docs = fx.corpus(spark, sf_dir)
+    files = arriving(spark, docs, "ord", "docs-arriving", one_file=False)
+    per_trigger = -(-len(spark.read.parquet(files).inputFiles()) // CHUNKS)
+    stream = corpus_stream(spark, files, docs.schema, order_col="ord", files_per_trigger=per_trigger)
     path = new_scratch_path(spark, "token-stream")
-    stream_corpus.tokenize_stream(
-        docs_stream(spark, sf_dir), path, new_scratch_path(spark, "token-stream-state")
-    ).awaitTermination()
+    stream_corpus.tokenize_stream(stream, path, new_scratch_path(spark, "token-stream-state")).awaitTermination()
     rows = spark.read.schema("source string, ord bigint, n_tok int, tokens array<int>").parquet(path)
     return rows.select("source", "ord", "n_tok", total(F.col("tokens")).alias("id_total"), digest(F.col("tokens")).alias("digest"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shardloom.operators import packing as p
+from shardloom.plans import streams
 from shardloom.session import new_scratch_path
 from shardloom.sources.corpus import scan_corpus_stream
 from shardloom.sources.logs import stream_log_lines
@@ -156,3 +157,12 @@ def test_updates_are_compacted(spark):
     watch.compact_updates(spark, out, spark.createDataFrame([], rows).schema, 7)
     assert read() == want
     assert watch.latest_updates(spark, new_scratch_path(spark, "no-updates"), rows).count() == 0
+
+
+def test_a_part_may_arrive_in_many_files(spark):
+    rows = spark.range(400).withColumnRenamed("id", "ord").repartition(4, "ord")
+    path = streams.arriving(spark, rows, "ord", "many-files", one_file=False)
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"))
+    found = files.collect()
+    assert len(found) > streams.CHUNKS and sum(r.n for r in found) == 400
+    assert all(r.low // 100 == r.high // 100 for r in found)  # of one part each

@@ -12,12 +12,13 @@ from shardloom.functions.text import fixed1, hours_minutes
 from shardloom.operators import telemetry as ops
 from shardloom.plans import fixtures as fx
 from shardloom.plans.registry import query
-from shardloom.session import new_scratch_path
+from shardloom.session import materialize, new_scratch_path
 from shardloom.sources import logs
 
 TOKENS_PER_STEP = 524_288
 CKPT_EVERY = 10
 ARTIFACT_EVERY = 250  # one file each
+FILES_PER_TASK = 256
 STALL = 4
 IDLE = 3
 MILESTONES = {20: "end_of_warmup", 40: "end_of_stable", 60: "end_of_decay"}
@@ -283,8 +284,13 @@ def list_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("ckpt_%06d", "step").alias("artifact"),
         F.concat_ws(":", "run", "step").alias("value"),
     )
-    # A path holds a few artifacts per run; rows of a run go to one task to get one file each.
-    named.repartition("run").write.partitionBy("run", "artifact").text(path)
+    # An artifact goes to one task to get one file, and tasks grow with the files: the rows are so narrow
+    # that by their size one task would write all. Tasks commit their own files, or the driver would move
+    # one after the other.
+    named = materialize(named, "checkpoint-names")
+    tasks = max(spark.sparkContext.defaultParallelism, named.count() // FILES_PER_TASK)  # from file footers
+    writer = named.repartition(tasks, "run", "artifact").write.partitionBy("run", "artifact")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     run = F.regexp_extract("path", r"run=(\w+)", 1)
     return logs.list_checkpoints(spark, path, "*.txt").select(run.alias("run"), "step", "size")
 

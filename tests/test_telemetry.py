@@ -193,3 +193,20 @@ def test_csv_ledgers(spark):
     rows = [("run_name,val_loss,tokens_per_sec",), ("first,2.5,1000.5",), ("second,1.25,",)]
     spark.createDataFrame(rows, "value string").coalesce(1).write.text(path)
     assert sorted(map(tuple, logs.read_csv_ledgers(spark, path).collect())) == [("first", 2.5, 1000.5), ("second", 1.25, None)]
+
+
+def test_artifacts_of_a_run_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    import re
+    from pathlib import Path
+
+    from shardloom.plans import telemetry as plans
+
+    kept = {}
+    monkeypatch.setattr(plans, "new_scratch_path", lambda s, name: kept.setdefault(name, new_scratch_path(s, name)))
+    monkeypatch.setattr(plans, "ARTIFACT_EVERY", 10)
+    monkeypatch.setattr(plans, "FILES_PER_TASK", 4)
+    rows = plans.list_checkpoints(spark, sf_dir).collect()
+    files = list(Path(kept["checkpoints"]).glob("run=*/artifact=*/*.txt"))
+    assert len(files) == len(rows) == len({(r.run, r.step) for r in rows})
+    tasks = {re.match(r"part-(\d+)", f.name)[1] for f in files}
+    assert len(tasks) > len({r.run for r in rows})

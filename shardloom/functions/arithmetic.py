@@ -1,8 +1,9 @@
-"""Nested arithmetic of whole numbers as one expression of the JVM: a fold over an expression's tokens.
+"""Nested arithmetic of whole numbers as one expression of the JVM: a fold over an expression's operands.
 
-The fold keeps a stack with a frame per open bracket. A frame holds the sum so far, the product so far
-and the operators that wait for their right side, so a token costs a constant amount of work: it
-settles what binds tighter than itself. Anything it can't settle exactly is null, never a guess.
+A regular expression settles all of the syntax but whether brackets match. The fold takes a number and
+the operators that follow it at a time; its state is what waits for a right side (the sum so far, the
+product so far, signs and powers if there are any), with a frame per open bracket. Anything it can't
+settle exactly is null, never a guess.
 """
 
 from __future__ import annotations
@@ -15,49 +16,35 @@ from pyspark.sql import functions as F
 # Longer or deeper texts are null: a parser's own limits decide about those.
 LONGEST, DEEPEST = 400, 50
 EXACT = 1 << 53  # whole numbers up to here are exact doubles
-LARGEST = (1 << 63) - 1
 
-_TOKEN = r"(?:0|[1-9][0-9]{0,14})(?![0-9])|\*\*|//|[-+*/%()]"
+_NUMBER = r"(?:0|[1-9][0-9]{0,14})(?![0-9])"
+# Signs before an exponent are left out. No part is ever tried twice.
+_OPERATOR = r"(?:\*\*(?![ \t]*+[-+])|//|[-+*/%])"
+_WHOLE = rf"\A[-+( \t]*+{_NUMBER}[) \t]*+(?:{_OPERATOR}[-+( \t]*+{_NUMBER}[) \t]*+)*+\z"
+_POWER, _FLOOR = "^", ":"  # one character each
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once and written once in the plan, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once and written once in the plan, however often it is used.
 
-
-def _frame(
-    total: Column, minus: Column, term: Column | None = None, sign: Column | None = None, neg: Column | None = None,
-    powers: Column | None = None, base: Column | None = None,
-) -> Column:
-    none = F.lit(None).cast("bigint")
-    return F.struct(
-        total.alias("total"),
-        minus.alias("minus"),
-        (none if term is None else term).alias("term"),
-        (F.lit(None).cast("string") if sign is None else sign).alias("sign"),
-        (F.lit(False) if neg is None else neg).alias("neg"),
-        (F.array().cast("array<bigint>") if powers is None else powers).alias("powers"),
-        (none if base is None else base).alias("base"),
-    )
-
-
-def _fresh() -> Column:
-    return _frame(F.lit(0).cast("bigint"), F.lit(False))
+    A fold over nothing: its start is the value. An array of one value costs several times as much.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
 def _power(base: Column, exponent: Column) -> Column:
     """Exact where the result is an exact double, else null."""
     found = F.pow(base.cast("double"), exponent.cast("double"))
-    return _bound(found, lambda v: F.when((exponent >= 0) & (F.abs(v) < EXACT), v.cast("bigint")))
+    return bound(found, lambda v: F.when((exponent >= 0) & (F.abs(v) < EXACT), v.cast("bigint")))
 
 
-def _product(sign: Column, a: Column, b: Column) -> Column:
-    """``a sign b``; floors go toward minus infinity, and a true quotient must be whole."""
+def _quotient(sign: Column, a: Column, b: Column) -> Column:
+    """``a sign b`` of a division; floors go toward minus infinity, and a true quotient must be whole."""
     small = a.between(-EXACT, EXACT) & b.between(-EXACT, EXACT)
     quotient = lambda left: F.when(small, F.try_divide(a - left, b).cast("bigint"))
     floored = lambda r: F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
-    divided = lambda r: F.when(sign == "%", r).when((sign == "//") | (r == 0), quotient(r))
-    return F.when(sign == "*", F.try_multiply(a, b)).otherwise(_bound(_bound(F.try_mod(a, b), floored), divided))
+    divided = lambda r: F.when(sign == "%", r).when((sign == _FLOOR) | (r == 0), quotient(r))
+    return bound(bound(F.try_mod(a, b), floored), divided)
 
 
 def evaluate_whole(expr: Column) -> Column:
@@ -68,72 +55,87 @@ def evaluate_whole(expr: Column) -> Column:
     all results of an expression with a true division), signs before an exponent, and texts above
     ``LONGEST`` characters or ``DEEPEST`` brackets.
     """
-    found = F.when(F.length(expr) <= LONGEST, F.regexp_extract_all(expr, F.lit(f"({_TOKEN})"), 1))
-    # Tokens and blanks, and nothing else.
-    whole = lambda tokens: F.when(F.array_join(tokens, "") == F.translate(expr, " \t", ""), tokens)
-    tokens = _bound(found, whole)
-    return _bound(tokens, _fold)
-
-
-def _fold(tokens: Column) -> Column:
-    # A true quotient is a double, and so is all that is made of it.
-    most = F.when(F.array_contains(tokens, "/"), F.lit(EXACT)).otherwise(F.lit(LARGEST))
-
-    def within(value: Column) -> Column:
-        return _bound(value, lambda v: F.when(v.between(-most, most), v))
-
-    def settled(frame: Column) -> Column:
-        """The frame's product with the operand just read: powers from the right, then the sign."""
-        raised = F.aggregate(F.reverse(frame["powers"]), frame["base"], lambda value, base: _power(base, value))
-        operand = _bound(raised, lambda v: F.when(frame["neg"], F.try_subtract(F.lit(0).cast("bigint"), v)).otherwise(v))
-        multiplied = lambda v: F.when(frame["sign"].isNull(), v).otherwise(_product(frame["sign"], frame["term"], v))
-        return within(_bound(operand, multiplied))
+    short = F.replace(F.replace(expr, F.lit("**"), F.lit(_POWER)), F.lit("//"), F.lit(_FLOOR))
+    found = F.when(F.length(expr) <= LONGEST, F.regexp_extract(expr, _WHOLE, 0))
+    # Led by a number, so that each number has what follows it, even if nothing does.
+    text = F.when(found != "", F.concat(F.lit("0+"), F.translate(short, " \t", "")))
+    return bound(text, lambda t: bound(F.contains(t, F.lit("/")), lambda true: _fold(t, true)))
 
-    def closed(frame: Column) -> Column:
-        added = lambda t: F.when(frame["minus"], F.try_subtract(frame["total"], t)).otherwise(F.try_add(frame["total"], t))
-        return within(_bound(settled(frame), added))
 
-    def state(stack: Column, waits: bool, ok: Column) -> Column:
-        return F.struct(stack.alias("stack"), F.lit(waits).alias("waits"), ok.alias("ok"))
+def _fold(text: Column, true_division: Column) -> Column:
+    nothing, no = F.lit(None).cast("bigint"), F.lit(False)
+    empty = F.array().cast("array<bigint>")
+    no_sign, plain = F.lit(None).cast("string"), F.lit(None).cast("struct<neg:boolean,powers:array<bigint>>")
+    outer = ["total", "minus", "term", "sign", "mods"]
 
-    def step(now: Column, token: Column) -> Column:
-        return F.when(~now["ok"], now).otherwise(_bound(F.element_at(now["stack"], -1), lambda top: moved(now, top, token)))
+    def state(total: Column, minus: Column, term: Column, sign: Column, mods: Column, stack: Column, base: Column) -> Column:
+        values = {"total": total, "minus": minus, "term": term, "sign": sign, "mods": mods, "stack": stack, "base": base}
+        return F.struct(*[value.alias(name) for name, value in values.items()])
 
-    def moved(now: Column, top: Column, token: Column) -> Column:
-        stack, waits = now["stack"], now["waits"]
-        depth, yes = F.size(stack), F.lit(True)
+    def modified(neg: Column, powers: Column) -> Column:
+        return F.struct(neg.alias("neg"), powers.alias("powers"))
 
-        def put(frame: Column, over: int = 1) -> Column:
-            """The stack with its last ``over`` frames replaced by ``frame``."""
-            return F.concat(F.slice(stack, F.lit(1), depth - over), F.array(frame))
-
-        def kept(frame: Column, *names: str) -> list[Column]:
-            return [frame[n] for n in names]
+    def within(value: Column) -> Column:
+        # A true quotient is a double, and so is all that is made of it.
+        return bound(value, lambda v: F.when(~true_division | v.between(-EXACT, EXACT), v))
+
+    def settled(now: Column, base: Column) -> Column:
+        """The product with the operand just read: powers from the right, then the sign."""
+        mods, sign, term = now["mods"], now["sign"], now["term"]
+        raised = F.aggregate(F.reverse(mods["powers"]), base, lambda value, below: _power(below, value))
+        signed = bound(raised, lambda v: F.when(mods["neg"], F.try_subtract(F.lit(0).cast("bigint"), v)).otherwise(v))
+        operand = F.when(mods.isNull(), base).otherwise(within(signed))
+        product = F.when(sign == "*", F.try_multiply(term, operand)).otherwise(bound(operand, lambda v: _quotient(sign, term, v)))
+        return F.when(sign.isNull(), operand).otherwise(within(product))
+
+    def closed(now: Column, base: Column) -> Column:
+        added = lambda v: F.when(now["minus"], F.try_subtract(now["total"], v)).otherwise(F.try_add(now["total"], v))
+        return within(bound(settled(now, base), added))
+
+    def operated(now: Column, base: Column, sign: Column) -> Column:
+        """An operator after an operand."""
+        total, minus, term, before, mods, stack = (now[name] for name in [*outer, "stack"])
+        powers = F.array_append(F.coalesce(mods["powers"], empty), base)
+        return (
+            F.when(sign.isin("+", "-"), state(closed(now, base), sign == "-", nothing, no_sign, plain, stack, nothing))
+            .when(sign == _POWER, state(total, minus, term, before, modified(F.coalesce(mods["neg"], no), powers), stack, nothing))
+            .otherwise(state(total, minus, settled(now, base), sign, plain, stack, nothing))
+        )
 
-        def operand(frame: Column, value: Column) -> Column:
-            return _frame(*kept(frame, "total", "minus", "term", "sign", "neg", "powers"), value)
+    def character(now: Column, sign: Column) -> Column:
+        """Brackets, and signs before an operand; a null state is a fault."""
+        total, minus, term, before, mods, stack, base = (now[name] for name in [*outer, "stack", "base"])
+        pushed = F.array_append(stack, F.struct(*[now[name].alias(name) for name in outer]))
+        negated = modified(~F.coalesce(mods["neg"], no), F.coalesce(mods["powers"], empty))
+
+        def popped(value: Column) -> Column:
+            rest = F.slice(stack, F.lit(1), F.size(stack) - 1)
+            under = lambda top: state(*[top[name] for name in outer], rest, value)
+            return F.when(value.isNotNull(), bound(F.try_element_at(stack, F.lit(-1)), under))
+
+        opened = state(F.lit(0).cast("bigint"), no, nothing, no_sign, plain, pushed, nothing)
+        return (
+            F.when(now.isNull() | (sign == ""), now)
+            .when(sign == "(", F.when(F.size(stack) < DEEPEST, opened))
+            .when(sign == ")", F.when(F.size(stack) > 0, bound(closed(now, base), popped)))
+            .when(base.isNotNull(), operated(now, base, sign))
+            .when(sign == "-", state(total, minus, term, before, negated, stack, nothing))
+            .otherwise(now)
+        )
 
-        signed = _frame(*kept(top, "total", "minus", "term", "sign"), top["neg"] != (token == "-"))
-        before = (
-            F.when(F.ascii(token) >= ord("0"), state(put(operand(top, token.try_cast("bigint"))), False, yes))
-            .when(token == "(", state(put(_fresh(), 0), True, depth <= DEEPEST))
-            .otherwise(state(put(signed), True, token.isin("+", "-") & (F.size(top["powers"]) == 0)))
+    def step(now: Column, read: Column) -> Column:
+        base, signs = read["number"], read["signs"]
+        given = state(*[now[name] for name in [*outer, "stack"]], base)
+        return (
+            F.when(now.isNull(), now)
+            .when((F.length(signs) == 1) & (signs != ")"), operated(now, base, signs))
+            .otherwise(F.aggregate(F.split(signs, ""), given, character))
         )
-        raised = _frame(*kept(top, "total", "minus", "term", "sign", "neg"), F.concat(top["powers"], F.array(top["base"])))
-        below = F.try_element_at(stack, F.lit(-2))
-        after = (
-            F.when(token == "**", state(put(raised), True, yes))
-            .when(token.isin("*", "/", "//", "%"), _bound(settled(top), lambda v: state(
-                put(_frame(*kept(top, "total", "minus"), v, token)), True, v.isNotNull())))
-            .when(token.isin("+", "-"), _bound(closed(top), lambda v: state(put(_frame(v, token == "-")), True, v.isNotNull())))
-            .when((token == ")") & (depth > 1), _bound(closed(top), lambda v: state(
-                put(operand(below, v), 2), False, v.isNotNull())))
-            .otherwise(state(stack, False, F.lit(False)))
-        )
-        return F.when(waits, before).otherwise(after)
-
-    start = state(F.array(_fresh()), True, F.lit(True))
-    finish = lambda end: F.when(
-        end["ok"] & ~end["waits"] & (F.size(end["stack"]) == 1), closed(F.element_at(end["stack"], -1)).cast("string")
-    )
-    return F.aggregate(tokens, start, step, finish)
+
+    none_open = F.array().cast("array<struct<total:bigint,minus:boolean,term:bigint,sign:string,mods:struct<neg:boolean,powers:array<bigint>>>>")
+    start = state(F.lit(0).cast("bigint"), no, nothing, no_sign, plain, none_open, nothing)
+    numbers = F.split(F.rtrim(text, F.lit(")")), "[^0-9]+").cast("array<bigint>")  # of 15 digits at most
+    signs = F.slice(F.split(text, "[0-9]+"), 2, LONGEST)
+    read = F.zip_with(numbers, signs, lambda number, after: F.struct(number.alias("number"), after.alias("signs")))
+    finish = lambda end: F.when(F.size(end["stack"]) == 0, closed(end, end["base"]).cast("string"))
+    return F.aggregate(read, start, step, finish)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardloom.constants import SEED
-from shardloom.functions.arithmetic import evaluate_whole
+from shardloom.functions.arithmetic import bound, evaluate_whole
 from shardloom.functions.pieces import tool_pieces
 from shardloom.operators.ordering import order_hash, prefix_scan
 from shardloom.session import ship_package
@@ -89,8 +89,7 @@ def evaluate_native(expr: Column) -> Column:
     The expression and the parsed call are bound by lambdas, so that each is worked out once a row
     wherever it is used.
     """
-    plain = lambda e: F.transform(F.array(parse_simple(e)), simple_value)[0]
-    return F.transform(F.array(expr), lambda e: F.coalesce(plain(e), evaluate_whole(e)))[0]
+    return bound(expr, lambda e: F.coalesce(bound(parse_simple(e), simple_value), evaluate_whole(e)))
 
 
 class _LongPower:

@@ -120,6 +120,20 @@ def test_python_gets_null_for_whole_numbers(spark, monkeypatch):
     assert all(r.error is None for r in found)
 
 
+def test_no_array_holds_a_single_value(spark):
+    """Values used twice are bound without an array of one; a frame is copied for brackets, not for every token."""
+    frame = spark.createDataFrame([("1+1",)], "expr string")
+    plan = frame.select(tools.evaluate_native(F.col("expr")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(" not in plan and "concat(slice(" not in plan
+
+
+def test_brackets_must_match_in_order(spark):
+    faults = ["1)+(2", "(1)+2)", "((1)+(2)", "(1))+((2)", "1)*(2)", ")1(", "-(2**(-1))", "2**(3-4)", "2**(+3)**-1"]
+    assert native(spark, faults) == [None] * len(faults)
+    deep = {"((1)+(2))*(3)": "9", "2**(+3)": "8", "-(-(2)**2)": "4", "1-(7//2*2)": "-5", "(2**3)**2-(2**3**2)": "-448", "-(2**52)*2048": str(-(1 << 63))}
+    assert dict(zip(deep, native(spark, deep))) == deep == {e: tools.calculate(e)[0] for e in deep}
+
+
 def test_injection_of_nested_calls(spark, monkeypatch):
     @F.pandas_udf("array<string>")
     def fail(lists):

@@ -30,6 +30,14 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
 
 
+def occurrences(ids: Column, value: int) -> Column:
+    """How often ``value`` is among the ids. They are filtered, which boxes every id, only if it is there
+    more than once."""
+    first = F.array_position(ids, value)
+    again = F.array_contains(F.slice(ids, (first + 1).cast("int"), F.size(ids)), value)
+    return F.when(first == 0, 0).when(~again, 1).otherwise(F.size(F.filter(ids, lambda t: t == value)))
+
+
 def ids_in_range(ids: Column, limit: int = MAX_ID) -> Column:
     return F.forall(ids, lambda t: (t >= 0) & (t <= limit))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,29 @@ def drop_empty(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(is_filled(F.col(text)))
 
 
-def tokenize_corpus(docs: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
+def tokenize_corpus(docs: DataFrame, vocab: str = DEFAULT_VOCAB, keep: Sequence[str] = ()) -> DataFrame:
     """(source, ord, text) -> (source, ord, n_tok, tokens), each document led by the separator.
 
-    Empty texts leave before the Python stage. ``vocab="char"`` stays wholly in the JVM.
+    Empty texts leave before the Python stage. ``vocab="char"`` stays wholly in the JVM. The columns
+    ``keep`` of the documents stay beside their tokens.
     """
-    kept = drop_empty(docs).select("source", "ord", "text")
+    kept = drop_empty(docs).select("source", "ord", *keep, "text")
     if vocab == "char":
-        tokens = kept.select("source", "ord", F.concat(F.array(F.lit(EOT)), char_ids(F.col("text"))).alias("tokens"))
+        ids = F.concat(F.array(F.lit(EOT)), char_ids(F.col("text")))
+        tokens = kept.select("source", "ord", *keep, ids.alias("tokens"))
     else:
         tokens = encode_column(kept, vocab=vocab, prefix=[EOT], limit=MAX_ID)
-    return tokens.select("source", "ord", F.size("tokens").alias("n_tok"), "tokens")
+    return tokens.select("source", "ord", *keep, F.size("tokens").alias("n_tok"), "tokens")
+
+
+def tokenize_in_place(docs: DataFrame, together_bits: int | None = None) -> DataFrame:
+    """``token_offsets`` of the documents' tokens in the vocabulary ``char``.
+
+    An id is a character there, so offsets come from the texts' lengths: texts are moved, a quarter of
+    their tokens' size, and become tokens where those are packed. No table of tokens is written before.
+    """
+    counted = drop_empty(docs).select("source", "ord", (F.length("text") + 1).alias("n_tok"), "text")
+    return tokenize_corpus(token_offsets(counted, together_bits), "char", keep=["start"])
 
 
 def check_id_range(tokens: DataFrame, ids: str = "tokens") -> DataFrame:
@@ -97,6 +110,7 @@ def pack_shards(
         low = F.greatest(start, shard * size)
         high = F.least(end, (shard + 1) * size)
         part = F.slice("tokens", (low - start + 1).cast("int"), (high - low).cast("int"))
+        part = F.when(high - low == F.col("n_tok"), F.col("tokens")).otherwise(part)  # a slice boxes every token
         return F.struct(shard.alias("shard_id"), (low - shard * size).alias("seg_start"), part.alias("tokens"))
 
     cut = placed.select("source", "ord", F.inline(F.transform(F.sequence(first, last), piece)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.operators.packing import pack_shards, token_offsets, tokenize_corpus
+from shardloom.operators.packing import pack_shards, tokenize_corpus, tokenize_in_place
 from shardloom.session import new_scratch_path
 from shardloom.sources.shards import scan_shards, shard_manifest, write_shards
 
@@ -38,11 +38,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as two sources: English is the base corpus, the rest the second one."""
+    return sourced(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def sourced(docs: DataFrame) -> DataFrame:
     by_lang = F.when(F.col("lang") == "en", "base").otherwise("extra")
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(by_lang.alias("source"), F.col("doc_id").alias("ord"), "text")
 
 
+def char_placed(spark: SparkSession, sf_dir: str, together_bits: int | None = None) -> DataFrame:
+    """Tokens of the documents and their offsets. Placing deals the texts out, so they are not spread before."""
+    return tokenize_in_place(sourced(table(spark, sf_dir, "documents")), together_bits)
+
+
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         tokenize_corpus(corpus(spark, sf_dir), "char").write.parquet(path)
@@ -58,12 +66,12 @@ def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_segments(spark: SparkSession, sf_dir: str, total: int | None = None) -> DataFrame:
-    return pack_shards(token_offsets(char_tokens(spark, sf_dir)), SHARD, total)
+    return pack_shards(char_placed(spark, sf_dir), SHARD, total)
 
 
 def shard_folder(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
-        placed = token_offsets(char_tokens(spark, sf_dir), TASK_BITS)
+        placed = char_placed(spark, sf_dir, TASK_BITS)
         write_shards(pack_shards(placed, SHARD), path, in_order=True, shard_size=SHARD)
 
     return written(spark, sf_dir, "char-shards", write)

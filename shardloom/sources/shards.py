@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, SHARD_SIZE
-from shardloom.functions.arrays import whole_div
+from shardloom.functions.arrays import occurrences, whole_div
 
 # ``shard`` is a segment's shard, ``shard_id`` its folder's first one.
 SCHEMA = (
@@ -75,7 +75,7 @@ def statistics(shards: DataFrame) -> DataFrame:
         F.max(F.col("seg_start") + F.col("n_tok")).alias("shard_len"),
         F.min(F.array_min(ids)).alias("min_id"),
         F.max(F.array_max(ids)).alias("max_id"),
-        F.sum(F.size(F.filter(ids, lambda t: t == EOT))).alias("n_separators"),
+        F.sum(occurrences(ids, EOT)).alias("n_separators"),
         F.min("ord").alias("first_ord"),
         F.max("ord").alias("last_ord"),
     )

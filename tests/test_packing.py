@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.constants import EOT, SPECIAL_TOKENS
+from shardloom.functions.arrays import occurrences
 from shardloom.functions.pieces import Piece, encode_examples
 from shardloom.functions.vocab import decode_column, encoder, list_sizes, small_batches, text_sizes
 from shardloom.operators import packing as p
@@ -92,6 +93,19 @@ def test_decoding_gives_the_text_back(docs):
     assert {r.ord: r.text for r in decode_column(tokens).collect()} == {o: t for _, o, t in DOCS if t}
 
 
+def test_tokens_in_place_are_those_placed_afterwards(docs):
+    rows = lambda df: sorted(tuple(r) for r in df.select("source", "ord", "start", "n_tok", "tokens").collect())
+    wanted = rows(p.token_offsets(p.tokenize_corpus(docs, "char")))
+    assert len(wanted) == 7 and rows(p.tokenize_in_place(docs)) == wanted == rows(p.tokenize_in_place(docs, 12))
+
+
+def test_occurrences(spark):
+    cases = [[], [7], [EOT], [EOT, 1, 2], [1, EOT], [EOT, EOT], [1, EOT, 2, EOT, EOT, 3], [None, EOT], [EOT, None], [EOT, None, EOT], [None], None]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ids array<int>")
+    found = {r.i: r.n for r in frame.select("i", occurrences(F.col("ids"), EOT).alias("n")).collect()}
+    assert [found[i] for i in range(len(cases))] == [None if c is None else c.count(EOT) for c in cases]
+
+
 def test_char_ids_hold_any_code_point(docs):
     rows = {r.ord: r.tokens for r in p.tokenize_corpus(docs, "char").collect()}
     assert rows[900_000_007][1:] == [ord(c) for c in DOCS[6][2]]

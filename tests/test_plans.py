@@ -66,3 +66,10 @@ def test_shards_are_written_where_their_documents_are(spark, sf_dir, monkeypatch
     assert options == {"in_order": True, "shard_size": fx.SHARD}
     placed = segments.select("source", F.shiftright("ord", fx.TASK_BITS).alias("range"), F.spark_partition_id().alias("task")).collect()
     assert len({(r.source, r.range) for r in placed}) == len({tuple(r) for r in placed}) > 0
+
+
+def test_texts_are_placed_and_become_tokens_there(spark, sf_dir):
+    text = plan_of(fx.char_placed(spark, sf_dir, fx.TASK_BITS))
+    above, below = text.split("Exchange", 1)
+    assert "split(text" in above and "split(text" not in below  # no token is shuffled for its place
+    assert "documents.parquet" in below and "tokens" not in below  # nor written before

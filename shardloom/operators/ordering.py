@@ -40,12 +40,14 @@ def prefix_scan(
     levels: Sequence[int] = DENSE_LEVELS,
     inclusive: bool = True,
     together: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns per ``keys`` in the order of a bigint column.
 
     Each block starts with a row that carries the fold of everything before it, so the rows are
     shuffled once and never joined. ``together`` names the level whose blocks share a task (its
-    output is then contiguous in key order); by default every finest block may go anywhere.
+    output is then contiguous in key order); by default every finest block may go anywhere. They go to
+    as many ``partitions``; by default adaptive execution decides, which weighs only what is shuffled.
 
     ``rows`` is evaluated twice (totals, then rows): pass something cheap or materialised.
     Keys must not be null. Keys above 2**50 need a third level, ``levels=(10, 30, 50)``.
@@ -91,7 +93,8 @@ def prefix_scan(
 
     everything = numbered.unionByName(start, allowMissingColumns=True)
     if together is not None:
-        everything = everything.repartition(*[F.col(c) for c in (*keys, *blocks[together:])])
+        dealt = [] if partitions is None else [partitions]
+        everything = everything.repartition(*dealt, *[F.col(c) for c in (*keys, *blocks[together:])])
     frame = (
         Window.partitionBy(*keys, *blocks)
         .orderBy("__is_row", "__order", *tie)

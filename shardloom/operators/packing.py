@@ -43,7 +43,11 @@ def tokenize_in_place(docs: DataFrame, together_bits: int | None = None) -> Data
     their tokens' size, and become tokens where those are packed. No table of tokens is written before.
     """
     counted = drop_empty(docs).select("source", "ord", (F.length("text") + 1).alias("n_tok"), "text")
-    return tokenize_corpus(token_offsets(counted, together_bits), "char", keep=["start"])
+    tasks = None
+    if together_bits is not None:
+        # The work after the exchange is many times its bytes: a few tasks per core, more for many documents.
+        tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, docs.count() >> together_bits)
+    return tokenize_corpus(token_offsets(counted, together_bits, tasks), "char", keep=["start"])
 
 
 def check_id_range(tokens: DataFrame, ids: str = "tokens") -> DataFrame:
@@ -58,15 +62,16 @@ def split_by_id_range(tokens: DataFrame, ids: str = "tokens") -> tuple[DataFrame
     return tokens.where(good), tokens.where(~good)
 
 
-def token_offsets(tokens: DataFrame, together_bits: int | None = None) -> DataFrame:
+def token_offsets(tokens: DataFrame, together_bits: int | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``start``: tokens of the same source before this document.
 
     With ``together_bits`` documents of the same ``ord >> together_bits`` share a task, so packed
-    segments leave in shard order and can be written without another shuffle.
+    segments leave in shard order and can be written without another shuffle. They are dealt to so many
+    ``partitions``, or as adaptive execution decides.
     """
     scan = {"levels": DENSE_LEVELS}
     if together_bits is not None:
-        scan = {"levels": (min(DENSE_LEVELS[0], together_bits - 1), together_bits, 36), "together": 1}
+        scan = {"levels": (min(DENSE_LEVELS[0], together_bits - 1), together_bits, 36), "together": 1, "partitions": partitions}
     scanned = prefix_scan(tokens, ["source"], "ord", {"start": ("sum", F.col("n_tok"))}, inclusive=False, **scan)
     return scanned.withColumn("start", F.col("start").cast("bigint"))
 

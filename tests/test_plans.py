@@ -73,3 +73,10 @@ def test_texts_are_placed_and_become_tokens_there(spark, sf_dir):
     above, below = text.split("Exchange", 1)
     assert "split(text" in above and "split(text" not in below  # no token is shuffled for its place
     assert "documents.parquet" in below and "tokens" not in below  # nor written before
+
+
+def test_placed_texts_go_to_tasks_by_their_number(spark, sf_dir):
+    text = plan_of(fx.char_placed(spark, sf_dir, fx.TASK_BITS))
+    most = 4 * spark.sparkContext.defaultParallelism
+    wanted = max(most, fx.table(spark, sf_dir, "documents").count() >> fx.TASK_BITS)
+    assert re.findall(r"Exchange hashpartitioning\(source.*?, (\d+)\), REPARTITION_BY_NUM", text)[:1] == [str(wanted)]

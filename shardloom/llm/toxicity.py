@@ -16,11 +16,14 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +35,13 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>*_-"
 MAX_FIT_DOCS = 2000
 MAX_FIT_CHARS = 10_000
 ROUNDS = 40
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 CHARS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 1 << 18
 TOKEN = re.compile(r"\S+")
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
-
-_scores: dict[int, dict[str, float]] = {}
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+SCORED = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("spans", SPANS)])
 
 
 def lines_of(text: str) -> list[list[str]]:
@@ -45,6 +49,21 @@ def lines_of(text: str) -> list[list[str]]:
     return [words for words in map(str.split, text.lower().split("\n")) if words]
 
 
+def coded(texts: Iterable[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts as numbers from the vocabulary, which grows; words per chain, and per text.
+
+    A word's string is kept once, whatever its text repeats, so memory follows the distinct words.
+    """
+    flat, lengths, per_text = array("i"), array("q"), array("q")
+    for text in texts:
+        before = len(flat)
+        for line in lines_of(text or ""):
+            flat.extend([vocabulary.setdefault(w, len(vocabulary)) for w in line])
+            lengths.append(len(line))
+        per_text.append(len(flat) - before)
+    return np.array(flat, np.int32), np.array(lengths, np.int64), np.array(per_text, np.int64)
+
+
 def features(word: str) -> tuple[int, ...]:
     """Hashed features of a word: the bias, the whole word, its last bytes and four prefixes. The
     checksum's start value tells the kinds apart."""
@@ -62,7 +81,7 @@ def features(word: str) -> tuple[int, ...]:
 
 
 def feature_table(words: list[str]) -> np.ndarray:
-    return np.array([features(w) for w in words], dtype=np.int64).reshape(-1, 7)
+    return np.fromiter(chain.from_iterable(map(features, words)), np.int32, 7 * len(words)).reshape(-1, 7)
 
 
 class Chains:
@@ -78,7 +97,7 @@ class Chains:
         first = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
         step_of = np.repeat(np.arange(steps), running)
         chain_of = np.arange(int(self.bounds[-1])) - self.bounds[:-1][step_of]
-        self.place = first[chain_of] + step_of  # where each laid-out token stands in the text order
+        self.place = (first[chain_of] + step_of).astype(np.int32)  # where each laid-out token stands in the text order
         self.steps = steps
 
     def marginals(self, emission: np.ndarray, moves: np.ndarray, pairs: bool = False):
@@ -103,9 +122,10 @@ class Chains:
             n = b[t + 2] - b[t + 1]
             after = back[b[t + 1] : b[t + 2]] + e[b[t + 1] : b[t + 2]]
             back[b[t] : b[t] + n] = np.logaddexp(down, stay1 + after) - np.logaddexp(stay0, up + after)
-        log_odds = np.empty_like(e)
-        log_odds[self.place] = np.clip(ahead + back, -30, 30)
-        p = 1 / (1 + np.exp(-log_odds))
+        p = np.empty_like(e)
+        p[self.place] = ahead + back  # the log odds; what follows is 1 / (1 + exp(-p)), in place
+        np.negative(np.clip(p, -30, 30, out=p), out=p)
+        np.divide(1, np.add(np.exp(p, out=p), 1, out=p), out=p)
         if not pairs:
             return p
         counts = np.zeros((2, 2))
@@ -120,21 +140,34 @@ class Chains:
 
 
 def label_words(docs: list[set[str]], toxic: np.ndarray, clean_weight: float) -> set[str]:
-    """Words to label as toxic: held by at least four groups of toxic documents and, per group, at
-    least nine times as often by toxic ones. Near copies share their smallest word hash nearly
-    always and so count as one group; a passage they share is then no evidence."""
-    groups = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=0) for words in docs]
-    inside, outside = defaultdict(set), Counter()
-    for words, group, is_toxic in zip(docs, groups, toxic):
-        if is_toxic:
-            for w in words:
-                inside[w].add(group)
-    seen = set()
-    for words, group, is_toxic in zip(docs, groups, toxic):
-        if not is_toxic and group not in seen:
-            seen.add(group)
-            outside.update(w for w in words if w in inside)
-    return {w for w, held in inside.items() if len(held) >= 4 and len(held) >= 9 * clean_weight * outside[w]}
+    """Words to label as toxic, of documents as sets of words."""
+    vocabulary: dict[str, int] = {}
+    held = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in docs for w in words], dtype=np.int64)
+    doc_of = np.repeat(np.arange(len(docs)), [len(words) for words in docs])
+    words = list(vocabulary)
+    return {words[i] for i in np.flatnonzero(toxic_words(words, held, doc_of, toxic, clean_weight))}
+
+
+def toxic_words(words: list[str], held: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, clean_weight: float) -> np.ndarray:
+    """Which words to label as toxic: those held by at least four groups of toxic documents and, per
+    group, at least nine times as often by toxic ones. Near copies share their smallest word hash nearly
+    always and so count as one group; a passage they share is then no evidence.
+
+    Document ``doc_of[i]`` holds the word numbered ``held[i]``, each pair once.
+    """
+    checksum = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.int64)
+    smallest = np.full(len(toxic), 1 << 32, np.int64)
+    np.minimum.at(smallest, doc_of, checksum[held])
+    smallest[smallest == 1 << 32] = 0
+    found, group = np.unique(smallest, return_inverse=True)
+    of_toxic = toxic[doc_of]
+    inside = np.unique(held[of_toxic] * len(found) + group[doc_of[of_toxic]]) // max(1, len(found))
+    inside = np.bincount(inside, minlength=len(words))
+    clean = np.flatnonzero(~toxic)
+    speaks = np.zeros(len(toxic), dtype=bool)
+    speaks[clean[np.unique(group[clean], return_index=True)[1]]] = True  # the first clean one of a group
+    outside = np.bincount(held[speaks[doc_of]], minlength=len(words))
+    return (inside >= 4) & (inside >= 9 * clean_weight * outside)
 
 
 def aggregate(p: np.ndarray, doc_of: np.ndarray, n_docs: int) -> np.ndarray:
@@ -150,31 +183,35 @@ def aggregate(p: np.ndarray, doc_of: np.ndarray, n_docs: int) -> np.ndarray:
 def fit_field(texts: list[str], toxic: np.ndarray, clean_weight: float) -> dict:
     """Weights, transitions and calibration from labelled texts. With no toxic or no clean text the
     field stays at its starting point and every score is the share of toxic texts."""
-    chains = [lines_of(t) for t in texts]
-    bare = [{w.strip(PUNCTUATION) or w for line in c for w in line} for c in chains]
-    known = label_words(bare, toxic, clean_weight)
+    vocabulary: dict[str, int] = {}
+    flat, lengths, per_doc = coded(texts, vocabulary)
+    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), per_doc)
+    bare: dict[str, int] = {}
+    bare_of = np.array([bare.setdefault(w.strip(PUNCTUATION) or w, len(bare)) for w in vocabulary], dtype=np.int64)
+    held = [np.unique(bare_of[flat[end - n : end]]) for n, end in zip(per_doc, np.cumsum(per_doc))]
+    holder = np.repeat(np.arange(len(texts)), [len(words) for words in held])
+    known = toxic_words(list(bare), np.concatenate([np.zeros(0, np.int64), *held]), holder, toxic, clean_weight)
+    del held, holder
     weights, moves = np.zeros(1 << BITS), np.zeros((2, 2))
     weights[0] = -4.0
     share = float(toxic.mean()) if len(toxic) else 0.0
     blank = {"weights": weights.astype(np.float32), "moves": moves, "calibration": (0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))}
-    if not known or not toxic.any() or toxic.all():
+    if not known.any() or not toxic.any() or toxic.all():
         return blank
 
-    vocabulary: dict[str, int] = {}
-    flat, lengths, doc_of, labels = [], [], [], []
-    for d, c in enumerate(chains):
-        for line in c:
-            flat += [vocabulary.setdefault(w, len(vocabulary)) for w in line]
-            lengths.append(len(line))
-            doc_of += [d] * len(line)
-            labels += [bool(toxic[d]) and (w.strip(PUNCTUATION) or w) in known for w in line]
-    flat, lengths, doc_of = np.array(flat), np.array(lengths), np.array(doc_of)
-    y = np.array(labels, dtype=np.float64)
+    # The longest chains first, a bounded number of tokens at a time.
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    stops = np.cumsum(lengths)
+    moved = np.arange(len(flat)) + np.repeat(begins - (stops - lengths), lengths)
+    flat, doc_of = flat[moved], doc_of[moved]
+    del moved
+    y = toxic[doc_of] & known[bare_of[flat]]
     found = feature_table(list(vocabulary))
-    layout = Chains(lengths)
+    parts = [(Chains(lengths[a:b]), slice(stops[a] - lengths[a], stops[b - 1])) for a, b in slices(lengths, TOKENS_AT_ONCE)]
     first = np.zeros(len(flat), dtype=bool)
-    first[np.concatenate([[0], np.cumsum(lengths)])[:-1]] = True
-    state = y.astype(int)
+    first[stops - lengths] = True
+    state = y.astype(np.int8)
     seen_pairs = np.bincount((state[:-1] * 2 + state[1:])[~first[1:]], minlength=4).reshape(2, 2)
 
     n = max(1.0, y.sum())
@@ -182,17 +219,20 @@ def fit_field(texts: list[str], toxic: np.ndarray, clean_weight: float) -> dict:
     mean, spread = np.zeros_like(parameters), np.zeros_like(parameters)
     for step in range(1, ROUNDS + 1):
         weights, moves = parameters[:-4], parameters[-4:].reshape(2, 2)
-        emission = weights[found].sum(axis=1)[flat]
-        p, expected = layout.marginals(emission, moves, pairs=True)
-        per_word = np.bincount(flat, weights=p - y, minlength=len(found))
+        scores, per_word, expected = weights[found].sum(axis=1), np.zeros(len(found)), np.zeros((2, 2))
+        for layout, part in parts:
+            p, pairs = layout.marginals(scores[flat[part]], moves, pairs=True)
+            per_word += np.bincount(flat[part], weights=p - y[part], minlength=len(found))
+            expected += pairs
         slope = np.bincount(found.ravel(), weights=np.repeat(per_word, 7), minlength=1 << BITS)
         slope = np.concatenate([slope, (expected - seen_pairs).ravel()]) / n + 1e-5 * parameters
         mean = 0.9 * mean + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope**2
         parameters = parameters - 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
     weights, moves = parameters[:-4], parameters[-4:].reshape(2, 2)
-    emission = weights[found].sum(axis=1)[flat]
-    x = aggregate(layout.marginals(emission, moves), doc_of, len(texts))
+    scores = weights[found].sum(axis=1)
+    p = np.concatenate([layout.marginals(scores[flat[part]], moves) for layout, part in parts])
+    x = aggregate(p, doc_of, len(texts))
     return {"weights": weights.astype(np.float32), "moves": moves, "calibration": calibrate(x, toxic, clean_weight)}
 
 
@@ -278,22 +318,17 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
 
 
 def score_texts(model: dict, texts: list[str | None], cache: dict[str, float]) -> pd.DataFrame:
-    flat: list[str] = []
-    lengths, per_doc = [], []
-    for text in texts:
-        before = len(flat)
-        for line in lines_of(text or ""):
-            flat += line
-            lengths.append(len(line))
-        per_doc.append(len(flat) - before)
-    new = {w for w in flat if w not in cache}
+    vocabulary: dict[str, int] = {}
+    flat, lengths, per_doc = coded(texts, vocabulary)
+    words = list(vocabulary)
+    new = [w for w in words if w not in cache]
     if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
-        new = set(flat)
+        new = words
     if new:
-        word_scores(model, list(new), cache)
-    emission = np.fromiter(map(cache.__getitem__, flat), dtype=np.float64, count=len(flat))
-    p = Chains(np.array(lengths, dtype=np.int64)).marginals(emission, model["moves"]) if flat else np.zeros(0)
+        word_scores(model, new, cache)
+    emission = np.array([cache[w] for w in words])[flat] if words else np.zeros(0)
+    p = Chains(lengths).marginals(emission, model["moves"])
     doc_of = np.repeat(np.arange(len(texts)), per_doc)
     a, b, c = model["calibration"]
     x = aggregate(p, doc_of, len(texts))
@@ -313,16 +348,16 @@ def toxicity(spark: SparkSession, model: bytes, text: Column) -> Column:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # about 1 MB, whatever the corpus
 
-    @F.pandas_udf(RESULT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        field, key = pickle.loads(shared.value), zlib.crc32(shared.value)
-        if key not in _scores:
-            _scores.clear()
-        cache = _scores.setdefault(key, {})
+    @F.arrow_udf(RESULT)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # The words are a task's own: a worker goes on to other work and must not hold them then.
+        field, cache = pickle.loads(shared.value), {}
         for batch in batches:
-            texts = list(batch)
-            cut = slices(np.array([len(t or "") for t in texts]), CHARS_AT_ONCE)
-            yield pd.concat([score_texts(field, texts[a:b], cache) for a, b in cut], ignore_index=True)
+            found = [pa.nulls(0, SCORED)]
+            for a, b in slices(pc.fill_null(pc.binary_length(batch), 0).to_numpy(), CHARS_AT_ONCE):
+                rows = score_texts(field, batch.slice(a, b - a).to_pylist(), cache)
+                found.append(pa.StructArray.from_arrays([pa.array(rows[f.name], f.type) for f in SCORED], fields=list(SCORED)))
+            yield pa.concat_arrays(found)
 
     return run(text)
 

@@ -2,6 +2,7 @@
 
 import itertools
 import pickle
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -86,6 +87,31 @@ def test_word_scores_ignore_batches(spark, model):
     assert [a["score"] for a in alone] == pytest.approx(list(whole["score"]))
 
 
+def traced(work):
+    """Peak MB that some work takes, and what it still holds at its end."""
+    tracemalloc.start()
+    kept = work()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return peak / 1e6, held / 1e6, kept
+
+
+def test_fit_holds_numbers_not_words():
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"word{i}" for i in range(3000)])
+    texts = [" ".join(rng.choice(vocabulary, 1000)) + "\nvile scum" * (d % 2) for d in range(200)]
+    peak, _, model = traced(lambda: T.fit_field(texts, np.arange(200) % 2 == 1, 1.0))
+    assert T.score_texts(model, [texts[0], texts[1]], {})["predicted"].tolist() == [0, 1]
+    assert peak < 40  # 200,000 words; 51 with a string for each
+
+
+def test_words_kept_are_few():
+    model = T.fit_field([], np.zeros(0, dtype=bool), 1.0)
+    cache = {}
+    peak, held, _ = traced(lambda: [T.score_texts(model, [" ".join(f"w{i}" for i in range(a, a + 20_000))], cache)["score"][0] for a in range(0, 400_000, 20_000)])
+    assert held < 40 and len(cache) <= T.CACHED_WORDS
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op1_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id")

@@ -7,6 +7,7 @@ import operator
 import sys
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,10 +186,25 @@ def calculate_column(exprs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([distinct.get(e, empty) for e in exprs], columns=["result", "error"])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def calculate_lists(lists: pd.Series) -> pd.Series:
+def _joined(exprs: Column) -> Column:
+    """A text's expressions as one string, for ``calculate_lists``.
+
+    No expression holds a closing tag, or an opening tag, which stands for null here. Not an array: Spark
+    sizes a batch for Python after each row, and goes through a run of null arrays from its start each time.
+    """
+    return F.array_join(exprs, CLOSE_CALL, OPEN_CALL)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def calculate_lists(joined: pa.Array) -> pa.Array:
     cache: dict[str, str] = {}
-    return pd.Series([None if es is None else [_outcome(e, cache) for e in es] for es in lists], dtype=object)
+
+    def outcomes(text: str | None) -> list[str | None] | None:
+        if text is None:
+            return None
+        return [_outcome(None if e == OPEN_CALL else e, cache) for e in text.split(CLOSE_CALL)]
+
+    return pa.array([outcomes(text) for text in joined.to_pylist()], pa.list_(pa.string()))
 
 
 def evaluate_tool_calls(rows: DataFrame, expr: str = "expr") -> DataFrame:
@@ -217,7 +233,7 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
         .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
     is_hard = F.coalesce(F.exists("__todo", lambda e: e.isNotNull()), F.lit(False))
-    staged = staged.withColumn("__hard", calculate_lists(F.when(is_hard, F.col("__todo"))))
+    staged = staged.withColumn("__hard", calculate_lists(F.when(is_hard, _joined(F.col("__todo")))))
 
     def line(index: Column) -> Column:
         outcome = F.coalesce(

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,39 @@ def test_injection(spark):
     assert "ERROR" in out[3]
 
 
+def _calls(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(t.call_expressions(F.col("t"))).first()[0]
+
+
+def test_hard_calls_reach_python_whole(spark):
+    """Calls Python decides, among plain, empty and unopened ones; pieces of tags are no tags."""
+    text = (
+        "a</tool_call><tool_call>1/0</tool_call><tool_call></tool_call><tool_call>2+2</tool_call>"
+        "<tool_call>7/2</tool_</tool_call>b</tool_call><tool_call>9/4</tool_call><tool_call>tool_call></tool_call>"
+    )
+    row = t.inject_tool_result(spark.createDataFrame([(text,), (None,)], "text string")).where("text IS NOT NULL").first()
+    found = [part.split("</tool_result>")[0] for part in row.injected.split("<tool_result>")[1:]]
+    wanted = [t.calculate(e) if e is not None else (None, "no open call") for e in _calls(spark, text)]
+    assert found == [result if error is None else f"ERROR: {error}" for result, error in wanted]
+    assert found[0] == "ERROR: no open call" and found[3] == "4" and found[6] == "2.25"
+
+
+def test_time_of_plain_texts_does_not_grow_with_the_batch(spark):
+    """Python gets null for them; a batch is sized after each row, which must not go through the rows before."""
+    n, conf = 200_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(0, n, 1, 1).select(F.format_string("<tool_call>%d+1</tool_call>", "id").alias("text"))
+    old, seconds = spark.conf.get(conf), {}
+    try:
+        for size in (1_000, 1_000, n):
+            spark.conf.set(conf, size)
+            began = time.perf_counter()
+            t.inject_tool_result(rows).write.format("noop").mode("overwrite").save()
+            seconds[size] = time.perf_counter() - began
+    finally:
+        spark.conf.set(conf, old)
+    assert seconds[n] < 3 * seconds[1_000], seconds
+
+
 def test_worked_example(spark):
     rows = [("Length of the fence?", "Twelve posts apart by 7.", "12*7", "84", "84 metres.")]
     df = spark.createDataFrame(rows, "question string, reasoning string, expr string, result string, answer string")

@@ -52,12 +52,19 @@ def extract_tool_call(text: Column) -> Column:
 
 
 def parse_simple(expr: Column) -> Column:
-    """(a, op, b) of a call with two integers and one of + - * / // %; nulls for anything else."""
-    part = lambda group: F.regexp_extract(expr, SIMPLE_CALL, group)
-    return F.when(
-        expr.rlike(SIMPLE_CALL),
-        F.struct(part(1).cast("bigint").alias("a"), part(2).alias("op"), part(3).cast("bigint").alias("b")),
-    )
+    """(a, op, b) of a call with two integers and one of + - * / // %; nulls for anything else.
+
+    The pattern is matched once, for the operator. A first operand has a digit, so the operator is the
+    first of its kind from the second character on.
+    """
+
+    def parsed(op: Column) -> Column:
+        led = F.ltrim(expr, F.lit(" \t"))
+        at = F.position(op, led, F.lit(2))
+        a, b = led.substr(F.lit(1), at - 1), F.substr(led, at + F.length(op))
+        return F.when(op != "", F.struct(a.try_cast("bigint").alias("a"), op.alias("op"), b.try_cast("bigint").alias("b")))
+
+    return bound(F.regexp_extract(expr, SIMPLE_CALL, 2), parsed)
 
 
 def simple_value(call: Column) -> Column:
@@ -230,10 +237,11 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
         rows.withColumn("__parts", F.split(text, CLOSE_CALL))
         .withColumn("__exprs", _call_heads(F.col("__parts")))
         .withColumn("__simple", F.transform("__exprs", evaluate_native))
-        .withColumn("__todo", F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e)))
     )
-    is_hard = F.coalesce(F.exists("__todo", lambda e: e.isNotNull()), F.lit(False))
-    staged = staged.withColumn("__hard", calculate_lists(F.when(is_hard, _joined(F.col("__todo")))))
+    todo = F.zip_with("__exprs", "__simple", lambda e, s: F.when(s.isNull(), e))
+    is_hard = F.exists(todo, lambda e: e.isNotNull())
+    joined = F.when(F.exists("__simple", lambda s: s.isNull()), F.when(is_hard, _joined(todo)))
+    staged = staged.withColumn("__hard", calculate_lists(joined))
 
     def line(index: Column) -> Column:
         outcome = F.coalesce(
@@ -241,11 +249,11 @@ def inject_tool_result(rows: DataFrame, text: str = "text", out: str = "injected
         )
         return F.concat(F.lit(f"{CLOSE_CALL}\n{OPEN_RESULT}"), outcome, F.lit(f"{CLOSE_RESULT}\n"))
 
-    last = F.size("__exprs")
+    last = F.size("__parts") - 1
     injected = F.transform(
         "__parts", lambda p, i: F.when(i < last, F.concat(p, line(i))).otherwise(p)
     )
-    helpers = ["__parts", "__exprs", "__simple", "__todo", "__hard"]
+    helpers = ["__parts", "__exprs", "__simple", "__hard"]
     return staged.withColumn(out, F.array_join(injected, "")).drop(*helpers)
 
 

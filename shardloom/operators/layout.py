@@ -79,9 +79,13 @@ def batch_positions(lengths: DataFrame, B: int, T: int, ranks: int) -> DataFrame
 
 def with_tokens(positions: DataFrame, segments: DataFrame, T: int) -> DataFrame:
     """Adds the T+1 tokens of each (source, split, shard_id, seq). Segments are dealt by those four,
-    once; the positions, which may repeat, come to them."""
+    once; the positions, which may repeat, come to them.
+
+    The join is named: the planner sizes exploded positions as the few shards they come from, and
+    would collect a row per sequence on the driver to broadcast it. A merge join can spill both sides.
+    """
     keys = ["source", "split", "shard_id", "seq"]
-    return positions.join(assemble_sequences(segments, T), keys)
+    return positions.hint("merge").join(assemble_sequences(segments, T), keys)
 
 
 def deal_batches(segments: DataFrame, B: int, T: int, ranks: int, lengths: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardloom.operators import packing, telemetry
 from shardloom.plans import fixtures as fx
+from shardloom.plans import layout
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -80,3 +81,12 @@ def test_placed_texts_go_to_tasks_by_their_number(spark, sf_dir):
     most = 4 * spark.sparkContext.defaultParallelism
     wanted = max(most, fx.table(spark, sf_dir, "documents").count() >> fx.TASK_BITS)
     assert re.findall(r"Exchange hashpartitioning\(source.*?, (\d+)\), REPARTITION_BY_NUM", text)[:1] == [str(wanted)]
+
+
+def test_positions_are_not_broadcast(spark, sf_dir):
+    """The planner takes positions for as small as the shards that they are exploded from."""
+    for query in (layout.same_doc_pairs, layout.scheduled_batches):
+        found = query(spark, sf_dir)
+        assert found.collect()
+        joins = re.findall(r"(\w+Join) \[[^]]*\bseq#", plan_of(found))
+        assert joins and set(joins) == {"SortMergeJoin"}
